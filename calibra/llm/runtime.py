@@ -32,10 +32,11 @@ def plain(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of df whose `on` is in keys: by broadcast if keys are few enough, else by a shuffled join."""
+def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose `on` is in keys (left_anti: isn't): by broadcast if keys are few enough, else
+    by a shuffled join."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:
