@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, ngram_join, packing, quality, substring
+from . import decontam, langid, line_dedup, ngram_join, packing, quality, substring
 from .runtime import table
 
 
@@ -23,6 +24,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "length", F.round("similarity", 6).alias("similarity"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -31,5 +42,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_language_id, op9_substring_dedup, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op3_language_id,
+        op6_line_dedup,
+        op7_benchmark_decontamination,
+        op9_substring_dedup,
+        op10_quality_rules,
+    )
+}
+#: Where SQL can't state the result, tests/llm holds the operator against a brute-force version.
+ORACLE_SQL = {
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_benchmark_decontamination": decontam.ORACLE_SQL,
+}
