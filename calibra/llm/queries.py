@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, quality, substring
+from . import decontam, hmm_lm, langid, line_dedup, ngram_join, packing, quality, substring
 from .runtime import table
 
 
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
@@ -48,6 +52,7 @@ QUERIES = {
         op1_ngram_jaccard_join,
         op2_best_fit_packing,
         op3_language_id,
+        op4_lm_scoring,
         op6_line_dedup,
         op7_benchmark_decontamination,
         op9_substring_dedup,
