@@ -47,16 +47,16 @@ def windows(hashes: str, run: int) -> Column:
     return F.transform(own, of)[0]
 
 
-def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, text, n_lines, n_removed, kept_text), one for each row of documents.
+def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, text, n_lines, n_removed, kept_text, and the columns to carry), one for each row of documents.
 
     Lines are separated by newlines; those without a word are never removed and don't interrupt a
     run. A line goes if it lies in `run` consecutive lines that also begin earlier, by (doc_id,
     place) with a null doc_id last. Rows with equal doc_id and text are one document, so neither
     loses its lines to the other; rows with equal doc_id and different texts are ordered by the
-    texts' hash. Null and empty texts have no lines and stay as they are. Other columns are ignored.
+    texts' hash. Null and empty texts have no lines and stay as they are. Columns not named are ignored.
     """
-    docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text"), F.struct(F.lit(0), *map(plain, carry)).alias("carried")).withColumn("key", F.xxhash64("text"))
     found = marked(docs, run).withColumn("w", windows("h", run))
 
     places = found.select("doc_id", "key", F.explode(F.array_distinct(F.transform("w", lambda x: F.struct(x["place"], x["least"].alias("h"))))).alias("p"))
@@ -73,9 +73,9 @@ def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "d
     hit = semi(all_lines, keys, "key").join(gone, ["d", "key"], "left")
     rest = semi(all_lines, keys, "key", "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
     n_lines = F.size(F.filter(lines("text"), lambda x: x.rlike(WORD)))
-    whole = hit.select("doc_id", "text", "gone").union(rest.select("doc_id", "text", "gone"))
+    whole = hit.select("doc_id", "text", "carried", "gone").union(rest.select("doc_id", "text", "carried", "gone"))
     split = F.transform(F.array(lines("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))[0]
-    return whole.select("doc_id", "text", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(split).alias("kept_text"))
+    return whole.select("doc_id", "text", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(split).alias("kept_text"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 ORACLE_SQL = f"""

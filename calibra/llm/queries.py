@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm_lm, langid, line_dedup, ngram_join, packing, quality, substring
+from . import decontam, hmm_lm, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, substring
 from .runtime import table
 
 
@@ -28,6 +28,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a document is its source, its language and its doc_id."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return license_scan.scan(docs)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
@@ -38,6 +44,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "start", "length", F.round("similarity", 6).alias("similarity"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,8 +63,10 @@ QUERIES = {
         op2_best_fit_packing,
         op3_language_id,
         op4_lm_scoring,
+        op5_license_scan,
         op6_line_dedup,
         op7_benchmark_decontamination,
+        op8_pii,
         op9_substring_dedup,
         op10_quality_rules,
     )

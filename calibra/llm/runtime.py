@@ -17,12 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
     A lost executor costs a reread of the files only. Where the setting is absent, as in tests, a
     temporary folder serves.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
