@@ -45,7 +45,7 @@ def overall_grade(ratings: list[Column]) -> Column:
 
 def violations(ledger: DataFrame) -> DataFrame:
     """Rows (rule, row_id) for repeated ids, repeated or malformed keys, and blank excerpts."""
-    again = lambda c: ledger.groupBy(c).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")).where("n > 1").select(F.lit(f"repeated {c}").alias("rule"), "row_id")
+    again = lambda c: ledger.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")).where("n > 1").select(F.lit(f"repeated {c}").alias("rule"), "row_id")
     shape = ledger.where(~F.col("value_key").rlike("^[a-z0-9]+(-[a-z0-9]+)*$")).select(F.lit("malformed value_key").alias("rule"), "row_id")
     blank = ledger.where(F.coalesce(F.trim("excerpt"), F.lit("")) == "").select(F.lit("blank excerpt").alias("rule"), "row_id")
     return again("row_id").union(again("value_key")).union(shape).union(blank)
