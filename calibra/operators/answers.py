@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-#: Dollars for a million input tokens of the hosted service.
+#: Fixed value: dollars for a million input tokens of the hosted service.
 PRICE = 0.042
 
 

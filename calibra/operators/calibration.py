@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .metrics import nll, scored
 
-#: Points, least and greatest temperature of the two grids in use.
+#: Points, least and greatest temperature of the two grids in use.
 WIDE, NARROW = (120, 0.2, 20.0), (60, 0.25, 8.0)
-#: Decisions a slice needs for a temperature of its own.
+#: Fixed value: decisions a slice needs for a temperature of its own.
 LEAST_ROWS = 30
 
 

@@ -43,7 +43,7 @@ def neutral(options: Column) -> Column:
     return F.transform(options, lambda o, i: F.concat(F.lit("o"), (i + 1).cast("string")))
 
 
-#: Names of a yes/no question's two options; krand is drawn for each item.
+#: Names of the negative and the positive option; krand draws five letters for each.
 NAMINGS = {"k01": ("0", "1"), "kny": ("no", "yes"), "kswap": ("yes", "no")}
 
 
@@ -52,9 +52,8 @@ def renamed(items: DataFrame, item: str, positive: str, seed: str) -> DataFrame:
     spark = items.sparkSession
     names = spark.createDataFrame([(k, *v) for k, v in NAMINGS.items()] + [("krand", None, None)], "naming string, neg string, pos string")
     rows = items.crossJoin(F.broadcast(names))  # four namings, fixed
-    flip = draw(seed, F.col(item)) % 2 == 0
-    neg = F.coalesce("neg", F.when(flip, "no").otherwise("yes"))
-    pos = F.coalesce("pos", F.when(flip, "yes").otherwise("no"))
+    word = lambda side: F.translate(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(side), F.col(item).cast("string"))), 1, 5), "0123456789abcdef", "abcdefghijklmnop")
+    neg, pos = F.coalesce("neg", word("neg")), F.coalesce("pos", word("pos"))
     return rows.select(item, "naming", neg.alias("negative_name"), pos.alias("positive_name"), F.when(F.col(positive), pos).otherwise(neg).alias("label"))
 
 

@@ -251,8 +251,10 @@ def x03_x04_nested_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.nested_subsets(_design(spark, sf_dir), "item", [3, 6, 12]).select("k", "item", "option", "gold")
 
 
-@query(f"""select o_orderkey as item, naming, case when o_orderstatus = 'F' then pos else neg end as label from (select o_orderkey, o_orderstatus, naming, coalesce(neg, case when {draw_sql(repr('kr'), 'o_orderkey')} % 2 = 0 then 'no' else 'yes' end) as neg,
- coalesce(pos, case when {draw_sql(repr('kr'), 'o_orderkey')} % 2 = 0 then 'yes' else 'no' end) as pos from orders, (values ('k01', '0', '1'), ('kny', 'no', 'yes'), ('kswap', 'yes', 'no'), ('krand', null, null)) n(naming, neg, pos))""")
+_WORD = "translate(substr(md5('kr|' || {0} || '|' || o_orderkey), 1, 5), '0123456789abcdef', 'abcdefghijklmnop')"
+
+
+@query(f"""select o_orderkey as item, naming, case when o_orderstatus = 'F' then coalesce(pos, {_WORD.format("'pos'")}) else coalesce(neg, {_WORD.format("'neg'")}) end as label from orders, (values ('k01', '0', '1'), ('kny', 'no', 'yes'), ('kswap', 'yes', 'no'), ('krand', null, null)) n(naming, neg, pos)""")
 def p20_g13_namings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderstatus") == "F").alias("positive"))
     return design.renamed(items, "item", "positive", "kr").select("item", "naming", "label")
@@ -382,11 +384,11 @@ def n06_number_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(table(spark, sf_dir, "part").select("p_partkey", evidence.single_number(text, r"acc ([0-9./]+)").alias("number")))
 
 
-@query("""select a.p_partkey, round(case a.p_partkey % 3 when 0 then a.p_size - b.p_size when 1 then a.p_size::double / b.p_size else (b.p_size - a.p_size) / 100.0::double end, 6) as v from part a join part b on b.p_partkey = a.p_partkey + 1""")
+@query("""select a.p_partkey, round(case a.p_partkey % 3 when 0 then a.p_size - b.p_size when 1 then a.p_size::double / b.p_size else 100.0::double * (b.p_size - a.p_size) end, 6) as v from part a join part b on b.p_partkey = a.p_partkey + 1""")
 def p28_j12_n12_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection lines that read two ledger rows and combine them by a closed expression."""
     ledger = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("value"))
-    lines = ledger.select(F.col("id").alias("a_row"), (F.col("id") + 1).alias("b_row"), F.element_at(F.array(*map(F.lit, ["a-b", "a/b", "(b-a)/100"])), (F.col("id") % 3 + 1).cast("int")).alias("expr"))
+    lines = ledger.select(F.col("id").alias("a_row"), (F.col("id") + 1).alias("b_row"), F.element_at(F.array(*map(F.lit, ["a-b", "a/b", "100*(b-a)"])), (F.col("id") % 3 + 1).cast("int")).alias("expr"))
     a, b = ledger.select(F.col("id").alias("a_row"), F.col("value").alias("a")), ledger.select(F.col("id").alias("b_row"), F.col("value").alias("b"))
     out = lines.join(a, "a_row").join(b, "b_row")
     return _r(out.select(F.col("a_row").alias("p_partkey"), evidence.evaluated(F.col("expr"), F.col("a"), F.col("b")).alias("v")))
