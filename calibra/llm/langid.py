@@ -174,8 +174,8 @@ def in_fold(doc_id: int | None, remainder: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == remainder
 
 
-def identify(documents: DataFrame, model: Model | None = None, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows (doc_id, held_out, lang_pred, score), one for each row of documents.
+def identify(documents: DataFrame, model: Model | None = None, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, held_out, lang_pred, score, and the columns to carry), one for each row of documents.
 
     Learned from rows that are not held out and have a text and a language, `sample` of each
     language at most; lang and doc_id are no inputs of a prediction. Null, empty and letterless
@@ -184,10 +184,12 @@ def identify(documents: DataFrame, model: Model | None = None, sample: int = SAM
     `und`.
     """
     spark = documents.sparkSession
-    docs = documents.select(plain(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), plain(text).alias("text"), plain(lang).alias("lang"))
+    docs = documents.select(plain(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), plain(text).alias("text"), plain(lang).alias("lang"), F.struct(F.lit(0).alias("_"), *[plain(c).alias(c) for c in carry]).alias("carried"))
+    kept = [F.col("carried").getField(c).alias(c) for c in carry]
     model = model or learn(docs.where("not held_out"), sample)
     if not model.langs:
-        return docs.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), *kept)
     shared = spark.sparkContext.broadcast(vars(model))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    found = docs.select("doc_id", "held_out", "carried", "text").mapInArrow(predict(shared), f"doc_id {kinds['doc_id']}, held_out boolean, carried {kinds['carried']}, lang_pred string, score double")
+    return found.select("doc_id", "held_out", "lang_pred", "score", *kept)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibra.llm import decontam, langid, line_dedup, ngram_join, packing
-from calibra.llm.runtime import shared_folder, table
+from calibra.llm.runtime import cut, semi, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents with a language predicted less surely than this go.
@@ -20,14 +20,9 @@ LEAST_SCORE = 0.5
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined, each with the predicted one as lang.
-
-    doc_id is what results are joined on, so of rows with one doc_id all stay or go by the best of
-    them; rows without a doc_id stay.
-    """
-    found = langid.identify(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("score", "lang_pred")).alias("best"))
-    joined = docs.join(found, "doc_id", "left").where(f"doc_id is null or (best.lang_pred <> '{langid.UNDETERMINED}' and best.score >= {LEAST_SCORE})")
-    return joined.withColumn("lang", F.coalesce("best.lang_pred", "lang")).select(*COLUMNS)
+    """Documents whose language is determined surely enough, each with the predicted one as lang."""
+    found = langid.identify(docs, carry=("text", "source", "n_chars"))
+    return found.where(f"lang_pred <> '{langid.UNDETERMINED}' and score >= {LEAST_SCORE}").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +36,18 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id; of repeated rows one."""
     found = ngram_join.near_duplicates(docs)
-    firsts = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*COLUMNS)
+    firsts = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    again = firsts.where("n > 1").select("doc_id")
+    once = semi(docs, firsts.where("n = 1").select("doc_id"), "doc_id")
+    # Only rows of one doc_id meet; texts of other documents stay where they are.
+    several = semi(docs, again, "doc_id").dropDuplicates(["doc_id"])
+    return once.unionByName(several).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window like a benchmark item."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return semi(docs, cut(found), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
