@@ -30,6 +30,8 @@ ROUNDS = 3
 START_TEXTS, START_ROUNDS = 2000, 12
 #: Words of a training sequence; longer texts are trained on in segments.
 SEGMENT = 128
+#: Words scored side by side.
+TOKENS = 1 << 20
 #: Weight of the unigram distribution in a state's emissions.
 PRIOR = 20.0
 PARTS = 64
@@ -171,7 +173,7 @@ def expectations(shared):
         vocabulary, chain = shared.value
         total = None
         for batch in batches:
-            for c in chunks(batch, size=2 << 20):
+            for c in chunks(batch):
                 sequence, bounds, *_ = symbols(vocabulary, c.column("text"))
                 found = expect(*chain, sequence, bounds)
                 total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
@@ -217,26 +219,43 @@ def train(texts: DataFrame, vocabulary: np.ndarray, unigram: np.ndarray, rounds:
 
 
 def score_rows(shared):
-    """Rows (doc_id, key, held_out, n_tokens, top_known, base, chain, and nothing of rare words)."""
+    """Rows (doc_id, key, held_out, n_tokens, top_known, top_base, chain), without rare words' own part.
+
+    Texts are read in small chunks; their symbols are gathered to TOKENS before the recursion runs, as
+    it takes as many steps as the longest text has words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
+        top = len(m.vocabulary)
+        end_known = m.log_top[top] > np.log10(0.5)
+
+        def scored(held: list) -> pa.RecordBatch:
+            sequence = np.concatenate([h[0] for h in held])
+            n = np.concatenate([h[1] for h in held])
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            cost = np.where(sequence <= top, m.log_top[np.minimum(sequence, top)], 0.0)
+            share = np.where(sequence > top, m.class_log[np.maximum(sequence - top - 1, 0)], 0.0)
+            columns = {
+                "n_tokens": n,
+                "top_known": np.add.reduceat((sequence < top) + (sequence == top) * end_known, bounds[:-1]).astype(np.int64),
+                "top_base": np.add.reduceat(cost, bounds[:-1]) - n * m.base_denominator,
+                "chain": forward(m.start, m.move, m.emit, sequence, bounds) - np.add.reduceat(share, bounds[:-1]),
+            }
+            ids = pa.Table.from_batches([h[2] for h in held]).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(ids.column(k).combine_chunks() for k in ("doc_id", "key", "held_out")), *map(pa.array, columns.values())], ["doc_id", "key", "held_out", *columns])
+
+        held, size = [], 0
         for batch in batches:
-            for c in chunks(batch, size=8 << 20):
-                sequence, bounds, w, _, rare = symbols(m.vocabulary, c.column("text"))
-                top = len(m.vocabulary)
-                own = np.append(m.log_top, np.zeros(1 + CLASSES))[: top + 1 + CLASSES]
-                own[top] = m.log_top[top]
-                cost = np.where(sequence <= top, own[np.minimum(sequence, top)], 0.0)
-                share = np.where(sequence > top, m.class_log[np.maximum(sequence - top - 1, 0)], 0.0)
-                n = np.diff(bounds)
-                columns = {
-                    "n_tokens": n,
-                    "top_known": np.add.reduceat((sequence < top) + (sequence == top) * (m.log_top[top] > np.log10(0.5)), bounds[:-1]).astype(np.int64),
-                    "top_base": np.add.reduceat(cost, bounds[:-1]) - n * m.base_denominator,
-                    "chain": forward(m.start, m.move, m.emit, sequence, bounds) - np.add.reduceat(share, bounds[:-1]),
-                }
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in ("doc_id", "key", "held_out")), *map(pa.array, columns.values())], ["doc_id", "key", "held_out", *columns])
+            for c in chunks(batch):
+                sequence, bounds, *_ = symbols(m.vocabulary, c.column("text"))
+                held.append((sequence, np.diff(bounds), c.select(["doc_id", "key", "held_out"])))
+                size += len(sequence)
+                if size >= TOKENS:
+                    yield scored(held)
+                    held, size = [], 0
+        if held:
+            yield scored(held)
 
     return run
 
