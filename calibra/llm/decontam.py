@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, cut, plain, semi
+from .runtime import cut, plain, semi, small
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -69,11 +69,6 @@ def blocks(simhash: Column) -> Column:
     return F.array(*out)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, key, item_id, start, length, similarity): for each document and item the window
     of greatest weighted Jaccard similarity, the first if tied, if it is SIMILARITY or more.

@@ -6,14 +6,16 @@ similarity t or more share a shingle among the first n - ceil(t n) + 1 of each.
 on those prefix shingles, filtered by length, position and suffix, and each pair is verified once on
 the exact sets.
 
-A prefix shingle of many classes doesn't emit its pairs: first all its classes are compared with its
-shortest one only; then, once the verified links have been joined to components, just pairs of
-classes that are still in different components. A pair within a component can't change any
-component, so components are those of all links.
+A prefix shingle of many classes doesn't emit its pairs: first all its classes are compared with one
+of them, its pivot; then, once the verified links have been joined to components, with another pivot
+in another component, for ROUNDS rounds; last, just pairs of classes that are still in different
+components. A pair within a component can't change any component, so components are those of all
+links.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,68 +23,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, cut, plain, semi
+from .runtime import components, cut, plain, semi, small
 from .words import chunks, mix, shingles, words
 
-SKETCH_BITS = 20
+#: Buckets of the sketch of shingle counts: one byte each when broadcast, whatever the input.
+SKETCH_BITS = 24
 SKETCH_PARTS = 256
+ROUNDS = 3
+BITMAP_LONGS = 8
 #: Similarity NUM / DEN.
 NUM, DEN = 4, 5
 WORDS = 5
 
 
 def class_hashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash for each set."""
+    """One non-negative hash for each set: 7 bits of its size's logarithm, then 56 of its elements, so
+    that the least of several is among the shortest sets."""
     sums = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(mix(value), out=sums[1:])
     n = np.diff(first).astype(np.uint64)
-    return mix(sums[first[1:]] - sums[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    elements = mix(sums[first[1:]] - sums[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15))
+    level = np.minimum(127, 4 * np.log2(n + np.uint64(1))).astype(np.uint64)
+    return ((level << np.uint64(56)) | (elements >> np.uint64(8))).view(np.int64)
+
+
+def bitmaps(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """BITMAP_LONGS x 64 bits for each set: the parity of its elements by hash."""
+    out = []
+    for k in range(BITMAP_LONGS):
+        own = (value >> np.uint64(6)) % np.uint64(BITMAP_LONGS) == np.uint64(k)
+        bits = np.append(np.bitwise_xor.accumulate(np.where(own, np.uint64(1) << (value & np.uint64(63)), np.uint64(0))), np.uint64(0))
+        at = lambda i: np.where(i > 0, bits[i - 1], np.uint64(0))  # noqa: E731, B023
+        out.append((at(first[1:]) ^ at(first[:-1])).view(np.int64))
+    return out
+
+
+SIGS = [f"s{k}" for k in range(BITMAP_LONGS)]
+FIRST_SCHEMA = "doc_id long, n long, cls long, " + ", ".join(f"{s} long" for s in SIGS) + ", part int, counts binary"
+FIRST_NAMES = ["doc_id", "n", "cls", *SIGS, "part", "counts"]
 
 
 def sizes_and_sketch(k: int):
-    """Rows (doc_id, n, cls) for documents, and at the end of a partition the counts of its shingles by
-    bucket, as rows (part, counts)."""
+    """Rows (doc_id, n, cls, s0, ...) for documents, and at the end of a partition the counts of its
+    shingles by bucket, as rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
+        total, held = None, []
+
+        def flush():
+            nonlocal total, held
+            if held:
+                total = np.zeros(1 << SKETCH_BITS, np.uint32) if total is None else total
+                bucket, n = np.unique(np.concatenate(held), return_counts=True)
+                total[bucket] += n.astype(np.uint32)
+                held = []
+
         for batch in batches:
             for c in chunks(batch):
                 value, first = shingles(words(c.column("text"), lower=True), k)
-                held.append((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                if len(held) >= 16:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held = []
+                held.append((value >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                if len(held) >= 8:
+                    flush()
                 part, counts = pa.nulls(c.num_rows, pa.int32()), pa.nulls(c.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(class_hashes(value, first)), part, counts], ["doc_id", "n", "cls", "part", "counts"])
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        if total.any():
-            rows = total.reshape(SKETCH_PARTS, -1)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(class_hashes(value, first)), *map(pa.array, bitmaps(value, first)), part, counts], FIRST_NAMES)
+        flush()
+        if total is not None:
             none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([r.astype("<i8").tobytes() for r in rows], pa.binary())], ["doc_id", "n", "cls", "part", "counts"])
+            parts = [zlib.compress(r.tobytes(), 1) for r in total.reshape(SKETCH_PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([none] * (3 + BITMAP_LONGS) + [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], FIRST_NAMES)
 
     return run
 
 
-def add_counts(tables: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in tables.column("counts"))
-    return pa.table({"part": tables.column("part")[:1], "counts": pa.array([np.asarray(total, "<i8").tobytes()], pa.binary())})
+def summed(rows: pa.Table) -> np.ndarray:
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint32)
+    for x in rows.column("counts"):
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+    return total
+
+
+def add_counts(rows: pa.Table) -> pa.Table:
+    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([zlib.compress(summed(rows).tobytes(), 1)], pa.binary())})
+
+
+def levels(rows: pa.Table) -> pa.Table:
+    level = np.minimum(255, 4 * np.log2(summed(rows) + 1.0)).astype(np.uint8)
+    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([level.tobytes()], pa.binary())})
 
 
 def rarity(parts: DataFrame) -> np.ndarray:
     """For each bucket of the sketch, 4 log2(count + 1): the only thing that reaches the driver, of
-    fixed size (1 MB). Partitions' counts are added 32 or so at a time before they meet."""
-    some = parts.withColumn("salt", F.spark_partition_id() % 64)
-    some = some.groupBy("part", "salt").applyInArrow(add_counts, "part int, counts binary")
-    rows = some.groupBy("part").applyInArrow(add_counts, "part int, counts binary").collect()
-    total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for r in rows:
-        total[r["part"]] = np.frombuffer(bytes(r["counts"]), "<i8")
-    return np.minimum(255, 4 * np.log2(total.ravel() + 1)).astype(np.uint8)
+    fixed size. Partitions' counts are added in groups before they meet."""
+    some = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt").applyInArrow(add_counts, "part int, counts binary")
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
+    for r in some.groupBy("part").applyInArrow(levels, "part int, counts binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
+    return out.ravel()
 
 
 def prefix_rows(k: int, rare):
-    """Rows (gram, cls, n, pos, sig): each class's prefix shingles, once in a partition."""
+    """Rows (gram, cls, place): each class's prefix shingles, once in a partition. place: the set's
+    size and the shingle's position, of 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = rare.value, set()
@@ -92,7 +133,6 @@ def prefix_rows(k: int, rare):
                 cls = class_hashes(value, first)
                 n = np.diff(first)
                 key = (level[value >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56)) | (value >> np.uint64(8))
-                bits = np.uint64(1) << (value & np.uint64(63))
                 take = n - (NUM * n + DEN - 1) // DEN + 1
                 grams, rows = [], []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -101,13 +141,12 @@ def prefix_rows(k: int, rare):
                         own = key[a:b]
                         own.sort()
                         grams.append(own[: take[i]])
-                        rows.append((i, int(np.bitwise_xor.reduce(bits[a:b]).view(np.int64))))
+                        rows.append(i)
                 if rows:
-                    i = np.array([r[0] for r in rows])
+                    i = np.array(rows)
                     each = np.repeat(np.arange(len(i)), take[i])
                     pos = np.arange(len(each)) - np.repeat(np.cumsum(take[i]) - take[i], take[i])
-                    sig = np.array([r[1] for r in rows], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(grams).view(np.int64), cls[i][each], n[i][each].astype(np.int32), pos.astype(np.int32), sig[each])], ["gram", "cls", "n", "pos", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(grams).view(np.int64), cls[i][each], (n[i][each] << 32) | pos)], ["gram", "cls", "place"])
 
     return run
 
@@ -136,18 +175,13 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def may_link(x: str, y: str) -> str:
-    """The length, positional and suffix filters between prefix rows x and y; none loses a link.
-
-    Suffix: the bitmaps hold the parity of the shingles by hash, so they differ in no more places
-    than the sets have unshared shingles.
-    """
-    need = f"(({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    return (
-        f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
-        f" and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {need}"
-        f" and bit_count({x}.sig ^ {y}.sig) <= {x}.n + {y}.n - 2 * {need}"
-    )
+#: The least number of shingles that sets of sizes x.n and y.n must share.
+NEED = f"(({NUM} * (x.n + y.n) + {NUM + DEN - 1}) div {NUM + DEN})"
+#: Filters of prefix rows x and y that lose no link.
+LENGTH = f"{DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)"
+POSITION = f"least(x.n - x.pos, y.n - y.pos) >= {NEED}"
+#: The bitmaps differ in no more places than the sets have unshared shingles.
+SUFFIX = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in SIGS) + f" <= x.n + y.n - 2 * {NEED}"
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -162,39 +196,51 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     spark = documents.sparkSession
     docs = documents.select(plain(doc_id).cast("long").alias("doc_id"), plain(text).alias("text"))
-    first = cut(docs.mapInArrow(sizes_and_sketch(k), "doc_id long, n long, cls long, part int, counts binary"))
+    first = cut(docs.mapInArrow(sizes_and_sketch(k), FIRST_SCHEMA))
     rare = spark.sparkContext.broadcast(rarity(first.where("part is not null").select("part", "counts")))
-    sizes = first.where("part is null").select("doc_id", "n", "cls")
-
-    grams = docs.mapInArrow(prefix_rows(k, rare), "gram long, cls long, n int, pos int, sig long")
-    pivots = grams.groupBy("gram").agg(F.min(F.struct("n", "cls", "pos", "sig")).alias("p"), F.max("cls").alias("last"), F.min("cls").alias("least")).where("last <> least").select("gram", "p")
-    members = cut(grams.join(pivots, "gram"))
-    stars = members.alias("m").where("m.cls <> m.p.cls and " + may_link("m", "m.p")).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-    stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    classes = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"))
-    links = cut(verify(docs, classes, stars, k))
-    labels = components(links)
-
-    # Pairs that are left: neither is the pivot of their shingle, and no chain of links joins them yet.
-    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    split = named.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    rest = named.join(split, "gram", "left_semi").where("cls <> p.cls").dropDuplicates(["gram", "cls"]).select("gram", "cls", "n", "pos", "sig", "root")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & F.expr(may_link("x", "y")))
-    more = cut(more.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    extra = cut(verify(docs, classes, more, k))
-    if not extra.isEmpty():
-        links = links.union(extra)
-        labels = components(links)
-
-    info = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    sizes = first.where("part is null").select("doc_id", "n", "cls", *SIGS)
+    classes = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in SIGS])
+
+    # Shingles of one class go; of the others, each has its least class, one of its shortest, as pivot.
+    grams = docs.mapInArrow(prefix_rows(k, rare), "gram long, cls long, place long")
+    pivots = grams.groupBy("gram").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot < last").select("gram", "pivot")
+    members = cut(grams.join(pivots, "gram").groupBy("gram", "cls").agg(F.min("place").alias("place"), F.min("pivot").alias("pivot")))
+    members = members.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos"), "pivot", F.lit(None).cast("long").alias("root"))
+    labels, links, tried = None, None, None
+    for turn in range(ROUNDS + 2):
+        if turn:
+            # A shingle's pivot has met all its other classes, so it leaves; most shingles have no two left.
+            names = labels.withColumnRenamed("node", "cls")
+            named = members.where("cls <> pivot").drop("root", "pivot").join(small(names), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            split = named.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("p"))
+            members = cut(named.join(split.where("r0 <> r1").select("gram", F.col("p.cls").alias("pivot")), "gram"))
+            if members.isEmpty():
+                break
+        x = members if turn > ROUNDS else members.where("cls = pivot")
+        apart = F.col("x.cls") < F.col("y.cls") if turn > ROUNDS else F.col("x.cls") != F.col("y.cls")
+        if turn:
+            apart &= F.col("x.root") != F.col("y.root")
+        pairs = x.alias("x").join(members.alias("y"), (F.col("x.gram") == F.col("y.gram")) & apart & F.expr(LENGTH) & F.expr(POSITION))
+        pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        pairs = cut(suffix_filtered(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), classes))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = cut(verify(docs, classes, pairs, k))
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+
+    info = classes.select("cls", "least_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = info.groupBy("root").agg(F.min("least_id").alias("component_id"))
     info = info.join(least, "root").select("cls", "least_id", "component_id")
     known = sizes.where("n > 0").join(info, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("least_id").alias("class_id"))
     return known.union(sizes.where("n = 0").select("doc_id", "n", "doc_id", "doc_id"))
 
 
+def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    x, y = (classes.select(F.col("cls").alias(c), F.struct("n", *SIGS).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(SUFFIX).select("a", "b")
+
+
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The linked ones of pairs (a, b) of classes, by the exact sets of one document of each class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
