@@ -8,8 +8,8 @@ builds suffix automata over its snippets' words; each snippet is then streamed t
 for its matching statistics, and a window is repeated if the state of its `length` words occurs
 twice or more. The verdicts go back to the documents by joins, where maximal spans are removed.
 
-An anchor with very many different snippets is dealt once more, by whole windows, so no task holds
-an unbounded group. Words are compared as text, not by hash.
+An anchor with very many different snippets is dealt again by the least of longer grams, at last by
+whole windows, so no task holds an unbounded group. Words are compared as text, not by hash.
 """
 
 from __future__ import annotations
@@ -26,19 +26,20 @@ from .runtime import cut, plain, semi
 from .words import chunks, gram_hashes, grams_within, range_hashes, sliding_min, words
 
 LENGTH = 35
-GRAM = 8
-#: Different snippets of one anchor beyond which they are dealt by window.
+#: Words of the grams whose least is a window's anchor: first, and where an anchor has a crowd of
+#: different snippets; at last the windows themselves.
+GRAMS = (8, 22, None)
 CROWD = 500
 
 
-def runs(c: pa.RecordBatch, length: int):
+def runs(column, length: int, gram: int):
     """The runs of windows of each text: words, anchor hash, text, first word and number of windows."""
-    w = words(c.column("text"))
+    w = words(column)
     at = grams_within(w.first, length)
     if not len(at):
         none = np.zeros(0, np.int64)
         return w, none, none, none, none
-    least = sliding_min(gram_hashes(w.hashes(), GRAM), length - GRAM + 1)[at]
+    least = sliding_min(gram_hashes(w.hashes(), gram), length - gram + 1)[at]
     doc = w.doc[at]
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
@@ -52,12 +53,12 @@ def anchor_counts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, size=4 << 20):
+            for c in chunks(batch, size=2 << 20):
                 w = words(c.column("text"))
-                at, span = grams_within(w.first, length), length - GRAM + 1
+                at, span = grams_within(w.first, length), length - GRAMS[0] + 1
                 if not len(at):
                     continue
-                gram = gram_hashes(w.hashes(), GRAM)
+                gram = gram_hashes(w.hashes(), GRAMS[0])
                 # A place is an anchor if its gram is the least of some window around it.
                 greatest = np.zeros(len(gram) + span - 1, np.uint64)
                 greatest[at + span - 1] = sliding_min(gram, span)[at]
@@ -73,7 +74,7 @@ def run_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch):
-                w, anchor, doc, begin, count = runs(c, length)
+                w, anchor, doc, begin, count = runs(c.column("text"), length, GRAMS[0])
                 keys = [np.asarray(c.column(k))[doc] if len(doc) else np.zeros(0, np.int64) for k in ("key", "key2")]
                 place = ((begin - w.first[doc]) << 24) | np.minimum(count, (1 << 24) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, *keys, place)], ["anchor", "key", "key2", "place"])
@@ -198,26 +199,51 @@ def judge(length: int):
     return run
 
 
-def window_rows(length: int):
-    """Of rows (anchor, snippet, copies, body), rows (anchor, snippet, copies, at, window, part): every
-    window as a snippet of its own."""
+def part_rows(length: int, gram: int):
+    """Of rows (anchor, snippet, copies, body), rows (anchor, snippet, copies, at, key, part, twice,
+    body): the runs of windows of each snippet by longer grams. twice: the run may repeat itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for anchor, snippet, copies, body in zip(*(batch.column(k).to_pylist() for k in ("anchor", "snippet", "copies", "body")), strict=True):
-                parts = body.split(b" ")
-                rows += [(anchor, snippet, copies, i, b" ".join(parts[i : i + length])) for i in range(len(parts) - length + 1)]
-            for at in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[at : at + 20_000], strict=True))
-                sizes = np.array([len(b) for b in columns[4]])
-                stop = np.cumsum(sizes)
-                window = range_hashes(np.frombuffer(b"".join(columns[4]), np.uint8), stop - sizes, stop).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(window), pa.array(columns[4], pa.binary())], ["anchor", "snippet", "copies", "at", "window", "part"])
+            for c in chunks(batch.set_column(batch.schema.get_field_index("body"), "text", batch.column("body").cast(pa.string()))):
+                w, key, doc, begin, count = runs(c.column("text"), length, gram)
+                if not len(key):
+                    continue
+                stop = w.end[begin + count + length - 2]
+                part = range_hashes(w.data, w.start[begin], stop).view(np.int64)
+                body = [w.data[a:b].tobytes() for a, b in zip(w.start[begin].tolist(), stop.tolist(), strict=True)]
+                grams = gram_hashes(w.hashes(), gram).view(np.int64)
+                twice = [int((grams[b : b + n + length - gram] == k).sum()) > 1 for b, n, k in zip(begin.tolist(), count.tolist(), key, strict=True)]
+                own = [c.column(k).take(pa.array(doc)) for k in ("anchor", "snippet", "copies")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(begin - w.first[doc]), pa.array(key), pa.array(part), pa.array(twice), pa.array(body, pa.binary())], ["anchor", "snippet", "copies", "at", "key", "part", "twice", "body"])
 
     return run
 
 
+def with_kinds(merged: DataFrame) -> DataFrame:
+    return merged.join(merged.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")), "anchor")
+
+
+def marks_of(merged: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """Rows (anchor, snippet, at, marks) of merged snippets (anchor, snippet, copies, body, kinds)."""
+    last = level == len(GRAMS) - 1
+    shards = max(1, merged.count() // 5_000)
+    calm = merged if last else merged.where(F.col("kinds") <= CROWD)
+    dealt = calm.select("anchor", "snippet", "copies", "body").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = dealt.groupBy("shard").applyInArrow(judge(length), "anchor long, snippet long, marks binary").select("anchor", "snippet", F.lit(0).cast("long").alias("at"), "marks")
+    if last:
+        return found
+    crowd = merged.where(F.col("kinds") > CROWD).select("anchor", "snippet", "copies", "body")
+    if crowd.isEmpty():
+        return found
+    schema = "anchor long, snippet long, copies long, at long, key long, part long, twice boolean, body binary"
+    parts = cut(crowd.mapInArrow(part_rows(length, GRAMS[level + 1] or length), schema))
+    equal = parts.groupBy(F.col("key").alias("anchor"), F.col("part").alias("snippet")).agg(F.sum("copies").alias("copies"), F.first("body").alias("body"), F.max("twice").alias("twice"))
+    below = marks_of(cut(with_kinds(equal).where("places > 1 or twice")), length, level + 1)
+    places = parts.select("anchor", "snippet", F.col("at").alias("begin"), "key", "part").join(below.select(F.col("anchor").alias("key"), F.col("snippet").alias("part"), "at", "marks"), ["key", "part"])
+    return found.union(places.select("anchor", "snippet", F.col("begin") + F.col("at"), "marks"))
+
+
 def strip(length: int, with_text: bool):
     """Of rows (doc columns, text, marks), the results."""
 
@@ -270,24 +296,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, with_text: bool =
 
     # Equal snippets are merged; only then are anchors dealt to shards.
     merged = snippets.groupBy("anchor", "snippet").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"))
-    sizes = snippets.groupBy("anchor").agg(F.approx_count_distinct("snippet").alias("kinds"))
-    merged = cut(merged.join(sizes, "anchor"))
-    shards = max(1, merged.count() // 5_000)
-    calm = merged.where(F.col("kinds") <= CROWD).select("anchor", "snippet", "copies", "body")
-    schema = "anchor long, snippet long, marks binary"
-    marks = calm.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(judge(length), schema)
+    marks = marks_of(cut(with_kinds(merged)), length)
 
-    crowd = merged.where(F.col("kinds") > CROWD).select("anchor", "snippet", "copies", "body")
-    if not crowd.isEmpty():
-        windows = crowd.mapInArrow(window_rows(length), "anchor long, snippet long, copies long, at long, window long, part binary")
-        parts = windows.groupBy("window").agg(F.sum("copies").alias("copies"), F.first("part").alias("body")).select(F.col("window").alias("anchor"), F.col("window").alias("snippet"), "copies", "body")
-        found = parts.where("copies > 1").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(judge(length), schema)
-        places = windows.select("anchor", "snippet", "at", "window").join(found.select(F.col("anchor").alias("window")).distinct(), "window")
-        dense = places.groupBy("anchor", "snippet").agg(F.collect_set("at").alias("at"))
-        one = F.transform(F.sequence(F.lit(0).cast("long"), F.array_max("at")), lambda i: F.when(F.array_contains("at", i), F.lit("01")).otherwise(F.lit("00")))
-        marks = marks.union(dense.select("anchor", "snippet", F.unhex(F.array_join(one, "")).alias("marks")))
-
-    verdicts = snippets.select("anchor", "snippet", "key", "key2", "begin").join(marks, ["anchor", "snippet"]).groupBy("key", "key2").agg(F.collect_list(F.struct("begin", "marks")).alias("marks"))
+    placed = snippets.select("anchor", "snippet", "key", "key2", "begin").join(marks, ["anchor", "snippet"])
+    verdicts = placed.groupBy("key", "key2").agg(F.collect_list(F.struct((F.col("begin") + F.col("at")).alias("begin"), "marks")).alias("marks"))
     verdicts = cut(verdicts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
