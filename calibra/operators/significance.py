@@ -116,12 +116,35 @@ def mcnemar(n01: Column, n10: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * binomial_cdf(F.least(n01, n10), n, F.lit(0.5))))
 
 
+#: Up to so many terms are summed; beyond it the incomplete beta function takes their place.
+TERMS = 200
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularized, by its continued fraction (modified Lentz), whose length grows with sqrt(a + b)."""
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - incomplete_beta(b, a, 1.0 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1.0 / ((1.0 - (a + b) * x / (a + 1)) or tiny)
+    f, m = d, 0
+    while True:
+        m += 1
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 / ((1.0 + top * d) or tiny), (1.0 + top / c) or tiny
+            f *= d * c
+        if abs(d * c - 1.0) < 1e-15 or m > 100 * (10 + math.sqrt(a + b)):
+            return front * f
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(Bin(n, p) <= k)."""
     if p <= 0:
         return 1.0
     if p >= 1:
         return float(k >= n)
+    if TERMS < k < n:
+        return min(1.0, incomplete_beta(n - k, k + 1, 1.0 - p))
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
     return min(1.0, math.fsum(map(math.exp, logs)))
 

@@ -251,7 +251,7 @@ def r01_r04_r05_refit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
         conf, right = f["conf"].to_numpy(), f["correct"].to_numpy()
         return sum((b - a) * abs(conf[a:b].mean() - right[a:b].mean()) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a) / len(f)
 
-    dec = _judged(spark, sf_dir).where("type = '1'").select("model", "grp", "conf", "correct")
+    dec = _judged(spark, sf_dir).select("model", "grp", "conf", "correct")
     return significance.interval(significance.bootstrap_any(dec, ["model"], "grp", statistic, 20, 7), ["model"])
 
 
@@ -268,21 +268,41 @@ def r12_g16_j02_paired_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql(f"""select type, round(p, 6) as mcnemar_p, round(max(least(1.0::double, (m - rn + 1) * p)) over (order by p, type rows between unbounded preceding and current row), 6) as holm
  from (select *, row_number() over (order by p, type) as rn, count(*) over () as m from (select type, {_MC} as p from pc))""", _PAIR.replace("b.model = 'beta'", "b.model = 'beta' and a.item % 40 = 1")))
 def w04_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dec = _judged(spark, sf_dir).where("item % 40 = 1").withColumn("family", F.lit("types"))
+    """The items that its SQL reads; w04_holm_whole reads all."""
+    return _holm(_judged(spark, sf_dir).where("item % 40 = 1"))
+
+
+@query()
+def w04_holm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _holm(_judged(spark, sf_dir))
+
+
+def _holm(dec: DataFrame) -> DataFrame:
+    dec = dec.withColumn("family", F.lit("types"))
     found = significance.paired(dec.where("model = 'alpha'"), dec.where("model = 'beta'"), ["item"], ["family", "type"], least=0)
     return _r(significance.holm(found, ["family"], "mcnemar_p", "type").select("type", "mcnemar_p", "holm"))
 
 
 @query()
 def r13_r14_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _judged(spark, sf_dir).where("item % 16 = 0").groupBy("model", "type").agg(F.sum(1 - F.col("correct")).alias("k"), F.count("*").alias("n"))
+    cells = _judged(spark, sf_dir).groupBy("model", "type").agg(F.sum(1 - F.col("correct")).alias("k"), F.count("*").alias("n"))
     return _r(cells.withColumn("x", significance.clopper_pearson()(F.col("k"), F.col("n"))).select("model", "type", "k", "n", "x.*"))
 
 
 @query(_sql("""select model, type, k::bigint as k, n, round((select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3::double) + (n - i) * ln(0.7::double))) from range(k::bigint + 1) r(i)), 6) as cdf
  from (select model, type, sum(1 - correct) as k, count(*) as n from dec where item % 16 = 0 group by all)"""))
 def r15_binomial_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _judged(spark, sf_dir).where("item % 16 = 0").groupBy("model", "type").agg(F.sum(1 - F.col("correct")).alias("k"), F.count("*").alias("n"))
+    """The items that its SQL reads; r15_binomial_cdf_whole reads all."""
+    return _binomial_cdf(_judged(spark, sf_dir).where("item % 16 = 0"))
+
+
+@query()
+def r15_binomial_cdf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binomial_cdf(_judged(spark, sf_dir))
+
+
+def _binomial_cdf(dec: DataFrame) -> DataFrame:
+    cells = dec.groupBy("model", "type").agg(F.sum(1 - F.col("correct")).alias("k"), F.count("*").alias("n"))
     return _r(cells.withColumn("cdf", significance.binomial_cdf(F.col("k"), F.col("n"), F.lit(0.3))))
 
 
@@ -305,13 +325,28 @@ _FEW = _CASC.replace("b.model = 'alpha'", "b.model = 'alpha' and a.item % 9 = 0"
 
 @query(_sql("select type, round(tau, 9) as tau, rt::bigint as 'right', escalated, n from (select *, row_number() over (partition by type order by rt desc, tau) as r from cv) where r = 1", _FEW))
 def g02_w05_w06_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that its SQL reads; g02_w05_w06_best_threshold_whole reads all."""
     return _r(curves.best_threshold(curves.cascade_curve(_cascade(spark, sf_dir, "item % 9 = 0"), ["type"]), ["type"]), 9)
 
 
+@query()
+def g02_w05_w06_best_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(curves.best_threshold(curves.cascade_curve(_cascade(spark, sf_dir), ["type"]), ["type"]), 9)
+
+
 @query(_sql("""select type, round(max(rt)::double / max(n), 6) as best_accuracy, round(min(escalated::double / n) filter (where rt >= k2), 6) as match, round(min(escalated::double / n) filter (where rt >= 0.95::double * k2), 6) as retain95,
  round(min(escalated::double / n) filter (where rt >= 0.99::double * k2), 6) as retain99 from cv join (select type, sum(c2) as k2 from cp group by type) using (type) group by type""", _FEW))
 def g03_cascade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _cascade(spark, sf_dir, "item % 9 = 0")
+    """The items that its SQL reads; g03_cascade_summary_whole reads all."""
+    return _cascade_summary(_cascade(spark, sf_dir, "item % 9 = 0"))
+
+
+@query()
+def g03_cascade_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade_summary(_cascade(spark, sf_dir))
+
+
+def _cascade_summary(pairs: DataFrame) -> DataFrame:
     return _r(curves.cascade_summary(curves.cascade_curve(pairs, ["type"]), ["type"], pairs.groupBy("type").agg(F.sum("c2").alias("k2"))))
 
 
@@ -361,9 +396,15 @@ def g10_option_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
  (select model, i / 50.0::double as threshold, accepted, errors from (select *, row_number() over (partition by model order by i) as r from lt where (select sum(exp(lgamma(accepted + 1) - lgamma(k + 1) - lgamma(accepted - k + 1) + k * ln(0.2::double) + (accepted - k) * ln(0.8::double))) from range(errors::bigint + 1) x(k)) <= 0.1 / 50) where r = 1) using (model)""",
  "lt as (select model, i, count(*) as accepted, sum(1 - correct) as errors from (select *, least(floor(conf * 50), 49)::int as g from dec where item % 4 = 0), range(50) t(i) where g >= i group by model, i)"))
 def g11_learn_then_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that its SQL reads; g11_learn_then_test_whole reads all."""
     return _r(decide.learn_then_test(_judged(spark, sf_dir).where("item % 4 = 0"), ["model"], 0.2, 0.1))
 
 
+@query()
+def g11_learn_then_test_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.learn_then_test(_judged(spark, sf_dir), ["model"], 0.2, 0.1))
+
+
 @query(_sql("select type as k, count(*) as n, round(avg(correct), 6) as accuracy, round(max(avg(correct)) over () - avg(correct), 6) + 0.0 as drop_from_best from dec where model = 'beta' group by type"))
 def g14_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score by condition and its drop from the best; conditions are few, so their window is one partition."""
