@@ -5,6 +5,9 @@ fingerprint, and any two equal runs of `run` lines or more are guaranteed to sha
 that occur at one place only are dropped. A match is extended to both sides by the windows that
 hold the fingerprint: of windows with equal lines all but the first, by (doc_id, place), are later
 repeats, and their union is the maximal repeated run. No pairs of places are formed.
+
+Where a number of words is given, one line or two lines that hold so many are fingerprints beside
+those of the windows, and within one document a line goes at each place but its first.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from .runtime import cut, plain, semi
 
 RUN = 3
+#: So many words in one line or two make a passage of its own.
+PASSAGE_WORDS = 10
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -47,7 +52,44 @@ def windows(hashes: str, run: int) -> Column:
     return F.transform(own, of)[0]
 
 
-def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def passages(lines: str, words: int) -> Column:
+    """For each one or two lines with so many words: their start, their number, and a hash of them."""
+
+    def of(x: Column) -> Column:
+        def window(run: int):
+            def at(i: Column) -> Column:
+                each = [F.get(x, i + j) for j in range(run)]
+                n = sum((y["n"] for y in each[1:]), each[0]["n"])  # null beyond the last line
+                return F.struct(i.alias("at"), F.lit(run).alias("run"), F.xxhash64(*[y["h"] for y in each]).alias("whole"), n.alias("n"))
+
+            return at
+
+        places = F.sequence(F.lit(0), F.size(x) - 1)
+        return F.filter(F.concat(F.transform(places, window(1)), F.transform(places, window(2))), lambda w: w["n"] >= words)
+
+    return F.transform(F.array(F.col(lines)), of)[0]
+
+
+def short_repeats(docs: DataFrame, words: int) -> DataFrame:
+    """Later repeats (d, key, lines): of one or two lines of so many words, by (doc_id, place); and of
+    any line within its document."""
+    n_words = lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    numbered = F.transform(lines("text"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(WORD), F.xxhash64(x)).alias("h"), n_words(x).alias("n")))
+    worded = docs.withColumn("lines", F.filter(numbered, lambda x: x["h"].isNotNull())).where(F.size("lines") > 0)
+    worded = cut(worded.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "key", "lines"))  # texts are split once
+
+    spread = worded.select("d", "key", F.col("lines.i").alias("i"), F.explode(passages("lines", words)).alias("w"))
+    spread = spread.select(F.struct("d", "key", F.col("w.at").alias("at")).alias("place"), F.col("w.whole").alias("whole"), F.slice("i", F.col("w.at") + 1, F.col("w.run")).alias("lines"))
+    # Rows of one document count once: a passage at one place only doesn't repeat.
+    first = spread.groupBy("whole").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("whole", "first")
+    across = spread.join(cut(first), "whole").where("place <> first").select("place.d", "place.key", "lines")
+
+    own = worded.where(F.size(F.array_distinct("lines.h")) < F.size("lines")).select("d", "key", F.explode("lines").alias("x"))
+    places = own.groupBy("d", "key", "x.h").agg(F.array_sort(F.collect_set("x.i")).alias("i")).where(F.size("i") > 1)
+    return across.union(places.select("d", "key", F.slice("i", 2, F.size("i"))))
+
+
+def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """Rows (doc_id, text, n_lines, n_removed, kept_text, and the columns to carry), one for each row of documents.
 
     Lines are separated by newlines; those without a word are never removed and don't interrupt a
@@ -55,6 +97,9 @@ def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "d
     place) with a null doc_id last. Rows with equal doc_id and text are one document, so neither
     loses its lines to the other; rows with equal doc_id and different texts are ordered by the
     texts' hash. Null and empty texts have no lines and stay as they are. Columns not named are ignored.
+
+    With words, a line goes as well if it lies in one line or two consecutive worded lines that hold
+    so many words and also begin earlier, or if it stands earlier in its own document.
     """
     docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text"), F.struct(F.lit(0), *map(plain, carry)).alias("carried")).withColumn("key", F.xxhash64("text"))
     found = marked(docs, run).withColumn("w", windows("h", run))
@@ -66,7 +111,10 @@ def remove_repeated_lines(documents: DataFrame, run: int = RUN, doc_id: str = "d
     several = cut(spread.join(often, "least").drop("least"))
     first = several.groupBy("whole").agg(F.min("place").alias("first"))
     later = several.join(first, "whole").where("place <> first")
-    gone = cut(later.groupBy("place.d", "place.key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone")))
+    later = later.select("place.d", "place.key", "lines")
+    if words is not None:
+        later = later.union(short_repeats(docs, words))
+    gone = cut(later.groupBy("d", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone")))
 
     all_lines = docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.coalesce("key", F.lit(0)))
     keys = gone.select("key").distinct()

@@ -26,9 +26,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; documents left without a word go."""
+    """Texts without later repeats of runs of lines or of passages of one or two lines; documents left
+    without a word go."""
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "doc_id", "text")
-    found = line_dedup.remove_repeated_lines(keyed, carry=("row",))
+    found = line_dedup.remove_repeated_lines(keyed, carry=("row",), words=line_dedup.PASSAGE_WORDS)
     kept = found.where(F.col("kept_text").rlike(line_dedup.WORD))
     return kept.select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source", F.length("kept_text").cast("long").alias("n_chars"))
 
