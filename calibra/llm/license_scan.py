@@ -1,8 +1,7 @@
 """Licences of texts: sparse TF-IDF cosine to templates, then inheritance from directories.
 
 Lines that hold a licence word, with what stands between near ones, form blocks; each block is
-compared with every template. Inverse document frequencies of the templates' words are counted over
-all texts. A path without a licence of its own takes that of the nearest directory above it that has
+compared with every template. Document frequencies of all words of blocks are counted over all texts. A path without a licence of its own takes that of the nearest directory above it that has
 a licence file, by equi-joins on directory names; directories, not files, are joined to their
 ancestors.
 """
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, plain
+from .runtime import cut, plain, semi, small
 from .words import chunks, range_hashes, utf8, words
 
 #: Short notices and characteristic passages of well-known licences.
@@ -77,35 +76,42 @@ def vocabulary() -> np.ndarray:
     return np.unique(np.concatenate(term_hashes([t for v in TEMPLATES.values() for t in v])))
 
 
-def counted(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts of known terms, and last of all others."""
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.bincount(np.where(known[at] == h, at, len(known)), minlength=len(known) + 1).astype(float)
-
-
-def document_frequencies(known: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, table = np.zeros(len(known), np.int64), 0, terms_table()
-        for batch in batches:
-            for c in chunks(batch):
-                data, offsets = utf8(c.column("text"))
-                data = table[data]
-                inside = (data != 32) & (data != 10)
-                edge = np.zeros(len(data) + 1, bool)
-                edge[offsets] = True
-                start = np.flatnonzero(inside & (np.append(True, ~inside[:-1])[: len(inside)] | edge[:-1]))
-                end = np.flatnonzero(inside & (np.append(~inside[1:], True)[: len(inside)] | edge[1:])) + 1
-                h = range_hashes(data, start, end)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[at] == h
-                doc = np.searchsorted(offsets, start[hit], "right") - 1
-                pairs = np.unique(doc * len(known) + at[hit])
-                total += np.bincount(pairs % len(known), minlength=len(known))
-                n += c.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known) + 1), pa.int32()), pa.array(np.append(total, n))], ["term", "n"])
-
-    return run
+#: Distinct terms that a task counts before it hands them on.
+HELD_TERMS = 1 << 20
+
+
+def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, n): in how many of the texts read a term occurs; a term may come several times."""
+    table, held, total = terms_table(), [], 0
+
+    def out() -> pa.RecordBatch:
+        h = np.concatenate([x for x, _ in held])
+        term, at = np.unique(h, return_inverse=True)
+        n = np.bincount(at, np.concatenate([x for _, x in held]), len(term)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    for batch in batches:
+        for c in chunks(batch):
+            data, offsets = utf8(c.column("text"))
+            data = table[data]
+            inside = (data != 32) & (data != 10)
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offsets] = True
+            start = np.flatnonzero(inside & (np.append(True, ~inside[:-1])[: len(inside)] | edge[:-1]))
+            end = np.flatnonzero(inside & (np.append(~inside[1:], True)[: len(inside)] | edge[1:])) + 1
+            h = range_hashes(data, start, end)
+            doc = np.searchsorted(offsets, start, "right") - 1
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+            term, n = np.unique(h[new], return_counts=True)
+            held.append((term, n))
+            total += len(term)
+            if total > HELD_TERMS:
+                yield out()
+                held, total = [], 0
+    if held:
+        yield out()
 
 
 def blocks(text: str) -> list[str]:
@@ -125,35 +131,71 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def best_template(block: str, known: np.ndarray, idf: np.ndarray, names: list[str], vectors: np.ndarray) -> tuple[str | None, float, int]:
-    """The nearest template, its cosine, and the block's terms. A long line is read from its licence
-    mark as well, as wide as each template."""
+def judge(block: str, known: np.ndarray, vectors: np.ndarray, idf_of) -> tuple[int | None, float, int]:
+    """The template nearest to a block or one of its sentences, its cosine, and that part's terms."""
     (h,) = term_hashes([block])
     if not len(h):
         return None, 0.0, 0
-    v = counted(known, h) * idf
-    cosine = vectors @ v / (np.linalg.norm(v) or 1)
-    k = int(cosine.argmax())
-    return names[k], float(cosine[k]), len(h)
-
+    idf = idf_of(h)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    of_known = np.where(known[at] == h, idf, 0.0)
+    best, score, covered = None, 0.0, 0
+
+    def part(a: int, b: int) -> None:
+        nonlocal best, score, covered
+        if a == b:
+            return
+        _, place = np.unique(h[a:b], return_inverse=True)
+        cosine = vectors @ np.bincount(at[a:b], of_known[a:b], len(known)) / np.linalg.norm(np.bincount(place, idf[a:b]))
+        k = int(cosine.argmax())
+        if cosine[k] >= THRESHOLD and cosine[k] > score:
+            best, score, covered = k, float(cosine[k]), b - a
+
+    part(0, len(h))
+    first = 0
+    for line in block.replace("\n", ". ").split(". "):
+        (terms,) = term_hashes([line])
+        part(first, first + len(terms))
+        first += len(terms)
+    return best, score, covered
+
+
+def licence_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, path, n_words, blocks, terms): of each text its blocks and their distinct terms."""
+    for batch in batches:
+        n_words, found, terms = [], [], []
+        for text in batch.column("text"):
+            text = text.as_py() or ""
+            parts = blocks(text)
+            n_words.append(len(text.split()) if parts else 0)
+            found.append(parts)
+            terms.append(np.unique(np.concatenate(term_hashes(parts))).view(np.int64) if parts else [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], ["doc_id", "path", "n_words", "blocks", "terms"])
+
+
+def own_licenses(known: np.ndarray, df: np.ndarray, n: int):
+    """Judges blocks by the document frequencies of their terms (weights: h and n of each)."""
+
+    def weigh(count: np.ndarray) -> np.ndarray:
+        return 1 + np.log((1 + n) / (1 + count))
 
-def own_licenses(known: np.ndarray, idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, v in TEMPLATES.items() for _ in v]
-        vectors = np.array([counted(known, h) * idf for h in term_hashes([t for v in TEMPLATES.values() for t in v])])
+        templates = term_hashes([t for v in TEMPLATES.values() for t in v])
+        vectors = np.array([np.bincount(np.searchsorted(known, h), minlength=len(known)) * weigh(df) for h in templates])
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         for batch in batches:
             found = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
+            for n_words, parts, weights in zip(batch.column("n_words").to_pylist(), batch.column("blocks").to_pylist(), batch.column("weights"), strict=True):
+                h, count = (x.to_numpy(zero_copy_only=False) for x in weights.values.flatten())
+                order = np.argsort(h.view(np.uint64))
+                h, weight = h.view(np.uint64)[order], weigh(count[order])
                 best, score, covered = None, 0.0, 0
-                for block in blocks(text):
-                    # The block, and each of its sentences, so that prose around a notice doesn't hide it.
-                    for part in [block, *block.replace("\n", ". ").split(". ")]:
-                        name, cosine, n = best_template(part, known, idf, names, vectors)
-                        if cosine >= THRESHOLD and cosine > score:
-                            best, score, covered = name, cosine, n
-                found.append((best, round(score, 6), 100 * covered >= FILE_SHARE * max(1, len(text.split()))))
+                for block in parts:
+                    k, cosine, terms = judge(block, known, vectors, lambda x, h=h, weight=weight: weight[np.searchsorted(h, x)])
+                    if k is not None and cosine > score:
+                        best, score, covered = names[k], cosine, terms
+                found.append((best, round(score, 6), 100 * covered >= FILE_SHARE * max(1, n_words)))
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], ["doc_id", "path", "own", "score", "mostly"])
 
@@ -177,14 +219,26 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     are judged alike. Other columns are ignored.
     """
     docs = files.select(plain(doc_id).alias("doc_id"), plain(path).cast("string").alias("path"), plain(text).alias("text"))
-    known = vocabulary()
-    seen = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(document_frequencies(known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = seen.get(len(known), 0)
-    df = np.array([seen.get(i, 0) for i in range(len(known))] + [0])
-    idf = 1 + np.log((1 + n) / (1 + df))
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = cut(docs.mapInArrow(own_licenses(known, idf), f"doc_id {kind}, path string, own string, score double, mostly boolean"))
+    read = docs.mapInArrow(licence_blocks, f"doc_id {kind}, path string, n_words long, blocks array<string>, terms array<long>")
+    read = cut(read.withColumn("row", F.monotonically_increasing_id()))
+    n = read.count()
+    known = vocabulary()
+    templates = docs.sparkSession.createDataFrame([(int(x),) for x in known.view(np.int64)], "h long")
+    asked = cut(read.select(F.explode("terms").alias("h")).union(templates).distinct())
+    counts = docs.select("text").mapInArrow(document_counts, "h long, n long")
+    seen = cut(semi(counts, asked, "h").groupBy("h").agg(F.sum("n").alias("n")))
+    of = {r["h"]: r["n"] for r in seen.join(F.broadcast(templates), "h", "left_semi").collect()}
+    df = np.array([of.get(int(x), 0) for x in known.view(np.int64)])
+
+    # Words of blocks meet their frequencies; texts stay where they are.
+    weights = read.select("row", F.explode("terms").alias("h")).join(small(seen), "h").groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("weights"))
+    judged = read.where(F.size("blocks") > 0).join(weights, "row").select("doc_id", "path", "n_words", "blocks", "weights")
+    # Blocks are small but slow to judge: so many tasks, whatever their bytes.
+    judged = judged.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    judged = judged.mapInArrow(own_licenses(known, df, n), f"doc_id {kind}, path string, own string, score double, mostly boolean")
+    none = read.where(F.size("blocks") == 0).select("doc_id", "path", F.lit(None).cast("string").alias("own"), F.lit(0.0).alias("score"), F.lit(False).alias("mostly"))
+    found = cut(judged.union(none))
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     found = found.withColumn("directory", F.array_join(F.filter(F.split(directory, "/"), lambda x: x != ""), "/"))
     name = F.element_at(F.split("path", "/"), -1)
