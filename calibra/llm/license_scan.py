@@ -8,6 +8,7 @@ ancestors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ MARKS = ("licens", "licenc", "copyright", "permission", "redistribut", "public d
 #: Lines between two such lines that still belong to one block.
 GAP = 3
 THRESHOLD = 0.6
-#: A text is a licence file of its directory if its name says so or so many words in a hundred are in licence blocks.
+#: A text is a licence file of its directory if its name says so or so many words in a hundred are in blocks that match a template.
 FILE_SHARE = 50
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense|notice)([.\-_].*)?$"
 
@@ -131,33 +132,115 @@ def blocks(text: str) -> list[str]:
     return out
 
 
-def judge(block: str, known: np.ndarray, vectors: np.ndarray, idf_of) -> tuple[int | None, float, int]:
-    """The template nearest to a block or one of its sentences, its cosine, and that part's terms."""
-    (h,) = term_hashes([block])
+#: Window starts that are looked at together.
+STRIDE = 4096
+
+
+def window_cosines(v: np.ndarray, h: np.ndarray, idf: np.ndarray, width: int, pairs: tuple) -> np.ndarray:
+    """The cosines (starts x templates) of all windows of `width` terms; v: terms x templates. Products
+    are sums over terms; squared norms as well, but for terms that occur several times, whose pairs
+    count twice."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+        return total[width:] - total[:-width]
+
+    left, right, value = pairs
+    fits = right - left < width
+    extra = np.zeros(len(h) + 1)
+    # A pair lies in the windows that start at right - width + 1 up to left.
+    np.add.at(extra, np.maximum(right[fits] - width + 1, 0), value[fits])
+    np.add.at(extra, left[fits] + 1, -value[fits])
+    square = sums(idf * idf) + 2 * np.cumsum(extra)[: len(h) - width + 1]
+    return sums(v) / np.sqrt(square)[:, None]
+
+
+def term_pairs(h: np.ndarray, idf: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of equal terms less than `within` apart, and their products."""
+    found = [np.flatnonzero(h[d:] == h[:-d]) for d in range(1, min(within, len(h)))]
+    left = np.concatenate([np.zeros(0, np.int64), *found])
+    right = np.concatenate([np.zeros(0, np.int64), *[x + d for d, x in enumerate(found, 1)]])
+    return left, right, idf[left] ** 2
+
+
+def marked_terms(block: str) -> np.ndarray:
+    """Which terms of a block a licence mark begins in."""
+    plain_text = terms_table()[np.frombuffer(block.encode("utf-8", "replace"), np.uint8)].tobytes()
+    begins = np.array([m.start() for m in re.finditer(rb"[^ \t-\r]+", plain_text)], np.int64)
+    at = [m.start() for mark in MARKS for m in re.finditer(mark.encode(), plain_text)]
+    out = np.zeros(len(begins), bool)
+    if at:
+        out[np.searchsorted(begins, at, "right") - 1] = True
+    return out
+
+
+def judge(block: str, known: np.ndarray, vectors: np.ndarray, widths: np.ndarray, idf_of) -> tuple[int | None, float, int]:
+    """The template nearest to any part of a block, its cosine, and how many terms belong to a licence
+    if any part reaches THRESHOLD. Parts are the block, its sentences and lines, and windows as wide
+    as each template around its licence marks, so that prose around a notice doesn't hide it. In a
+    block with a licence all terms count, but of a line with prose around a notice the notice only."""
+    lines = block.split("\n")
+    by_line = term_hashes(lines)
+    h = np.concatenate(by_line)
     if not len(h):
         return None, 0.0, 0
     idf = idf_of(h)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     of_known = np.where(known[at] == h, idf, 0.0)
-    best, score, covered = None, 0.0, 0
+    best, score = None, 0.0
 
-    def part(a: int, b: int) -> None:
-        nonlocal best, score, covered
+    def part(a: int, b: int) -> bool:
+        nonlocal best, score
         if a == b:
-            return
+            return False
         _, place = np.unique(h[a:b], return_inverse=True)
         cosine = vectors @ np.bincount(at[a:b], of_known[a:b], len(known)) / np.linalg.norm(np.bincount(place, idf[a:b]))
         k = int(cosine.argmax())
         if cosine[k] >= THRESHOLD and cosine[k] > score:
-            best, score, covered = k, float(cosine[k]), b - a
-
-    part(0, len(h))
-    first = 0
-    for line in block.replace("\n", ". ").split(". "):
-        (terms,) = term_hashes([line])
-        part(first, first + len(terms))
-        first += len(terms)
-    return best, score, covered
+            best, score = k, float(cosine[k])
+        return bool(cosine[k] >= THRESHOLD)
+
+    whole = part(0, len(h))
+    notice = np.zeros(len(h), bool)
+    line_ends = np.cumsum([len(x) for x in by_line])
+    full = []
+    for line, end, terms in zip(lines, line_ends, by_line, strict=True):
+        first = end - len(terms)
+        full.append(part(first, end))
+        if ". " in line:
+            for terms in term_hashes(line.split(". ")):
+                if part(first, first + len(terms)):
+                    notice[first : first + len(terms)] = True
+                first += len(terms)
+    near = marked_terms(block)
+    widest = int(widths.max())
+    for s in range(0, len(h), STRIDE):
+        to = min(len(h), s + STRIDE + widest - 1)
+        if not near[s:to].any():
+            continue
+        pairs = term_pairs(h[s:to], idf[s:to], widest)
+        v = vectors[:, at[s:to]].T * of_known[s:to, None]
+        marks = np.append(0, np.cumsum(near[s:to]))
+        for width in np.unique(widths[widths < min(len(h), to - s + 1)]).tolist():
+            wide = np.flatnonzero(widths == width)
+            holds = np.flatnonzero(marks[width:] > marks[:-width])
+            cosine = window_cosines(v[:, wide], h[s:to], idf[s:to], width, pairs)[holds]
+            if not len(holds):
+                continue
+            i, k = np.unravel_index(cosine.argmax(), cosine.shape)
+            if cosine[i, k] >= THRESHOLD and cosine[i, k] > score + 1e-9:
+                best, score = int(wide[k]), float(min(1.0, cosine[i, k]))
+            for i in holds[(cosine >= THRESHOLD).any(axis=1)]:
+                notice[s + i : s + i + width] = True
+    if best is None:
+        return None, 0.0, 0
+    if whole:
+        return best, score, len(h)
+    counts = 0
+    for end, terms, all_of_it in zip(line_ends, by_line, full, strict=True):
+        held = int(notice[end - len(terms) : end].sum())
+        counts += held if held and not all_of_it else len(terms)
+    return best, score, counts
 
 
 def licence_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +267,7 @@ def own_licenses(known: np.ndarray, df: np.ndarray, n: int):
         templates = term_hashes([t for v in TEMPLATES.values() for t in v])
         vectors = np.array([np.bincount(np.searchsorted(known, h), minlength=len(known)) * weigh(df) for h in templates])
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        widths = np.array([len(h) for h in templates])
         for batch in batches:
             found = []
             for n_words, parts, weights in zip(batch.column("n_words").to_pylist(), batch.column("blocks").to_pylist(), batch.column("weights"), strict=True):
@@ -192,9 +276,10 @@ def own_licenses(known: np.ndarray, df: np.ndarray, n: int):
                 h, weight = h.view(np.uint64)[order], weigh(count[order])
                 best, score, covered = None, 0.0, 0
                 for block in parts:
-                    k, cosine, terms = judge(block, known, vectors, lambda x, h=h, weight=weight: weight[np.searchsorted(h, x)])
+                    k, cosine, terms = judge(block, known, vectors, widths, lambda x, h=h, weight=weight: weight[np.searchsorted(h, x)])
+                    covered += terms
                     if k is not None and cosine > score:
-                        best, score, covered = names[k], cosine, terms
+                        best, score = names[k], cosine
                 found.append((best, round(score, 6), 100 * covered >= FILE_SHARE * max(1, n_words)))
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], ["doc_id", "path", "own", "score", "mostly"])
