@@ -6,15 +6,17 @@ similarity t or more share a shingle among the first n - ceil(t n) + 1 of each.
 on those prefix shingles, filtered by length, position and suffix, and each pair is verified once on
 the exact sets.
 
-A prefix shingle of many classes doesn't emit its pairs: first all its classes are compared with one
-of them, its pivot; then, once the verified links have been joined to components, with another pivot
-in another component, for ROUNDS rounds; last, just pairs of classes that are still in different
-components. A pair within a component can't change any component, so components are those of all
-links.
+A prefix shingle of many classes doesn't emit its pairs: all its classes are compared with one of
+them, its pivot, the class that has the least before the shingle, which is the one its near copies
+differ least from. The verified links are joined to components; for ROUNDS rounds each shingle that
+still holds several components takes another pivot; last, classes that are still in different
+components meet, in blocks, if length and position allow. A pair within a component can't change any
+component, so components are those of all links.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,9 @@ from .words import chunks, mix, shingles, words
 #: Buckets of the sketch of shingle counts: one byte each when broadcast, whatever the input.
 SKETCH_BITS = 24
 SKETCH_PARTS = 256
-ROUNDS = 3
+ROUNDS = 1
+#: Classes of one shingle that meet in one block, about.
+BLOCK = 4000
 BITMAP_LONGS = 8
 #: Similarity NUM / DEN.
 NUM, DEN = 4, 5
@@ -37,14 +41,11 @@ WORDS = 5
 
 
 def class_hashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One non-negative hash for each set: 7 bits of its size's logarithm, then 56 of its elements, so
-    that the least of several is among the shortest sets."""
+    """A hash of 64 bits for each set, from its elements and their number."""
     sums = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(mix(value), out=sums[1:])
     n = np.diff(first).astype(np.uint64)
-    elements = mix(sums[first[1:]] - sums[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15))
-    level = np.minimum(127, 4 * np.log2(n + np.uint64(1))).astype(np.uint64)
-    return ((level << np.uint64(56)) | (elements >> np.uint64(8))).view(np.int64)
+    return mix(sums[first[1:]] - sums[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def bitmaps(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -59,12 +60,12 @@ def bitmaps(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 SIGS = [f"s{k}" for k in range(BITMAP_LONGS)]
-FIRST_SCHEMA = "doc_id long, n long, cls long, " + ", ".join(f"{s} long" for s in SIGS) + ", part int, counts binary"
-FIRST_NAMES = ["doc_id", "n", "cls", *SIGS, "part", "counts"]
+FIRST_SCHEMA = "doc_id long, key long, n long, cls long, " + ", ".join(f"{s} long" for s in SIGS) + ", part int, counts binary"
+FIRST_NAMES = ["doc_id", "key", "n", "cls", *SIGS, "part", "counts"]
 
 
 def sizes_and_sketch(k: int):
-    """Rows (doc_id, n, cls, s0, ...) for documents, and at the end of a partition the counts of its
+    """Rows (doc_id, key, n, cls, s0, ...) for documents, and at the end of a partition the counts of its
     shingles by bucket, as rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +86,12 @@ def sizes_and_sketch(k: int):
                 if len(held) >= 8:
                     flush()
                 part, counts = pa.nulls(c.num_rows, pa.int32()), pa.nulls(c.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(class_hashes(value, first)), *map(pa.array, bitmaps(value, first)), part, counts], FIRST_NAMES)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("key"), pa.array(np.diff(first), pa.int64()), pa.array(class_hashes(value, first)), *map(pa.array, bitmaps(value, first)), part, counts], FIRST_NAMES)
         flush()
         if total is not None:
             none = pa.nulls(SKETCH_PARTS, pa.int64())
             parts = [zlib.compress(r.tobytes(), 1) for r in total.reshape(SKETCH_PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([none] * (3 + BITMAP_LONGS) + [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], FIRST_NAMES)
+            yield pa.RecordBatch.from_arrays([none] * (4 + BITMAP_LONGS) + [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], FIRST_NAMES)
 
     return run
 
@@ -113,8 +114,9 @@ def levels(rows: pa.Table) -> pa.Table:
 
 def rarity(parts: DataFrame) -> np.ndarray:
     """For each bucket of the sketch, 4 log2(count + 1): the only thing that reaches the driver, of
-    fixed size. Partitions' counts are added in groups before they meet."""
-    some = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt").applyInArrow(add_counts, "part int, counts binary")
+    fixed size. Partitions' counts are added in groups before they meet, as many as each holds."""
+    salts = max(8, math.isqrt(parts.where("part = 0").count()))
+    some = parts.withColumn("salt", F.spark_partition_id() % salts).groupBy("part", "salt").applyInArrow(add_counts, "part int, counts binary")
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
     for r in some.groupBy("part").applyInArrow(levels, "part int, counts binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
@@ -185,67 +187,84 @@ SUFFIX = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in SIGS) + f" <= x.n + y.n
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, class_id), one for each row of documents.
+    """Rows (doc_id, n_shingles, component_id, class_id, key, component), one for each row of documents.
 
     Two documents link when the Jaccard similarity of their sets of k-word shingles is at least
     NUM / DEN; component_id is the least doc_id reachable by links, class_id the least doc_id with
-    the same set. A text of 1 to k - 1 words is one shingle; null, empty and all-space texts have
-    an empty set, link with nothing and are their own component. A null doc_id takes part, but
-    names a component only if nothing else can. Repeated rows are returned as often as given.
-    Other columns are ignored.
+    the same set. key is the text's hash; component, one number for each component, tells components
+    apart where ids are null or repeated (null for empty sets). A text of 1 to k - 1 words is one
+    shingle; null, empty and all-space texts have an empty set, link with nothing and are their own
+    component. A null doc_id takes part, but names a component only if nothing else can. Repeated
+    rows are returned as often as given. Texts of any length are read whole. Other columns are
+    ignored.
     """
     spark = documents.sparkSession
-    docs = documents.select(plain(doc_id).cast("long").alias("doc_id"), plain(text).alias("text"))
+    docs = documents.select(plain(doc_id).cast("long").alias("doc_id"), plain(text).alias("text")).withColumn("key", F.xxhash64("text"))
     first = cut(docs.mapInArrow(sizes_and_sketch(k), FIRST_SCHEMA))
     rare = spark.sparkContext.broadcast(rarity(first.where("part is not null").select("part", "counts")))
-    sizes = first.where("part is null").select("doc_id", "n", "cls", *SIGS)
-    classes = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in SIGS])
+    sizes = first.where("part is null").select("doc_id", "key", "n", "cls", *SIGS)
+    # Of equal sets the text of least hash stands for all where sets are compared.
+    classes = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(s).alias(s) for s in SIGS])
 
-    # Shingles of one class go; of the others, each has its least class, one of its shortest, as pivot.
+    # Shingles of one class go.
     grams = docs.mapInArrow(prefix_rows(k, rare), "gram long, cls long, place long")
-    pivots = grams.groupBy("gram").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot < last").select("gram", "pivot")
-    members = cut(grams.join(pivots, "gram").groupBy("gram", "cls").agg(F.min("place").alias("place"), F.min("pivot").alias("pivot")))
-    members = members.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos"), "pivot", F.lit(None).cast("long").alias("root"))
+    shared = grams.groupBy("gram").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("gram")
+    members = grams.join(shared, "gram").groupBy("gram", "cls").agg(F.min("place").alias("place"))
+    members = cut(members.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")))
+    central = F.min(F.struct(F.col("pos") / F.col("n"), "n", "cls", "pos"))
     labels, links, tried = None, None, None
     for turn in range(ROUNDS + 2):
-        if turn:
-            # A shingle's pivot has met all its other classes, so it leaves; most shingles have no two left.
-            names = labels.withColumnRenamed("node", "cls")
-            named = members.where("cls <> pivot").drop("root", "pivot").join(small(names), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-            split = named.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("p"))
-            members = cut(named.join(split.where("r0 <> r1").select("gram", F.col("p.cls").alias("pivot")), "gram"))
-            if members.isEmpty():
+        if turn == 0:
+            pivots = members.groupBy("gram").agg(central.alias("p")).select("gram", "p.cls", "p.n", "p.pos", F.lit(None).cast("long").alias("root"))
+            rest = members.withColumn("root", F.lit(None).cast("long"))
+        else:
+            # A shingle's pivot has met all its other classes, so it leaves; most shingles have no two components left.
+            met = pivots.select("gram", "cls")
+            named = members.join(met, ["gram", "cls"], "left_anti").join(small(labels.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            split = named.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("of"), central.alias("p"), F.min_by("root", F.struct(F.col("pos") / F.col("n"), "n", "cls", "pos")).alias("root"))
+            split = split.where("r0 <> r1").select("gram", "of", "p.cls", "p.n", "p.pos", "root")
+            named = cut(named.join(split.select("gram", "of"), "gram"))
+            if named.isEmpty():
                 break
-        x = members if turn > ROUNDS else members.where("cls = pivot")
-        apart = F.col("x.cls") < F.col("y.cls") if turn > ROUNDS else F.col("x.cls") != F.col("y.cls")
+            members, pivots, rest = named.select("gram", "cls", "n", "pos"), split, named
+        apart = F.col("x.cls") != F.col("y.cls")
         if turn:
             apart &= F.col("x.root") != F.col("y.root")
-        pairs = x.alias("x").join(members.alias("y"), (F.col("x.gram") == F.col("y.gram")) & apart & F.expr(LENGTH) & F.expr(POSITION))
+        on = F.col("x.gram") == F.col("y.gram")
+        if turn > ROUNDS:
+            # All that are left meet once, a block of a shingle's classes with each other block.
+            blocks = F.ceil(F.col("of") / BLOCK)
+            x = rest.withColumn("block", F.pmod("cls", blocks))
+            y = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            on, apart = on & (F.col("x.block") == F.col("y.block")), apart & (F.col("x.cls") < F.col("y.cls"))
+        else:
+            x, y = pivots, rest
+        pairs = x.alias("x").join(y.alias("y"), on & apart & F.expr(LENGTH) & F.expr(POSITION))
         pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         pairs = cut(suffix_filtered(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), classes))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(verify(docs, classes, pairs, k))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        found = cut(verify(docs, pairs, k))
         if links is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
 
-    info = classes.select("cls", "least_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    info = classes.select("cls", "least_id").join(small(labels.withColumnRenamed("node", "cls")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = info.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    info = info.join(least, "root").select("cls", "least_id", "component_id")
-    known = sizes.where("n > 0").join(info, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("least_id").alias("class_id"))
-    return known.union(sizes.where("n = 0").select("doc_id", "n", "doc_id", "doc_id"))
+    info = info.join(least, "root").select("cls", "least_id", "component_id", F.col("root").alias("component"))
+    known = sizes.where("n > 0").join(info, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("least_id").alias("class_id"), "key", "component")
+    return known.union(sizes.where("n = 0").select("doc_id", "n", "doc_id", "doc_id", "key", F.lit(None).cast("long")))
 
 
 def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    x, y = (classes.select(F.col("cls").alias(c), F.struct("n", *SIGS).alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(SUFFIX).select("a", "b")
+    """The pairs (a, b) whose bitmaps allow them, with the texts that stand for them (key_a, key_b)."""
+    x, y = (classes.select(F.col("cls").alias(c), F.col("key").alias(f"key_{c}"), F.struct("n", *SIGS).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(SUFFIX).select("a", "b", "key_a", "key_b")
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of classes, by the exact sets of one document of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = cut(classes.join(wanted, "cls").select("least_id").distinct())
-    texts = semi(docs, ids.select(F.col("least_id").alias("doc_id")), "doc_id").union(docs.where("doc_id is null"))
+def verify(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of classes, by the exact sets of one text of each class."""
+    wanted = cut(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
+    texts = semi(docs.select("key", "text"), wanted, "key")
     sets = texts.mapInArrow(set_rows(k), "cls long, elements binary").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("elements_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("elements_a")), "a")
     return both.select("a", "b", "elements_a", "elements_b").mapInArrow(verified, "a long, b long")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +41,10 @@ def plain(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def semi(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of df whose `on` is in keys (left_anti: isn't): by broadcast if keys are few enough, else
     by a shuffled join."""
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, on, how)
+    return df.join(small(keys), on, how)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -51,10 +52,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Edges that one task contracts, about.
+CONTRACTED = 500_000
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges (u, v) as stars: each node with the least node that it reaches here."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    for i in range(0, len(nodes), 1 << 16):
+        some = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root being the least node reachable.
+    """Connected components of edges (a, b) of longs: rows (node, root), root being the least node
+    reachable.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until the edges
+    Each part of the edges is contracted to stars by itself. While there are several parts,
+    large-star and small-star steps, each a grouped minimum and a join, follow until the edges of all
     are stars; the number of rounds grows with the logarithm of the longest path. Nothing is
     collected; loops and repeated edges are allowed.
     """
@@ -62,9 +89,11 @@ def components(edges: DataFrame) -> DataFrame:
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = digest(now)
-    while True:
+    now = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
+    parts = -(-now.count() // CONTRACTED)
+    now = cut((now.coalesce(1) if parts <= 1 else now.repartition(parts)).mapInArrow(contracted, "u long, v long"))
+    state = digest(now) if parts > 1 else None
+    while parts > 1:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

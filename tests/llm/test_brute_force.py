@@ -14,7 +14,7 @@ import pytest
 from helpers import documents, empty, lowered, rows, split
 from pyspark.sql import functions as F
 
-from calibra.llm import decontam, hmm_lm, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, substring
+from calibra.llm import decontam, hmm_lm, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, runtime, substring
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -338,3 +338,28 @@ def test_empty_tables(spark, name):
         "quality": lambda: quality.clean(docs),
     }[name]
     assert run().collect() == []
+
+
+def test_components_in_one_part_and_in_several(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {(x, root(x)) for p in pairs for x in p}
+    alone = {a for a, b in pairs if a == b}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for size in (500_000, 60):
+        old, runtime.CONTRACTED = runtime.CONTRACTED, size
+        try:
+            got = {tuple(r) for r in runtime.components(edges).collect()}
+        finally:
+            runtime.CONTRACTED = old
+        assert {x for x in want if x[0] not in alone} <= got <= want
