@@ -8,8 +8,10 @@ builds suffix automata over its snippets' words; each snippet is then streamed t
 for its matching statistics, and a window is repeated if the state of its `length` words occurs
 twice or more. The verdicts go back to the documents by joins, where maximal spans are removed.
 
-An anchor with very many different snippets is dealt again by the least of longer grams, at last by
-whole windows, so no task holds an unbounded group. Words are compared as text, not by hash.
+The reference is the corpus itself, so its automata have no proven size bound and are not broadcast:
+each meets just the snippets that can match it. An automaton holds CROWD bytes of distinct snippets
+at most; an anchor with more is dealt again by the least of longer grams, at last by whole windows,
+so no task holds an unbounded group. Words are compared as text, not by hash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,12 @@ LENGTH = 35
 #: Words of the grams whose least is a window's anchor: first, and where an anchor has a crowd of
 #: different snippets; at last the windows themselves.
 GRAMS = (8, 22, None)
-CROWD = 500
+#: Bytes of distinct snippets in one automaton, at most: about 100 MB of a task's memory.
+CROWD = 1 << 20
+#: Bytes of distinct snippets in a shard, about.
+SHARD = 1 << 19
+#: Windows of one snippet, at most; longer runs are cut, each window being in one part.
+RUN = 1 << 20
 
 
 def runs(column, length: int, gram: int):
@@ -45,6 +52,9 @@ def runs(column, length: int, gram: int):
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
+    if len(count) and count.max() > RUN:
+        begin = np.concatenate([np.arange(b, b + n, RUN) for b, n in zip(begin.tolist(), count.tolist(), strict=True)])
+        count = np.diff(np.append(begin, len(at)))
     return w, least[begin].view(np.int64), doc[begin], at[begin], count
 
 
@@ -76,7 +86,7 @@ def run_rows(length: int):
             for c in chunks(batch):
                 w, anchor, doc, begin, count = runs(c.column("text"), length, GRAMS[0])
                 keys = [np.asarray(c.column(k))[doc] if len(doc) else np.zeros(0, np.int64) for k in ("key", "key2")]
-                place = ((begin - w.first[doc]) << 24) | np.minimum(count, (1 << 24) - 1)
+                place = ((begin - w.first[doc]) << 24) | count
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, *keys, place)], ["anchor", "key", "key2", "place"])
 
     return run
@@ -221,19 +231,19 @@ def part_rows(length: int, gram: int):
 
 
 def with_kinds(merged: DataFrame) -> DataFrame:
-    return merged.join(merged.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("places")), "anchor")
+    return merged.join(merged.groupBy("anchor").agg(F.sum(F.length("body")).alias("size"), F.sum("copies").alias("places")), "anchor")
 
 
 def marks_of(merged: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """Rows (anchor, snippet, at, marks) of merged snippets (anchor, snippet, copies, body, kinds)."""
+    """Rows (anchor, snippet, at, marks) of merged snippets (anchor, snippet, copies, body, size)."""
     last = level == len(GRAMS) - 1
-    shards = max(1, merged.count() // 5_000)
-    calm = merged if last else merged.where(F.col("kinds") <= CROWD)
+    shards = 1 + (merged.agg(F.sum(F.length("body"))).first()[0] or 0) // SHARD
+    calm = merged if last else merged.where(F.col("size") <= CROWD)
     dealt = calm.select("anchor", "snippet", "copies", "body").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = dealt.groupBy("shard").applyInArrow(judge(length), "anchor long, snippet long, marks binary").select("anchor", "snippet", F.lit(0).cast("long").alias("at"), "marks")
     if last:
         return found
-    crowd = merged.where(F.col("kinds") > CROWD).select("anchor", "snippet", "copies", "body")
+    crowd = merged.where(F.col("size") > CROWD).select("anchor", "snippet", "copies", "body")
     if crowd.isEmpty():
         return found
     schema = "anchor long, snippet long, copies long, at long, key long, part long, twice boolean, body binary"
@@ -280,7 +290,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, with_text: bool =
 
     Each word in a window of `length` words whose sequence also starts anywhere else, in the same or
     another row, is removed; windows are judged on the input. Null and empty texts, and texts of
-    fewer words, lose nothing; repeated rows count as occurrences of each other.
+    fewer words, lose nothing; repeated rows count as occurrences of each other. Texts of any length
+    are read whole; other columns are ignored.
     """
     docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text"))
     keyed = docs.withColumn("key", F.xxhash64("text")).withColumn("key2", F.xxhash64(F.lit(1), "text"))

@@ -186,12 +186,14 @@ def test_forward_equals_enumeration_and_expectations_add_up():
 
 def test_substring_dedup(both):
     df, plain = both
-    for crowd in (500, 1):
-        old, substring.CROWD = substring.CROWD, crowd
+    df = df.unionByName(df.sparkSession.createDataFrame([(5000, "z " * 3000)], "doc_id long, text string"), allowMissingColumns=True)
+    plain = [*plain, (5000, "z " * 3000, None)]
+    for crowd, run in ((1 << 20, 1 << 20), (1, 100)):
+        old, (substring.CROWD, substring.RUN) = (substring.CROWD, substring.RUN), (crowd, run)
         try:
             got = substring.remove_repeats(df).collect()
         finally:
-            substring.CROWD = old
+            substring.CROWD, substring.RUN = old
         texts = [split(t) for _, t, _ in plain]
         starts = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
         want = Counter()
