@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -138,6 +139,10 @@ def ranked(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of so much white space are left to the file's own tokenizer; the pattern's look-ahead takes a
+#: stack as deep as the run.
+LONG_SPACE = 10_000
+WIDE_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 #: The split of byte-level vocabularies: contractions, words, numbers, other marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -148,7 +153,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     kept = process_store().setdefault("ranked", {})
     if path not in kept:
         kept[path] = ranked(path)
-    if fast := kept[path]:
+    fast = kept[path]
+    if fast and not any(len(t) >= LONG_SPACE and WIDE_SPACE.search(t) for t in texts):
         return [array("I", fast.encode_ordinary(t)).tobytes() for t in texts]
     return [np.array(e.ids, "<u4").tobytes() for e in encoder(path).encode_batch(texts, add_special_tokens=False)]
 
@@ -179,7 +185,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     A document is its text's ids and end_id; null or empty text is end_id alone. Documents of more
     than `capacity` ids are cut, the first piece taking what is over; others stay whole. Sequences
-    are filled without gaps from 0. Repeated rows are packed as often as given; an empty table gives
+    are filled without gaps from 0. Texts of any length, and runs of one character of any length, are
+    encoded whole. Repeated rows are packed as often as given; an empty table gives
     no rows. tokenizer: path of a byte-level BPE file, readable by every executor.
     """
     spark = documents.sparkSession
@@ -194,7 +201,8 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     places = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "length long, from_rank long, to_rank long, first_bin long, per_bin long, base long")
 
     parts = max(1, sum(histogram.values()) // RANKED)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    # pieces are written, so their numbers are the same whenever they are read; equal rows are dealt apart.
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("piece", F.monotonically_increasing_id()), F.lit(parts)))
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
