@@ -230,26 +230,28 @@ def part_rows(length: int, gram: int):
     return run
 
 
-def with_kinds(merged: DataFrame) -> DataFrame:
-    return merged.join(merged.groupBy("anchor").agg(F.sum(F.length("body")).alias("size"), F.sum("copies").alias("places")), "anchor")
+def sizes_of(merged: DataFrame) -> DataFrame:
+    return merged.groupBy("anchor").agg(F.sum(F.length("body")).alias("size"), F.sum("copies").alias("places"))
 
 
 def marks_of(merged: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """Rows (anchor, snippet, at, marks) of merged snippets (anchor, snippet, copies, body, size)."""
+    """Rows (anchor, snippet, at, marks) of merged snippets (anchor, snippet, copies, body)."""
     last = level == len(GRAMS) - 1
-    shards = 1 + (merged.agg(F.sum(F.length("body"))).first()[0] or 0) // SHARD
-    calm = merged if last else merged.where(F.col("size") <= CROWD)
+    sizes = sizes_of(merged)
+    shards = 1 + (sizes.agg(F.sum("size")).first()[0] or 0) // SHARD
+    big = None if last else cut(sizes.where(F.col("size") > CROWD).select("anchor"))
+    last = last or big.isEmpty()
+    calm = merged if last else semi(merged, big, "anchor", "left_anti")
     dealt = calm.select("anchor", "snippet", "copies", "body").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = dealt.groupBy("shard").applyInArrow(judge(length), "anchor long, snippet long, marks binary").select("anchor", "snippet", F.lit(0).cast("long").alias("at"), "marks")
     if last:
         return found
-    crowd = merged.where(F.col("size") > CROWD).select("anchor", "snippet", "copies", "body")
-    if crowd.isEmpty():
-        return found
+    crowd = semi(merged, big, "anchor").select("anchor", "snippet", "copies", "body")
     schema = "anchor long, snippet long, copies long, at long, key long, part long, twice boolean, body binary"
     parts = cut(crowd.mapInArrow(part_rows(length, GRAMS[level + 1] or length), schema))
     equal = parts.groupBy(F.col("key").alias("anchor"), F.col("part").alias("snippet")).agg(F.sum("copies").alias("copies"), F.first("body").alias("body"), F.max("twice").alias("twice"))
-    below = marks_of(cut(with_kinds(equal).where("places > 1 or twice")), length, level + 1)
+    often = equal.join(sizes_of(equal), "anchor").where("places > 1 or twice").select("anchor", "snippet", "copies", "body")
+    below = marks_of(cut(often), length, level + 1)
     places = parts.select("anchor", "snippet", F.col("at").alias("begin"), "key", "part").join(below.select(F.col("anchor").alias("key"), F.col("snippet").alias("part"), "at", "marks"), ["key", "part"])
     return found.union(places.select("anchor", "snippet", F.col("begin") + F.col("at"), "marks"))
 
@@ -307,7 +309,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, with_text: bool =
 
     # Equal snippets are merged; only then are anchors dealt to shards.
     merged = snippets.groupBy("anchor", "snippet").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"))
-    marks = marks_of(cut(with_kinds(merged)), length)
+    marks = marks_of(cut(merged), length)
 
     placed = snippets.select("anchor", "snippet", "key", "key2", "begin").join(marks, ["anchor", "snippet"])
     verdicts = placed.groupBy("key", "key2").agg(F.collect_list(F.struct((F.col("begin") + F.col("at")).alias("begin"), "marks")).alias("marks"))

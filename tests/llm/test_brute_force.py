@@ -98,6 +98,15 @@ def test_packing_round_trip(both):
     assert len(sequences) <= 1.05 * math.ceil(sum(r["length"] for r in got) / 64) + 1
 
 
+def test_very_long_runs_of_one_character_are_packed_whole(spark):
+    texts = [c * 1_000_000 for c in " \n\u00a0a1-"] + ["a" + " " * 20_000 + "b", None]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, with_ids=True).collect()
+    tokenizer = packing.encoder(TOKENIZER)
+    for i, t in enumerate(texts):
+        ids = b"".join(bytes(r["ids"]) for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"]))
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+
+
 def test_best_fit_plan_equals_one_piece_at_a_time():
     rng = np.random.default_rng(3)
     for _ in range(30):
