@@ -35,16 +35,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-line windows, as its SQL has it; op6_passage_dedup takes shorter passages as well."""
     found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), words=line_dedup.PASSAGE_WORDS)
-    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
-
-
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "length", F.round("similarity", 6).alias("similarity"))
@@ -71,7 +65,6 @@ QUERIES = {
         op4_lm_scoring,
         op5_license_scan,
         op6_line_dedup,
-        op6_passage_dedup,
         op7_benchmark_decontamination,
         op8_pii,
         op9_substring_dedup,

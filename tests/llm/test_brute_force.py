@@ -266,6 +266,8 @@ def test_line_dedup_of_awkward_rows(spark):
     one = rows()[0][1]
     assert got[(1, one)] == (0, one) and got[(2, one)] == (4, "")
     assert got[(14, rows()[16][1])] == (3, rows()[16][1].split("\n")[0])
+    three = {(r["doc_id"], r["text"]): r["n_removed"] for r in line_dedup.remove_repeated_lines(documents(spark), words=None).collect()}
+    assert three[(2, one)] == 4 and three[(14, rows()[16][1])] == 3 and three[(7, "one two three")] == 0
     assert got[(3, None)] == (0, None) and got[(4, "")] == (0, "")
 
 
