@@ -1,10 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
 
-A window is as many consecutive words of a document as the item has. A window that is similar
-enough shares a word shingle with the item, so only windows around shared shingles are formed, all
-of them. Each gets a 64-bit SimHash of its shingles, weighted by their counts. Fingerprints are cut
-into RADIUS + 1 blocks; two that differ in at most RADIUS bits agree in a block, so a join on blocks
-finds every fingerprint within the radius. Candidates are verified by exact weighted Jaccard.
+A window is as many consecutive words of a document as an item has. Each gets a 64-bit SimHash of its
+shingles, weighted by their counts. Fingerprints are cut into RADIUS + 1 blocks; two that differ in at
+most RADIUS bits agree in a block, so a join of windows and items of one size on their blocks finds
+every item within the radius. Candidates are verified by exact weighted Jaccard.
+
+A window that is similar enough shares a word shingle with an item of its size, so windows without one
+get no fingerprint: fingerprints of all windows of all sizes would be as many rows as words, for each
+size. Which item it was plays no part in the search.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 fingerprints differ in about 10 bits of 64, with a deviation of 3.
 RADIUS = 23
-#: Counters of 12 bits in one long: windows of up to 4095 shingles are summed five bits at a time.
-LANES, LANE_BITS = 5, 12
+#: Bits of a counter; several stand in one long. Wider ones serve where an item has more shingles.
+LANE_BITS = 12
 
 
 def word_list(text: str) -> Column:
@@ -38,24 +41,25 @@ def shingle_list(words: Column, k: int) -> Column:
     return F.transform(F.array(F.transform(words, lambda x: F.xxhash64(x))), of)[0]
 
 
-def lanes(h: Column) -> list[Column]:
-    """The 64 bits of h, LANES of them in each long, each in a lane of its own."""
-    out = []
-    for at in range(0, 64, LANES):
-        bits = [F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("long"), LANE_BITS * (b - at)) for b in range(at, min(64, at + LANES))]
-        out.append(reduce(lambda x, y: x.bitwiseOR(y), bits))
+def lanes(h: Column, bits: int) -> list[Column]:
+    """The 64 bits of h, as many in each long as there is room for, each in a lane of its own."""
+    out, count = [], 63 // bits
+    for at in range(0, 64, count):
+        own = [F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("long"), bits * (b - at)) for b in range(at, min(64, at + count))]
+        out.append(reduce(lambda x, y: x.bitwiseOR(y), own))
     return out
 
 
-def simhashes(df: DataFrame, by: list[str], weight: int = 1) -> DataFrame:
+def simhashes(df: DataFrame, by: list[str], width: int = LANE_BITS) -> DataFrame:
     """Of rows (by..., g), a row for each group with n (its rows) and simhash (bits set in over half)."""
-    names = [f"l{i}" for i in range(-(-64 // LANES))]
-    sums = df.select(*by, *[x.alias(n) for x, n in zip(lanes(F.col("g")), names, strict=True)]).groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
-    mask = (1 << LANE_BITS) - 1
+    count = 63 // width
+    names = [f"l{i}" for i in range(-(-64 // count))]
+    sums = df.select(*by, *[x.alias(n) for x, n in zip(lanes(F.col("g"), width), names, strict=True)]).groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
+    mask = (1 << width) - 1
     bits = []
     for b in range(64):
-        count = F.shiftright(F.col(names[b // LANES]), LANE_BITS * (b % LANES)).bitwiseAND(F.lit(mask))
-        bits.append(F.when(2 * count > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        on = F.shiftright(F.col(names[b // count]), width * (b % count)).bitwiseAND(F.lit(mask))
+        bits.append(F.when(2 * on > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     return sums.select(*by, "n", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("simhash"))
 
 
@@ -76,7 +80,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     Words are lower-cased; shingles have WORDS words, or all of a shorter item's, and weigh as often
     as they occur. A document shorter than an item is one window. key is the hash of the document's
     text: rows with equal doc_id and text count once. Null and empty texts match nothing; rows with a
-    null doc_id or item_id are judged like others. Other columns are ignored.
+    null doc_id or item_id are judged like others. Texts of any length are read whole. Other columns
+    are ignored.
     """
     docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text")).where("text is not null").withColumn("key", F.xxhash64("text"))
     items = benchmark.select(plain(item_id).alias("item_id"), word_list(plain_name(item_text)).alias("w")).where("size(w) > 0")
@@ -96,30 +101,27 @@ def matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The matches of items whose shingles have k words."""
     listed = items.withColumn("g", F.explode(shingle_list(F.col("w"), k))).select("item", "item_id", "size", "g")
     item_counts = cut(listed.groupBy("item", "item_id", "size", "g").agg(F.count("*").alias("n")))
-    prints = cut(simhashes(listed, ["item", "size"]))
+    greatest = items.agg(F.max("size")).first()[0]
+    width = LANE_BITS if greatest < 1 << LANE_BITS else greatest.bit_length()
+    prints = cut(simhashes(listed, ["item", "size"], width))
 
-    # Shared shingles, and all the item-sized windows around them.
+    # All the item-sized windows around shingles shared with an item of that size.
     places = docs.select("doc_id", "key", F.posexplode(shingle_list(word_list("text"), k)).alias("at", "g"))
-    hits = cut(places.join(small(item_counts.select("g", "item", "size")), "g").select("doc_id", "key", "at", "item", "size"))
+    hits = cut(places.join(small(item_counts.select("g", "size").distinct()), "g").select("doc_id", "key", "at", "size"))
     worded = semi(docs, hits.select("key").distinct(), "key").withColumn("w", word_list("text")).select("doc_id", "key", F.size("w").alias("m"), shingle_list(F.col("w"), k).alias("s")).dropDuplicates(["doc_id", "key"])
     lengths = worded.select("doc_id", "key", "m")
     same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.key") == F.col(f"{y}.key"))
     near = hits.alias("h").join(lengths.alias("l"), same("h", "l")).select("h.*", "m")
     last = F.greatest(F.col("m") - F.col("size"), F.lit(0))
     low, high = F.least(F.greatest(F.col("at") - F.col("size") + k, F.lit(0)), last), F.least(F.col("at"), last)
-    starts = near.select("doc_id", "key", "item", "size", F.explode(F.sequence(low, high)).alias("start"))
-    # A window is the same for all items of its size.
-    starts = cut(starts.distinct())
-    spans = starts.select("doc_id", "key", "size", "start").distinct().alias("p")
-    windows = spans.join(worded.alias("d"), same("p", "d")).select("p.*", F.slice("s", F.col("start") + 1, F.col("size") - k + 1).alias("s"))
-    hashed = simhashes(windows.select("doc_id", "key", "size", "start", F.explode("s").alias("g")), ["doc_id", "key", "size", "start"])
-
-    # Candidates: fingerprints that agree in a block, then those within the radius.
-    w, i = starts.alias("w"), hashed.alias("i")
-    dealt = w.join(i, same("w", "i") & (F.col("w.size") == F.col("i.size")) & (F.col("w.start") == F.col("i.start"))).select("w.doc_id", "w.key", "w.item", "w.size", "w.start", "simhash")
-    dealt = dealt.withColumn("x", F.explode(blocks(F.col("simhash"))))
-    index = prints.select("item", F.col("simhash").alias("item_simhash"), F.explode(blocks(F.col("simhash"))).alias("x"))
-    near = dealt.join(small(index), ["item", "x"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS)
+    spans = cut(near.select("doc_id", "key", "size", F.explode(F.sequence(low, high)).alias("start")).distinct())
+    windows = spans.alias("p").join(worded.alias("d"), same("p", "d")).select("p.*", F.slice("s", F.col("start") + 1, F.col("size") - k + 1).alias("s"))
+    hashed = simhashes(windows.select("doc_id", "key", "size", "start", F.explode("s").alias("g")), ["doc_id", "key", "size", "start"], width)
+
+    # Candidates: windows and items of one size that agree in a block, then those within the radius.
+    dealt = hashed.withColumn("x", F.explode(blocks(F.col("simhash"))))
+    index = prints.select("item", "size", F.col("simhash").alias("item_simhash"), F.explode(blocks(F.col("simhash"))).alias("x"))
+    near = dealt.join(small(index), ["size", "x"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS)
     near = cut(near.select("doc_id", "key", "item", "size", "start").distinct())
 
     # Exact weighted Jaccard: shared weight over the rest.

@@ -283,6 +283,23 @@ def test_decontamination(spark, both):
     assert {(r["doc_id"], r["item_id"]) for r in got} >= {(11, 903), (12, 903), (6, 900)}
 
 
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    rng = np.random.default_rng(6)
+    pairs = []
+    for flips in (0, 5, decontam.RADIUS):
+        for x in map(int, rng.integers(-(2**63), 2**63 - 1, 20)):
+            pairs.append((x, x ^ sum(1 << int(b) for b in rng.choice(63, flips, replace=False))))
+    found = spark.createDataFrame(pairs, "x long, y long").select(decontam.blocks(F.col("x")).alias("x"), decontam.blocks(F.col("y")).alias("y")).collect()
+    assert all(any(a == b for a, b in zip(r["x"], r["y"], strict=True)) for r in found)
+
+
+def test_items_of_more_shingles_than_a_lane_counts(spark):
+    words_ = [f"v{i % 900}" for i in range(5000)]
+    bench = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*words_, "tail"])), (2, " ".join(words_[:2000]))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["start"]) for r in decontam.contaminated(docs, bench).collect()] == [(1, 1, 0)]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
