@@ -3,13 +3,15 @@
 All training words are counted. The TOP most frequent are symbols of their own; every other word is
 emitted as the class of its spelling (last byte, length, script), then as itself within the class by
 its count. Latent states are trained by Baum-Welch: each round's expected counts are summed within a
-partition, then across partitions. A text's likelihood is the exact scaled forward recursion over its
+partition, then across partitions. The rounds start from a chain over spelling classes alone, fitted
+to how often each class follows each other in all training texts, a table of fixed size. A text's likelihood is the exact scaled forward recursion over its
 symbols times its rare words' shares of their classes, which come by a join on the word's hash: the
 vocabulary is never broadcast, only the TOP words and class totals, of fixed size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,22 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .runtime import cut, plain
+from .runtime import cut, plain, small
 from .words import Words, chunks, words
 
 TOP = 1 << 16
 CLASSES = 1024
 STATES = 8
 ROUNDS = 3
-#: Texts whose segments start the training, at most about, and rounds over them on the driver.
-START_TEXTS, START_ROUNDS = 2000, 12
-#: Words of a training sequence; longer texts are trained on in segments.
-SEGMENT = 128
+#: Rounds over the table of class pairs that start the training.
+START_ROUNDS = 30
+#: Words of a training sequence. Longer texts are trained on in segments, each read with CONTEXT words
+#: on both sides, so that only a text's first word counts as a start and every transition counts once.
+SEGMENT, CONTEXT = 256, 16
+#: Copies of one text beyond which its sums are broadcast, not shuffled to.
+CROWD = 1000
 #: Words scored side by side.
 TOKENS = 1 << 20
 #: Weight of the unigram distribution in a state's emissions.
 PRIOR = 20.0
 PARTS = 64
+PAIR = 2048
 END = np.uint64(1)  # the end token's hash; words' hashes are 2 or more
 SEED = 11
 
@@ -73,12 +79,20 @@ def with_ends(w: Words, value: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, class, n)."""
+    """Rows (pair, word, class, n): counts of words with their classes, and, with pair set, of class
+    pairs (word: PAIR times the class before, plus the class; CLASSES is the end, CLASSES + 1 the start)."""
     for batch in batches:
         for c in chunks(batch, size=4 << 20):
             w, h, kind = spelled(c.column("text"))
             value, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(value, END).view(np.int64)), pa.array(np.append(kind[at], 0).astype(np.int32)), pa.array(np.append(n, c.num_rows).astype(np.int64))], ["word", "class", "n"])
+            row, bounds = with_ends(w, kind, CLASSES)
+            before = np.append(CLASSES + 1, row[:-1])
+            before[bounds[:-1]] = CLASSES + 1
+            pair, m = np.unique(before * PAIR + row, return_counts=True)
+            word = np.concatenate([value.view(np.int64), END.view(np.int64)[None], pair])
+            kinds = np.concatenate([kind[at], [0], np.zeros(len(pair), np.int64)]).astype(np.int32)
+            is_pair = np.arange(len(word)) > len(value)
+            yield pa.RecordBatch.from_arrays([pa.array(is_pair), pa.array(word), pa.array(kinds), pa.array(np.concatenate([n, [c.num_rows], m]).astype(np.int64))], ["pair", "word", "class", "n"])
 
 
 def look_up(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,30 +131,43 @@ def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, sequence: np.
     return out
 
 
+def segments(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment: where its reading begins and for how many symbols, its own part in that (from,
+    to), and whether it begins a text; longest first."""
+    lengths = np.diff(bounds)
+    count = np.maximum(1, -(-lengths // SEGMENT))
+    text = np.repeat(np.arange(len(lengths)), count)
+    own = bounds[:-1][text] + SEGMENT * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    begin, stop = np.maximum(own - CONTEXT, bounds[:-1][text]), np.minimum(own + SEGMENT, bounds[1:][text])
+    size = np.minimum(stop + CONTEXT, bounds[1:][text]) - begin
+    order = np.argsort(-size, kind="stable")
+    return tuple(x[order] for x in (begin, size, own - begin, stop - begin, begin == bounds[:-1][text]))
+
+
 def expect(start, move, emit, sequence: np.ndarray, bounds: np.ndarray):
     """Expected counts of starts, moves and emissions over segments of the sequences."""
-    cuts = np.unique(np.concatenate([bounds, *(np.arange(a, b, SEGMENT) for a, b in zip(bounds[:-1], bounds[1:], strict=True))]))
-    size, states = np.diff(cuts), len(start)
-    begin = cuts[:-1][np.argsort(-size, kind="stable")]
-    size = np.sort(size)[::-1]
+    begin, size, low, high, first = segments(bounds)
+    states = len(start)
+    still = np.linalg.matrix_power(move, 64)[0]
     running = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
     ahead, scales = [], []
     for t, n in enumerate(running.tolist()):
-        now = (np.broadcast_to(start, (n, states)) if t == 0 else ahead[-1][:n] @ move) * emit[sequence[begin[:n] + t]]
+        now = (np.where(first[:, None], start, still) if t == 0 else ahead[-1][:n] @ move) * emit[sequence[begin[:n] + t]]
         scales.append(now.sum(1))
         ahead.append(now / scales[-1][:, None])
     moves, gamma = np.zeros((states, states)), np.zeros((len(sequence), states), np.float32)
     back = np.ones((len(size), states))
     for t in range(len(ahead) - 1, -1, -1):
         n = len(ahead[t])
+        own = (low[:n] <= t) & (t < high[:n])
         post = ahead[t] * back[:n]
-        gamma[begin[:n] + t] = post / post.sum(1, keepdims=True)
+        gamma[begin[:n][own] + t] = (post / post.sum(1, keepdims=True))[own]
         if t:
             incoming = emit[sequence[begin[:n] + t]] * back[:n] / scales[t][:, None]
-            moves += (ahead[t - 1][:n].T @ incoming) * move
+            moves += (ahead[t - 1][:n].T @ (incoming * own[:, None])) * move
             back[:n] = incoming @ move.T
     emitted = np.stack([np.bincount(sequence, gamma[:, s], len(emit)) for s in range(states)], 1)
-    return gamma[begin].sum(0, dtype=np.float64), moves, emitted
+    return gamma[bounds[:-1]].sum(0, dtype=np.float64), moves, emitted
 
 
 def settle(counts, unigram: np.ndarray):
@@ -183,31 +210,41 @@ def expectations(shared):
     return run
 
 
-def train(texts: DataFrame, vocabulary: np.ndarray, unigram: np.ndarray, rounds: int):
-    """Baum-Welch over all texts, started from a few. Only sums of fixed size reach the driver."""
-    spark = texts.sparkSession
+def class_chain(pairs: np.ndarray, rounds: int = START_ROUNDS):
+    """Start, moves and emissions (by class, the end last) of a chain fitted to counts of class pairs
+    (from, to; the start is the last from): Baum-Welch over pairs."""
     rng = np.random.default_rng(SEED)
+    n, first = pairs[:-1].astype(np.float64), pairs[-1]
+    total = n.sum(0) + n.sum(1) + first + 0.1
+    emit = total[:, None] * rng.gamma(1.0, 1.0, (len(total), STATES))
+    emit /= emit.sum(0)
+    weight, move = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.2 / STATES) + 0.8 * np.eye(STATES)
+    for _ in range(rounds):
+        left = emit * weight
+        ratio = n / np.maximum(left @ move @ emit.T, 1e-300)
+        moves = move * (left.T @ ratio @ emit)
+        emitted = left * (ratio @ emit @ move.T) + emit * (ratio.T @ left @ move)
+        weight = (moves.sum(1) + 0.5) / (moves.sum(1) + 0.5).sum()
+        move = (moves + 0.5) / (moves + 0.5).sum(1, keepdims=True)
+        emit = emitted + 0.1 * (total / total.sum())[:, None]
+        emit /= emit.sum(0)
+    post = emit * weight
+    starts = (post / post.sum(1, keepdims=True) * first[:, None]).sum(0) + 1
+    return starts / starts.sum(), move, emit
+
+
+def train(texts: DataFrame, vocabulary: np.ndarray, kinds: np.ndarray, unigram: np.ndarray, pairs: np.ndarray, rounds: int):
+    """Baum-Welch over all texts, started from class pairs of all. Only sums of fixed size reach the
+    driver. kinds: the class of each symbol."""
+    spark = texts.sparkSession
     size = len(unigram)
-    of = max(1, texts.count())
-    few = texts.where(F.xxhash64("text") / F.lit(2.0**64) + 0.5 <= START_TEXTS / of).limit(2 * START_TEXTS)
-
-    def start_symbols(batches):
-        for batch in batches:
-            for c in chunks(batch):
-                sequence, bounds, *_ = symbols(held.value, c.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array([sequence[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["s"])
-
-    held = spark.sparkContext.broadcast(vocabulary)
-    parts = [np.frombuffer(bytes(r["s"]), "<i4")[: 50 * SEGMENT] for r in few.mapInArrow(start_symbols, "s binary").collect()]
-    noisy = unigram[:, None] * rng.gamma(1.0, 1.0, (size, STATES))
-    chain = (np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.2 / STATES) + 0.8 * np.eye(STATES), noisy / noisy.sum(0))
-    if parts:
-        sequence, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        for _ in range(START_ROUNDS):
-            chain = settle(expect(*chain, sequence, bounds), unigram)
+    start, move, by_class = class_chain(pairs)
+    emit = by_class[kinds] * (unigram / np.bincount(kinds, unigram, len(by_class))[kinds])[:, None]
+    chain = (start, move, emit / emit.sum(0))
+    salts = max(8, math.isqrt(texts.select(F.spark_partition_id()).distinct().count())) if rounds else 8
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, chain))
-        sums = texts.mapInArrow(expectations(shared), "part int, sums binary").withColumn("salt", F.spark_partition_id() % 64)
+        sums = texts.mapInArrow(expectations(shared), "part int, sums binary").withColumn("salt", F.spark_partition_id() % salts)
         sums = sums.groupBy("part", "salt").applyInArrow(widen, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
         if not sums:
             break
@@ -219,7 +256,7 @@ def train(texts: DataFrame, vocabulary: np.ndarray, unigram: np.ndarray, rounds:
 
 
 def score_rows(shared):
-    """Rows (doc_id, key, held_out, n_tokens, top_known, top_base, chain), without rare words' own part.
+    """Rows (doc_id, key, held_out, n_tokens, n_rare, top_known, top_base, chain), without rare words' own part.
 
     Texts are read in small chunks; their symbols are gathered to TOKENS before the recursion runs, as
     it takes as many steps as the longest text has words.
@@ -238,6 +275,7 @@ def score_rows(shared):
             share = np.where(sequence > top, m.class_log[np.maximum(sequence - top - 1, 0)], 0.0)
             columns = {
                 "n_tokens": n,
+                "n_rare": np.add.reduceat((sequence > top).astype(np.int64), bounds[:-1]),
                 "top_known": np.add.reduceat((sequence < top) + (sequence == top) * end_known, bounds[:-1]).astype(np.int64),
                 "top_base": np.add.reduceat(cost, bounds[:-1]) - n * m.base_denominator,
                 "chain": forward(m.start, m.move, m.emit, sequence, bounds) - np.add.reduceat(share, bounds[:-1]),
@@ -284,13 +322,18 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
 
     Learned from rows that are not held out. Null and empty texts have one token, their end. A word
     never seen in training has count 0, as in the base. Repeated rows are scored alike, and each
-    counts in training. With nothing to learn from, all words are alike unseen.
+    counts in training. With nothing to learn from, all words are alike unseen. Texts of any length are
+    scored whole; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(plain(doc_id).alias("doc_id"), held_out(doc_id, 1).alias("held_out"), F.coalesce(plain(text), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
     training = docs.where("not held_out").select("text")
-    counts = cut(training.mapInArrow(word_counts, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
+    counts = cut(training.mapInArrow(word_counts, "pair boolean, word long, class int, n long").groupBy("pair", "word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
+    pairs = np.zeros((CLASSES + 2, CLASSES + 1))
+    for r in counts.where("pair").select("word", "n").collect():  # of fixed size
+        pairs[r["word"] // PAIR, r["word"] % PAIR] = r["n"]
+    counts = counts.where("not pair").drop("pair")
 
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"] or 0, size["v"]
@@ -299,6 +342,7 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     vocabulary = top["word"].to_numpy(np.int64).view(np.uint64)[order]
     n_top = top["n"].to_numpy(np.int64)[order]
+    kinds = np.concatenate([top["class"].to_numpy(np.int64)[order], [CLASSES], np.arange(CLASSES)])
     edge = spark.createDataFrame(top[["word"]].astype("int64"), "word long")
     rare = counts.where(F.col("word") != int(END)).join(F.broadcast(edge), "word", "left_anti")
     classes = {r["class"]: (r["n"], r["v"]) for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
@@ -308,17 +352,25 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
     n_end = ends["n"] if ends else 0
     unigram = np.concatenate([n_top, [n_end], class_n]) + 0.5
     unigram /= unigram.sum()
-    start, move, emit = train(training, vocabulary, unigram, rounds if total else 0)
+    start, move, emit = train(training, vocabulary, kinds, unigram, pairs, rounds if total else 0)
     model = Model(vocabulary, np.log10(np.append(n_top, n_end) + 0.5), float(np.log10(total + 0.5 * (distinct + 1))), int(total), np.log10(class_n + 0.5 * (class_v + 1)), start, move, emit)
     shared = spark.sparkContext.broadcast(vars(model))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "held_out", "text", "key").mapInArrow(score_rows(shared), f"doc_id {kind}, key long, held_out boolean, n_tokens long, top_known long, top_base double, chain double")
+    scored = docs.select("doc_id", "held_out", "text", "key").mapInArrow(score_rows(shared), f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_rare long, top_known long, top_base double, chain double")
     words_of = docs.select("text", "key").mapInArrow(rare_rows(shared), "word long, key long, tf int")
     # A text that occurs m times sends its words m times: its sums are divided by m.
     found = words_of.join(rare.select("word", "n"), "word", "left")
     sums = found.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     copies = docs.groupBy("key").agg(F.count("*").alias("m"))
-    sums = copies.join(sums, "key", "left").select("key", (F.coalesce("rare_log", F.lit(0.0)) / F.col("m")).alias("rare_log"), F.expr("coalesce(rare_known, 0) div m").alias("rare_known"))
-    out = scored.join(sums, "key")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("top_known") + F.col("rare_known")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("top_base") + F.col("rare_log")).alias("base_score"), (F.col("chain") + F.col("rare_log")).alias("score"))
+    sums = cut(copies.join(sums, "key").select("key", "m", (F.col("rare_log") / F.col("m")).alias("rare_log"), F.expr("rare_known div m").alias("rare_known")))
+    # Texts of many copies take their sums from a broadcast; they, and texts without rare words, are dealt
+    # anywhere in the join of the others.
+    crowd = sums.where(F.col("m") > CROWD).select("key", F.col("rare_log").alias("crowd_log"), F.col("rare_known").alias("crowd_known"))
+    rest = sums.where(F.col("m") <= CROWD).select(F.col("key").alias("at"), "rare_log", "rare_known")
+    out = scored.join(small(crowd), "key", "left")
+    out = out.withColumn("at", F.when((F.col("n_rare") > 0) & F.col("crowd_log").isNull(), F.col("key")).otherwise(F.xxhash64(F.monotonically_increasing_id(), "key"))).join(rest, "at", "left")
+    log, known = F.coalesce("crowd_log", "rare_log", F.lit(0.0)), F.coalesce("crowd_known", "rare_known", F.lit(0))
+    # A text dealt anywhere may meet another's sums by chance, so only rare words count.
+    log, known = F.when(F.col("n_rare") > 0, log).otherwise(0.0), F.when(F.col("n_rare") > 0, known).otherwise(0)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("top_known") + known).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("top_base") + log).alias("base_score"), (F.col("chain") + log).alias("score"))
