@@ -23,8 +23,8 @@ from .words import process_store
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and characters between the starts of two.
 WINDOW, STRIDE = 96, 48
-HIDDEN, EMBED = 10, 8
-STEPS, BATCH, RATE = 200, 24, 0.03
+HIDDEN, EMBED = 16, 8
+STEPS, BATCH, RATE = 400, 24, 0.03
 SEED = 5
 #: A decoded span counts if its tags score above `outside` by so much, on average.
 MARGIN = 0.5
@@ -300,15 +300,16 @@ def plausible(kind: str, body: str) -> bool:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of overlapping windows that cover every digit and @ with room on both sides."""
+    """Starts of overlapping windows: each digit or @ has STRIDE characters after it in one of them, and
+    before it STRIDE or what the window before holds."""
     out, upto = [], -1
     for m in TRIGGER.finditer(text):
         at = m.start()
         if at < upto:
             continue
-        start = max(0, at - STRIDE) if not out or at - STRIDE > out[-1] + STRIDE else out[-1] + STRIDE
+        start = max(0, at - STRIDE) if not out else max(at - STRIDE, out[-1] + STRIDE // 2)
         out.append(start)
-        upto = start + WINDOW - STRIDE // 2
+        upto = start + WINDOW - STRIDE
     return out
 
 
@@ -343,11 +344,12 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(documents: DataFrame, model: dict[str, np.ndarray] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one for each row of documents.
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one for each row of documents.
 
     Counts and base_sha256 are of the patterns' spans; spans lists those and the network's that
-    overlap none of them. Places are code points, ends exclusive. Null and empty texts have none;
-    repeated rows are judged alike; other columns are ignored.
+    overlap none of them, n_spans counts both. Places are code points, ends exclusive. Null and empty texts have none;
+    repeated rows are judged alike; of candidates with equal margins the first by place stays. Texts of
+    any length are read whole; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(plain(doc_id).alias("doc_id"), plain(text).alias("text"))
@@ -369,7 +371,7 @@ def find(documents: DataFrame, model: dict[str, np.ndarray] | None = None, doc_i
             counts = [pa.array([len(v[k]) for v in base], pa.int64()) for k in KINDS]
             digests = pa.array([hashlib.sha256(listed(s).encode()).hexdigest() for s in own], pa.string())
             every = pa.array([listed(s + x) for s, x in zip(own, extra, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, every], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, every, pa.array([len(s) + len(x) for s, x in zip(own, extra, strict=True)], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -193,6 +193,33 @@ def test_forward_equals_enumeration_and_expectations_add_up():
     assert starts.sum() == pytest.approx(2) and moves.sum() == pytest.approx(9) and emitted.sum() == pytest.approx(11)
 
 
+def test_segments_count_each_start_and_move_once():
+    rng = np.random.default_rng(1)
+    start, move = np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]])
+    emit = rng.dirichlet(np.ones(5), 2).T
+    sequence, bounds = rng.integers(0, 5, 900), np.array([0, 700, 701, 900])
+    whole, parts = [], []
+    for size, out in ((10_000, whole), (64, parts)):
+        old, hmm_lm.SEGMENT = hmm_lm.SEGMENT, size
+        try:
+            out.extend(hmm_lm.expect(start, move, emit, sequence, bounds))
+        finally:
+            hmm_lm.SEGMENT = old
+        assert out[0].sum() == pytest.approx(3, abs=1e-3) and out[1].sum() == pytest.approx(897, abs=1e-2) and out[2].sum() == pytest.approx(900, abs=1e-2)
+    assert all(np.allclose(a, b, atol=0.05) for a, b in zip(whole, parts, strict=True))
+
+
+def test_the_chain_over_pairs_explains_them():
+    pairs = np.zeros((hmm_lm.CLASSES + 2, hmm_lm.CLASSES + 1))
+    pairs[0, 1] = pairs[1, 0] = 500
+    pairs[2, 2] = 300
+    pairs[-1, 0] = 10
+    start, move, emit = hmm_lm.class_chain(pairs)
+    assert start.sum() == pytest.approx(1) and np.allclose(move.sum(1), 1) and np.allclose(emit.sum(0), 1)
+    post = start @ move
+    assert (np.argmax(emit[0] * start) != np.argmax(emit[2] * post)) or emit[2].max() > 0.3
+
+
 def test_substring_dedup(both):
     df, plain = both
     df = df.unionByName(df.sparkSession.createDataFrame([(5000, "z " * 3000)], "doc_id long, text string"), allowMissingColumns=True)
@@ -312,7 +339,7 @@ def test_patterns_are_leftmost(text):
 
 
 def test_pii_of_awkward_rows_and_held_out_accuracy(spark):
-    model = pii.train(steps=120)
+    model = pii.trained()
     got = {r["doc_id"]: r for r in pii.find(documents(spark), model).collect()}
     r = got[10]
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
@@ -323,7 +350,7 @@ def test_pii_of_awkward_rows_and_held_out_accuracy(spark):
     test = pii.drawn(np.random.default_rng(77), 60)
     found = pii.model_spans(model, [t for t, _ in test])
     hit = sum(len(set(s) & set(f)) for (_, s), f in zip(test, found, strict=True))
-    assert hit >= 0.5 * sum(len(s) for _, s in test) and hit >= 0.9 * sum(map(len, found))
+    assert hit >= 0.9 * sum(len(s) for _, s in test) and hit >= 0.9 * sum(map(len, found))
 
 
 def test_gradient_of_the_network():
