@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ SEGMENT, CONTEXT = 256, 16
 #: Copies of one text beyond which its sums are broadcast, not shuffled to.
 CROWD = 1000
 #: Words scored side by side.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 #: Weight of the unigram distribution in a state's emissions.
 PRIOR = 20.0
 PARTS = 64
@@ -82,7 +83,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pair, word, class, n): counts of words with their classes, and, with pair set, of class
     pairs (word: PAIR times the class before, plus the class; CLASSES is the end, CLASSES + 1 the start)."""
     for batch in batches:
-        for c in chunks(batch, size=4 << 20):
+        for c in chunks(batch, size=2 << 20):
             w, h, kind = spelled(c.column("text"))
             value, at, n = np.unique(h, return_index=True, return_counts=True)
             row, bounds = with_ends(w, kind, CLASSES)
@@ -193,17 +194,50 @@ def widen(rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows.column("part")[:1], "sums": pa.array([np.asarray(total, "<f8").tobytes()], pa.binary())})
 
 
+def coded(vocabulary):
+    """Rows (doc_id, key, held_out, symbols, rare): each text's symbols, 32 bits each, and its rare words
+    with their numbers, so that texts are taken apart once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch):
+                sequence, bounds, w, h, rare = symbols(vocabulary.value, c.column("text"))
+                h, doc = h[rare], w.doc[rare]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+                tf = np.diff(np.append(new, len(h))).astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(h[new].view(np.int64)), pa.array(tf)], ["word", "tf"])
+                at = np.searchsorted(doc[new], np.arange(c.num_rows + 1)).astype(np.int32)
+                data = pa.py_buffer(sequence.astype("<i4").tobytes())
+                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), c.num_rows, [None, pa.py_buffer((4 * bounds).astype("<i8").tobytes()), data]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in ("doc_id", "key", "held_out")), own, pa.ListArray.from_arrays(pa.array(at), each)], ["doc_id", "key", "held_out", "symbols", "rare"])
+
+    return run
+
+
+def sequences(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about `size` bytes of symbols, with those and their texts' bounds."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("symbols"))).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            part = batch.slice(at, to - at)
+            sequence = np.frombuffer(b"".join(x.as_buffer() for x in part.column("symbols")), "<i4")
+            yield part, sequence, np.concatenate([[0], (ends[at:to] - before) // 4])
+            at = to
+
+
 def expectations(shared):
     """Rows (part, sums): a partition's expected counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, chain = shared.value
         total = None
-        for batch in batches:
-            for c in chunks(batch):
-                sequence, bounds, *_ = symbols(vocabulary, c.column("text"))
-                found = expect(*chain, sequence, bounds)
-                total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
+        for _, sequence, bounds in sequences(batches):
+            found = expect(*shared.value, sequence, bounds)
+            total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(pack_counts(total), pa.binary())], ["part", "sums"])
 
@@ -233,8 +267,8 @@ def class_chain(pairs: np.ndarray, rounds: int = START_ROUNDS):
     return starts / starts.sum(), move, emit
 
 
-def train(texts: DataFrame, vocabulary: np.ndarray, kinds: np.ndarray, unigram: np.ndarray, pairs: np.ndarray, rounds: int):
-    """Baum-Welch over all texts, started from class pairs of all. Only sums of fixed size reach the
+def train(texts: DataFrame, kinds: np.ndarray, unigram: np.ndarray, pairs: np.ndarray, rounds: int):
+    """Baum-Welch over all coded texts, started from class pairs of all. Only sums of fixed size reach the
     driver. kinds: the class of each symbol."""
     spark = texts.sparkSession
     size = len(unigram)
@@ -243,7 +277,7 @@ def train(texts: DataFrame, vocabulary: np.ndarray, kinds: np.ndarray, unigram:
     chain = (start, move, emit / emit.sum(0))
     salts = max(8, math.isqrt(texts.select(F.spark_partition_id()).distinct().count())) if rounds else 8
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, chain))
+        shared = spark.sparkContext.broadcast(chain)
         sums = texts.mapInArrow(expectations(shared), "part int, sums binary").withColumn("salt", F.spark_partition_id() % salts)
         sums = sums.groupBy("part", "salt").applyInArrow(widen, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
         if not sums:
@@ -258,7 +292,7 @@ def train(texts: DataFrame, vocabulary: np.ndarray, kinds: np.ndarray, unigram:
 def score_rows(shared):
     """Rows (doc_id, key, held_out, n_tokens, n_rare, top_known, top_base, chain), without rare words' own part.
 
-    Texts are read in small chunks; their symbols are gathered to TOKENS before the recursion runs, as
+    Symbols are read in small chunks and gathered to TOKENS before the recursion runs, as
     it takes as many steps as the longest text has words.
     """
 
@@ -284,39 +318,18 @@ def score_rows(shared):
             return pa.RecordBatch.from_arrays([*(ids.column(k).combine_chunks() for k in ("doc_id", "key", "held_out")), *map(pa.array, columns.values())], ["doc_id", "key", "held_out", *columns])
 
         held, size = [], 0
-        for batch in batches:
-            for c in chunks(batch):
-                sequence, bounds, *_ = symbols(m.vocabulary, c.column("text"))
-                held.append((sequence, np.diff(bounds), c.select(["doc_id", "key", "held_out"])))
-                size += len(sequence)
-                if size >= TOKENS:
-                    yield scored(held)
-                    held, size = [], 0
+        for part, sequence, bounds in sequences(batches):
+            held.append((sequence, np.diff(bounds), part.select(["doc_id", "key", "held_out"])))
+            size += len(sequence)
+            if size >= TOKENS:
+                yield scored(held)
+                held, size = [], 0
         if held:
             yield scored(held)
 
     return run
 
 
-def rare_rows(shared):
-    """Rows (word, key, tf): rare words of each text, a text's equal words as one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value["vocabulary"]
-        for batch in batches:
-            for c in chunks(batch):
-                w, h, _ = spelled(c.column("text"))
-                pick = ~look_up(vocabulary, h)[1]
-                h, doc = h[pick], w.doc[pick]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
-                tf = np.diff(np.append(new, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), c.column("key").take(pa.array(doc[new])), pa.array(tf.astype(np.int32))], ["word", "key", "tf"])
-
-    return run
-
-
 def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row.
 
@@ -352,17 +365,18 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
     n_end = ends["n"] if ends else 0
     unigram = np.concatenate([n_top, [n_end], class_n]) + 0.5
     unigram /= unigram.sum()
-    start, move, emit = train(training, vocabulary, kinds, unigram, pairs, rounds if total else 0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known_words = spark.sparkContext.broadcast(vocabulary)
+    texts = cut(docs.mapInArrow(coded(known_words), f"doc_id {kind}, key long, held_out boolean, symbols binary, rare array<struct<word:bigint,tf:int>>"))
+    start, move, emit = train(texts.where("not held_out").select("symbols"), kinds, unigram, pairs, rounds if total else 0)
     model = Model(vocabulary, np.log10(np.append(n_top, n_end) + 0.5), float(np.log10(total + 0.5 * (distinct + 1))), int(total), np.log10(class_n + 0.5 * (class_v + 1)), start, move, emit)
     shared = spark.sparkContext.broadcast(vars(model))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "held_out", "text", "key").mapInArrow(score_rows(shared), f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_rare long, top_known long, top_base double, chain double")
-    words_of = docs.select("text", "key").mapInArrow(rare_rows(shared), "word long, key long, tf int")
+    scored = texts.select("doc_id", "key", "held_out", "symbols").mapInArrow(score_rows(shared), f"doc_id {kind}, key long, held_out boolean, n_tokens long, n_rare long, top_known long, top_base double, chain double")
     # A text that occurs m times sends its words m times: its sums are divided by m.
-    found = words_of.join(rare.select("word", "n"), "word", "left")
+    found = texts.select("key", F.explode("rare").alias("x")).select("key", "x.word", "x.tf").join(rare.select("word", "n"), "word", "left")
     sums = found.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    copies = docs.groupBy("key").agg(F.count("*").alias("m"))
+    copies = texts.groupBy("key").agg(F.count("*").alias("m"))
     sums = cut(copies.join(sums, "key").select("key", "m", (F.col("rare_log") / F.col("m")).alias("rare_log"), F.expr("rare_known div m").alias("rare_known")))
     # Texts of many copies take their sums from a broadcast; they, and texts without rare words, are dealt
     # anywhere in the join of the others.
