@@ -1,0 +1,10 @@
+"""Operators over decisions, logs, ledgers and texts.
+
+Functions that run on executors are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .metrics import nll, scored
+from .metrics import scored
 
 #: Points, least and greatest temperature of the two grids in use.
 WIDE, NARROW = (120, 0.2, 20.0), (60, 0.25, 8.0)
@@ -22,18 +25,37 @@ def grid(points: int, low: float, high: float) -> list[float]:
     return [math.exp(math.log(low) + i * step) for i in range(points)]
 
 
-def grid_frame(spark: SparkSession, spec: tuple = WIDE) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(grid(*spec))), "gi int, t double")
-
-
 def grid_nll(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
     """Summed negative log-likelihood of each group at each temperature: rows (by, gi, t, nll, n).
 
-    Every decision meets every point of the grid, of fixed size; only partial sums are shuffled.
+    Each batch of decisions meets the grid in one matrix product of logarithms; only partial sums of a
+    fixed size for each group leave a task.
     """
-    points = F.broadcast(grid_frame(dec.sparkSession, spec))
-    at = scored(dec).select(*by, "p", "y").crossJoin(points)
-    return at.groupBy(*by, "gi", "t").agg(F.sum(nll(V.tempered(F.col("p"), F.col("t")), F.col("y"))).alias("nll"), F.count("*").alias("n"))
+    temperatures = grid(*spec)
+    rows = scored(dec).select(*by, "p", "y")
+    kinds, floor = dict(rows.dtypes), V.FLOOR
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inverse = 1.0 / np.array(temperatures)
+        for frame in batches:
+            width = frame["p"].str.len().to_numpy()
+            for k in np.unique(width):
+                own = frame[width == k]
+                logs = np.log(np.maximum(np.stack(own["p"].to_numpy()).astype(float), floor))
+                right = logs[np.arange(len(own)), own["y"].to_numpy(np.int64)]
+                nll = np.empty((len(own), len(inverse)))
+                for g, x in enumerate(inverse):
+                    share = np.exp(right * x) / np.exp(logs * x).sum(1)
+                    nll[:, g] = -np.log(np.maximum(share, floor))
+                groups = own.groupby(by, sort=False, dropna=False).indices if by else {(): np.arange(len(own))}
+                for key, at in groups.items():
+                    out = pd.DataFrame({"gi": np.arange(len(inverse), dtype=np.int32), "t": temperatures, "nll": nll[at].sum(0), "n": len(at)})
+                    for name, value in zip(by, key if isinstance(key, tuple) else (key,), strict=True):
+                        out[name] = value
+                    yield out[[*by, "gi", "t", "nll", "n"]]
+
+    found = rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", " * bool(by) + "gi int, t double, nll double, n long")
+    return found.groupBy(*by, "gi", "t").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
 
 
 def choose(sums: DataFrame, by: list[str], digits: int = 6) -> DataFrame:

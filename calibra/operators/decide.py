@@ -48,18 +48,26 @@ def option_gate(dec: DataFrame, oos_option: int) -> DataFrame:
     return dec.withColumn("conf_route", F.when(F.col("pred") == oos_option, F.lit(-1.0)).otherwise(F.col("conf")))
 
 
-def learn_then_test(dec: DataFrame, by: list[str], alpha: float, delta: float, points: int = 50) -> DataFrame:
+#: 25 linear steps from 0.50 to 0.98 and 25 logarithmic ones from 1 - 1e-2 to 1 - 1e-8.
+GRID = [round(0.5 + 0.02 * i, 4) for i in range(25)] + [1.0 - 10.0 ** -(2.0 + 0.25 * i) for i in range(25)]
+
+
+def learn_then_test(dec: DataFrame, by: list[str], alpha: float, delta: float, grid: list[float] | None = None) -> DataFrame:
     """The least threshold of a fixed grid whose error rate is proven below alpha, with Bonferroni's
-    share of delta for each point; null if none is."""
-    rows = scored(dec).select(*by, F.least(F.floor(F.col("conf") * points), F.lit(points - 1)).cast("int").alias("g"), (1 - F.col("correct")).alias("e"))
-    sums = rows.groupBy(*by, "g").agg(F.count("*").alias("m"), F.sum("e").alias("e"))
-    spark = dec.sparkSession
-    grid = spark.range(points).select(F.col("id").cast("int").alias("i"))
-    at = sums.join(F.broadcast(grid), F.col("g") >= F.col("i")).groupBy(*by, "i").agg(F.sum("m").alias("accepted"), F.sum("e").alias("errors"))
-    tested = at.withColumn("p", binomial_cdf(F.col("errors"), F.col("accepted"), F.lit(alpha)))
-    ok = F.col("p") <= delta / points
-    best = tested.groupBy(*by).agg(F.min(F.when(ok, F.struct("i", "accepted", "errors"))).alias("b"), F.sum(F.when(F.col("i") == 0, F.col("accepted"))).alias("n"))
-    return best.select(*by, (F.col("b.i") / F.lit(float(points))).alias("threshold"), F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.errors", F.lit(0)).alias("errors"))
+    share of delta for each point; with what it accepts. Null, 0 and 0 if none is."""
+    points = sorted(set(GRID if grid is None else grid))
+    place = sum((F.when(F.col("conf") >= t, 1).otherwise(0) for t in points), F.lit(0))
+    rows = scored(dec).select(*by, place.alias("_g"), (1 - F.col("correct")).alias("_e"))
+    sums = rows.groupBy(*by, "_g").agg(F.count("*").alias("_m"), F.sum("_e").alias("_e"))
+    table = dec.sparkSession.createDataFrame(list(enumerate(points, 1)), "_i int, _t double")
+    at = sums.join(F.broadcast(table), F.col("_g") >= F.col("_i")).groupBy(*by, "_i", "_t").agg(F.sum("_m").alias("accepted"), F.sum("_e").alias("errors"))
+    proven = binomial_cdf(F.col("errors"), F.col("accepted"), F.lit(alpha)) <= delta / len(points)
+    tested = at.withColumn("_ok", proven)
+    best = tested.where("_ok").groupBy(*by).agg(F.min(F.struct("_t", "accepted", "errors")).alias("_b"))
+    whole = sums.groupBy(*by).agg(F.sum("_m").alias("n"))
+    found = whole.join(best, by, "left") if by else whole.crossJoin(F.broadcast(best))
+    accepted, errors = F.coalesce("_b.accepted", F.lit(0)), F.coalesce("_b.errors", F.lit(0))
+    return found.select(*by, "n", F.col("_b._t").alias("threshold"), accepted.alias("accepted"), errors.alias("errors"), (accepted / F.col("n")).alias("coverage"), F.when(accepted > 0, errors / accepted).alias("risk"))
 
 
 def accepted_curve(dec: DataFrame, by: list[str]) -> DataFrame:

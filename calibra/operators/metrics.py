@@ -35,7 +35,7 @@ def point_scores(dec: DataFrame, by: list[str]) -> DataFrame:
         F.avg("conf").alias("mean_conf"),
         F.avg(high.cast("int")).alias("share_high"),
         F.avg(F.when(high, F.col("correct"))).alias("acc_high"),
-        F.count_distinct(F.round("conf", 4)).alias("distinct_conf"),
+        F.count_distinct(F.round("conf", 6)).alias("distinct_conf"),
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,31 +74,106 @@ def duplicates(df: DataFrame, text: str, ident: str) -> DataFrame:
     return rows.join(exact, "_t").join(alike, "_n").select(ident, "exact", "normalized")
 
 
+#: Distinct grams of all queries that are broadcast, at most; beyond it, grams are joined.
+QUERY_GRAMS = 2_000_000
+
+
 def best_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str, grams) -> DataFrame:
     """For each query the pool text of greatest Jaccard similarity of gram sets, least id if tied.
 
-    The pool's grams are first cut to those the queries have (full set sizes are kept), so common
-    grams of the pool never meet each other.
+    The queries' grams go to each task as an inverted index, if they are few enough; a pool text then
+    counts what it shares with every query in one pass, and only each task's best leaves it.
     """
+    hashed = lambda df, ident: df.select(F.col(ident).cast("long").alias("_id"), F.transform(grams(F.col("text")), lambda x: F.xxhash64(x)).alias("_g"))
+    q = hashed(queries, query_id)
+    if (q.agg(F.sum(F.size("_g"))).first()[0] or 0) > QUERY_GRAMS:
+        return joined_match(queries, pool, query_id, pool_id, grams)
+    rows = q.collect()
+    ids, sizes = np.array([r["_id"] for r in rows], np.int64), np.array([len(r["_g"]) for r in rows], np.int64)
+    gram = np.array([x for r in rows for x in r["_g"]], np.int64)
+    order = np.argsort(gram, kind="stable")
+    owner = np.repeat(np.arange(len(rows)), sizes)[order]
+    known, first = np.unique(gram[order], return_index=True)
+    shared = pool.sparkSession.sparkContext.broadcast((ids, sizes, known, np.append(first, len(gram)), owner))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, known, first, owner = shared.value
+        best, whose = np.zeros(len(ids)), np.full(len(ids), np.iinfo(np.int64).max)
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(known) else 0, step):
+                part = batch.slice(at, step)
+                n = np.asarray(part.column("_g").value_lengths().fill_null(0)).astype(np.int64)
+                flat, text = np.asarray(part.column("_g").flatten()), np.repeat(np.arange(part.num_rows), n)
+                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                hit = known[place] == flat
+                place, text = place[hit], text[hit]
+                count = first[place + 1] - first[place]
+                total = int(count.sum())
+                where = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[place], count)
+                both = np.bincount(np.repeat(text, count) * len(ids) + owner[where], minlength=part.num_rows * len(ids)).reshape(part.num_rows, -1)
+                similarity = both / np.maximum(n[:, None] + sizes - both, 1)
+                top = similarity.max(0)
+                names = np.asarray(part.column("_id"))[:, None]
+                least = np.where((similarity == top) & (both > 0), names, np.iinfo(np.int64).max).min(0)
+                better = (top > best) | ((top == best) & (top > 0) & (least < whose))
+                best, whose = np.where(better, top, best), np.where(better, least, whose)
+        some = best > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, whose, best)], ["q", "p", "j"])
+
+    found = hashed(pool, pool_id).mapInArrow(run, "q long, p long, j double")
+    least = found.groupBy("q").agg(F.max(F.struct("j", (-F.col("p")).alias("k"))).alias("b"))
+    return least.select(F.col("q").alias(query_id), (-F.col("b.k")).alias(pool_id), F.col("b.j").alias("jaccard"))
+
+
+def joined_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str, grams) -> DataFrame:
+    """best_match by a join on grams, whatever the number of queries."""
     q = queries.select(query_id, grams(F.col("text")).alias("_g")).withColumn("_qn", F.size("_g"))
     p = pool.select(pool_id, grams(F.col("text")).alias("_g")).withColumn("_pn", F.size("_g"))
-    qg = q.select(query_id, "_qn", F.explode("_g").alias("_x"))
-    pg = p.select(pool_id, "_pn", F.explode("_g").alias("_x")).join(qg.select("_x").distinct(), "_x", "left_semi")
+    qg, pg = q.select(query_id, "_qn", F.explode("_g").alias("_x")), p.select(pool_id, "_pn", F.explode("_g").alias("_x"))
     pairs = qg.join(pg, "_x").groupBy(query_id, pool_id, "_qn", "_pn").agg(F.count("*").alias("both"))
     sim = F.col("both") / (F.col("_qn") + F.col("_pn") - F.col("both"))
     best = pairs.withColumn("jaccard", sim).groupBy(query_id).agg(F.max(F.struct("jaccard", (-F.col(pool_id)).alias("k"))).alias("b"))
     return best.select(query_id, (-F.col("b.k")).alias(pool_id), F.col("b.jaccard").alias("jaccard"))
 
 
-def contained(pool: DataFrame, corpus: DataFrame, pool_id: str, corpus_id: str, length: int = 120, key: int = 24) -> DataFrame:
+#: Pool texts that one pass over the corpus looks for.
+HEADS = 20_000
+
+
+def contained(pool: DataFrame, corpus: DataFrame, pool_id: str, corpus_id: str, length: int = 120) -> DataFrame:
     """Pairs (pool_id, corpus_id) where the first `length` normalized characters of a pool text lie in
-    a corpus text. An equi-join on one word of the pool text (its longest) proposes, containment
-    decides: no text meets all others."""
-    a = pool.select(pool_id, F.substring(norm(F.col("text")), 1, length).alias("_h")).where("_h <> ''")
-    whole = F.filter(F.split("_h", " "), lambda x, i: (x != "") & ((i < F.size(F.split("_h", " ")) - 1) | (F.size(F.split("_h", " ")) == 1)))
-    a = a.withColumn("_k", F.array_max(F.transform(whole, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
-    a = a.withColumn("_single", F.size(F.split("_h", " ")) == 1)
-    b = corpus.select(corpus_id, norm(F.col("text")).alias("_t"))
-    words = b.select(corpus_id, F.explode(F.array_distinct(F.split("_t", " "))).alias("_k")).join(a.where("not _single").select("_k").distinct(), "_k", "left_semi")
-    pairs = a.where("not _single").select(pool_id, "_h", "_k").join(words, "_k").join(b, corpus_id).where(F.contains("_t", F.col("_h")))
-    return pairs.select(pool_id, corpus_id)
+    a corpus text, at word edges or not. The pool is the query set: its heads are looked for in one
+    pass over the corpus, HEADS of them at a time, by an automaton over all of them. Heads without a
+    character match nothing.
+    """
+    heads = pool.select(F.col(pool_id).cast("long").alias("_id"), F.substring(norm(F.col("text")), 1, length).alias("_h")).where("_h <> ''")
+    blocks = max(1, -(-heads.count() // HEADS))
+    texts = corpus.select(F.col(corpus_id).cast("long").alias("_id"), norm(F.col("text")).alias("_t")).where("_t is not null")
+    out = None
+    for block in range(blocks):
+        wanted: dict[str, list[int]] = {}
+        for r in heads.where(F.pmod(F.xxhash64("_h"), F.lit(blocks)) == block).collect():
+            wanted.setdefault(r["_h"], []).append(r["_id"])
+        found = texts.mapInArrow(_search(pool.sparkSession.sparkContext.broadcast(wanted)), f"`{pool_id}` long, `{corpus_id}` long")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _search(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for head, ids in shared.value.items():
+            automaton.add_word(head, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            left, right = [], []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = {i for _, ids in automaton.iter(text) for i in ids} if len(automaton) else ()
+                left.extend(hits)
+                right.extend([ident] * len(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run

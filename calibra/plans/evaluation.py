@@ -45,7 +45,7 @@ def flagship_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("""select model, type, count(*) as n, round(avg(correct), 6) as accuracy, round(avg(conf), 6) as mean_conf, round(avg((conf >= 0.9)::int), 6) as share_high,
- round(avg(correct) filter (where conf >= 0.9), 6) as acc_high, count(distinct round(conf, 4)) as distinct_conf,
+ round(avg(correct) filter (where conf >= 0.9), 6) as acc_high, count(distinct round(conf, 6)) as distinct_conf,
  round(avg(-ln(greatest(case y when 0 then p0 when 1 then p1 else p2 end, 1e-6))), 6) as nll,
  round(avg(-ln(greatest(case y when 0 then p0 when 1 then p1 else p2 end, 1e-6) / (greatest(p0, 1e-6) + greatest(p1, 1e-6) + greatest(p2, 1e-6)))), 6) as nll_norm,
  round(avg(pow(p0 - (y = 0)::int, 2) + pow(p1 - (y = 1)::int, 2) + pow(p2 - (y = 2)::int, 2)), 6) as brier from dec group by all"""))
@@ -129,9 +129,9 @@ def a29_a30_position_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(metrics.position_shares(_judged(spark, sf_dir), ["model"], 3))
 
 
-@query(_sql("select model, count(*) as n, round(avg((conf >= 0.75)::int), 6) as saturated from dec group by model"))
+@query(_sql("select model, count(*) as n, round(avg((conf >= 0.999)::int), 6) as saturated from dec group by model"))
 def a44_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(_judged(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("conf") >= 0.75).cast("int")).alias("saturated")))
+    return _r(_judged(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("conf") >= 0.999).cast("int")).alias("saturated")))
 
 
 @query(_sql("select model, round(threshold, 6) as threshold, m, accepted, errors, round(coverage, 6) as coverage, round(risk, 6) as risk, n from rc where model = 'gamma'", _CURVE))
@@ -266,14 +266,8 @@ def r12_g16_j02_paired_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql(f"""select type, round(p, 6) as mcnemar_p, round(max(least(1.0::double, (m - rn + 1) * p)) over (order by p, type rows between unbounded preceding and current row), 6) as holm
- from (select *, row_number() over (order by p, type) as rn, count(*) over () as m from (select type, {_MC} as p from pc))""", _PAIR.replace("b.model = 'beta'", "b.model = 'beta' and a.item % 40 = 1")))
+ from (select *, row_number() over (order by p, type) as rn, count(*) over () as m from (select type, {_MC} as p from pc))""", _PAIR))
 def w04_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that its SQL reads; w04_holm_whole reads all."""
-    return _holm(_judged(spark, sf_dir).where("item % 40 = 1"))
-
-
-@query()
-def w04_holm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _holm(_judged(spark, sf_dir))
 
 
@@ -290,14 +284,8 @@ def r13_r14_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("""select model, type, k::bigint as k, n, round((select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3::double) + (n - i) * ln(0.7::double))) from range(k::bigint + 1) r(i)), 6) as cdf
- from (select model, type, sum(1 - correct) as k, count(*) as n from dec where item % 16 = 0 group by all)"""))
+ from (select model, type, sum(1 - correct) as k, count(*) as n from dec group by all)"""))
 def r15_binomial_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that its SQL reads; r15_binomial_cdf_whole reads all."""
-    return _binomial_cdf(_judged(spark, sf_dir).where("item % 16 = 0"))
-
-
-@query()
-def r15_binomial_cdf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _binomial_cdf(_judged(spark, sf_dir))
 
 
@@ -320,29 +308,14 @@ def _cascade(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame
     return a.join(b, "item")
 
 
-_FEW = _CASC.replace("b.model = 'alpha'", "b.model = 'alpha' and a.item % 9 = 0")
-
-
-@query(_sql("select type, round(tau, 9) as tau, rt::bigint as 'right', escalated, n from (select *, row_number() over (partition by type order by rt desc, tau) as r from cv) where r = 1", _FEW))
+@query(_sql("select type, round(tau, 9) as tau, rt::bigint as 'right', escalated, n from (select *, row_number() over (partition by type order by rt desc, tau) as r from cv) where r = 1", _CASC))
 def g02_w05_w06_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that its SQL reads; g02_w05_w06_best_threshold_whole reads all."""
-    return _r(curves.best_threshold(curves.cascade_curve(_cascade(spark, sf_dir, "item % 9 = 0"), ["type"]), ["type"]), 9)
-
-
-@query()
-def g02_w05_w06_best_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(curves.best_threshold(curves.cascade_curve(_cascade(spark, sf_dir), ["type"]), ["type"]), 9)
 
 
 @query(_sql("""select type, round(max(rt)::double / max(n), 6) as best_accuracy, round(min(escalated::double / n) filter (where rt >= k2), 6) as match, round(min(escalated::double / n) filter (where rt >= 0.95::double * k2), 6) as retain95,
- round(min(escalated::double / n) filter (where rt >= 0.99::double * k2), 6) as retain99 from cv join (select type, sum(c2) as k2 from cp group by type) using (type) group by type""", _FEW))
+ round(min(escalated::double / n) filter (where rt >= 0.99::double * k2), 6) as retain99 from cv join (select type, sum(c2) as k2 from cp group by type) using (type) group by type""", _CASC))
 def g03_cascade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that its SQL reads; g03_cascade_summary_whole reads all."""
-    return _cascade_summary(_cascade(spark, sf_dir, "item % 9 = 0"))
-
-
-@query()
-def g03_cascade_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cascade_summary(_cascade(spark, sf_dir))
 
 
@@ -392,17 +365,15 @@ def g10_option_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("model").agg(F.count_if(go).alias("routed"), F.count_if(go & (F.col("correct") == 0)).alias("errors"))
 
 
-@query(_sql("""select model, round(threshold, 6) as threshold, coalesce(accepted, 0)::bigint as accepted, coalesce(errors, 0)::bigint as errors from (select distinct model from dec) left join
- (select model, i / 50.0::double as threshold, accepted, errors from (select *, row_number() over (partition by model order by i) as r from lt where (select sum(exp(lgamma(accepted + 1) - lgamma(k + 1) - lgamma(accepted - k + 1) + k * ln(0.2::double) + (accepted - k) * ln(0.8::double))) from range(errors::bigint + 1) x(k)) <= 0.1 / 50) where r = 1) using (model)""",
- "lt as (select model, i, count(*) as accepted, sum(1 - correct) as errors from (select *, least(floor(conf * 50), 49)::int as g from dec where item % 4 = 0), range(50) t(i) where g >= i group by model, i)"))
-def g11_learn_then_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items that its SQL reads; g11_learn_then_test_whole reads all."""
-    return _r(decide.learn_then_test(_judged(spark, sf_dir).where("item % 4 = 0"), ["model"], 0.2, 0.1))
+_LTT = """pts as (select round(0.5 + 0.02 * i, 4)::double as t from range(25) r(i) union all select 1.0::double - pow(10.0::double, -(2.0 + 0.25 * i)) from range(25) r(i)),
+lt as (select model, t, count(*) as accepted, sum(1 - correct)::bigint as errors from dec, pts where conf >= t group by model, t),
+ok as (select *, row_number() over (partition by model order by t) as r from lt where (select sum(exp(lgamma(accepted + 1) - lgamma(k + 1) - lgamma(accepted - k + 1) + k * ln(0.2::double) + (accepted - k) * ln(0.8::double))) from range(errors + 1) x(k)) <= 0.1::double / 50)"""
 
 
-@query()
-def g11_learn_then_test_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(decide.learn_then_test(_judged(spark, sf_dir), ["model"], 0.2, 0.1))
+@query(_sql("""select model, n, round(t, 8) as threshold, coalesce(accepted, 0)::bigint as accepted, coalesce(errors, 0)::bigint as errors, round(coalesce(accepted, 0)::double / n, 8) as coverage, round(errors::double / accepted, 8) as risk
+ from (select model, count(*) as n from dec group by model) left join (select * from ok where r = 1) using (model)""", _LTT))
+def g11_learn_then_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.learn_then_test(_judged(spark, sf_dir), ["model"], 0.2, 0.1), 8)
 
 
 @query(_sql("select type as k, count(*) as n, round(avg(correct), 6) as accuracy, round(max(avg(correct)) over () - avg(correct), 6) + 0.0 as drop_from_best from dec where model = 'beta' group by type"))

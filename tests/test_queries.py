@@ -6,7 +6,7 @@ import decimal
 
 import duckdb
 import pytest
-from conftest import SF
+from support import SF
 
 from calibra import catalog
 

@@ -1,42 +1,16 @@
-"""Queries whose SQL reads some ids only have a whole-table version; it meets all rows."""
+"""Queries without SQL, over all rows."""
 
 from __future__ import annotations
 
 import math
 
 import pytest
-from conftest import SF
-from test_queries import duck, normal  # noqa: F401  duck is a fixture
+from support import SF
 
 from calibra import catalog
 from calibra.operators import significance
 from calibra.plans.derived import decisions, judged
 
-#: Query, and what its SQL says about ids.
-FILTERS = {
-    "w04_holm": [" and a.item % 40 = 1"],
-    "r15_binomial_cdf": [" where item % 16 = 0"],
-    "g02_w05_w06_best_threshold": [" and a.item % 9 = 0"],
-    "g03_cascade_summary": [" and a.item % 9 = 0"],
-    "g11_learn_then_test": [" where item % 4 = 0"],
-    "j07_only_failures": ["key % 2 = 0 and "],
-    "n01_n17_ledger_violations": ["o_orderkey < 400 and ", " where o_orderkey < 400"],
-}
-
-
-@pytest.mark.parametrize("name", sorted(FILTERS))
-def test_whole_table(spark, duck, name):  # noqa: F811
-    sql = catalog.oracle_sql()[name]
-    for f in FILTERS[name]:
-        assert f in sql
-        sql = sql.replace(f, "")
-    df = catalog.queries()[name + "_whole"](spark, SF)
-    rows = [tuple(r) for r in df.collect()]
-    found = duck.execute(sql)
-    columns = [d[0] for d in found.description]
-    assert sorted(df.columns) == sorted(columns)
-    assert normal(rows, df.columns) == normal(found.fetchall(), columns)
-
 
 def test_clopper_pearson_counts_all_decisions(spark):
     rows = catalog.queries()["r13_r14_clopper_pearson"](spark, SF).collect()
