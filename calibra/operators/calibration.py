@@ -60,10 +60,10 @@ def grid_nll(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
 
 def choose(sums: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     """The temperature of least NLL, the first if tied (to `digits`, as sums depend on their order)."""
-    best = sums.groupBy(*by).agg(F.min(F.struct(F.round("nll", digits).alias("v"), "gi", "t")).alias("b"), F.max("n").alias("n"))
+    best = sums.groupBy(*by).agg(F.min(F.struct(F.round("nll", digits).alias("v"), "gi", "t")).alias("_b"), F.max("n").alias("n"))
     last = F.max("gi")
     edge = sums.agg(last.alias("last"))
-    return best.crossJoin(F.broadcast(edge)).select(*by, F.col("b.t").alias("temperature"), F.col("b.gi").alias("gi"), "n", F.col("b.gi").isin(0).alias("at_low"), (F.col("b.gi") == F.col("last")).alias("at_high"))
+    return best.crossJoin(F.broadcast(edge)).select(*by, F.col("_b.t").alias("temperature"), F.col("_b.gi").alias("gi"), "n", F.col("_b.gi").isin(0).alias("at_low"), (F.col("_b.gi") == F.col("last")).alias("at_high"))
 
 
 def fit(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:

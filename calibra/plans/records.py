@@ -602,19 +602,6 @@ def g26_claim_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(kind.alias("kind")).agg(F.when(ratio >= 1.1, "worse").when(ratio <= 0.9, "better").otherwise("alike").alias("direction"))
 
 
-_KL = "nodes as (select l_orderkey as item, l_linenumber as opt, sum(ln((1 + l_quantity) / 60.0::double) + ln((1 + l_discount * 10) / 12.0::double)) as lp from lineitem group by 1, 2)"
-
-
-@query(f"with {_KL} select item, opt, round(exp(lp - mx) / sum(exp(lp - mx)) over (partition by item), 6) as p from (select *, max(lp) over (partition by item) as mx from nodes)")
-def g23_g24_p25_key_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities of an option's tokens summed, then a softmax over the item's options."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("opt"), F.array(F.ln((1 + F.col("l_quantity")) / 60.0), F.ln((1 + F.col("l_discount") * 10) / 12.0)).alias("lps"))
-    nodes = line.select("item", "opt", F.explode("lps").alias("lp")).groupBy("item", "opt").agg(F.sum("lp").alias("lp"))
-    w = Window.partitionBy("item")
-    e = nodes.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(w)))
-    return _r(e.select("item", "opt", (F.col("e") / F.sum("e").over(w)).alias("p")))
-
-
 _CAP = 60
 
 
