@@ -147,3 +147,39 @@ def resumable(spark, requests: DataFrame, path: str, scorer, schema: str, key: l
     if n:
         rest.mapInPandas(run, schema).write.mode("append").parquet(path)
     return n
+
+
+def outcome(error: Column, reply: Column) -> Column:
+    """What became of a line: error, refusal, truncated (an object that never closes), unparseable,
+    empty (no mass), percent (sums to about a hundred), not_normalized, answered."""
+    found = F.from_json(reply, "map<string,double>")
+    mass = F.aggregate(F.map_values(found), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    said = F.lower(F.trim(reply))
+    refused = said.rlike(r"^(i'm sorry|i am sorry|i can't|i cannot|sorry)")
+    return (
+        F.when(error.isNotNull(), "error").when(refused, "refusal").when(F.startswith(said, F.lit("{")) & ~F.contains(said, F.lit("}")), "truncated").when(found.isNull() | (F.size(found) == 0), "unparseable")
+        .when(mass <= 0, "empty").when(F.abs(mass - 100) <= 1, "percent").when(F.abs(mass - 1) > 0.01, "not_normalized").otherwise("answered"))
+
+
+def micro_batches(rows: DataFrame, by: list[str], length: str, tie: str, budget: int) -> DataFrame:
+    """Rows with a batch number in their group: by length, cut where the greatest length times the number
+    of rows would pass the budget. Each step depends on the last, so a group is folded as one array of
+    its lengths; groups are what one worker would batch, not whole tables."""
+    kind = "struct<out:array<struct<n:long,t:long,batch:int>>,batch:int,rows:long>"
+    start = F.struct(F.array().cast("array<struct<n:long,t:long,batch:int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).cast("long").alias("rows")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        # Lengths ascend, so the row at hand is the longest.
+        fresh = (acc["rows"] > 0) & (x["n"] * (acc["rows"] + 1) > budget)
+        batch = (acc["batch"] + F.when(fresh, 1).otherwise(0)).cast("int")
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["n"].alias("n"), x["t"].alias("t"), batch.alias("batch")))).alias("out"), batch.alias("batch"), F.when(fresh, 1).otherwise(acc["rows"] + 1).cast("long").alias("rows")).cast(kind)
+
+    listed = F.array_sort(F.collect_list(F.struct(F.col(length).cast("long").alias("n"), F.col(tie).cast("long").alias("t"))))
+    folded = rows.groupBy(*by).agg(F.aggregate(listed, start, step)["out"].alias("x"))
+    return folded.select(*by, F.explode("x").alias("x")).select(*by, F.col("x.t").alias(tie), F.col("x.n").alias(length), F.col("x.batch").alias("batch"))
+
+
+def at_utilization(log: DataFrame, by: list[str], seconds: str, price: float, used: float) -> DataFrame:
+    """Machine hours, their cost at full use, and at a share of use."""
+    hours = F.sum(seconds) / 3600.0
+    return log.groupBy(*by).agg(hours.alias("hours"), (price * hours).alias("usd_full"), (price * hours / used).alias("usd_used"))

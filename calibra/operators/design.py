@@ -67,3 +67,26 @@ def single_group(labels: Column, groups: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
     found = F.array_distinct(F.filter(F.transform(labels, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()))
     return F.when(F.size(found) == 1, found[0])
+
+
+def hierarchical(items: DataFrame, item: str, gold: str, domains: dict[str, str], seed: str, option_seed: str) -> DataFrame:
+    """Rows (item, stage, option, gold, place): the domains in a drawn order, then the options of the gold
+    option's domain. domains: option -> domain."""
+    names = sorted(set(domains.values()))
+    table = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair])
+    home = F.element_at(table, F.col(gold))
+    place = lambda drawn: (F.row_number().over(Window.partitionBy(item).orderBy(drawn, "option")) - 1).cast("int")
+    # Domains are drawn by their numbers.
+    first = items.select(item, home.alias("_home"), F.posexplode(F.array(*map(F.lit, names))).alias("_i", "option"))
+    first = first.select(item, F.lit("domain").alias("stage"), "option", (F.col("option") == F.col("_home")).alias("gold"), place(draw(seed, F.col(item), F.col("_i"))).alias("place"))
+    second = items.select(item, F.col(gold).alias("_gold"), home.alias("_home"), F.explode(table).alias("option", "_domain")).where("_domain = _home")
+    second = second.select(item, F.lit("option").alias("stage"), "option", (F.col("option") == F.col("_gold")).alias("gold"), place(draw(option_seed, F.col(item), F.col("option"))).alias("place"))
+    return first.union(second)
+
+
+def shuffled(df: DataFrame, label: list[str], ident: str, seed: str, cap: int) -> DataFrame:
+    """A drawn write order: each label's first `cap`, then the first `cap` of all, with their places (a
+    sampling operator: the cap is its purpose)."""
+    own = stratified(df, label, ident, cap, seed)
+    few = own.withColumn("_h", draw(seed, F.col(ident))).orderBy("_h", ident).limit(cap)
+    return few.withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", ident)) - 1).cast("int")).drop("_h")  # at most `cap` rows

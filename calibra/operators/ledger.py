@@ -57,10 +57,14 @@ def grade_problems(rob: DataFrame, ledger: DataFrame) -> DataFrame:
     return own.union(again).union(orphans)
 
 
-@F.pandas_udf("string")
-def compatible(text: pd.Series) -> pd.Series:
+def compatible(text: Column) -> Column:
     """Compatibility forms (NFKC): ligatures, wide digits and the like as plain characters."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf("string")
+    def forms(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return forms(text)
 
 
 def excerpt_text(text: Column) -> Column:
@@ -197,7 +201,8 @@ def card_license(text: Column) -> Column:
     """The license of a card's front matter: a value, or a list of `- ` lines as they stand; null without one."""
     value = F.regexp_extract(text, r"(?m)^license:[ \t]*(\S.*)$", 1)
     items = F.regexp_extract(text, r"(?m)^license:[ \t]*\n((?:- .*\n)+)", 1)
-    return F.when(value != "", F.trim(value)).when(items != "", F.trim(items))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(value != "", strip(value)).when(items != "", strip(items))
 
 
 def census(rows: DataFrame, checks: DataFrame) -> DataFrame:
@@ -207,7 +212,7 @@ def census(rows: DataFrame, checks: DataFrame) -> DataFrame:
     at = rows.join(c, "id", "left")
     checked = F.col("_v").isNotNull()
     tier = F.when(checked, F.trim("_v")).otherwise(F.col("tier"))
-    return at.select("id", tier.alias("tier"), F.when(checked, F.coalesce("_r", F.lit(""))).otherwise(F.col("relation")).alias("relation"), F.when(checked, F.trim("_f")).when(F.col("tier") == "T1", F.coalesce("family", "id")).otherwise(F.lit("")).alias("family"), checked.alias("checked"))
+    return at.select("id", tier.alias("tier"), F.when(checked, F.coalesce("_r", F.lit(""))).otherwise(F.col("relation")).alias("relation"), F.when(checked, F.trim("_f")).when(F.col("tier") == "T1", F.coalesce("family", F.col("id").cast("string"))).otherwise(F.lit("")).alias("family"), checked.alias("checked"))
 
 
 def head_counts(families: DataFrame, codes: DataFrame, panels: list[str]) -> DataFrame:
