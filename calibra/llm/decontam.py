@@ -50,17 +50,23 @@ def lanes(h: Column, bits: int) -> list[Column]:
     return out
 
 
-def simhashes(df: DataFrame, by: list[str], width: int = LANE_BITS) -> DataFrame:
-    """Of rows (by..., g), a row for each group with n (its rows) and simhash (bits set in over half)."""
+def simhash(shingles: Column, width: int = LANE_BITS) -> Column:
+    """Of an array of shingles' lanes (structs l0, l1, ...) the bits set in over half of them."""
     count = 63 // width
     names = [f"l{i}" for i in range(-(-64 // count))]
-    sums = df.select(*by, *[x.alias(n) for x, n in zip(lanes(F.col("g"), width), names, strict=True)]).groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in [*names, "n"]) + ">"
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in [*names, "n"]]).cast(kind)
     mask = (1 << width) - 1
-    bits = []
-    for b in range(64):
-        on = F.shiftright(F.col(names[b // count]), width * (b % count)).bitwiseAND(F.lit(mask))
-        bits.append(F.when(2 * on > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*by, "n", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("simhash"))
+
+    def bits(sums: Column) -> Column:
+        on = [F.when(2 * F.shiftright(sums[names[b // count]], width * (b % count)).bitwiseAND(F.lit(mask)) > sums["n"], F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64)]
+        return reduce(lambda x, y: x.bitwiseOR(y), on)
+
+    return F.aggregate(shingles, start, lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in names], (acc["n"] + 1).alias("n")), bits)
+
+
+def laned(shingles: Column, width: int = LANE_BITS) -> Column:
+    return F.transform(shingles, lambda g: F.struct(*[x.alias(f"l{i}") for i, x in enumerate(lanes(g, width))]))
 
 
 def blocks(simhash: Column) -> Column:
@@ -99,35 +105,45 @@ def plain_name(column: str) -> str:
 
 def matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The matches of items whose shingles have k words."""
-    listed = items.withColumn("g", F.explode(shingle_list(F.col("w"), k))).select("item", "item_id", "size", "g")
-    item_counts = cut(listed.groupBy("item", "item_id", "size", "g").agg(F.count("*").alias("n")))
     greatest = items.agg(F.max("size")).first()[0]
     width = LANE_BITS if greatest < 1 << LANE_BITS else greatest.bit_length()
-    prints = cut(simhashes(listed, ["item", "size"], width))
+    shingled = items.select("item", "item_id", "size", shingle_list(F.col("w"), k).alias("g"))
+    prints = cut(shingled.select("item", "size", F.array_distinct("g").alias("own"), simhash(laned(F.col("g"), width), width).alias("item_simhash")))
+    item_counts = cut(shingled.select("item", "size", F.explode("g").alias("g")).groupBy("item", "size", "g").agg(F.count("*").alias("n")))
 
-    # All the item-sized windows around shingles shared with an item of that size.
+    # Shingles shared with an item of a size, by document; and all the windows of that size around them.
     places = docs.select("doc_id", "key", F.posexplode(shingle_list(word_list("text"), k)).alias("at", "g"))
-    hits = cut(places.join(small(item_counts.select("g", "size").distinct()), "g").select("doc_id", "key", "at", "size"))
-    worded = semi(docs, hits.select("key").distinct(), "key").withColumn("w", word_list("text")).select("doc_id", "key", F.size("w").alias("m"), shingle_list(F.col("w"), k).alias("s")).dropDuplicates(["doc_id", "key"])
-    lengths = worded.select("doc_id", "key", "m")
-    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.key") == F.col(f"{y}.key"))
-    near = hits.alias("h").join(lengths.alias("l"), same("h", "l")).select("h.*", "m")
-    last = F.greatest(F.col("m") - F.col("size"), F.lit(0))
-    low, high = F.least(F.greatest(F.col("at") - F.col("size") + k, F.lit(0)), last), F.least(F.col("at"), last)
-    spans = cut(near.select("doc_id", "key", "size", F.explode(F.sequence(low, high)).alias("start")).distinct())
-    windows = spans.alias("p").join(worded.alias("d"), same("p", "d")).select("p.*", F.slice("s", F.col("start") + 1, F.col("size") - k + 1).alias("s"))
-    hashed = simhashes(windows.select("doc_id", "key", "size", "start", F.explode("s").alias("g")), ["doc_id", "key", "size", "start"], width)
-
-    # Candidates: windows and items of one size that agree in a block, then those within the radius.
-    dealt = hashed.withColumn("x", F.explode(blocks(F.col("simhash"))))
-    index = prints.select("item", "size", F.col("simhash").alias("item_simhash"), F.explode(blocks(F.col("simhash"))).alias("x"))
-    near = dealt.join(small(index), ["size", "x"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS)
-    near = cut(near.select("doc_id", "key", "item", "size", "start").distinct())
+    hits = places.join(small(item_counts.select("g", "size").distinct()), "g").groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("hits"))
+    hits = cut(hits.withColumn("d", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))))
+    texts = semi(docs, hits.select("key").distinct(), "key").withColumn("d", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)))
+    worded = texts.join(hits, ["doc_id", "d", "key"]).withColumn("w", word_list("text")).select("doc_id", "d", "key", "hits", F.size("w").alias("m"), shingle_list(F.col("w"), k).alias("s"))
+    # Few bytes, but many windows to come: a fixed number of tasks, which isn't cut down by their size.
+    worded = cut(worded.dropDuplicates(["doc_id", "d", "key"]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def around(h: Column) -> Column:
+        last = F.greatest(F.col("m") - h["size"], F.lit(0))
+        low, high = F.least(F.greatest(h["at"] - h["size"] + k, F.lit(0)), last), F.least(h["at"], last)
+        return F.transform(F.sequence(low, high), lambda at: F.struct(at.alias("start"), h["size"].alias("size")))
+
+    spans = worded.withColumn("l", laned(F.col("s"), width)).withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform("hits", around)))))
+    part = lambda c: F.slice(c, F.col("x.start") + 1, F.col("x.size") - k + 1)
+    windows = spans.select("doc_id", "d", "key", "x.size", "x.start", simhash(part("l"), width).alias("simhash"))
+
+    # Candidates: windows and items of one size that agree in a block, each at the first block they
+    # agree in; of these the ones within the radius, and then those whose unshared shingles allow it.
+    dealt = windows.withColumn("x", F.explode(blocks(F.col("simhash"))))
+    index = prints.select("item", "size", "item_simhash", F.explode(blocks(F.col("item_simhash"))).alias("x"))
+    agree = F.zip_with(blocks(F.col("simhash")), blocks(F.col("item_simhash")), lambda x, y: x == y)
+    near = dealt.join(small(index), ["size", "x"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS).where(F.array_position(agree, True) - 1 == F.col("x.b"))
+    near = near.select("doc_id", "d", "key", "item", "size", "start").join(small(prints.select("item", "own")), "item")
+    near = near.join(worded.select("doc_id", "d", "key", "m", "s"), ["doc_id", "d", "key"]).withColumn("s", F.slice("s", F.col("start") + 1, F.col("size") - k + 1))
+    unshared = F.size(F.array_except("s", "own"))
+    near = near.where(F.size("s") - unshared >= SIMILARITY * (F.col("size") - k + 1 + unshared))
+    near = cut(near.select(F.when(~F.col("d"), F.col("doc_id")).alias("doc_id"), "key", "item", "size", "start", "m", "s"))
 
     # Exact weighted Jaccard: shared weight over the rest.
-    counts = near.alias("p").join(worded.alias("d"), same("p", "d")).select("p.*", "m", F.explode(F.slice("s", F.col("start") + 1, F.col("size") - k + 1)).alias("g"))
     by = ["doc_id", "key", "item", "size", "start", "m"]
-    counts = counts.groupBy(*by, "g").agg(F.count("*").alias("c"))
+    counts = near.select(*by, F.explode("s").alias("g")).groupBy(*by, "g").agg(F.count("*").alias("c"))
     joined = counts.join(small(item_counts.select("item", "g", "n")), ["item", "g"], "left")
     sums = joined.groupBy(*by).agg(F.sum("c").alias("here"), F.sum(F.least("c", F.coalesce("n", F.lit(0)))).alias("both"))
     sums = sums.withColumn("similarity", F.col("both") / (F.col("here") + F.col("size") - k + 1 - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
