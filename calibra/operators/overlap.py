@@ -74,6 +74,12 @@ def duplicates(df: DataFrame, text: str, ident: str) -> DataFrame:
     return rows.join(exact, "_t").join(alike, "_n").select(ident, "exact", "normalized")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as run at once, if it is read in fewer: for small files and long work a row."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.select(F.spark_partition_id()).distinct().count() < tasks else df
+
+
 #: Distinct grams of all queries that are broadcast, at most; beyond it, grams are joined.
 QUERY_GRAMS = 2_000_000
 
@@ -121,7 +127,7 @@ def best_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str,
         some = best > 0
         yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, whose, best)], ["q", "p", "j"])
 
-    found = hashed(pool, pool_id).mapInArrow(run, "q long, p long, j double")
+    found = hashed(spread(pool.select(pool_id, "text")), pool_id).mapInArrow(run, "q long, p long, j double")
     least = found.groupBy("q").agg(F.max(F.struct("j", (-F.col("p")).alias("k"))).alias("b"))
     return least.select(F.col("q").alias(query_id), (-F.col("b.k")).alias(pool_id), F.col("b.j").alias("jaccard"))
 
