@@ -32,3 +32,23 @@ def test_stages_on_awkward_and_empty_tables(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() > 0
         assert stage(spark, empty(spark).select(*cp.COLUMNS), SF).count() == 0
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], documents(spark).select(*cp.COLUMNS).schema)
+
+
+def test_near_duplicates_tell_rows_apart_by_id_and_text(spark):
+    """Against a plain version: one row of each group; no unique text is lost, no copy stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = " ".join(f"a{i}" for i in range(38)) + " z1 z2"
+    rows = [(1, a), (1, b), (1, b), (2, near), (None, c), (None, c), (3, c), (4, None), (4, ""), (5, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.one_of_each(spark, rows_of(spark, rows), SF).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (3, c), (4, None), (4, ""), (5, None)], key=repr)
+
+
+def test_benchmark_texts_go_whatever_their_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (1, item), (1, "one clean text of some words that no item holds"), (None, "another clean text"), (2, None)]
+    got = {(r["doc_id"], r["text"]) for r in cp.clean_of_benchmarks(spark, rows_of(spark, rows), SF).collect()}
+    assert got == {(1, rows[2][1]), (None, "another clean text"), (2, None)}
