@@ -240,7 +240,7 @@ def r09_r10_bootstrap_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def r01_r04_r05_refit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r01_r04_bootstrap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected calibration error of resampled clusters: bins are formed anew in each replicate."""
 
     def statistic(frame):
