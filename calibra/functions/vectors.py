@@ -48,8 +48,8 @@ def tempered(p: Column, temperature: Column | float) -> Column:
 
 
 def rounded(p: Column, digits: int = 2) -> Column:
-    """On a grid of decimals (half to even), renormalized; uniform if nothing is left."""
-    return rescaled(F.transform(p, lambda x: F.bround(x, digits)))
+    """On a grid of decimals (half to even, of the scaled double), renormalized; uniform if nothing is left."""
+    return rescaled(F.transform(p, lambda x: F.rint(x * 10**digits) / 10**digits))
 
 
 def at(p: Column, i: Column) -> Column:

@@ -140,8 +140,11 @@ def resumable(spark, requests: DataFrame, path: str, scorer, schema: str, key: l
                 except Exception as e:  # noqa: BLE001  any failure of a scorer is a line in the log
                     if turn == retries - 1:
                         out = pd.DataFrame({k: batch[k] for k in key})
-                        out["error"] = str(e)[:200]
-                        yield out.reindex(columns=[c.split()[0] for c in schema.split(", ")])
+                        out["error"] = pd.Series([str(e)[:200]] * len(out), dtype=object, index=out.index)
+                        for c in (c.split()[0] for c in schema.split(", ")):
+                            if c not in out:
+                                out[c] = pd.Series([None] * len(out), dtype=object, index=out.index)
+                        yield out[[c.split()[0] for c in schema.split(", ")]]
 
     n = rest.count()
     if n:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import running
+from .curves import coverage_at_risk, risk_coverage
 from .metrics import scored
-from .significance import binomial_cdf
+from .significance import binomial_cdf, clopper_pearson
 
 
 def merged(pairs: DataFrame, tau: float) -> DataFrame:
@@ -34,6 +35,19 @@ def realized(dec: DataFrame, by: list[str], thresholds: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.col("accepted") / F.col("n")).withColumn("risk", F.when(F.col("accepted") > 0, F.col("errors") / F.col("accepted")))
 
 
+def cross_fitted(dec: DataFrame, by: list[str], fold: str, folds: int, target: float) -> DataFrame:
+    """Coverage, errors and risk with its one-sided 95 % upper bound, when each fold is accepted by the
+    threshold that keeps the others' risk at most the target; a fold without one accepts none."""
+    rows = scored(dec)
+    others = F.filter(F.array(*map(F.lit, range(folds))), lambda k: k != F.col(fold))
+    train = rows.withColumn("_held", F.explode(others))
+    found = coverage_at_risk(risk_coverage(train, [*by, "_held"]), [*by, "_held"], target).select(*by, F.col("_held").alias(fold), F.col("threshold").alias("_t"))
+    take = F.coalesce(F.col("conf") >= F.col("_t"), F.lit(False))  # a threshold for each group and fold: few rows
+    out = rows.join(F.broadcast(found), [*by, fold], "left").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(take).alias("accepted"), F.count_if(take & (F.col("correct") == 0)).alias("errors"))
+    upper = clopper_pearson()(F.col("errors"), F.col("accepted"))["upper"]
+    return out.select("*", (F.col("accepted") / F.col("n")).alias("coverage"), F.when(F.col("accepted") > 0, F.col("errors") / F.col("accepted")).alias("risk"), upper.alias("risk_upper"))
+
+
 def intent_gate(dec: DataFrame, by: list[str], thresholds: DataFrame) -> DataFrame:
     """What a threshold accepts in scope, and falsely out of scope."""
     rows = dec.where(F.col("p").isNotNull()).join(F.broadcast(thresholds), by)

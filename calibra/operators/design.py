@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +49,23 @@ def neutral(options: Column) -> Column:
 NAMINGS = {"k01": ("0", "1"), "kny": ("no", "yes"), "kswap": ("yes", "no")}
 
 
-def renamed(items: DataFrame, item: str, positive: str, seed: str) -> DataFrame:
-    """Each binary item under every naming: rows (item, naming, negative_name, positive_name, label)."""
+def renamed(items: DataFrame, item: str, positive: str, seed: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each binary item under every naming: rows (item, naming, negative_name, positive_name, label, *carry)."""
     spark = items.sparkSession
     names = spark.createDataFrame([(k, *v) for k, v in NAMINGS.items()] + [("krand", None, None)], "naming string, neg string, pos string")
     rows = items.crossJoin(F.broadcast(names))  # four namings, fixed
     word = lambda side: F.translate(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(side), F.col(item).cast("string"))), 1, 5), "0123456789abcdef", "abcdefghijklmnop")
     neg, pos = F.coalesce("neg", word("neg")), F.coalesce("pos", word("pos"))
-    return rows.select(item, "naming", neg.alias("negative_name"), pos.alias("positive_name"), F.when(F.col(positive), pos).otherwise(neg).alias("label"))
+    return rows.select(item, "naming", neg.alias("negative_name"), pos.alias("positive_name"), F.when(F.col(positive), pos).otherwise(neg).alias("label"), *carry)
+
+
+def recast(rows: DataFrame, item: str, rule: Callable[[DataFrame], Column], seed: str) -> DataFrame:
+    """Binary questions that a rule finds in rows, under every naming. rule(rows) is a column of struct<positive:
+    boolean, soft: double> (soft: the positive option's probability, or null), or null to skip a row. Rows
+    (item, naming, options, label, positive_name, soft); soft is in the order of options."""
+    said = rows.select(item, rule(rows).alias("_b")).where("_b is not null").select(item, "_b.positive", "_b.soft")
+    out = renamed(said, item, "positive", seed, ("soft",))
+    return out.select(item, "naming", F.array("negative_name", "positive_name").alias("options"), "label", "positive_name", F.when(F.col("soft").isNotNull(), F.array(1 - F.col("soft"), F.col("soft"))).alias("soft"))
 
 
 def with_none_option(options: Column, label: Column, name: str) -> tuple[Column, Column]:

@@ -37,6 +37,18 @@ def balanced_folds(sizes: list[tuple[str, int]], k: int = FOLDS) -> dict[str, in
     return out
 
 
+def with_balanced_folds(df: DataFrame, group: str, k: int = FOLDS, name: str = "fold", most: int = 1_000_000) -> DataFrame:
+    """df with a fold of about equal rows for each group. The greedy order depends on all sizes, so they
+    are read by the driver: more than `most` groups are refused (`folds` deals any number by a draw)."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    found = sizes.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} groups")
+    kind = dict(df.dtypes)[group]
+    dealt = df.sparkSession.createDataFrame(list(balanced_folds([(r[0], r[1]) for r in found if r[0] is not None], k).items()), f"`{group}` {kind}, `{name}` int")
+    return df.join(dealt, group, "left")
+
+
 def cluster_sums(df: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
     """One row for each cluster: its sum, its count, and its number within the group."""
     sums = df.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m"))

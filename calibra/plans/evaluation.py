@@ -144,18 +144,17 @@ def w01_risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _V = "select model, item, {0} from dec where model = 'beta'"
 
 
-@query(_sql("select model, item, round(pow(p0, 2) / s, 6) as a, round(pow(p1, 2) / s, 6) as b, round(pow(p2, 2) / s, 6) as c from (select *, pow(p0, 2) + pow(p1, 2) + pow(p2, 2) as s from dec where model = 'beta')"))
+@query(_sql("select model, item, round(pow(p0, 2) / s, 6) as a, round(pow(p1, 2) / s, 6) as b, round(pow(p2, 2) / s, 6) as c from (select *, pow(p0, 2) + pow(p1, 2) + pow(p2, 2) as s from dec)"))
 def p05_c01_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A temperature of 1/2 and the undoing of a served temperature of 2 are the same power."""
     q = V.tempered(F.col("p"), 0.5)
-    return _r(decisions(spark, sf_dir).where("model = 'beta'").withColumn("q", q).select("model", "item", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), F.col("q")[2].alias("c")))
+    return _r(decisions(spark, sf_dir).withColumn("q", q).select("model", "item", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), F.col("q")[2].alias("c")))
 
 
-@query(_sql("select item, round(case when s > 0 then a / s else 1 / 3.0::double end, 6) as a, round(case when s > 0 then b / s else 1 / 3.0::double end, 6) as b from (select item, round_even(p0, 1) as a, round_even(p1, 1) as b, round_even(p0, 1) + round_even(p1, 1) + round_even(p2, 1) as s from dec where model = 'beta' and abs(p0 * 20 - round(p0 * 20)) > 1e-6 and abs(p1 * 20 - round(p1 * 20)) > 1e-6 and abs(p2 * 20 - round(p2 * 20)) > 1e-6)"))
+@query(_sql("select model, item, round(case when s > 0 then a / s else 1 / 3.0::double end, 6) as a, round(case when s > 0 then b / s else 1 / 3.0::double end, 6) as b from (select *, a + b + c as s from (select model, item, round_even(p0, 2) as a, round_even(p1, 2) as b, round_even(p2, 2) as c from dec))"))
 def p18_rounded_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One decimal; vectors with a component half-way between two grid points are left out."""
-    dec = decisions(spark, sf_dir).where("model = 'beta'").where(F.forall("p", lambda x: F.abs(x * 20 - F.round(x * 20)) > 1e-6))
-    return _r(dec.withColumn("q", V.rounded(F.col("p"), 1)).select("item", F.col("q")[0].alias("a"), F.col("q")[1].alias("b")))
+    dec = decisions(spark, sf_dir).withColumn("q", V.rounded(F.col("p")))
+    return _r(dec.select("model", "item", F.col("q")[0].alias("a"), F.col("q")[1].alias("b")))
 
 
 @query(_sql("select model, count(*) filter (where in_scope) as n, round(avg(correct) filter (where in_scope), 6) as accuracy from dec group by model"))
@@ -277,7 +276,15 @@ def _holm(dec: DataFrame) -> DataFrame:
     return _r(significance.holm(found, ["family"], "mcnemar_p", "type").select("type", "mcnemar_p", "holm"))
 
 
-@query()
+#: Limits by 60 bisections: the p at which the tail of k errors in n falls to a.
+_TAIL = "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))))"
+_LIMITS = f"""cell as (select model, type, sum(1 - correct)::bigint as errors, count(*)::bigint as n from dec group by all),
+ask as (select model, type, n, what, case what when 'low' then n - errors else errors end as k, case what when 'upper' then 0.05::double else 0.025::double end as a from cell, (values ('low'), ('high'), ('upper')) w(what)),
+bis as (select *, 0.0::double as lo, 1.0::double as hi, 0 as i from ask where k < n union all select model, type, n, what, k, a, case when above then (lo + hi) / 2 else lo end, case when above then hi else (lo + hi) / 2 end, i + 1 from (select *, {_TAIL} > a as above from bis where i < 60)),
+lim as (select model, type, what, (lo + hi) / 2 as v from bis where i = 60 union all select model, type, what, 1.0::double from ask where k >= n)"""
+
+
+@query(_sql("select model, type, errors as k, n, round(1 - max(v) filter (where what = 'low'), 6) + 0.0 as low, round(max(v) filter (where what = 'high'), 6) as high, round(max(v) filter (where what = 'upper'), 6) as upper from cell join lim using (model, type) group by all", _LIMITS).replace("with ", "with recursive ", 1))
 def r13_r14_clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _judged(spark, sf_dir).groupBy("model", "type").agg(F.sum(1 - F.col("correct")).alias("k"), F.count("*").alias("n"))
     return _r(cells.withColumn("x", significance.clopper_pearson()(F.col("k"), F.col("n"))).select("model", "type", "k", "n", "x.*"))

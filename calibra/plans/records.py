@@ -185,13 +185,13 @@ def w09_w10_p23_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select p_brand, count(*) as n, round(avg(length(p_type)), 6) as mean_chars, round(median(length(p_type)), 6) as median_chars, min(length(p_type)) as least, max(length(p_type)) as greatest from part group by 1")
-def a31_a43_option_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a31_option_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("p_type").cast("long")
     return _r(table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.avg(n).alias("mean_chars"), F.median(n).alias("median_chars"), F.min(n).alias("least"), F.max(n).alias("greatest")))
 
 
 @query("select p_partkey, p_brand || ': ' || p_type as rendered, 'o' || (p_size % 3 + 1)::varchar as neutral from part")
-def p12_p13_p19_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p12_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     three = design.neutral(F.array(*map(F.lit, "abc")))
     return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(": "), "p_type").alias("rendered"), F.element_at(three, (F.col("p_size") % 3 + 1).cast("int")).alias("neutral"))
 
@@ -247,7 +247,7 @@ def x02_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {_PERM} select k, item, option, gold from (select *, case when gold then 0 else row_number() over (partition by item, gold order by perm_rank) end as r from pm), (values (3), (6), (12)) s(k) where r <= k - 1")
-def x03_x04_nested_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def x03_nested_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.nested_subsets(_design(spark, sf_dir), "item", [3, 6, 12]).select("k", "item", "option", "gold")
 
 
@@ -255,7 +255,7 @@ _WORD = "translate(substr(md5('kr|' || {0} || '|' || o_orderkey), 1, 5), '012345
 
 
 @query(f"""select o_orderkey as item, naming, case when o_orderstatus = 'F' then coalesce(pos, {_WORD.format("'pos'")}) else coalesce(neg, {_WORD.format("'neg'")}) end as label from orders, (values ('k01', '0', '1'), ('kny', 'no', 'yes'), ('kswap', 'yes', 'no'), ('krand', null, null)) n(naming, neg, pos)""")
-def p20_g13_namings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p20_namings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderstatus") == "F").alias("positive"))
     return design.renamed(items, "item", "positive", "kr").select("item", "naming", "label")
 
@@ -360,7 +360,7 @@ def r11_median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {_EST} select analysis, round((max(m) - min(m)) / max(span), 6) as ratio from (select analysis, study, median(v) as m, max(v) - min(v) as span from est group by all) group by analysis")
-def a35_a36_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a35_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = estimates(spark, sf_dir).groupBy("analysis", "study").agg(F.median("v").alias("m"), (F.max("v") - F.min("v")).alias("span"))
     return _r(one.groupBy("analysis").agg(((F.max("m") - F.min("m")) / F.max("span")).alias("ratio")))
 
@@ -404,20 +404,20 @@ def w08_o06_top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select c_mktsegment as claim, case when bool_and(c_acctbal > -900) then 'supported' when bool_and(c_acctbal <= -900) then 'contradicted' else 'mixed' end as status, count(*) filter (where c_acctbal > 0) as ahead from customer group by 1")
-def a37_g26_claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a37_claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("c_acctbal") > -900
     status = F.when(F.bool_and(ok), "supported").when(F.bool_and(~ok), "contradicted").otherwise("mixed")
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("claim")).agg(status.alias("status"), F.count_if(F.col("c_acctbal") > 0).alias("ahead"))
 
 
 @query("select coalesce(r_name, 'none') as tier, count(*) as n, count(distinct lower(substr(n_name, 1, 3))) as families from nation left join region on r_regionkey = n_regionkey and r_regionkey <> 2 group by 1")
-def a38_a39_j15_j16_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a38_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
     return table(spark, sf_dir, "nation").join(checks, "n_regionkey", "left").groupBy(F.coalesce("r_name", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"), F.count_distinct(F.lower(F.substring("n_name", 1, 3))).alias("families"))
 
 
 @query("select count(*) filter (where o_orderkey is not null) as with_rows, count(*) filter (where o_orderkey is null) as no_rows from (select c_custkey, min(o_orderkey) as o_orderkey from customer left join orders on o_custkey = c_custkey group by 1)")
-def a40_n16_sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a40_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(True))
     return table(spark, sf_dir, "customer").select("c_custkey").join(with_rows, "c_custkey", "left").agg(F.count_if(F.col("hit").isNotNull()).alias("with_rows"), F.count_if(F.col("hit").isNull()).alias("no_rows"))
 
@@ -477,7 +477,7 @@ def t05_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with b as (select item_id, substr({_NORM}, 1, 120) as h from benchmark), d as (select doc_id, {_NORM} as t from documents) select item_id, doc_id from b join d on contains(t, h)")
-def j11_t09_a42_substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j11_substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
 
 
@@ -572,7 +572,7 @@ def s07_s08_k05_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select * from (values ('paired.acc', 0.5::double), ('paired.ci.0', 0.25), ('paired.ci.1', 0.75), ('n', 4)) t(label, value)")
-def p30_k02_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p30_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = json.dumps({"paired": {"acc": 0.5, "ci": [0.25, 0.75], "_note": 1, "name": "x"}, "n": 4, "ok": True})
     return spark.createDataFrame(tables.flattened(text), "label string, value double")
 
@@ -615,13 +615,13 @@ def g22_option_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select count(*) as n, count(*) filter (where not ok) as failures from (select c_custkey, c_acctbal >= -1000 as ok from customer)")
-def n20_n08_n13_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n20_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = table(spark, sf_dir, "customer").select((F.col("c_acctbal") >= -1000).alias("ok"))
     return checks.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failures"))
 
 
 @query("select p_partkey, abs(round(p_retailprice, 1) - p_retailprice) < 0.05::double + 1e-9::double as equal_at_coarser from part")
-def n07_p29_value_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n07_coarser_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value printed with one decimal equals one printed with more if it rounds to it."""
     v = F.col("p_retailprice")
     return table(spark, sf_dir, "part").select("p_partkey", (F.abs(F.round(v, 1) - v) < F.lit(0.05) + F.lit(1e-9)).alias("equal_at_coarser"))
