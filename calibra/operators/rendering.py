@@ -130,3 +130,39 @@ def tidy(value: Column) -> Column:
     cut = F.regexp_replace(plain, r"(?<=\.\d{1,9}?)0+$", "")
     cut = F.when(F.endswith(cut, F.lit(".")), F.concat(cut, F.lit("0"))).otherwise(cut)
     return F.when(value.rlike(r"^-?\d+\.\d+$"), cut).otherwise(value)
+
+
+#: Room kept for the question, least tokens of an option and of the question once options are cut.
+ROOM, LEAST_OPTION, LEAST_HEAD = 16, 4, 8
+
+
+def option_budget(requests: DataFrame, head_most: int, most: int, cap: int) -> DataFrame:
+    """What a service of bounded input makes of each request, from token counts alone.
+
+    requests: options and keys (arrays of counts: an option's text, its key alone), head, state, gold (place).
+    Adds exceeds (options leave the question too little room, so all are cut alike), head_kept, state_kept,
+    seq_len, lost (options cut down to their key), dropped (options whose mark lies beyond the end), refused
+    (some are dropped) and gold_whole. An option takes a mark besides its tokens; so do start, end and question.
+    """
+    marked = requests.withColumn("_m", F.transform("options", lambda n: F.least(n, F.lit(cap)) + 1))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: (a + x).cast("int"))
+    fair = F.greatest(F.lit(LEAST_OPTION), F.floor(F.lit(head_most - ROOM) / F.greatest(F.size("options"), F.lit(1))).cast("int"))
+    cut = marked.withColumn("exceeds", total(F.col("_m")) > head_most - ROOM).withColumn("_k", F.when(F.col("exceeds"), F.transform("_m", lambda n: F.least(n, fair))).otherwise(F.col("_m")))
+    laid = cut.withColumn("head_kept", F.least(F.col("head"), F.greatest(F.lit(LEAST_HEAD), head_most - total(F.col("_k")))))
+    at = F.transform("_k", lambda n, i: 2 + F.col("head_kept") + total(F.slice("_k", F.lit(1), i)))
+    laid = laid.withColumn("_at", at).withColumn("_state", 3 + F.col("head_kept") + total(F.col("_k")))
+    laid = laid.withColumn("state_kept", F.least(F.col("state"), F.greatest(F.lit(0), most - F.col("_state") - 1)))
+    lost = F.size(F.filter(F.zip_with("_k", "keys", lambda n, k: n - 1 <= k), lambda x: x))
+    dropped = F.size(F.filter("_at", lambda m: m >= most))
+    whole = F.get("_k", F.col("gold")) - 1 >= F.get("options", F.col("gold"))
+    out = laid.select("*", F.least(F.lit(most), F.col("_state") + F.col("state_kept") + 1).alias("seq_len"), lost.alias("lost"), dropped.alias("dropped"), (dropped > 0).alias("refused"), whole.alias("gold_whole"))
+    return out.drop("_m", "_k", "_at", "_state")
+
+
+def budget_check(replayed: DataFrame, by: list[str], used: str, refused: str) -> DataFrame:
+    """The replay against what was observed: answered requests with a usage, how many used just seq_len tokens,
+    refusals seen, foretold, and both."""
+    asked = ~F.col(refused) & F.col(used).isNotNull()
+    return replayed.groupBy(*by).agg(
+        F.count_if(asked).alias("compared"), F.count_if(asked & (F.col(used) == F.col("seq_len"))).alias("equal"), F.count_if(F.col(refused)).alias("refused_seen"),
+        F.count_if(F.col("refused")).alias("refused_foretold"), F.count_if(F.col("refused") & F.col(refused)).alias("both"))

@@ -602,18 +602,6 @@ def g26_claim_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(kind.alias("kind")).agg(F.when(ratio >= 1.1, "worse").when(ratio <= 0.9, "better").otherwise("alike").alias("direction"))
 
 
-_CAP = 60
-
-
-@query(f"select p_brand, sum(kept)::bigint as kept, count(*) as options, count(*) filter (where upto > {_CAP}) as lost from (select p_brand, least(length(p_type), 12) as kept, sum(least(length(p_type), 12)) over (partition by p_brand order by p_partkey rows between unbounded preceding and current row) as upto from part) group by 1")
-def g22_option_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option texts cut at a cap each and lost beyond a total."""
-    kept = F.least(F.length("p_type"), F.lit(12))
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "part").select("p_brand", kept.alias("kept"), F.sum(kept).over(w).alias("at"))
-    return rows.groupBy("p_brand").agg(F.sum("kept").alias("kept"), F.count("*").alias("options"), F.count_if(F.col("at") > _CAP).alias("lost"))
-
-
 @query("select count(*) as n, count(*) filter (where not ok) as failures from (select c_custkey, c_acctbal >= -1000 as ok from customer)")
 def n20_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = table(spark, sf_dir, "customer").select((F.col("c_acctbal") >= -1000).alias("ok"))

@@ -152,3 +152,38 @@ def m05_out_of_fold_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _examples(spark, sf_dir).withColumn("id", F.concat_ws("|", "model", F.col("item").cast("string")))
     found = regression.out_of_fold(rows, "model", "fold", "x", "hot", "id")
     return _r(found.select("id", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"), F.col("p")[2].alias("p2")), 4)
+
+
+_N, _HEAD_MOST, _MOST, _CAP = "(o_custkey % 12 + 2)", 96, 80, 20
+_TOKENS = f"""rq as (select o_orderkey as item, substr(o_orderpriority, 1, 1) as type, list_transform(range(0, {_N}), lambda i: (o_orderkey * 7 + i * 13) % 31 + 1) as opts, list_transform(range(0, {_N}), lambda i: i % 3 + 1) as keys, o_orderkey % 40 + 5 as head, o_orderkey % 90 as state, o_orderkey % {_N} as gold from orders),
+mk as (select *, list_transform(opts, lambda n: least(n, {_CAP}) + 1) as m from rq), ex as (select *, list_sum(m) > {_HEAD_MOST} - 16 as exceeds, greatest(4, ({_HEAD_MOST} - 16) // len(m)) as per from mk),
+kp as (select *, case when exceeds then list_transform(m, lambda n: least(n, per)) else m end as kept from ex), hd as (select *, least(head, greatest(8, {_HEAD_MOST} - list_sum(kept))) as hk from kp),
+st as (select *, 3 + hk + list_sum(kept) as pre, list_transform(range(1, len(kept) + 1), lambda i: 2 + hk + coalesce(list_sum(kept[1:i - 1]), 0)) as mark from hd),
+rp as (select *, least(state, greatest(0, {_MOST} - pre - 1)) as sk, len(list_filter(mark, lambda x: x >= {_MOST})) as gone, len(list_filter(range(1, len(kept) + 1), lambda i: kept[i] - 1 <= keys[i])) as bare from st),
+bd as (select *, least({_MOST}, pre + sk + 1) as seq_len from rp)"""
+
+
+def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import rendering
+
+    key, n = F.col("o_orderkey"), (F.col("o_custkey") % 12 + 2).cast("int")
+    places = F.sequence(F.lit(0), n - 1)
+    count = lambda c: c.cast("int")
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("item"), F.substring("o_orderpriority", 1, 1).alias("type"), F.transform(places, lambda i: count((key * 7 + i * 13) % 31 + 1)).alias("options"), F.transform(places, lambda i: i % 3 + 1).alias("keys"),
+        count(key % 40 + 5).alias("head"), count(key % 90).alias("state"), count(key % n).alias("gold"))
+    return rendering.option_budget(rows, _HEAD_MOST, _MOST, _CAP)
+
+
+@query(f"with {_TOKENS} select item, exceeds, hk as head_kept, sk as state_kept, seq_len, bare as lost, gone as dropped, gone > 0 as refused, kept[gold + 1] - 1 >= opts[gold + 1] as gold_whole from bd")
+def g22_budget_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _budget(spark, sf_dir).select("item", "exceeds", "head_kept", "state_kept", "seq_len", "lost", "dropped", "refused", "gold_whole")
+
+
+@query(f"""with {_TOKENS} select type, count(*) filter (where item % 11 <> 0) as compared, count(*) filter (where item % 11 <> 0 and item % 5 <> 0) as equal, count(*) filter (where item % 11 = 0) as refused_seen, count(*) filter (where gone > 0) as refused_foretold, count(*) filter (where gone > 0 and item % 11 = 0) as "both" from bd group by type""")
+def g22_budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth request reports another usage, every eleventh was refused."""
+    from ..operators import rendering
+
+    seen = _budget(spark, sf_dir).withColumn("used", F.col("seq_len") + (F.col("item") % 5 == 0).cast("int")).withColumn("was_refused", F.col("item") % 11 == 0)
+    return rendering.budget_check(seen, ["type"], "used", "was_refused")
