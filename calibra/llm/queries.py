@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm_lm, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, substring
+from . import decontam, embedding, hmm_lm, interaction, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, resampling, substring
 from .runtime import table
 
 
@@ -56,6 +56,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,10 +82,14 @@ QUERIES = {
         op8_pii,
         op9_substring_dedup,
         op10_quality_rules,
+        op11_quality_classifier,
+        op12_filter_audit,
+        op13_importance_resampling,
     )
 }
 #: Where SQL can't state the result, tests/llm holds the operator against a brute-force version.
 ORACLE_SQL = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_benchmark_decontamination": decontam.ORACLE_SQL,
+    "op12_filter_audit": interaction.ORACLE_SQL,
 }
