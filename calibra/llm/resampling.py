@@ -30,6 +30,8 @@ SEED = 42
 LEAST_WORDS, DRAWN = 20, 5
 #: Words of up to so many bytes are hashed together, longer ones one by one.
 SHORT = 64
+#: Text of a block of the matrix, and bytes of a group of blocks in its files.
+BLOCK_BYTES, GROUP_BYTES = 1 << 18, 1 << 22
 #: Scores are counted in so many intervals, to sort only those that may be drawn.
 INTERVALS = 1 << 14
 
@@ -118,26 +120,31 @@ def block(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block of about a megabyte of text: the block's ids, and its matrix."""
+    """A row for each block of about BLOCK_BYTES of text: the block's ids, and its matrix, whose arrays
+    are little-endian numbers of 4, 2 and as many bytes as the largest count needs (1 or 4)."""
     for batch in batches:
-        for c in chunks(batch):
+        for c in chunks(batch, size=BLOCK_BYTES):
             n_words, n_features, indptr, indices, counts = block(c.column("text"))
-            ids = c.column("doc_id")
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.array(indptr, pa.int32()), pa.array(indices, pa.int32()), pa.array(counts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_features", "indptr", "indices", "counts"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, c.num_rows], pa.int32()), x) for x in (c.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()))]
+            wide = "<u4" if len(counts) and counts.max() > 255 else "<u1"
+            numbers = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((indptr, "<u4"), (indices, "<u2"), (counts, wide))]
+            yield pa.RecordBatch.from_arrays([*lists, *numbers], ["doc_id", "n_words", "n_features", "indptr", "indices", "counts"])
 
 
 def matrix(texts: DataFrame) -> DataFrame:
     """The matrix of rows (doc_id, text), written to the shared folder and read from there."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     path = f"{shared_folder(texts.sparkSession)}/matrix-{uuid.uuid4().hex}"
-    found = texts.select("doc_id", "text").mapInArrow(blocks, f"doc_id array<{kind}>, n_words array<long>, n_features array<long>, indptr array<int>, indices array<int>, counts array<int>")
-    found.write.option("compression", "zstd").parquet(path)
+    found = texts.select("doc_id", "text").mapInArrow(blocks, f"doc_id array<{kind}>, n_words array<long>, n_features array<long>, indptr binary, indices binary, counts binary")
+    # Few blocks in a row group, as a reader holds one group's at a time.
+    found.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).option("parquet.block.size.row.check.min", 8).parquet(path)
     return texts.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def values(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
+def cells(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's indices and counts."""
+    indices, counts = (b.column(c)[i].as_buffer() for c in ("indices", "counts"))
+    return np.frombuffer(indices, "<u2"), np.frombuffer(counts, "<u4" if counts.size > indices.size // 2 else "<u1")
 
 
 def column_sums(m: DataFrame) -> np.ndarray:
@@ -148,7 +155,7 @@ def column_sums(m: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for i in range(b.num_rows):
-                total += np.bincount(values(b.column("indices"), i), values(b.column("counts"), i), BUCKETS).astype(np.int64)
+                total += np.bincount(*cells(b, i), BUCKETS).astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "n"])
 
@@ -172,8 +179,9 @@ def weights(m: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                sums = np.concatenate([[0], np.cumsum(gain[values(b.column("indices"), i)] * values(b.column("counts"), i))])
-                weight = np.diff(sums[values(b.column("indptr"), i)])
+                indices, counts = cells(b, i)
+                sums = np.concatenate([[0], np.cumsum(gain[indices] * counts)])
+                weight = np.diff(sums[np.frombuffer(b.column("indptr")[i].as_buffer(), "<u4")])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i].values, b.column("n_words")[i].values, b.column("n_features")[i].values, pa.array(weight, pa.int64())], ["doc_id", "n_words", "n_features", "weight"])
 
     return m.mapInArrow(run, f"doc_id {kind}, n_words long, n_features long, weight long")
