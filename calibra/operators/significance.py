@@ -49,22 +49,35 @@ def with_balanced_folds(df: DataFrame, group: str, k: int = FOLDS, name: str = "
     return df.join(dealt, group, "left")
 
 
+#: Parts that a group's clusters are numbered in, and draws that one task makes at a time.
+PARTS, DRAWS = 256, 1 << 14
+
+
 def cluster_sums(df: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
-    """One row for each cluster: its sum, its count, and its number within the group."""
+    """One row for each cluster: its sum, its count, and its number k within the group, in a drawn order
+    of clusters. Clusters are dealt to PARTS by their draw, so no window holds all of a group's."""
     sums = df.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m"))
-    return sums.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1)
+    sums = sums.withColumn("_d", draw("order", F.col(cluster))).withColumn("_b", (F.col("_d") / F.lit((1 << 32) // PARTS)).cast("int"))
+    sizes = sums.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
+    sizes = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", cluster)) - 1
+    return sums.withColumn("k", place).join(sizes, [*by, "_b"]).withColumn("k", F.col("k") + F.col("_o")).drop("_d", "_b", "_o")
 
 
 def bootstrap_ratio(df: DataFrame, by: list[str], cluster: str, value: str, replicates: int, seed: str) -> DataFrame:
     """Replicates of a mean with clusters drawn with replacement: rows (by, b, stat).
 
-    Clusters are summed before they are drawn, so decisions never meet draws.
+    Clusters are summed before they are drawn, so decisions never meet draws. The draws are those any
+    SQL engine makes (`resampling.drawn` deals them down a tree instead); a task makes DRAWS at a time.
     """
     clusters = cluster_sums(df, by, cluster, value)
     sizes = clusters.groupBy(*by).agg(F.count("*").alias("of"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    blocks = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("of") - 1) / DRAWS))))
+    last = F.least(F.col("of"), (F.col("_c") + 1) * DRAWS) - 1
+    draws = blocks.repartition(*by, "b", "_c").withColumn("j", F.explode(F.sequence(F.col("_c") * DRAWS, last)))
     draws = draws.select(*by, "b", (draw(seed, F.col("b"), F.col("j")) % F.col("of")).alias("k"))
-    return draws.groupBy(*by, "b", "k").agg(F.count("*").alias("times")).join(clusters, [*by, "k"]).groupBy(*by, "b").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("m") * F.col("times"))).alias("stat"))
+    return draws.join(clusters, [*by, "k"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("m")).alias("stat"))
 
 
 def bootstrap_any(df: DataFrame, by: list[str], cluster: str, statistic: Callable[[pd.DataFrame], float], replicates: int, seed: int, blocks: int = 16) -> DataFrame:

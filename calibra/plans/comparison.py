@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.hashing import draw_sql
-from ..operators import calibration, comparison, curves, metrics, significance
+from ..operators import calibration, comparison, curves, metrics, resampling, significance
 from .evaluation import _AUC, _CASC, _CELLS, _CURVE, _FOLD, _TNLL, _WIDE, _cascade, _judged, _r, _sql
 
 B = 20
 
 _FAM = """fm as (select {fam} as family, {mem} as member, {cl} as cl, {val} as v from {src}),
-fc as (select family, member, cl, sum(v) as s, count(*) as m, row_number() over (partition by family, member order by cl) - 1 as k from fm group by family, member, cl),
+fc as (select family, member, cl, sum(v) as s, count(*) as m, row_number() over (partition by family, member order by {order}, cl) - 1 as k from fm group by family, member, cl),
 fz as (select family, member, count(*) as of from fc group by all),
 fd as (select family, member, b, {draw} % of as k from fz, range({b}) x(b), range((select max(of) from fz)) y(j) where j < of),
 fs as (select fd.family, fd.member, b, sum(s)::double / sum(m)::double as stat from fd join fc using (family, member, k) group by fd.family, fd.member, b),
@@ -24,7 +24,7 @@ _HOLM = "max(least(1.0::double, (mm - rn + 1) * p)) over (partition by family or
 
 
 def _fam(fam: str, mem: str, cl: str, val: str, src: str, seed: str, least: int = 50) -> str:
-    return _FAM.format(fam=fam, mem=mem, cl=cl, val=val, src=src, draw=draw_sql(repr(seed), "b", "j"), b=B, least=least)
+    return _FAM.format(fam=fam, mem=mem, cl=cl, val=val, src=src, draw=draw_sql(repr(seed), "b", "j"), order=draw_sql("'order'", "cl"), b=B, least=least)
 
 
 @query(_sql(f"select family as type, member as model, n, round(points, 6) as points, round(p, 6) as p, round({_HOLM}, 6) as holm from fr", _fam("a.type", "a.model", "a.grp", "a.correct - b.correct", "dec a join dec b using (item) where b.model = 'gamma' and a.model <> 'gamma'", "g17")))
@@ -75,7 +75,35 @@ def r05_refit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(significance.interval(found, ["model"], "temperature"))
 
 
-@query(_sql(f"""select model, round(quantile_cont(stat, 0.025), 6) as low, round(quantile_cont(stat, 0.975), 6) as high, count(*) as replicates from st group by model""", f"""cl as (select model, type, item, correct as s, row_number() over (partition by model, type order by item) - 1 as k from dec where model = 'alpha'),
+@query()
+def r05_refit_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration error as answered and after scaling, the temperatures refitted by folds of each
+    replicate's drawn clusters; a test holds it against a plain version."""
+    stats = resampling.refit_ece(_judged(spark, sf_dir), ["model"], "grp", ["item"], B, "r05")
+    return _r(significance.interval(stats, ["model", "what"]))
+
+
+@query()
+def r05_refit_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cascade's accuracy, gain, escalated share and cost, its thresholds refitted by folds of each
+    replicate's drawn clusters; a test holds it against a plain version."""
+    stats = resampling.refit_cascade(_cascade(spark, sf_dir), ["type"], "grp", B, "r05", "l1", "l2")
+    long = stats.select("type", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("stat")) for c in ("accuracy", "gain", "escalated", "cost_fraction")])).alias("x")).select("type", "x.*")
+    p = stats.groupBy("type").agg(((1 + F.count_if(F.col("gain") <= 0)) / (F.count("*") + 1)).alias("p_gain_le_0"))
+    return _r(significance.interval(long, ["type", "what"]).join(p, "type"))
+
+
+@query()
+def g18_backbone_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, calibration error, out-of-scope area and flips of models less their backbones', by type:
+    difference, interval, p and Holm's p within each type and metric. A test holds it against plain numpy."""
+    dec = _judged(spark, sf_dir)
+    other = dec.where("model = 'beta'").select("item", F.col("p")[0].alias("_q"))
+    dec = dec.join(other, "item").select("model", "item", "type", "grp", "conf", "correct", "in_scope", ((F.col("p")[0] >= 0.5) != (F.col("_q") >= 0.5)).cast("int").alias("flip"))
+    return _r(comparison.paired_metrics(comparison.backbone_pairs(dec, _BACK, ["item"]).drop("type_b", "grp_b", "in_scope_b"), ["type"], "model", "grp", "item", B, "g18"))
+
+
+@query(_sql(f"""select model, round(quantile_cont(stat, 0.025), 6) as low, round(quantile_cont(stat, 0.975), 6) as high, count(*) as replicates from st group by model""", f"""cl as (select model, type, item, correct as s, row_number() over (partition by model, type order by {draw_sql("'order'", 'item')}, item) - 1 as k from dec where model = 'alpha'),
 sz as (select model, type, count(*) as n from cl group by all), dr as (select model, type, b, {draw_sql("'r06'", 'b', 'j')} % n as k from sz, range({B}) x(b), range((select max(n) from sz)) y(j) where j < n),
 by_type as (select dr.model, dr.type, b, avg(s) as stat from dr join cl using (model, type, k) group by all), st as (select model || '/' || type as model, b, stat from by_type)"""))
 def r06_item_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

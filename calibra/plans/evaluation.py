@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import vectors as V
 from ..functions.hashing import draw, draw_sql
-from ..operators import calibration, curves, decide, metrics, significance
+from ..operators import calibration, curves, decide, metrics, resampling, significance
 from .derived import DEC_SQL, decisions, judged
 
 B = 60
@@ -220,7 +220,7 @@ def r16_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.folds(groups, "grp", "fold").groupBy("fold").agg(F.count("*").alias("groups"))
 
 
-_BOOT = f"""cl as (select model, grp, sum(correct) as s, count(*) as m, row_number() over (partition by model order by grp) - 1 as k from dec group by model, grp),
+_BOOT = f"""cl as (select model, grp, sum(correct) as s, count(*) as m, row_number() over (partition by model order by {draw_sql("'order'", 'grp')}, grp) - 1 as k from dec group by model, grp),
 sz as (select model, count(*) as n from cl group by model),
 dr as (select model, b, {draw_sql("'boot'", "b", "j")} % n as k from sz, range({B}) x(b), range((select max(n) from sz)) y(j) where j < n),
 st as (select dr.model, b, sum(s)::double / sum(m)::double as stat from dr join cl using (model, k) group by dr.model, b)"""
@@ -239,19 +239,11 @@ def r09_r10_bootstrap_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def r01_r04_bootstrap_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected calibration error of resampled clusters: bins are formed anew in each replicate."""
-
-    def statistic(frame):
-        import numpy as np
-
-        f = frame.sort_values("conf", kind="mergesort")
-        edges = np.round(np.arange(11) * len(f) / 10).astype(int)
-        conf, right = f["conf"].to_numpy(), f["correct"].to_numpy()
-        return sum((b - a) * abs(conf[a:b].mean() - right[a:b].mean()) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a) / len(f)
-
-    dec = _judged(spark, sf_dir).select("model", "grp", "conf", "correct")
-    return significance.interval(significance.bootstrap_any(dec, ["model"], "grp", statistic, 20, 7), ["model"])
+def r01_r04_q06_weighted_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration error of resampled clusters: bins are formed anew in each replicate, by weights."""
+    dec = _judged(spark, sf_dir).select("model", "grp", "item", "conf", "correct")
+    rows = dec.join(resampling.drawn(dec, ["model"], "grp", 20, "r01"), ["model", "grp"])
+    return significance.interval(resampling.weighted_ece(rows, ["model"], "conf", "correct", ["item"], 20), ["model"])
 
 
 _PAIR = "pr as (select a.type, a.item, a.correct as ca, b.correct as cb from dec a join dec b using (item) where a.model = 'alpha' and b.model = 'beta'), pc as (select type, count(*) as n, avg(ca) as acc_a, avg(cb) as acc_b, avg(ca - cb) as diff, count(*) filter (where ca = 1 and cb = 0) as n01, count(*) filter (where ca = 0 and cb = 1) as n10 from pr group by type)"

@@ -22,13 +22,15 @@ def test_refit_bootstrap_reads_all_types(spark):
     """Its interval lies around a replicate mean of all types, not of type 1 alone."""
     import numpy as np
 
+    judged_ = judged(decisions(spark, SF)).select("model", "grp", "conf", "correct")
+
     def statistic(f):
         f = f.sort_values("conf", kind="mergesort")
         edges = np.round(np.arange(11) * len(f) / 10).astype(int)
         return sum((b - a) * abs(f["conf"].to_numpy()[a:b].mean() - f["correct"].to_numpy()[a:b].mean()) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a) / len(f)
 
-    got = {r["model"]: (r["low"], r["high"]) for r in catalog.queries()["r01_r04_bootstrap_any"](spark, SF).collect()}
-    frame = judged(decisions(spark, SF)).select("model", "grp", "conf", "correct").toPandas()
+    got = {r["model"]: (r["low"], r["high"]) for r in significance.interval(significance.bootstrap_any(judged_, ["model"], "grp", statistic, 20, 7), ["model"]).collect()}
+    frame = judged_.toPandas()
     for model, part in frame.groupby("model"):
         groups = [g for _, g in part.groupby("grp", sort=True)]
         stats = []
