@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,16 +154,52 @@ def resumable(spark, requests: DataFrame, path: str, scorer, schema: str, key: l
     return n
 
 
-def outcome(error: Column, reply: Column) -> Column:
-    """What became of a line: error, refusal, truncated (an object that never closes), unparseable,
-    empty (no mass), percent (sums to about a hundred), not_normalized, answered."""
-    found = F.from_json(reply, "map<string,double>")
-    mass = F.aggregate(F.map_values(found), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    said = F.lower(F.trim(reply))
-    refused = said.rlike(r"^(i'm sorry|i am sorry|i can't|i cannot|sorry)")
-    return (
-        F.when(error.isNotNull(), "error").when(refused, "refusal").when(F.startswith(said, F.lit("{")) & ~F.contains(said, F.lit("}")), "truncated").when(found.isNull() | (F.size(found) == 0), "unparseable")
-        .when(mass <= 0, "empty").when(F.abs(mass - 100) <= 1, "percent").when(F.abs(mass - 1) > 0.01, "not_normalized").otherwise("answered"))
+#: Texts of an error message that make it a refusal, and tokens from which a reply was cut off.
+BUDGET_MESSAGES, CUT_OFF = ("head_max_len", "budget"), 768
+#: Fixed value: how far a reply's stated probabilities may sum from one.
+SUM_WITHIN = 0.01
+_ANSWER_LINE = "key string, error string, answers map<string, struct<probs: map<string, double>, raw: struct<usage_out: double, raw_text: string>>>, _corrupt string"
+#: What JSON text of an error field counts as no error.
+NO_ERROR = ("", "null", "false", "0", "0.0", "{}", "[]")
+
+
+def failures(lines: DataFrame, by: list[str], line: str, stated: Column | None = None) -> DataFrame:
+    """What became of raw answer lines, by file: lines, answered, answered_keys, errors, refusals,
+    unparseable, both (keys with an error and an answer), questions, empty (questions without
+    probabilities), and of the models that state probabilities in a reply (`stated`; else null):
+    truncated, not_summing, percent_scale.
+
+    A line with an error is not answered; a refusal is an error that names a budget. Blank lines don't
+    count; a line that is no JSON object counts as unparseable alone. Truncated replies have used CUT_OFF
+    tokens; a reply on a percent scale has a probability over 1. Replies that can't be read count in
+    neither of the last two.
+    """
+    own = F.lit(False) if stated is None else stated
+    rows = lines.where(F.trim(F.coalesce(F.col(line), F.lit(""))) != "").select(*by, own.alias("_own"), F.from_json(line, _ANSWER_LINE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    bad = F.col("x").isNull() | F.col("x._corrupt").isNotNull()
+    error = F.when(~F.coalesce(F.trim("x.error"), F.lit("")).isin(*NO_ERROR), F.col("x.error"))
+    rows = rows.select(*by, "_own", bad.alias("_bad"), F.when(~bad, F.col("x.key")).alias("_key"), F.when(~bad, error).alias("_error"), F.when(~bad & error.isNull(), F.coalesce(F.map_values("x.answers"), F.array().cast("array<struct<probs:map<string,double>,raw:struct<usage_out:double,raw_text:string>>>"))).alias("_a"))
+    stated_p = lambda q: F.transform(F.from_json(q["raw"]["raw_text"], "probabilities array<struct<p: double>>")["probabilities"], lambda x: x["p"])
+    whole = lambda p: p.isNotNull() & ~F.exists(p, lambda x: x.isNull())
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    n_of = lambda test: F.coalesce(F.size(F.filter("_a", test)), F.lit(0))
+    replies = F.transform("_a", stated_p)
+    in_reply = lambda test: F.size(F.filter(replies, lambda p: whole(p) & test(p)))
+    measured = rows.select(
+        *by, "_own", "_bad", "_key", "_error", F.coalesce(F.size("_a"), F.lit(-1)).alias("_q"),
+        n_of(lambda q: q["probs"].isNull() | (F.size(q["probs"]) == 0)).alias("_empty"), n_of(lambda q: F.coalesce(q["raw"]["usage_out"], F.lit(0.0)) >= CUT_OFF).alias("_cut"),
+        F.when(F.col("_own") & F.col("_a").isNotNull(), in_reply(lambda p: F.abs(total(p) - 1) > SUM_WITHIN)).otherwise(0).alias("_off"), F.when(F.col("_own") & F.col("_a").isNotNull(), in_reply(lambda p: F.exists(p, lambda x: x > 1))).otherwise(0).alias("_percent"))
+    refused = reduce(Column.__or__, [F.contains(F.col("_error"), F.lit(m)) for m in BUDGET_MESSAGES])
+    sums = lambda c: F.sum(c).cast("long")
+    # Sums by key first, so that keys with both are counted in the same pass over the lines.
+    keyed = measured.groupBy(*by, "_own", "_key").agg(
+        F.count("*").alias("lines"), F.count_if(F.col("_q") >= 0).alias("answered"), F.count_if(F.col("_error").isNotNull()).alias("errors"), F.count_if(refused).alias("refusals"), F.count_if("_bad").alias("unparseable"),
+        F.sum(F.greatest("_q", F.lit(0))).alias("questions"), *[F.sum(c).alias(c) for c in ("_empty", "_cut", "_off", "_percent")])
+    only = lambda c: F.when(F.col("_own"), F.col(c))
+    found = keyed.groupBy(*by, "_own").agg(
+        *[sums(c).alias(c) for c in ("lines", "answered", "errors", "refusals", "unparseable", "questions")], F.count_if((F.col("answered") > 0) & F.col("_key").isNotNull()).alias("answered_keys"),
+        F.count_if((F.col("answered") > 0) & (F.col("errors") > 0)).alias("both"), sums("_empty").alias("empty"), *[sums(c).alias(c) for c in ("_cut", "_off", "_percent")])
+    return found.select(*by, "lines", "answered", "answered_keys", "errors", "refusals", "unparseable", "both", "questions", "empty", only("_cut").alias("truncated"), only("_off").alias("not_summing"), only("_percent").alias("percent_scale"))
 
 
 def micro_batches(rows: DataFrame, by: list[str], length: str, tie: str, budget: int) -> DataFrame:

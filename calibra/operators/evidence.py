@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +62,57 @@ def single_number(text: Column, pattern: str) -> Column:
     return F.when(F.size(parts) == 2, 100.0 * F.try_to_number(parts[0], F.lit("999999999")) / F.try_to_number(F.get(parts, F.lit(1)), F.lit("999999999"))).otherwise(token.try_cast("double")).cast("double")
 
 
+#: A text that is a number, and one that is a fraction.
+NUMBER = r"^\s*([+-]?\d*\.?\d+)\s*$"
+FRACTION = r"^\s*(\d+)\s*/\s*(\d+)\s*$"
+#: An opening bracket that begins a group of its own.
+GROUP = r"(?<!\\)(\\\\)*\((?!\?)"
+
+
+def read_number(text: Column, pattern: Column, where: Column) -> Column:
+    """The number in a text by the row's own pattern: its first group, or all of its match if it has none.
+    It must match exactly once. Without a pattern (null or empty) the text must be a number, or a fraction,
+    which is read as percent. Anything else is fatal and told with `where`."""
+    text, given = F.coalesce(text, F.lit("")), F.coalesce(pattern, F.lit("")) != ""
+    hits = F.regexp_extract_all(text, F.when(given, pattern).otherwise(F.lit("$")), F.when(given & pattern.rlike(GROUP), 1).otherwise(0))
+    found = F.when(F.size(hits) == 1, F.get(hits, F.lit(0)).try_cast("double"))
+    part = lambda i: F.regexp_extract(text, FRACTION, i).try_cast("double")
+    plain = F.coalesce(F.regexp_extract(text, NUMBER, 1).try_cast("double"), F.try_divide(100.0 * part(1), part(2)))
+    told = F.concat(where, F.when(given, F.concat(F.lit(": pattern "), pattern, F.lit(" finds no one number in "))).otherwise(F.lit(": no number without a pattern in ")), text)
+    value = F.when(given, found).otherwise(plain)
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(told).cast("double"))
+
+
 #: The closed expressions of a selection line over the values a and b. The twelve forms
 #: that selection lines may name.
-EXPRESSIONS = {
-    "a": lambda a, b: a,
-    "-a": lambda a, b: -a,
-    "a-b": lambda a, b: a - b,
-    "b-a": lambda a, b: b - a,
-    "a/b": lambda a, b: F.try_divide(a, b),
-    "b/a": lambda a, b: F.try_divide(b, a),
-    "a/100": lambda a, b: a / 100,
-    "1-a/100": lambda a, b: 1 - a / 100,
-    "-100*a": lambda a, b: -100 * a,
-    "100*(a-b)": lambda a, b: 100 * (a - b),
-    "100*(b-a)": lambda a, b: 100 * (b - a),
-    "1/(1-a/100)": lambda a, b: F.try_divide(F.lit(1.0), 1 - a / 100),
-}
+EXPRESSIONS = ("a", "-a", "a-b", "b-a", "a/b", "b/a", "a/100", "1-a/100", "-100*a", "100*(a-b)", "100*(b-a)", "1/(1-a/100)")
+
+
+def arithmetic(text: str, values: dict[str, Column]) -> Column:
+    """A column from the text of an expression over named columns; a division by zero is null."""
+    by = {ast.Sub: Column.__sub__, ast.Mult: Column.__mul__, ast.Div: F.try_divide}
+
+    def of(node: ast.expr) -> Column:
+        match node:
+            case ast.Name():
+                return values[node.id]
+            case ast.Constant():
+                return F.lit(float(node.value))
+            case ast.UnaryOp(op=ast.USub()):
+                return -of(node.operand)
+            case ast.BinOp():
+                return by[type(node.op)](of(node.left), of(node.right))
+        raise ValueError(text)
+
+    return of(ast.parse(text, mode="eval").body)
 
 
 def evaluated(expr: Column, a: Column, b: Column) -> Column:
     """One of the closed expressions; null for any other."""
     out = None
-    for text, form in EXPRESSIONS.items():
-        out = F.when(expr == text, form(a, b)) if out is None else out.when(expr == text, form(a, b))
+    for text in EXPRESSIONS:
+        form = arithmetic(text, {"a": a, "b": b})
+        out = F.when(expr == text, form) if out is None else out.when(expr == text, form)
     return out
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evidence import LEVELS, evaluated, overall_grade, single_number
+from .evidence import LEVELS, evaluated, overall_grade, read_number
 from .overlap import numbers_contained
 
 #: Group names of recalibration analyses that mean the same, with the name that stands for them.
@@ -153,17 +153,34 @@ def paired_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def read_selection(lines: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Included selection lines with a, b and val. lines: line, analysis, group, include, row_id, pattern,
-    b_row, b_pattern, expr; ledger: row_id, value. A line whose row is missing is fatal; a percent pair of
-    an r2 analysis has both values divided by 100."""
-    own = ledger.select("row_id", F.col("value").alias("_a"))
-    other = ledger.select(F.col("row_id").alias("b_row"), F.col("value").alias("_b"))
-    at = lines.where(F.lower(F.trim("include")) == "yes").join(own.withColumn("_known", F.lit(True)), "row_id", "left").join(other, "b_row", "left")
-    number = lambda text, pattern: F.coalesce(F.when(pattern.isNotNull(), single_number(text, r"([0-9.]+)")), text.try_cast("double"))
-    a = F.when(F.col("_known"), number(F.col("_a"), F.col("pattern"))).otherwise(F.raise_error(F.concat(F.lit("no ledger row "), F.coalesce("row_id", F.lit("")))))
-    rows = at.select("line", "analysis", group_name(F.col("analysis"), F.col("group")).alias("group"), a.alias("a"), number(F.col("_b"), F.col("b_pattern")).alias("b"), F.coalesce("expr", F.lit("a")).alias("expr"))
+    """Included selection lines with a, b and val.
+
+    lines: line, analysis, group, include, row_id, a_field, a_pattern, b_row, b_field, b_pattern, expr.
+    ledger: row_id and the fields that lines name. a is the number in its row's a_field (`value` if it
+    names none); b, where a line has a b_field, that of b_row, or of the same row. A pattern must find
+    exactly one number. What can't be read is fatal: a missing row, an unknown field or expression, a text
+    without its one number, an expression without the value it needs or dividing by zero. A percent pair
+    of an r2 analysis has both values divided by 100.
+    """
+    blank = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    fields = [c for c in ledger.columns if c != "row_id"]
+    book = ledger.select("row_id", F.create_map(*[x for c in fields for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]).alias("_f"))
+    named = lines.where(F.lower(F.trim("include")) == "yes").withColumn("_other", F.coalesce(blank("b_row"), "row_id"))
+    at = named.join(book, "row_id", "left").join(book.select(F.col("row_id").alias("_other"), F.col("_f").alias("_g")), "_other", "left")
+    where = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), F.col("analysis"), F.lit(", row "), F.coalesce("row_id", F.lit("")))
+
+    def number(held: Column, field: Column, pattern: Column) -> Column:
+        text = held[field]
+        fatal = F.raise_error(F.concat(where, F.lit(": not in the ledger"))).cast("double")
+        return F.when(text.isNull(), fatal).otherwise(read_number(text, pattern, where))
+
+    a = number(F.col("_f"), F.coalesce(blank("a_field"), F.lit("value")), F.col("a_pattern"))
+    b = F.when(blank("b_field").isNotNull(), number(F.col("_g"), F.col("b_field"), F.col("b_pattern")))
+    rows = at.select("line", "analysis", group_name(F.col("analysis"), F.col("group")).alias("group"), where.alias("_w"), a.alias("a"), b.alias("b"), F.coalesce(blank("expr"), F.lit("a")).alias("expr"))
     halves = (F.col("expr") == "a/100") & F.col("b").isNotNull() & F.startswith(F.col("analysis"), F.lit("r2"))
-    return rows.select("line", "analysis", "group", "a", F.when(halves, F.col("b") / 100).otherwise(F.col("b")).alias("b"), evaluated(F.col("expr"), F.col("a"), F.col("b")).alias("val"))
+    rows = rows.withColumn("b", F.when(halves, F.col("b") / 100).otherwise(F.col("b")))
+    val = evaluated(F.col("expr"), F.col("a"), F.col("b"))
+    return rows.select("line", "analysis", "group", "a", "b", F.when(val.isNotNull(), val).otherwise(F.raise_error(F.concat("_w", F.lit(": no value of "), "expr")).cast("double")).alias("val"))
 
 
 def selected(lines: DataFrame, analysis: str, roles: list[str] | None = None, subsets: list[str] | None = None) -> DataFrame:
@@ -238,3 +255,36 @@ def claim_direction(own: Column, others: Column) -> Column:
     null without comparators."""
     below = F.size(F.filter(others, lambda x: own < x))
     return F.when(F.size(others) > 0, F.when(below == F.size(others), "supported").when(below == 0, "contradicted").otherwise("mixed"))
+
+
+def ratio_direction(ratio: Column, least: Column) -> Column:
+    """A speed or cost claim: supported at or over the least ratio claimed, mixed between 1 and it, else
+    contradicted; null without a ratio."""
+    return F.when(ratio.isNotNull(), F.when(ratio >= least, "supported").when(ratio > 1, "mixed").otherwise("contradicted"))
+
+
+def absence_direction(found: Column) -> Column:
+    """A claim that something never happens (type errors, wrong answers at high confidence)."""
+    return F.when(found.isNotNull(), F.when(found == 0, "supported").otherwise("contradicted"))
+
+
+def rank_direction(lower: Column, total: Column) -> Column:
+    """A calibration claim from counts: how many of all comparators have a lower error."""
+    return F.when((lower > 0) & (lower < total), "mixed").when(lower == 0, "supported").when(lower.isNotNull(), "contradicted")
+
+
+def frontier_direction(own: Column, others: Column) -> Column:
+    """A claim to be on the frontier of (quality, cost, latency). own: a struct of these; others: an array
+    of them. Contradicted if another is at least as good in all and better in one; else mixed if one has
+    more quality, else supported; null without others."""
+    alike = lambda x: (x["quality"] >= own["quality"]) & (x["cost"] <= own["cost"]) & (x["latency"] <= own["latency"])
+    better = lambda x: (x["quality"] > own["quality"]) | (x["cost"] < own["cost"]) | (x["latency"] < own["latency"])
+    return F.when(F.size(others) > 0, F.when(F.exists(others, lambda x: alike(x) & better(x)), "contradicted").when(F.exists(others, lambda x: x["quality"] > own["quality"]), "mixed").otherwise("supported"))
+
+
+def consistency(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows (what, n, failures, ok): each check over all rows in one pass; a null check fails."""
+    names = list(checks)
+    found = rows.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"_{i}") for i, c in enumerate(checks.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(f"_{i}").alias("failures")) for i, what in enumerate(names)]))
+    return found.select("n", each.alias("x")).select("x.what", "n", "x.failures", (F.col("x.failures") == 0).alias("ok"))

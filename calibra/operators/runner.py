@@ -95,12 +95,12 @@ def chunks_within(rows: DataFrame, chunk: str, tokens: str, chunks: int, limit:
 
 def baseline_lines(dec: DataFrame, request: str, question: str, options: Column, temperature: Column | None = None, model: str = "baseline") -> DataFrame:
     """(request, line): one JSON answer line for each request, its questions' distributions as served, and
-    with a fitted temperature beside it and what that makes of them, where there is one. A request is one
-    line of the format, so its questions meet in one row."""
+    with a fitted temperature beside it and what that makes of them, where there is one (a temperature of 1
+    leaves them as they are). A request is one line of the format, so its questions meet in one row."""
     as_map = lambda p: F.map_from_arrays(options, p)
     raw = [F.lit(1.0).alias("served_temperature"), as_map(F.col("p")).alias("probs_t1")]
     if temperature is not None:
-        raw += [temperature.alias("fitted_temperature"), F.when(temperature.isNotNull(), as_map(V.tempered(F.col("p"), temperature))).alias("probs_scaled")]
+        raw += [temperature.alias("fitted_temperature"), F.when(temperature == 1, as_map(F.col("p"))).when(temperature.isNotNull(), as_map(V.tempered(F.col("p"), temperature))).alias("probs_scaled")]
     body = F.struct(as_map(F.col("p")).alias("probs"), F.struct(*raw).alias("raw"))
     rows = dec.select(F.col(request).alias("_r"), F.col(question).cast("string").alias("_q"), body.alias("_b"))
     found = rows.groupBy("_r").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_q", "_b")), lambda a, b: F.when(a["_q"] < b["_q"], -1).when(a["_q"] > b["_q"], 1).otherwise(0))).alias("answers"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,19 +101,24 @@ def n11_paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.paired_lines(own.drop("line"), pairs)
 
 
-@query("""with t as (select p_partkey as line, p_size as s, lead(p_size) over (order by p_partkey) as nx, p_partkey % 4 as m from part)
-select line, case when m = 1 then 'r2Jev' else 'r1Acc' end as analysis, case when m = 1 then '10 bins, scheme not stated' else '10 bins, spacing not stated' end as group, round(s::double, 6) as a, round(case when m = 0 then null when m = 1 then nx / 100.0::double else nx end, 6) as b,
- round(case m when 0 then s when 1 then s / 100.0::double else s - nx end, 6) as val from t where line % 7 <> 0 and nx is not null""".replace(" as group,", ' as "group",'))
+@query("""with p as (select p_partkey as k, p_partkey % 5 as m, p_size::double as s, lag(p_size) over (order by p_partkey) as prev, (p_partkey % 90 + 10)::double as n from part)
+select k as line, case when m = 1 then 'r2Jev' else 'r1Acc' end as analysis, case when m = 1 then '10 bins, scheme not stated' else '10 bins, spacing not stated' end as group_name,
+ round(case m when 0 then s when 1 then s + 0.5 when 2 then n when 3 then 100 * s / (s + 7) else s + 3 end, 6) as a, round(case m when 1 then (s + 3) / 100 when 3 then prev + 0.25 when 4 then s end, 6) as b,
+ round(case m when 0 then s when 1 then (s + 0.5) / 100 when 2 then n when 3 then 100 * s / (s + 7) - (prev + 0.25) else (s + 3) / s end, 6) as val from p where k % 7 <> 0 and k > 5""")
 def n12_selection_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name a field, a pattern, another row or none of these; whole numbers, decimals, fractions,
+    and numbers inside texts."""
+    k, m, size = F.col("p_partkey"), F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    n, row = (k % 90 + 10).cast("string"), lambda i: F.concat(F.lit("L"), i.cast("string"))
+    value = F.when(m == 0, size).when(m == 1, F.concat(F.lit("  "), size, F.lit(".5 "))).when(m == 2, F.concat(size, F.lit(".25 (n="), n, F.lit(")"))).when(m == 3, F.concat(size, F.lit(" / "), (F.col("p_size") + 7).cast("string"))).otherwise(F.concat(size, F.lit(" of 80")))
     p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    book = p.select(k.alias("k"), F.concat(F.lit("L"), k.cast("string")).alias("row_id"), F.col("p_size").cast("string").alias("value"))
-    last = p.agg(F.max("p_partkey").alias("z"))
-    m = k % 4
-    rows = p.crossJoin(F.broadcast(last)).where(k < F.col("z")).select(
-        k.alias("line"), F.when(m == 1, "r2Jev").otherwise("r1Acc").alias("analysis"), F.lit("10 bins, spacing not stated").alias("group"), F.when(k % 7 == 0, "no").otherwise(" Yes").alias("include"), F.concat(F.lit("L"), k.cast("string")).alias("row_id"), F.lit(None).cast("string").alias("pattern"),
-        F.when(m != 0, F.concat(F.lit("L"), (k + 1).cast("string"))).alias("b_row"), F.lit(None).cast("string").alias("b_pattern"), F.when(m == 0, "a").when(m == 1, "a/100").otherwise("a-b").alias("expr"))
-    return _r(ledger.read_selection(rows, book))
+    book = p.select(row(k).alias("row_id"), value.alias("value"), F.concat(F.lit("about "), (F.col("p_size") + 3).cast("string"), F.lit(" points")).alias("comparator_value"))
+    pick = lambda **at: reduce(lambda c, x: c.when(m == int(x[0][1:]), x[1]), at.items(), F.when(F.lit(False), ""))
+    rows = p.where(k > 5).select(
+        k.alias("line"), F.when(m == 1, "r2Jev").otherwise("r1Acc").alias("analysis"), F.lit("10 bins, spacing not stated").alias("group"), F.when(k % 7 == 0, "no").otherwise(" Yes").alias("include"), row(k).alias("row_id"),
+        pick(_4="comparator_value", _0="").alias("a_field"), pick(_2=r"n=(\d+)", _4=r"\d+(?= points)").alias("a_pattern"), F.when(m == 3, row(k - 1)).alias("b_row"),
+        pick(_1="comparator_value", _3="value", _4="value").alias("b_field"), pick(_1=r"about (\d+)", _3=r"^([\d.]+)", _4=r"(\d+) of").alias("b_pattern"), pick(_1="a/100", _3="a-b", _4="a/b").alias("expr"))
+    return _r(ledger.read_selection(rows, book).withColumnRenamed("group", "group_name"))
 
 
 @query(f"with {_LINES} select line, record from sl where include = 'yes' and analysis = 'r2JevEce' and line % 3 = 0")
@@ -128,14 +136,14 @@ def j14_n14_class_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(ledger.classed(p.select(F.col("p_partkey").alias("record"), "p_size"), classes, ["record"]).groupBy("class").agg(F.count("*").alias("n"), F.avg("p_size").alias("mean")))
 
 
-@query("select '2609.' || lpad(c_custkey::varchar, 5, '0') as id, c_custkey % 3 = 0 as in_ledger from customer where c_custkey <> 7 and c_custkey < 100000")
+@query("select '2609.' || lpad(c_custkey::varchar, 9, '0') as id, c_custkey % 3 = 0 as in_ledger from customer where c_custkey <> 7")
 def n16_corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers listed in texts, twice each, and those the ledger holds under some version."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 100000")
-    ident = F.concat(F.lit("2609."), F.lpad(F.col("c_custkey").cast("string"), 5, "0"))
+    c = table(spark, sf_dir, "customer")
+    ident = F.concat(F.lit("2609."), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
     texts = c.select(F.concat(F.lit("see "), ident, F.lit(" and "), ident, F.lit("v1.")).alias("text"))
     book = c.where("c_custkey % 3 = 0").select(F.concat(ident, F.lit("v"), (F.col("c_custkey") % 4 + 1).cast("string")).alias("id"))
-    return ledger.listed_ids(texts, "text", r"26(?:09|10)\.\d{5}", book, ["2609.00007"])
+    return ledger.listed_ids(texts, "text", r"26(?:09|10)\.\d{9}", book, ["2609.000000007"])
 
 
 @query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)licen[sc]e')) > 0 as named from documents")
@@ -195,6 +203,32 @@ def g26_claim_by_comparators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), ledger.claim_direction(F.col("p_size"), others).alias("direction"))
 
 
+@query("""with p as (select p_partkey as id, p_retailprice / (40.0::double * p_size) as ratio, p_size % 5 as wrong, p_size % 4 as lower, p_size % 7 as q, p_retailprice as c, p_partkey % 5 as l from part where p_size > 0),
+r as (select *, (3 >= q and 1200 <= c and 2 <= l and (3 > q or 1200 < c or 2 < l)) or (5 >= q and 1500 <= c and 1 <= l and (5 > q or 1500 < c or 1 < l)) as beaten from p)
+select id, case when ratio >= 2 then 'supported' when ratio > 1 then 'mixed' else 'contradicted' end as speed, case when wrong = 0 then 'supported' else 'contradicted' end as types,
+ case lower when 0 then 'supported' when 3 then 'contradicted' else 'mixed' end as calibration, case when beaten then 'contradicted' when q < 5 then 'mixed' else 'supported' end as frontier from r""")
+def g26_claim_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of claims: speed against the least ratio claimed, type errors, calibration among three
+    comparators, the frontier beside two."""
+    p, of = table(spark, sf_dir, "part").where("p_size > 0"), lambda q, c, l: F.struct(F.lit(q).cast("long").alias("quality"), F.lit(c).cast("double").alias("cost"), F.lit(l).cast("long").alias("latency"))  # noqa: E731, E741
+    own = F.struct((F.col("p_size") % 7).alias("quality"), F.col("p_retailprice").alias("cost"), (F.col("p_partkey") % 5).alias("latency"))
+    return p.select(
+        F.col("p_partkey").alias("id"), ledger.ratio_direction(F.col("p_retailprice") / (40.0 * F.col("p_size")), F.lit(2.0)).alias("speed"), ledger.absence_direction(F.col("p_size") % 5).alias("types"),
+        ledger.rank_direction(F.col("p_size") % 4, F.lit(3)).alias("calibration"), ledger.frontier_direction(own, F.array(of(3, 1200, 2), of(5, 1500, 1))).alias("frontier"))
+
+
+@query("""with l as (select l_orderkey, count(*) as n, sum(l_quantity) as q, min(l_discount) as least, max(l_discount) as most from lineitem group by 1), j as (select * from orders left join l on l_orderkey = o_orderkey),
+c as (select o_orderkey, [n is not null, coalesce(n between 1 and 7, false), coalesce(q <= 50 * n, false), coalesce(least >= 0 and most <= 0.05, false), o_totalprice > 0] as ok from j)
+select w.what, count(*) as n, count(*) filter (where not ok[w.i]) as failures, count(*) filter (where not ok[w.i]) = 0 as ok from c, (values (1, 'an order has lines'), (2, 'seven lines at most'), (3, 'quantities up to fifty'), (4, 'discounts up to a twentieth'), (5, 'a positive total')) w(i, what) group by w.i, w.what""")
+def n20_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold between orders and their lines, each with its failures; some do fail."""
+    lines_ = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.min("l_discount").alias("least"), F.max("l_discount").alias("most"))
+    rows = table(spark, sf_dir, "orders").join(lines_, "o_orderkey", "left")
+    return ledger.consistency(rows, {
+        "an order has lines": F.col("n").isNotNull(), "seven lines at most": F.col("n").between(1, 7), "quantities up to fifty": F.col("q") <= 50 * F.col("n"),
+        "discounts up to a twentieth": (F.col("least") >= 0) & (F.col("most") <= 0.05), "a positive total": F.col("o_totalprice") > 0})
+
+
 @query("""select count(*) filter (where decision = 'include' and has) as included, count(*) filter (where decision = 'exclude') as excluded, count(*) filter (where decision = 'include' and not has) as no_rows, count(*) filter (where decision = 'grey') as grey
  from (select case c_custkey % 3 when 0 then 'include' when 1 then 'exclude' else 'grey' end as decision, c_custkey in (select o_custkey from orders) as has from customer)""")
 def a40_sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,13 +296,25 @@ def x09_seeded_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).orderBy(draw("x9", F.col("id")), "id").limit(1500)
 
 
-@query(f"""with {LOG_SQL}, t as (select *, case when error is not null then 'error' when usage_in % 7 = 0 then 'refusal' when usage_in % 7 = 1 then 'unparseable' when usage_in % 7 = 2 then 'truncated' when usage_in % 7 = 3 then 'percent' when usage_in % 7 = 4 then 'empty' else 'answered' end as outcome from log)
-select model, outcome, count(*) as n from t group by all""")
+@query(f"""with {LOG_SQL}, t as (select model, key, usage_in % 8 as m from log where usage_in % 8 <> 7), k as (select model, key, bool_or(m in (3, 4, 5, 6)) as good, bool_or(m in (0, 2)) as bad from t where m <> 1 group by all)
+select model, count(*) as lines, count(*) filter (where m in (3, 4, 5, 6)) as answered, any_value(gk) as answered_keys, count(*) filter (where m in (0, 2)) as errors, count(*) filter (where m = 0) as refusals, count(*) filter (where m = 1) as unparseable, any_value(bk) as 'both',
+ sum(case when m in (3, 4, 5) then 1 when m = 6 then 2 else 0 end)::bigint as questions, count(*) filter (where m = 5) as empty, case when model = 2 then count(*) filter (where m = 3) end as truncated, case when model = 2 then count(*) filter (where m in (4, 6)) end as not_summing, case when model = 2 then count(*) filter (where m = 4) end as percent_scale
+ from t join (select model, count(*) filter (where good) as gk, count(*) filter (where good and bad) as bk from k group by model) using (model) group by model""")
 def a25_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's outcome from its reply: refusals, no JSON, replies cut off, percentages, no mass."""
-    log, n = answer_log(spark, sf_dir), F.col("usage_in") % 7
-    reply = F.when(n == 0, F.lit("I can't help with that.")).when(n == 1, F.lit("no idea {")).when(n == 2, F.lit('{"a": 0.5, "b"')).when(n == 3, F.lit('{"a": 70, "b": 30}')).when(n == 4, F.lit('{"a": 0, "b": 0}')).otherwise(F.lit('{"a": 0.7, "b": 0.3}'))
-    return log.withColumn("outcome", answers.outcome(F.col("error"), reply)).groupBy("model", "outcome").agg(F.count("*").alias("n"))
+    """Raw lines of three files: refusals, other errors, lines cut off, long replies, percentages, empty and
+    unsummed distributions, blank lines. Model 2 states its probabilities in the reply."""
+    log, m = answer_log(spark, sf_dir), F.col("usage_in") % 8
+    question = lambda probs, said, used=10: {"probs": probs, "raw": {"usage_out": used, "raw_text": said}}
+    said = lambda *p: json.dumps({"probabilities": [{"p": x} for x in p]})
+    half = {"a": 0.5, "b": 0.5}
+    kinds = [
+        {"error": "prompt exceeds its budget of 512"}, None, {"error": "HTTP 500"}, {"answers": {"q": question(half, said(0.5, 0.5), 768)}}, {"answers": {"q": question(half, said(70, 30))}},
+        {"error": "", "answers": {"q": question({}, "none")}}, {"error": None, "answers": {"q": question(half, said(0.5, 0.4)), "r": question(half, said(0.25, 0.75))}}]
+    line = F.lit("  ")
+    for i, x in enumerate(kinds):
+        body = '"answers": {' if x is None else json.dumps(x)[1:]
+        line = F.when(m == i, F.concat(F.lit('{"key": "'), F.col("key").cast("string"), F.lit('", '), F.lit(body))).otherwise(line)
+    return answers.failures(log.select("model", line.alias("line")), ["model"], "line", F.col("model") == 2)
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.hashing import draw, draw_sql
-from ..operators import answers, design, evidence, overlap
+from ..operators import answers, design, evidence, ledger, overlap
 from ..sources import tables
 from .derived import table
 from .evaluation import _r
@@ -595,21 +595,9 @@ def e01_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("with cls as (select case when p_size > 25 then 'fast' else 'slow' end as kind, p_size, p_retailprice from part) select kind, case when avg(p_retailprice) / 1400 >= 1.1 then 'worse' when avg(p_retailprice) / 1400 <= 0.9 then 'better' else 'alike' end as direction from cls group by kind")
-def g26_claim_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("p_size") > 25, "fast").otherwise("slow")
-    ratio = F.avg("p_retailprice") / 1400
-    return table(spark, sf_dir, "part").groupBy(kind.alias("kind")).agg(F.when(ratio >= 1.1, "worse").when(ratio <= 0.9, "better").otherwise("alike").alias("direction"))
-
-
-@query("select count(*) as n, count(*) filter (where not ok) as failures from (select c_custkey, c_acctbal >= -1000 as ok from customer)")
-def n20_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = table(spark, sf_dir, "customer").select((F.col("c_acctbal") >= -1000).alias("ok"))
-    return checks.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failures"))
-
-
-@query("select p_partkey, abs(round(p_retailprice, 1) - p_retailprice) < 0.05::double + 1e-9::double as equal_at_coarser from part")
+@query("select p_partkey, round_even(printf('%.2f', p_retailprice / 7)::double * 10, 0) = floor(p_retailprice / 7 * 10) as equal_at_coarser from part")
 def n07_coarser_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value printed with one decimal equals one printed with more if it rounds to it."""
-    v = F.col("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", (F.abs(F.round(v, 1) - v) < F.lit(0.05) + F.lit(1e-9)).alias("equal_at_coarser"))
+    """A seventh of a price cut off after one decimal equals one with two decimals if that rounds to it."""
+    v = F.col("p_retailprice") / 7
+    printed = lambda c, d: F.format_string(f"%.{d}f", c)
+    return table(spark, sf_dir, "part").select("p_partkey", ledger.same_value(printed(F.floor(v * 10) / 10, 1), printed(v, 2)).alias("equal_at_coarser"))

@@ -56,7 +56,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return runner.baseline_lines(keyed, "request", "item", F.array(*map(F.lit, OPTIONS)), by_type), dec
 
 
-@query(_sql(f"""select model || '|' || grp as key, item, round(p0, 6) as p, round(tt, 6) as fitted, round(pow(greatest(p0, 1e-6), 1 / tt) / (pow(greatest(p0, 1e-6), 1 / tt) + pow(greatest(p1, 1e-6), 1 / tt) + pow(greatest(p2, 1e-6), 1 / tt)), 6) as scaled
+@query(_sql(f"""select model || '|' || grp as key, item, round(p0, 6) as p, round(tt, 6) as fitted, round(case when tt = 1 then p0 else exp(ln(greatest(p0, 1e-6)) / tt) / (exp(ln(greatest(p0, 1e-6)) / tt) + exp(ln(greatest(p1, 1e-6)) / tt) + exp(ln(greatest(p2, 1e-6)) / tt)) end, 6) as scaled
  from (select *, {_FITTED} as tt from dec)"""))
 def k06_baseline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer lines as they are written, read again."""

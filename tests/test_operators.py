@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import calibration, curves, decide, design, evidence, metrics, significance
+from calibra.operators import answers, calibration, curves, decide, design, evidence, ledger, metrics, significance
 from calibra.plans.derived import judged
 
 SCHEMA = "g string, ord long, p array<double>, y int"
@@ -131,3 +131,57 @@ def test_nested_subsets_nest_and_hold_gold(spark):
     for i in range(20):
         assert len(sets[(i, 2)]) == 2 and len(sets[(i, 9)]) == 9
         assert f"o{i % 9}" in sets[(i, 2)] <= sets[(i, 4)] <= sets[(i, 9)]
+
+
+def selection(spark, **line):
+    row = {"line": 2, "analysis": "r1", "group": "g", "include": "yes", "row_id": "L1", "a_field": None, "a_pattern": None, "b_row": None, "b_field": None, "b_pattern": None, "expr": None} | line
+    kinds = ", ".join(f"`{c}` {'long' if c == 'line' else 'string'}" for c in row)
+    book = spark.createDataFrame([("L1", "91.5 (n=40)", "1e"), ("L2", "83/84", " 70 "), ("L3", "70 of 80", "")], "row_id string, value string, comparator_value string")
+    return [(r["a"], r["b"], r["val"]) for r in ledger.read_selection(spark.createDataFrame([tuple(row.values())], kinds), book).collect()]
+
+
+def test_selection_lines_read_by_their_own_patterns(spark):
+    assert selection(spark, a_pattern=r"n=(\d+)") == [(40.0, None, 40.0)]
+    assert selection(spark, row_id="L2") == [(pytest.approx(98.8095238), None, pytest.approx(98.8095238))]
+    assert selection(spark, row_id="L3", a_pattern=r"(\d+) of") == [(70.0, None, 70.0)]
+    assert selection(spark, row_id="L3", a_pattern=r"(\d+) of", b_field="value", b_pattern=r"\d+$", expr="a-b") == [(70.0, 80.0, -10.0)]
+    assert selection(spark, row_id="L2", a_field="comparator_value", b_row="L3", b_field="value", b_pattern=r"of (\d+)", expr="a/b") == [(70.0, 80.0, 0.875)]
+    assert selection(spark, analysis="r2", row_id="L3", a_pattern="^(7.)", b_field="value", b_pattern="(8.)$", expr="a/100") == [(70.0, 0.8, 0.7)]
+    assert selection(spark, include="no", row_id="L9") == []
+
+
+@pytest.mark.parametrize(
+    "line",
+    [{"expr": "zzz"}, {"row_id": "L9"}, {"a_field": "nothing"}, {}, {"a_pattern": r"(\d)"}, {"a_pattern": "n=x"}, {"a_pattern": r"\((n)="}, {"a_pattern": r"n=(\d+)", "expr": "a-b"}, {"row_id": "L2", "b_field": "value", "b_pattern": "(84)", "b_row": "L9", "expr": "a-b"}],
+)
+def test_what_a_selection_line_may_not_be(spark, line):
+    with pytest.raises(Exception, match="line 2 of r1"):
+        selection(spark, **line)
+
+
+def test_expressions_are_their_texts(spark):
+    df = spark.createDataFrame([(3.0, 4.0)], "a double, b double")
+    for text in evidence.EXPRESSIONS:
+        assert df.select(evidence.evaluated(F.lit(text), F.col("a"), F.col("b")).alias("v")).first()["v"] == pytest.approx(eval(text, {"a": 3.0, "b": 4.0}))
+
+
+def test_failures_by_the_lines_own_words(spark):
+    lines = [
+        '{"key": "k1", "error": "over the prompt budget"}', '{"key": "k1", "answers": {"q": {"probs": {"a": 1.0}, "raw": {"usage_out": 800, "raw_text": "{\\"probabilities\\": [{\\"p\\": 0.4}, {\\"p\\": 1.7}]}"}}}}', "", None, "not json",
+        '{"key": "k2", "error": "", "answers": {"q": {"probs": {}}, "r": {"raw": {"raw_text": "I cannot tell. {}"}}}}', '{"key": "k3", "error": {"code": 5}}', '{"key": "k2", "answers": {}}',
+    ]
+    df = spark.createDataFrame([("m", x) for x in lines], "model string, line string")
+    assert tuple(answers.failures(df, ["model"], "line", F.lit(True)).first()) == ("m", 6, 3, 2, 2, 1, 1, 1, 3, 2, 1, 1, 1)
+    assert tuple(answers.failures(df, ["model"], "line").first())[-3:] == (None, None, None)
+
+
+def test_claim_rules(spark):
+    def of(column):
+        return spark.range(1).select(column.alias("x")).first()["x"]
+
+    assert [of(ledger.ratio_direction(F.lit(x), F.lit(2.0))) for x in (2.0, 1.9, 1.0, 0.5, None)] == ["supported", "mixed", "contradicted", "contradicted", None]
+    assert [of(ledger.absence_direction(F.lit(x))) for x in (0, 1, None)] == ["supported", "contradicted", None]
+    assert [of(ledger.rank_direction(F.lit(x), F.lit(3))) for x in (0, 1, 3)] == ["supported", "mixed", "contradicted"]
+    at = lambda q, c, l: F.struct(F.lit(q).alias("quality"), F.lit(c).alias("cost"), F.lit(l).alias("latency"))  # noqa: E731, E741
+    assert [of(ledger.frontier_direction(at(5, 5, 5), F.array(at(*x)))) for x in ((5, 5, 5), (5, 4, 5), (6, 6, 6), (4, 4, 4))] == ["supported", "contradicted", "mixed", "supported"]
+    assert of(ledger.frontier_direction(at(1, 1, 1), F.array().cast("array<struct<quality:int,cost:int,latency:int>>"))) is None
