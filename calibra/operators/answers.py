@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.quantiles import quantiles, same
 
 #: Fixed value: dollars for a million input tokens of the hosted service.
 PRICE = 0.042
@@ -75,8 +76,10 @@ def lenient_body(text: Column) -> Column:
 
 
 def latency(log: DataFrame, by: list[str], value: str = "latency_s") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return log.groupBy(*by).agg(F.count(value).alias("n"), q[0].alias("p50"), q[1].alias("p95"), F.avg(value).alias("mean"))
+    """Count, median, 95th percentile and mean."""
+    sums = log.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    at = quantiles(log, by, value, {"p50": 0.5, "p95": 0.95})
+    return sums.join(at, same(sums, at, by), "left").select(*[sums[c] for c in by], "n", "p50", "p95", "mean")
 
 
 def cost(log: DataFrame, by: list[str], tokens: str = "usage_in", price: float = PRICE) -> DataFrame:

@@ -7,6 +7,8 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles, same
+
 #: The ratings, in their order.
 LEVELS = ("low", "unclear", "high")
 
@@ -26,16 +28,24 @@ def kappa(ratings: DataFrame, by: list[str], levels: tuple[str, ...] = LEVELS) -
 
 
 def cluster_medians(estimates: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
-    return estimates.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.median(value).alias("m"))
+    return quantiles(estimates, [*by, cluster], value, {"m": 0.5})
 
 
 def pooled(estimates: DataFrame, by: list[str], cluster: str, value: str) -> DataFrame:
     """A median for each cluster, then their count, extremes with their clusters, median and signs."""
     m = cluster_medians(estimates, by, cluster, value)
     low, high = F.min(F.struct("m", cluster)), F.max(F.struct(F.col("m"), F.lit(0).alias("z")))
-    return m.groupBy(*by).agg(
-        F.count("*").alias("clusters"), low["m"].alias("least"), low[cluster].alias("least_cluster"), high["m"].alias("greatest"),
-        F.median("m").alias("median"), F.count_if(F.col("m") > 0).alias("ahead"), F.count_if(F.col("m") < 0).alias("behind"))
+    told = m.groupBy(*by).agg(
+        F.count("*").alias("clusters"), low["m"].alias("least"), low[cluster].alias("least_cluster"), high["m"].alias("greatest"), F.count_if(F.col("m") > 0).alias("ahead"), F.count_if(F.col("m") < 0).alias("behind"))
+    at = quantiles(m, by, "m", {"median": 0.5})
+    return told.join(at, same(told, at, by)).select(*[told[c] for c in by], "clusters", "least", "least_cluster", "greatest", "median", "ahead", "behind")
+
+
+def span_ratio(estimates: DataFrame, by: list[str], study: str, value: str) -> DataFrame:
+    """The range of the studies' medians over the widest study's range."""
+    m, own = cluster_medians(estimates, by, study, value), estimates.groupBy(*by, study).agg((F.max(value) - F.min(value)).alias("span"))
+    both = m.join(own, same(m, own, [*by, study])).select(*[m[c] for c in by], "m", "span")
+    return both.groupBy(*by).agg(((F.max("m") - F.min("m")) / F.max("span")).alias("ratio"))
 
 
 def overall_grade(ratings: list[Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import vectors as V
 from ..functions.hashing import draw, draw_sql
+from ..functions.quantiles import quantiles
 from ..operators import calibration, curves, decide, metrics, resampling, significance
 from .derived import DEC_SQL, decisions, judged
 
@@ -325,7 +326,8 @@ def _cascade_summary(pairs: DataFrame) -> DataFrame:
 @query(_sql("select type, count(*) as n, round(avg(case when conf < 0.6 then c2 else c1 end), 6) as accuracy, round(avg((conf < 0.6)::int), 6) as escalated, round(quantile_cont(l1 + case when conf < 0.6 then l2 else 0 end, 0.5), 6) as p50 from cp group by type", _CASC))
 def g01_g07_cascade_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decide.merged(_cascade(spark, sf_dir), 0.6)
-    return _r(out.groupBy("type").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("escalated").alias("escalated"), F.percentile("latency", F.lit(0.5)).alias("p50")))
+    sums = out.groupBy("type").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg("escalated").alias("escalated"))
+    return _r(sums.join(quantiles(out, ["type"], "latency", {"p50": 0.5}), "type"))
 
 
 @query(_sql("""select type, count(*) as n, round(avg(case when gate < 0.45 then c2 else c1 end), 6) as all_accuracy, round(avg(case when gate < 0.45 and conf < 0.45 then c2 else c1 end), 6) as low_accuracy, round(avg((gate < 0.45)::int), 6) as sent

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.hashing import draw, draw_sql
+from ..functions.quantiles import quantiles
 from ..operators import answers, design, evidence, ledger, overlap
 from ..sources import tables
 from .derived import table
@@ -186,8 +187,9 @@ def w09_w10_p23_running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_brand, count(*) as n, round(avg(length(p_type)), 6) as mean_chars, round(median(length(p_type)), 6) as median_chars, min(length(p_type)) as least, max(length(p_type)) as greatest from part group by 1")
 def a31_option_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("p_type").cast("long")
-    return _r(table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.avg(n).alias("mean_chars"), F.median(n).alias("median_chars"), F.min(n).alias("least"), F.max(n).alias("greatest")))
+    rows = table(spark, sf_dir, "part").select("p_brand", F.length("p_type").cast("long").alias("_c"))
+    sums = rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("_c").alias("mean_chars"), F.min("_c").alias("least"), F.max("_c").alias("greatest"))
+    return _r(sums.join(quantiles(rows, ["p_brand"], "_c", {"median_chars": 0.5}), "p_brand"))
 
 
 @query("select p_partkey, p_brand || ': ' || p_type as rendered, 'o' || (p_size % 3 + 1)::varchar as neutral from part")
@@ -354,15 +356,13 @@ def r11_median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = m.withColumn("k", F.row_number().over(Window.partitionBy("analysis").orderBy("cluster")) - 1)
     sizes = m.groupBy("analysis").agg(F.count("*").alias("n")).where("n >= 3")
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("analysis", "b", (draw("med", F.col("b"), F.col("j")) % F.col("n")).alias("k"))
-    stats = draws.join(m, ["analysis", "k"]).groupBy("analysis", "b").agg(F.median("m").alias("s"))
-    q = F.percentile("s", F.array(F.lit(0.025), F.lit(0.975)))
-    return _r(stats.groupBy("analysis").agg(q[0].alias("low"), q[1].alias("high")))
+    stats = quantiles(draws.join(m, ["analysis", "k"]), ["analysis", "b"], "m", {"s": 0.5})
+    return _r(quantiles(stats, ["analysis"], "s", {"low": 0.025, "high": 0.975}))
 
 
 @query(f"with {_EST} select analysis, round((max(m) - min(m)) / max(span), 6) as ratio from (select analysis, study, median(v) as m, max(v) - min(v) as span from est group by all) group by analysis")
 def a35_span_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = estimates(spark, sf_dir).groupBy("analysis", "study").agg(F.median("v").alias("m"), (F.max("v") - F.min("v")).alias("span"))
-    return _r(one.groupBy("analysis").agg(((F.max("m") - F.min("m")) / F.max("span")).alias("ratio")))
+    return _r(evidence.span_ratio(estimates(spark, sf_dir), ["analysis"], "study", "v"))
 
 
 @query("""with ledger as (select o_orderkey as k, case when o_orderkey % 97 = 0 then 'K ' || o_orderkey else 'k-' || (o_orderkey % 350) end as value_key from orders)
