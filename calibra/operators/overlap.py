@@ -143,43 +143,109 @@ def joined_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: st
     return best.select(query_id, (-F.col("b.k")).alias(pool_id), F.col("b.jaccard").alias("jaccard"))
 
 
-#: Pool texts that one pass over the corpus looks for.
-HEADS = 20_000
+#: Windows of these lengths are hashed besides the heads' full length; a shorter head is looked for by as
+#: much of its start as the longest of them covers.
+WINDOWS = (1, 2, 4, 8, 16, 32, 64)
+#: Bits of the filter for a head, and its most bits; marks that each hash sets. Characters hashed at once.
+FILTER_BITS, MOST_BITS, MARKS, CHUNK = 16, 1 << 27, 4, 1 << 20
+#: Heads that are broadcast, at most; more are joined by a shuffle.
+SMALL_POOL = 100_000
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def window_hashes(texts: list[str], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each size the hashes of all windows of so many characters that lie within a text: (size, text,
+    place in the text, hash). Rolling: all sizes are differences of one running sum."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(length) - length
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum((code + np.uint64(1)) * _powers(_BASE, len(code) + 1)[:-1], out=sums[1:])
+    back = _powers(pow(_BASE, -1, 1 << 64), len(code) + 1)
+    for size in sizes:
+        count = np.maximum(length - size + 1, 0)
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = place + np.repeat(first, count)
+        yield size, np.repeat(np.arange(len(texts)), count), place, _mixed((sums[at + size] - sums[at]) * back[at] + np.uint64(size))
+
+
+def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """(mark, hash): the bits that each hash sets in a filter of so many (a power of two)."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(MARKS)])
 
 
 def contained(pool: DataFrame, corpus: DataFrame, pool_id: str, corpus_id: str, length: int = 120) -> DataFrame:
-    """Pairs (pool_id, corpus_id) where the first `length` normalized characters of a pool text lie in
-    a corpus text, at word edges or not. The pool is the query set: its heads are looked for in one
-    pass over the corpus, HEADS of them at a time, by an automaton over all of them. Heads without a
-    character match nothing.
+    """Pairs (pool_id, corpus_id) where the first `length` normalized characters of a pool text (its head)
+    lie in a corpus text, at word edges or not. Heads without a character match nothing.
+
+    The corpus is read once: rolling hashes of its windows of the heads' length, and of shorter heads'
+    starts, pass a Bloom filter of the heads' hashes; what passes is joined with the heads on the hash and
+    checked on the characters. Of the pool only the filter, of a bounded size, reaches the driver.
     """
-    heads = pool.select(F.col(pool_id).cast("long").alias("_id"), F.substring(norm(F.col("text")), 1, length).alias("_h")).where("_h <> ''")
-    blocks = max(1, -(-heads.count() // HEADS))
-    texts = corpus.select(F.col(corpus_id).cast("long").alias("_id"), norm(F.col("text")).alias("_t")).where("_t is not null")
-    out = None
-    for block in range(blocks):
-        wanted: dict[str, list[int]] = {}
-        for r in heads.where(F.pmod(F.xxhash64("_h"), F.lit(blocks)) == block).collect():
-            wanted.setdefault(r["_h"], []).append(r["_id"])
-        found = texts.mapInArrow(_search(pool.sparkSession.sparkContext.broadcast(wanted)), f"`{pool_id}` long, `{corpus_id}` long")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _search(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+    spark, sizes = pool.sparkSession, [*(w for w in WINDOWS if w < length), length]
+    heads = pool.select(F.col(pool_id).cast("long").alias("_p"), F.substring(norm(F.col("text")), 1, length).alias("_h")).where("_h <> ''")
 
-        automaton = ahocorasick.Automaton()
-        for head, ids in shared.value.items():
-            automaton.add_word(head, ids)
-        automaton.make_automaton()
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_h").to_pylist()
+            reach = np.array([max(s for s in sizes if s <= len(t)) for t in texts])
+            key = np.zeros(len(texts), np.uint64)
+            for size, text, place, hashes in window_hashes(texts, sizes):
+                own = (place == 0) & (reach[text] == size)
+                key[text[own]] = hashes[own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], ["_p", "_h", "_k"])
+
+    heads = heads.mapInArrow(keyed, "_p long, _h string, _k long")
+    n = heads.count()
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(6, (FILTER_BITS * max(n, 1) - 1).bit_length()))
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(_marks(np.asarray(batch.column("_k")).view(np.uint64), bits))
+            word, first = np.unique(bit >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["w", "m"])
+
+    words = np.zeros(bits // 64, np.uint64)
+    told = heads.select("_k").mapInArrow(set_bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    words[told["w"].to_numpy(np.int64)] = told["m"].to_numpy(np.int64).view(np.uint64)
+    used = [r["_s"] for r in heads.select(F.length("_h").alias("_l")).distinct().select(F.greatest(*[F.when(F.col("_l") >= s, s).otherwise(0) for s in sizes]).alias("_s")).distinct().collect()]
+    shared = spark.sparkContext.broadcast((words, sorted(used)))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, used = shared.value
         for batch in batches:
-            left, right = [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = {i for _, ids in automaton.iter(text) for i in ids} if len(automaton) else ()
-                left.extend(hits)
-                right.extend([ident] * len(hits))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return run
+            ids, texts = batch.column("_c").to_pylist(), batch.column("_t").to_pylist()
+            at = 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+                    size, to = size + len(texts[to]), to + 1
+                found = set()
+                for _, text, place, hashes in window_hashes(texts[at:to], used):
+                    passed = np.ones(len(hashes), bool)
+                    for bit in _marks(hashes, len(words) * 64):
+                        passed &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                    keys = hashes.view(np.int64)[passed].tolist()
+                    found.update((ids[at + i], k, texts[at + i][j : j + length]) for i, j, k in zip(text[passed].tolist(), place[passed].tolist(), keys, strict=True))
+                c, k, w = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(w, pa.string())], ["_c", "_k", "_w"])
+                at = to
+
+    texts = spread(corpus.select(corpus_id, "text")).select(F.col(corpus_id).cast("long").alias("_c"), norm(F.col("text")).alias("_t")).where("_t is not null")
+    passed = texts.mapInArrow(windows, "_c long, _k long, _w string") if n else texts.select("_c", F.lit(0).cast("long").alias("_k"), F.lit("").alias("_w")).where("false")
+    hits = passed.join(F.broadcast(heads) if n <= SMALL_POOL else heads, "_k").where(F.startswith(F.col("_w"), F.col("_h")))
+    return hits.select(F.col("_p").alias(pool_id), F.col("_c").alias(corpus_id)).distinct()

@@ -74,6 +74,23 @@ def test_heads_are_found_inside_words_and_alone(spark):
     assert {tuple(r) for r in overlap.contained(pool, corpus, "pid", "cid").collect()} == {(1, 10), (2, 10), (2, 11)}
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_heads_against_every_pair(spark, monkeypatch, small):
+    """Shared starts, heads of all lengths, letters beyond the plane, repeats, ids that are null; both joins."""
+    monkeypatch.setattr(overlap, "SMALL_POOL", small)
+    monkeypatch.setattr(overlap, "CHUNK", 300)
+    rng = np.random.default_rng(5)
+    letters = list("ab ç𝒳")
+    corpus = [(i, "".join(rng.choice(letters, int(rng.integers(0, 90))))) for i in range(60)] + [(99, None), (7, "ab ab ab"), (None, "ab ç ab")]
+    cuts = [(int(rng.integers(0, 60)), int(rng.integers(0, 40)), int(rng.integers(1, 50))) for _ in range(80)]
+    pool = [(i, corpus[c][1][at : at + n]) for i, (c, at, n) in enumerate(cuts)] + [(500, "a" * 40), (501, "ab ab"), (501, "ab ab"), (502, "zzz"), (503, ""), (504, None)]
+    frames = spark.createDataFrame(pool, "pid long, text string").repartition(3), spark.createDataFrame(corpus, "cid long, text string").repartition(3)
+    got = [tuple(r) for r in overlap.contained(*frames, "pid", "cid", length=24).collect()]
+    plain = [{(r[i], r["n"]) for r in f.select(i, overlap.norm(F.col("text")).alias("n")).collect()} for f, i in zip(frames, ("pid", "cid"), strict=True)]
+    want = {(p, c) for p, h in plain[0] if h for c, t in plain[1] if t is not None and h[:24] in t}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_best_match_by_index_equals_the_join(spark):
     rng = np.random.default_rng(2)
     text = lambda: " ".join(str(x) for x in rng.choice(["alpha", "beta", "gamma", "delta", "eps"], 6))
