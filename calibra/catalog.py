@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import comparison, evaluation, ledger, records, rendering, runs  # noqa: F401  registers on import
+    from .plans import comparison, evaluation, ledger, records, rendering, runs, stores  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, Query]:

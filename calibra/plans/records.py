@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from ..catalog import query
 from ..functions.hashing import draw, draw_sql
 from ..functions.quantiles import quantiles
 from ..operators import answers, design, evidence, ledger, overlap
-from ..sources import tables
+from ..sources import store, tables
 from .derived import table
 from .evaluation import _r
 
@@ -126,11 +123,6 @@ def o02_o05_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_log(spark, sf_dir).groupBy("usage_in").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "usage_in").limit(5)
 
 
-@query(_log("select distinct model, kind from log where kind <> 'error'"))
-def s05_s06_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_log(spark, sf_dir).where("kind <> 'error'").select("model", "kind").distinct()
-
-
 # Alignment of answers with options
 
 
@@ -554,8 +546,7 @@ def m03_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select n_nationkey as key, 'm' || n_regionkey as model, n_name as condition from nation where n_nationkey % 2 = 0")
 def s01_s03_k01_k03_answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer lines by model, condition and repetition; unparseable ones are dropped."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="answers-")
-    path = f"{folder}/answers-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = store.scratch(spark, "answers")
     n = table(spark, sf_dir, "nation")
     lines = n.select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("model"), F.col("n_name").alias("condition"))
     text = lines.select(F.when(F.col("key").cast("int") % 2 == 0, F.to_json(F.struct("*"))).otherwise(F.lit("{broken")).alias("value"))
@@ -565,18 +556,11 @@ def s01_s03_k01_k03_answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select r_name as name, r_regionkey::varchar as k from region")
 def s07_s08_k05_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="csv-")
-    path = f"{folder}/csv-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = store.scratch(spark, "csv")
     tables.write_csv(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("k")), path)
     return tables.read_csv(spark, path).select("name", "k")
 
 
-@query("select * from (values ('paired.acc', 0.5::double), ('paired.ci.0', 0.25), ('paired.ci.1', 0.75), ('n', 4)) t(label, value)")
-def p30_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = json.dumps({"paired": {"acc": 0.5, "ci": [0.25, 0.75], "_note": 1, "name": "x"}, "n": 4, "ok": True})
-    return spark.createDataFrame(tables.flattened(text), "label string, value double")
-
-
 @query("select n_nationkey as id, n_name as title from nation")
 def s12_atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
