@@ -120,6 +120,42 @@ def frozen(df: DataFrame, by: list[str], body: str, order: str) -> DataFrame:
     return digests.select(*by, "rows", F.sha2(F.array_join(F.col("x.d"), "\n"), 256).alias("sha256"))
 
 
+#: Rows, or digests, under one digest of the next level; and the levels below the root.
+FAN, TREE_LEVELS = 1000, 2
+
+
+def frozen_tree(df: DataFrame, by: list[str], body: str, order: str, fan: int = FAN, levels: int = TREE_LEVELS) -> DataFrame:
+    """A manifest (by, rows, sha256) whose digests merge: of `fan` order numbers the ordered digests of
+    their bodies make one, of `fan` of these the next, and so on for `levels`; the root is of what is left.
+    So no array holds a condition's rows. order: whole numbers; equal ones go by their digests. A null
+    body is empty."""
+
+    def merged(level: DataFrame) -> DataFrame:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_d"))), lambda x: x["_d"])
+        return level.groupBy(*by, "_c").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("_d"), F.sum("_n").alias("_n"))
+
+    level = df.select(*by, F.col(order).cast("long").alias("_o"), F.sha2(F.coalesce(F.col(body).cast("string"), F.lit("")), 256).alias("_d"), F.lit(1).cast("long").alias("_n"))
+    for _ in range(levels):
+        level = merged(level.withColumn("_c", F.floor(F.col("_o") / fan))).withColumnRenamed("_c", "_o")
+    return merged(level.withColumn("_c", F.lit(0))).select(*by, F.col("_n").alias("rows"), F.col("_d").alias("sha256"))
+
+
+def replayed(manifest: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, status) of a manifest beside one of what was made again: same, changed, missing, new."""
+    a, b = manifest.select(*by, F.struct("rows", "sha256").alias("_a")), again.select(*by, F.struct("rows", "sha256").alias("_b"))
+    both = a.join(b, by, "full_outer")
+    return both.select(*by, F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "missing").when(F.col("_a") == F.col("_b"), "same").otherwise("changed").alias("status"))
+
+
+def extended(manifest: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """The manifest with new conditions; entries that are there stay, and one that would change is fatal."""
+    at = again.join(replayed(manifest, again, by).where("status <> 'missing'"), by)
+    fatal = F.raise_error(F.concat(F.lit("a frozen condition changed: "), F.concat_ws(" ", *[F.col(c).cast("string") for c in by]))).cast("string")
+    status = F.when(F.col("status") == "changed", fatal).otherwise(F.col("status"))
+    new = at.withColumn("status", status).where("status = 'new'").select(*by, "rows", "sha256")
+    return manifest.select(*by, "rows", "sha256").unionByName(new)
+
+
 def resumable(spark, requests: DataFrame, path: str, scorer, schema: str, key: list[str], retries: int = 7) -> int:
     """Scores what `path` has no good line for and appends the lines; returns how many were to do.
 

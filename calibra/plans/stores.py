@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.documents import flattened, parsed_prompt
+from ..operators import answers
 from ..sources import store
 from .derived import table
 from .evaluation import _r
@@ -78,3 +79,28 @@ def p23_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "customer").select("c_custkey", parsed_prompt(prompt).alias("x"))
     at = F.col("x.sections")
     return found.select(F.col("c_custkey").alias("id"), F.col("x.instruction").alias("instruction"), at["A"].alias("a"), at["B"].alias("b"), F.size(at).alias("sections"))
+
+
+def _tree(name: str, rows: str, last: str) -> str:
+    """A manifest's digests in DuckDB: rows (cond, k, body) by thousands, thousands of these, and the root."""
+    up = "sha256(string_agg(d, chr(10) order by {o}, d))"
+    return f"""{name}0 as (select cond, k // 1000 as c, {up.format(o='k')} as d, count(*) as n from (select cond, k, sha256(body) as d from {rows}) group by all),
+{name}1 as (select cond, c // 1000 as c, {up.format(o='z')} as d, sum(n) as n from (select cond, c as z, c, d, n from {name}0) group by cond, c // 1000),
+{name} as (select cond, {up.format(o='c')} as sha256, sum(n)::bigint as rows from {name}1 group by cond){last}"""
+
+
+@query(f"""with a as (select o_orderstatus as cond, o_orderkey as k, o_orderstatus || o_custkey as body from orders where o_orderstatus <> 'P'),
+b as (select o_orderstatus as cond, o_orderkey as k, case when o_orderstatus = 'O' and o_orderkey % 1000 = 7 then 'x' else o_orderstatus || o_custkey end as body from orders),
+{_tree('ma', 'a', ',')} {_tree('mb', 'b', '')}
+select cond as condition, coalesce(ma.rows, mb.rows) as rows, coalesce(ma.sha256, mb.sha256) as sha256, case when ma.rows is null then 'new' when ma.sha256 = mb.sha256 then 'same' else 'changed' end as status from ma full join mb using (cond)""")
+def n18_replayed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frozen manifest beside a replay in which one condition is the same, one has other rows, one is new."""
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    body = F.concat(status, F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(status.alias("condition"), key.alias("k"), body.alias("body"))
+    manifest = answers.frozen_tree(rows.where("condition <> 'P'"), ["condition"], "body", "k")
+    changed = (F.col("condition") == "O") & (F.col("k") % 1000 == 7)
+    again = answers.frozen_tree(rows.withColumn("body", F.when(changed, "x").otherwise(F.col("body"))), ["condition"], "body", "k")
+    told = answers.replayed(manifest, again, ["condition"])
+    entries = manifest.unionByName(again.join(told.where("status = 'new'").select("condition"), "condition", "left_semi"))
+    return entries.join(told, "condition").select("condition", "rows", "sha256", "status")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from calibra.functions.documents import flattened, parsed_prompt
-from calibra.sources import store, tables
+from calibra.operators import answers
+from calibra.sources import store, tables, workbooks
 
 LINES = "key string, model string, condition string, rep int, latency_s double"
 
@@ -86,3 +89,51 @@ def test_prompts(spark):
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsed_prompt(F.col("t")).alias("x"))
     assert {r["t"]: r["x"] and (r["x"]["instruction"], r["x"]["sections"]) for r in df.collect()} == texts
+
+
+def workbook(path, sheets, shared=()):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f"<workbook {main}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", "<R>" + "".join(f'<Relationship Id="r{i}" Target="{"/xl/" if i else ""}worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</R>")
+        if shared:
+            book.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si>{x}</si>" for x in shared) + "</sst>")
+        for i, body in enumerate(sheets.values()):
+            book.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_workbooks(spark, tmp_path):
+    ratings = (
+        '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="AA2" t="inlineStr"><is><t>wide </t></is></c></row>'
+        '<row r="3"><c r="A3"><v>1.5</v></c><c r="B3" t="s"><v>2</v></c><c r="C3"><v>9</v></c><c r="AA3" t="b"><v>1</v></c></row><row><c><v>7</v></c><c t="str"><f>A4</f><v></v></c></row>'
+    )
+    workbook(tmp_path / "one.xlsx", {"ratings": ratings, "notes": '<row><c t="inlineStr"><is><r><t>no</t></r><r><t>te</t></r></is></c></row><row><c><v>3</v></c></row>', "none": ""}, ["<t>id</t>", "<t>name</t>", "<r><t>lo</t></r><r><t>w</t></r><rPh><t>x</t></rPh>"])
+    workbook(tmp_path / "two.xlsx", {"ratings": '<row><c t="inlineStr"><is><t>id</t></is></c></row>'})
+    found = workbooks.read_workbooks(spark, str(tmp_path))
+    want = {("one.xlsx", "ratings", 0, "id", "1.5"), ("one.xlsx", "ratings", 0, "name", "low"), ("one.xlsx", "ratings", 0, "wide", "TRUE"), ("one.xlsx", "ratings", 1, "id", "7"), ("one.xlsx", "notes", 0, "note", "3")}
+    assert {tuple(r) for r in found.collect()} == want
+    table = workbooks.as_table(workbooks.read_workbooks(spark, str(tmp_path), ["ratings"]), ["id", "name"]).orderBy("row")
+    assert [tuple(r) for r in table.collect()] == [("one.xlsx", "ratings", 0, "1.5", "low"), ("one.xlsx", "ratings", 1, "7", None)]
+    (tmp_path / "bad.xlsx").write_text("no zip")
+    with pytest.raises(Exception, match="zip"):
+        workbooks.read_workbooks(spark, str(tmp_path)).collect()
+
+
+def test_frozen_trees(spark):
+    rows = [("a", i, f"t{i}") for i in range(0, 250, 3)] + [("a", 9, "again"), ("b", -7, None), ("b", 5, "")]
+    df = spark.createDataFrame(rows, "c string, k long, body string")
+    tree = answers.frozen_tree(df.repartition(5), ["c"], "body", "k", fan=10)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in tree.collect():
+        level = sorted((k, digest(t or "")) for c, k, t in rows if c == r["c"])
+        for fan in (10, 10, 10**9):
+            level = [(c, digest("\n".join(d for k, d in level if k // fan == c))) for c in sorted({k // fan for k, _ in level})]
+        assert fan and len({d for _, d in level}) >= 1
+        assert r["rows"] == sum(c == r["c"] for c, _, _ in rows)
+        if r["c"] == "a":
+            assert r["sha256"] == level[0][1]
+    again = answers.frozen_tree(df.where("k <> 5").unionByName(spark.createDataFrame([("d", 1, "x")], df.schema)), ["c"], "body", "k", fan=10)
+    assert {tuple(r) for r in answers.replayed(tree, again, ["c"]).collect()} == {("a", "same"), ("b", "changed"), ("d", "new")}
+    with pytest.raises(Exception, match="a frozen condition changed: b"):
+        answers.extended(tree, again, ["c"]).collect()
+    assert sorted(r["c"] for r in answers.extended(tree, again.where("c <> 'b'"), ["c"]).collect()) == ["a", "b", "d"]
