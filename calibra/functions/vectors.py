@@ -63,3 +63,16 @@ def squared_error(p: Column, y: Column) -> Column:
 
 def squared_distance(p: Column, q: Column) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda x, z: F.pow(x - z, 2.0)), F.lit(0.0), lambda a, x: a + x)
+
+
+def dot(p: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda x, z: x * z), F.lit(0.0), lambda a, x: a + x)
+
+
+def unit(p: Column) -> Column:
+    """At length one; null without a length."""
+    return F.transform(p, lambda x: F.try_divide(x, F.sqrt(dot(p, p))))
+
+
+def cosine(p: Column, q: Column) -> Column:
+    return F.try_divide(dot(p, q), F.sqrt(dot(p, p)) * F.sqrt(dot(q, q)))

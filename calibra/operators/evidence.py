@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,32 @@ def adjudicated(first: DataFrame, decisions: DataFrame, on: list[str], tag: str)
     return out.select(*on, F.when(change, F.col("final")).otherwise(F.col("first")).alias("first"), F.when(change, F.concat_ws(" ", "reason", F.lit(tag))).otherwise(F.col("reason")).alias("reason"))
 
 
+def regraded(grades: DataFrame, decisions: DataFrame, tag: str, domains: int = 5) -> DataFrame:
+    """Grades (study, d1 ..., overall, reason) with adjudicated ratings, and the overall grade by its rule
+    where one changed. decisions: study, domain (a number), final; of several for one domain the greatest
+    stands. The reason is extended by the tag and the domains that changed; a row that carries the tag is
+    left alone, so applying twice changes nothing."""
+    told = decisions.groupBy("study", "domain").agg(F.max("final").alias("f")).groupBy("study").agg(F.map_from_entries(F.collect_list(F.struct(F.col("domain").cast("int"), "f"))).alias("_f"))
+    at = grades.join(told, "study", "left")
+    free = ~F.contains(F.coalesce("reason", F.lit("")), F.lit(tag))
+    final = {i: F.col("_f")[F.lit(i)] for i in range(1, domains + 1)}
+    moved = {i: F.coalesce(free & final[i].isNotNull() & ~final[i].eqNullSafe(F.col(f"d{i}")), F.lit(False)) for i in final}
+    rated = [F.when(moved[i], final[i]).otherwise(F.col(f"d{i}")).alias(f"d{i}") for i in final]
+    some = reduce(Column.__or__, moved.values())
+    names = F.concat_ws(" ", F.lit(tag), *[F.when(moved[i], F.lit(f"d{i}")) for i in final])
+    out = at.select("study", *rated, "overall", "reason", some.alias("_m"), names.alias("_n"))
+    overall = F.when(F.col("_m"), overall_grade([F.col(f"d{i}") for i in final])).otherwise(F.col("overall"))
+    return out.select("study", *[f"d{i}" for i in final], overall.alias("overall"), F.when(F.col("_m"), F.concat_ws("; ", "reason", "_n")).otherwise(F.col("reason")).alias("reason"))
+
+
+def stratified(estimates: DataFrame, by: list[str], strata: list[str], cluster: str, value: str) -> DataFrame:
+    """What `pooled` gives within each level of each stratum (a column of estimates); estimates without a
+    level are in none of that stratum."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("stratum"), F.col(c).cast("string").alias("level")) for c in strata]))
+    rows = estimates.select(*by, cluster, value, each.alias("_x")).select(*by, "_x.stratum", "_x.level", cluster, value).where("level is not null")
+    return pooled(rows, [*by, "stratum", "level"], cluster, value)
+
+
 def top_evidence(rows: DataFrame, claim: str, cluster: str, order: list, keep: int = 3) -> DataFrame:
     """Of each claim the best row of each cluster, then the first `keep`."""
     one = Window.partitionBy(claim, cluster).orderBy(*order)

@@ -112,3 +112,12 @@ def position_shares(dec: DataFrame, by: list[str], options: int) -> DataFrame:
     fifth = F.floor(5 * F.col("y") / options).cast("int")
     return s.groupBy(*by, fifth.alias("gold_fifth")).agg(
         F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.avg((F.col("pred") == 0).cast("int")).alias("first_share"), F.avg((F.col("pred") == options - 1).cast("int")).alias("last_share"))
+
+
+def position_fifths(dec: DataFrame, by: list[str], options: Column) -> DataFrame:
+    """Shares of predictions and of labels in each fifth of the options' order: rows for all five."""
+    s = scored(dec)
+    fifth = lambda c: F.floor(5 * F.col(c) / options).cast("int")
+    counts = s.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(fifth(c) == i).alias(f"{c}{i}") for c in ("pred", "y") for i in range(5)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("fifth"), (F.col(f"pred{i}") / F.col("n")).alias("predicted_share"), (F.col(f"y{i}") / F.col("n")).alias("gold_share")) for i in range(5)]))
+    return counts.select(*by, "n", each.alias("_x")).select(*by, "n", "_x.*")

@@ -39,6 +39,22 @@ def prompt(state: Column, instructions: Column, options: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("State:\n"), state), F.concat(F.lit("Question: "), instructions), F.concat(F.lit("Options:\n"), lines), F.concat(F.lit("Reply as JSON with probabilities of "), cover, F.lit(".")))
 
 
+#: What a prompt for scoring keys or descriptions asks for, and the cue it ends with.
+ASK_KEY = "Reply with the key of the single best option, exactly as written above."
+ASK_DESCRIPTION = "Reply with the description of the single best option, exactly as written above."
+CUE = "Answer:"
+
+
+def scoring_prompt(state: Column, instructions: Column, keys: Column, descriptions: Column, by_key: bool = True) -> Column:
+    """A prompt after which options are scored by likelihood, with its continuations: by key, or by
+    description. A struct of text and continuations; the cue has no space after it, each continuation one
+    before it."""
+    lines = F.array_join(F.zip_with(keys, descriptions, lambda k, d: F.concat(F.lit("- "), k, F.lit(": "), d)), "\n")
+    ask = F.lit(f"{ASK_KEY if by_key else ASK_DESCRIPTION}\n{CUE}")
+    text = F.concat_ws("\n\n", F.concat(F.lit("State:\n"), state), F.concat(F.lit("Question: "), instructions), F.concat(F.lit("Options:\n"), lines), ask)
+    return F.struct(text.alias("text"), F.transform(keys if by_key else descriptions, lambda x: F.concat(F.lit(" "), x)).alias("continuations"))
+
+
 def schema_field(kind: Column, instructions: Column, keys: Column, descriptions: Column) -> Column:
     """A question as a JSON field: boolean, or an enum of its keys with their descriptions."""
     yes_no = F.to_json(F.struct(F.lit("boolean").alias("type"), instructions.alias("description")))

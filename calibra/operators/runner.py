@@ -8,7 +8,9 @@ asked one by one. Factories, not services, are registered, and each task makes i
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -146,3 +148,47 @@ def iso_day(moment: Column) -> Column:
 def utc_stamp(moment: Column) -> Column:
     """ISO 8601 with a Z; timestamps without a zone are taken as UTC."""
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+#: Tries of a request, the longest wait between two in seconds, and what names a failure that
+#: may pass.
+ATTEMPTS, LONGEST_WAIT = 7, 30.0
+PASSING = ("429", "529", "502", "503", "Timeout", "Connect", "RemoteProtocol")
+
+
+def asked(answer: Callable[[dict], dict], concurrency: int = 1, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A scorer of a batch from a service that answers one request: `concurrency` requests at a time in a
+    task; a failure that may pass is tried again after 1, 2, 4, ... seconds, any other is not. A request
+    that fails for good is an error line of its own; the others of its batch keep their answers."""
+
+    def one(request: dict) -> dict:
+        for turn in range(attempts):
+            began = time.perf_counter()
+            try:
+                return {**request, **answer(request), "latency_s": round(time.perf_counter() - began, 4), "error": None}
+            except Exception as e:  # noqa: BLE001  any failure of a service is a line in the log
+                said = repr(e)
+                if not any(mark in said for mark in PASSING):
+                    break
+                if turn < attempts - 1:
+                    wait(min(2.0**turn, LONGEST_WAIT))
+        return {**request, "latency_s": None, "error": said[:500]}
+
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        with ThreadPoolExecutor(concurrency) as pool:
+            return pd.DataFrame(list(pool.map(one, rows.to_dict("records"))))
+
+    return batch
+
+
+def run_requests(requests: DataFrame, answer: Callable[[dict], dict], schema: str, concurrency: int = 1, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Answer lines of requests, in columns of schema (the request's, the answer's, latency_s, error);
+    as many tasks as partitions ask at once, each `concurrency` requests."""
+    score, names = asked(answer, concurrency, attempts, wait), [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield score(rows).reindex(columns=names)
+
+    return requests.mapInPandas(run, schema)

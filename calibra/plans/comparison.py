@@ -103,12 +103,12 @@ def g18_backbone_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(comparison.paired_metrics(comparison.backbone_pairs(dec, _BACK, ["item"]).drop("type_b", "grp_b", "in_scope_b"), ["type"], "model", "grp", "item", B, "g18"))
 
 
-@query(_sql(f"""select model, round(quantile_cont(stat, 0.025), 6) as low, round(quantile_cont(stat, 0.975), 6) as high, count(*) as replicates from st group by model""", f"""cl as (select model, type, item, correct as s, row_number() over (partition by model, type order by {draw_sql("'order'", 'item')}, item) - 1 as k from dec where model = 'alpha'),
+@query(_sql(f"""select model, round(quantile_cont(stat, 0.025), 6) as low, round(quantile_cont(stat, 0.975), 6) as high, count(*) as replicates from st group by model""", f"""cl as (select model, type, item, correct as s, row_number() over (partition by model, type order by {draw_sql("'order'", 'item')}, item) - 1 as k from dec),
 sz as (select model, type, count(*) as n from cl group by all), dr as (select model, type, b, {draw_sql("'r06'", 'b', 'j')} % n as k from sz, range({B}) x(b), range((select max(n) from sz)) y(j) where j < n),
 by_type as (select dr.model, dr.type, b, avg(s) as stat from dr join cl using (model, type, k) group by all), st as (select model || '/' || type as model, b, stat from by_type)"""))
 def r06_item_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every decision a cluster of its own, by type."""
-    dec = _judged(spark, sf_dir).where("model = 'alpha'").select(F.concat_ws("/", "model", "type").alias("model"), "item", "correct")
+    dec = _judged(spark, sf_dir).select(F.concat_ws("/", "model", "type").alias("model"), "item", "correct")
     return _r(significance.interval(significance.bootstrap_ratio(dec, ["model"], "item", "correct", B, "r06"), ["model"]))
 
 

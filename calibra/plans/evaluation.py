@@ -117,12 +117,13 @@ def a15_scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(metrics.scope_summary(_judged(spark, sf_dir), ["model"]))
 
 
-@query(_sql("""select 'pooled' as task, count(*) as n, round(avg(correct), 6) as accuracy, count(distinct cluster) as clusters from
- (select *, type || '/' || grp as cluster from dec where model = 'alpha' and type in ('1', '2') union all select *, type || '/' || grp from dec where model = 'alpha' and type = '3')"""))
+@query(_sql("""select model, 'pooled' as task, count(*) as n, round(avg(correct), 6) as accuracy, count(distinct cluster) as clusters from
+ (select *, type || '/' || grp as cluster from dec where type in ('1', '2') union all select *, type || '/' || grp from dec where type = '3') group by model"""))
 def a16_u06_pooled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dec = _judged(spark, sf_dir).where("model = 'alpha'").withColumn("cluster", F.concat_ws("/", "type", "grp"))
+    dec = _judged(spark, sf_dir).withColumn("cluster", F.concat_ws("/", "type", "grp"))
     both = dec.where("type in ('1', '2')").unionByName(dec.where("type = '3'"))
-    return _r(both.agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.count_distinct("cluster").alias("clusters")).select(F.lit("pooled").alias("task"), "*"))
+    pooled = both.groupBy("model").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.count_distinct("cluster").alias("clusters"))
+    return _r(pooled.select("model", F.lit("pooled").alias("task"), "n", "accuracy", "clusters"))
 
 
 @query(_sql("select model, floor(5 * y / 3)::int as gold_fifth, count(*) as n, round(avg(correct), 6) as accuracy, round(avg((pred = 0)::int), 6) as first_share, round(avg((pred = 2)::int), 6) as last_share from dec group by all"))
@@ -130,14 +131,36 @@ def a29_a30_position_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(metrics.position_shares(_judged(spark, sf_dir), ["model"], 3))
 
 
+@query(_sql("select model, fifth::int as fifth, count(*) as n, round(avg((floor(5 * pred / 3) = fifth)::int), 6) as predicted_share, round(avg((floor(5 * y / 3) = fifth)::int), 6) as gold_share from dec, range(5) f(fifth) where y is not null group by all"))
+def a30_predicted_fifths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.position_fifths(_judged(spark, sf_dir), ["model"], F.lit(3)))
+
+
+_ROUNDED = _CURVE.replace("blocks as (select model, conf, count(*) as m, sum(1 - correct) as e from dec group by all)", """hu as (select *, round_even(p0 * 100, 0) / 100 as a, round_even(p1 * 100, 0) / 100 as b, round_even(p2 * 100, 0) / 100 as c from dec),
+rd as (select model, y, a / (a + b + c) as a, b / (a + b + c) as b, c / (a + b + c) as c from hu),
+blocks as (select model, greatest(a, b, c) as conf, count(*) as m, sum((case when a >= b and a >= c then 0 when b >= c then 1 else 2 end <> y)::int) as e from rd group by all)""")
+
+
+@query(_sql("""select model, any_value(n) as n, round(coalesce(max(coverage) filter (where kind = 0 and risk <= 0.3::double), 0), 6) as coverage, round(coalesce(max(coverage) filter (where kind = 1 and risk <= 0.3::double), 0), 6) as coverage_rounded
+ from (select model, n, coverage, risk, 0 as kind from rc union all select model, n, coverage, risk, 1 from rc2) group by model""",
+ _CURVE + ", " + _ROUNDED.replace("blocks", "blocks2").replace("curve as", "curve2 as").replace("from curve)", "from curve2)").replace("rc as", "rc2 as")))
+def g20_rounding_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage at a risk of 0.3 with probabilities as answered, and rounded to hundredths."""
+    dec = _judged(spark, sf_dir)
+    both = [judged(dec.withColumn("p", p)) for p in (F.col("p"), V.rounded(F.col("p"), 2))]
+    found = [curves.coverage_at_risk(curves.risk_coverage(d, ["model"]), ["model"], 0.3) for d in both]
+    n = dec.groupBy("model").agg(F.count("*").alias("n"))
+    return _r(n.join(found[0].select("model", "coverage"), "model").join(found[1].select("model", F.col("coverage").alias("coverage_rounded")), "model"))
+
+
 @query(_sql("select model, count(*) as n, round(avg((conf >= 0.999)::int), 6) as saturated from dec group by model"))
 def a44_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(_judged(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("conf") >= 0.999).cast("int")).alias("saturated")))
 
 
-@query(_sql("select model, round(threshold, 6) as threshold, m, accepted, errors, round(coverage, 6) as coverage, round(risk, 6) as risk, n from rc where model = 'gamma'", _CURVE))
+@query(_sql("select model, round(threshold, 6) as threshold, m, accepted, errors, round(coverage, 6) as coverage, round(risk, 6) as risk, n from rc", _CURVE))
 def w01_risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(curves.risk_coverage(_judged(spark, sf_dir).where("model = 'gamma'"), ["model"]))
+    return _r(curves.risk_coverage(_judged(spark, sf_dir), ["model"]))
 
 
 # Vectors

@@ -13,7 +13,7 @@ from ..functions.hashing import draw, draw_sql
 from ..operators import answers, design, evidence, ledger, overlap
 from .derived import table
 from .evaluation import _r
-from .records import _GRADES, _NORM, LOG_SQL, RAT_SQL, answer_log, grades, ratings
+from .records import _EST, _GRADES, _NORM, LOG_SQL, RAT_SQL, answer_log, estimates, grades, ratings
 
 
 @query("select p_partkey as id, case when p_partkey % 2 = 0 and p_size % 3 < 2 then 'not_reported' when p_size % 3 = 0 then ' ' when p_size % 3 = 1 then 'Unclear' else 'human' end as label from part")
@@ -146,11 +146,37 @@ def n16_corpus_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.listed_ids(texts, "text", r"26(?:09|10)\.\d{9}", book, ["2609.000000007"])
 
 
-@query("select doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)licen[sc]e')) > 0 as named from documents")
+@query(r"""select doc_id, len(x) as lines, md5(array_to_string(list_transform(x, lambda l: trim(regexp_replace(l, '[ \t\n\f\r]+', ' ', 'g'))), chr(10))) as lines_md5
+ from (select doc_id, regexp_extract_all(coalesce(text, ''), '([^\n\r]{0,120}(?:[lL][iI][cC][eE][nN][sScC][eE])[^\n\r]{0,240})', 1) as x from documents)""")
 def n21_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether anything stands around a licence word; the lines themselves are the operator's result."""
+    """What stands around a licence word on its line, in any case."""
     found = ledger.lines_with(F.coalesce("text", F.lit("")), "(?i:licen[sc]e)")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(found) > 0).alias("named"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", F.size("x").alias("lines"), F.md5(F.array_join("x", "\n")).alias("lines_md5"))
+
+
+@query(f"""with {_GRADES}, ch as (select gr.study, case when study % 4 = 0 then 'low' else d1 end as d1, d2, d3, d4, case when study % 6 = 0 then 'high' else d5 end as d5, coalesce(study % 4 = 0 and d1 is distinct from 'low', false) as m1, coalesce(study % 6 = 0 and d5 is distinct from 'high', false) as m5 from gr),
+cx as (select *, list_count(list_filter([d1, d2, d3, d4, d5], lambda x: x = 'high')) as h, list_count(list_filter([d1, d2, d3, d4, d5], lambda x: x = 'unclear')) as u, list_count(list_filter([d1, d2, d3, d4, d5], lambda x: x = 'low')) as l from ch)
+select study, d1, d5, case when not (m1 or m5) then go.overall when d1 = 'high' or d5 = 'high' or h >= 2 then 'high' when l = 5 or (u = 1 and h = 0) then 'low' else 'some_concerns' end as overall,
+ case when m1 or m5 then 'r; [adj]' || case when m1 then ' d1' else '' end || case when m5 then ' d5' else '' end else 'r' end as reason from cx join go using (study)""")
+def n09_regraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjudicated first and fifth domains with the overall grade by its rule; applied twice, to the same
+    effect as once."""
+    g = grades(spark, sf_dir).withColumn("reason", F.lit("r"))
+    final = g.where("study % 4 = 0").select("study", F.lit(1).alias("domain"), F.lit("low").alias("final")).unionByName(g.where("study % 6 = 0").select("study", F.lit(5).alias("domain"), F.lit("high").alias("final")))
+    once = evidence.regraded(g, final, "[adj]")
+    return evidence.regraded(once, final, "[adj]").select("study", "d1", "d5", "overall", "reason")
+
+
+_STRATA = {"class": "cluster % 4", "grade": "case study % 3 when 0 then 'low' when 1 then 'high' end", "reference": "case study % 2 when 0 then 'human' else 'model' end"}
+
+
+@query(f"with {_EST}, x as (" + " union all ".join(f"select analysis, '{name}' as stratum, ({level})::varchar as level, cluster, v from est" for name, level in _STRATA.items()) + """),
+m as (select analysis, stratum, level, cluster, median(v) as m from x where level is not null group by all)
+select analysis, stratum, level, count(*) as clusters, round(min(m), 6) as least, round(max(m), 6) as greatest, round(median(m), 6) as median, count(*) filter (where m > 0) as ahead, count(*) filter (where m < 0) as behind from m group by all""")
+def n14_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled within comparator classes, grades and reference kinds; some estimates have no grade."""
+    rows = estimates(spark, sf_dir).withColumns({name: F.expr(level).cast("string") for name, level in _STRATA.items()})
+    return _r(evidence.stratified(rows, ["analysis"], list(_STRATA), "cluster", "v").drop("least_cluster"))
 
 
 @query("select p_partkey as id, case p_partkey % 3 when 0 then 'mit-' || p_size when 1 then '- a' || p_size || chr(10) || '- b' end as license from part")

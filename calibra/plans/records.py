@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import vectors as V
 from ..functions.hashing import draw, draw_sql
 from ..functions.quantiles import quantiles
 from ..operators import answers, design, evidence, ledger, overlap
@@ -499,6 +500,16 @@ def t21_t18_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(table(spark, sf_dir, "embeddings").select("vec_id", "label", n.alias("norm")), 5)
 
 
+@query("""with e as (select vec_id, label, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings), c as (select label, i, avg(x) as m from e group by all)
+select vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) as cosine, round(max(x) filter (where i = 1) / sqrt(sum(x * x)), 5) as first from e join c using (label, i) group by vec_id""")
+def t21_cosine_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's cosine with the mean of its label's, and its first entry at length one."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centroid = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("c"))
+    return _r(e.join(centroid, "label").select("vec_id", V.cosine(F.col("v"), F.col("c")).alias("cosine"), V.unit(F.col("v"))[0].alias("first")), 5)
+
+
 @query("""with f as (select o_orderpriority as k, o_custkey % 5 as fold, o_orderstatus as y, count(*) as n from orders group by all), t as (select k, y, sum(n) as n from f group by all), g as (select k, fold, sum(n) as n from f group by all)
 select k, fold, y, round((coalesce(t.n, 0) - coalesce(f.n, 0) + 1)::double / ((select sum(n) from t t2 where t2.k = t.k) - g.n + 3), 6) as p from t join g using (k) left join f using (k, fold, y)""")
 def m05_frequency_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,18 @@ def p13_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("key"), F.md5(rendering.prompt(F.col("p_brand"), F.col("p_name"), F.col("options"))).alias("prompt_md5"), rendering.reported(F.col("options")).cast("int").alias("reported"))
 
 
+_SCORED = "'State:' || chr(10) || p_brand || chr(10) || chr(10) || 'Question: ' || p_name || chr(10) || chr(10) || 'Options:' || chr(10) || '- o1: ' || p_type || chr(10) || '- o2: size ' || p_size || chr(10) || chr(10) || 'Reply with the {} of the single best option, exactly as written above.' || chr(10) || 'Answer:'"
+
+
+@query(f"select p_partkey as key, md5({_SCORED.format('key')}) as by_key, md5({_SCORED.format('description')}) as by_description, ' o1| o2' as keys, ' ' || p_type || '| size ' || p_size as descriptions from part")
+def p13_scoring_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for scoring options by key and by description, with their continuations."""
+    keys, descriptions = F.array(F.lit("o1"), F.lit("o2")), F.array(F.col("p_type"), F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    both = [rendering.scoring_prompt(F.col("p_brand"), F.col("p_name"), keys, descriptions, by_key) for by_key in (True, False)]
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), both[0].alias("k"), both[1].alias("d"))
+    return rows.select("key", F.md5("k.text").alias("by_key"), F.md5("d.text").alias("by_description"), F.array_join("k.continuations", "|").alias("keys"), F.array_join("d.continuations", "|").alias("descriptions"))
+
+
 @query(f"""select p_partkey as key, case {KIND} when 'noul' then '{{"type":"boolean","description":"' || p_name || '"}}' else '{{"type":"enum","choices":["' || ({_K0}) || '","' || ({_K1}) || '"],"description":"' || p_name || '","choice_descriptions":{{"' || ({_K0}) || '":"' || p_type || '","' || ({_K1}) || '":"None of these."}}}}' end as field from part""")
 def p14_schema_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).withColumn("keys", rendering.option_keys(F.col("kind"), F.col("names")))

@@ -159,3 +159,46 @@ def test_balanced_folds_keep_groups_and_refuse_too_many(spark):
     assert out == {"a": 0, "b": 1, "c": 1, None: None}
     with pytest.raises(ValueError):
         significance.with_balanced_folds(df, "g", 2, most=2)
+
+
+def test_each_request_fails_for_itself_and_what_may_pass_is_tried_again():
+    import threading
+    from collections import Counter
+
+    import pandas as pd
+
+    tries, waits, at_once, most, lock = Counter(), [], [0], [0], threading.Lock()
+
+    def answer(request):
+        with lock:
+            at_once[0] += 1
+            most[0] = max(most[0], at_once[0])
+        try:
+            tries[request["key"]] += 1
+            if request["key"] == 1:
+                raise ValueError("no such thing " + "x" * 600)
+            if request["key"] == 2 and tries[2] < 4:
+                raise RuntimeError("HTTP 503")
+            if request["key"] == 3:
+                raise TimeoutError("Timeout")
+            return {"value": request["key"] * 2}
+        finally:
+            with lock:
+                at_once[0] -= 1
+
+    out = runner.asked(answer, concurrency=3, wait=waits.append)(pd.DataFrame({"key": range(6)})).set_index("key")
+    assert tries == {0: 1, 1: 1, 2: 4, 3: 7, 4: 1, 5: 1} and most[0] <= 3
+    assert sorted(waits) == sorted([1.0, 2.0, 4.0] + [1.0, 2.0, 4.0, 8.0, 16.0, 30.0])
+    assert out["value"].dropna().to_dict() == {0: 0, 2: 4, 4: 8, 5: 10}
+    assert len(out["error"][1]) == 500 and "Timeout" in out["error"][3] and out["error"].isna().sum() == 4
+
+
+def test_requests_run_in_tasks(spark):
+    def answer(request):
+        if request["key"] % 3 == 0:
+            raise ValueError("by three")
+        return {"value": float(request["key"])}
+
+    rows = runner.run_requests(spark.range(20).select(F.col("id").alias("key")).repartition(3), answer, "key long, value double, error string", concurrency=4).collect()
+    assert {r["key"]: r["value"] for r in rows} == {k: None if k % 3 == 0 else float(k) for k in range(20)}
+    assert sum(r["error"] is not None for r in rows) == 7
