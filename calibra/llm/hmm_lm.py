@@ -344,8 +344,8 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
     training = docs.where("not held_out").select("text")
     counts = cut(training.mapInArrow(word_counts, "pair boolean, word long, class int, n long").groupBy("pair", "word").agg(F.min("class").alias("class"), F.sum("n").alias("n")))
     pairs = np.zeros((CLASSES + 2, CLASSES + 1))
-    for r in counts.where("pair").select("word", "n").collect():  # of fixed size
-        pairs[r["word"] // PAIR, r["word"] % PAIR] = r["n"]
+    told = counts.where("pair").select("word", "n").toPandas()  # of fixed size
+    pairs[told["word"] // PAIR, told["word"] % PAIR] = told["n"]
     counts = counts.where("not pair").drop("pair")
 
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -383,7 +383,7 @@ def score(documents: DataFrame, rounds: int = ROUNDS, doc_id: str = "doc_id", te
     crowd = sums.where(F.col("m") > CROWD).select("key", F.col("rare_log").alias("crowd_log"), F.col("rare_known").alias("crowd_known"))
     rest = sums.where(F.col("m") <= CROWD).select(F.col("key").alias("at"), "rare_log", "rare_known")
     out = scored.join(small(crowd), "key", "left")
-    out = out.withColumn("at", F.when((F.col("n_rare") > 0) & F.col("crowd_log").isNull(), F.col("key")).otherwise(F.xxhash64(F.monotonically_increasing_id(), "key"))).join(rest, "at", "left")
+    out = out.withColumn("at", F.when((F.col("n_rare") > 0) & F.col("crowd_log").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))).join(rest, "at", "left")
     log, known = F.coalesce("crowd_log", "rare_log", F.lit(0.0)), F.coalesce("crowd_known", "rare_known", F.lit(0))
     # A text dealt anywhere may meet another's sums by chance, so only rare words count.
     log, known = F.when(F.col("n_rare") > 0, log).otherwise(0.0), F.when(F.col("n_rare") > 0, known).otherwise(0)

@@ -16,8 +16,8 @@ BROADCAST_ROWS = 1_000_000
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder that spark.checkpoint.dir names.
 
-    A lost executor costs a reread of the files only. Where the setting is absent, as in tests, a
-    temporary folder serves.
+    A lost executor costs a reread of the files only. Where the setting is absent and all runs on this
+    machine, as in tests, a temporary folder serves.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -27,7 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables."""
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     return folder.get()
 
