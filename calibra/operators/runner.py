@@ -156,7 +156,7 @@ ATTEMPTS, LONGEST_WAIT = 7, 30.0
 PASSING = ("429", "529", "502", "503", "Timeout", "Connect", "RemoteProtocol")
 
 
-def asked(answer: Callable[[dict], dict], concurrency: int = 1, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def patient(answer: Callable[[dict], dict], concurrency: int = 1, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A scorer of a batch from a service that answers one request: `concurrency` requests at a time in a
     task; a failure that may pass is tried again after 1, 2, 4, ... seconds, any other is not. A request
     that fails for good is an error line of its own; the others of its batch keep their answers."""
@@ -184,7 +184,7 @@ def asked(answer: Callable[[dict], dict], concurrency: int = 1, attempts: int =
 def run_requests(requests: DataFrame, answer: Callable[[dict], dict], schema: str, concurrency: int = 1, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """Answer lines of requests, in columns of schema (the request's, the answer's, latency_s, error);
     as many tasks as partitions ask at once, each `concurrency` requests."""
-    score, names = asked(answer, concurrency, attempts, wait), [c.split()[0].strip("`") for c in schema.split(", ")]
+    score, names = patient(answer, concurrency, attempts, wait), [c.split()[0].strip("`") for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

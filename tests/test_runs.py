@@ -186,7 +186,7 @@ def test_each_request_fails_for_itself_and_what_may_pass_is_tried_again():
             with lock:
                 at_once[0] -= 1
 
-    out = runner.asked(answer, concurrency=3, wait=waits.append)(pd.DataFrame({"key": range(6)})).set_index("key")
+    out = runner.patient(answer, concurrency=3, wait=waits.append)(pd.DataFrame({"key": range(6)})).set_index("key")
     assert tries == {0: 1, 1: 1, 2: 4, 3: 7, 4: 1, 5: 1} and most[0] <= 3
     assert sorted(waits) == sorted([1.0, 2.0, 4.0] + [1.0, 2.0, 4.0, 8.0, 16.0, 30.0])
     assert out["value"].dropna().to_dict() == {0: 0, 2: 4, 4: 8, 5: 10}
