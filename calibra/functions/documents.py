@@ -65,3 +65,10 @@ def parsed_prompt(text: Column) -> Column:
 
     done = lambda acc: F.struct(strip(F.array_join(acc["before"], " ")).alias("instruction"), F.map_from_entries(acc["sections"]).alias("sections"))
     return F.when(text.isNotNull(), F.aggregate(lines, start, step, done))
+
+
+def inverted(m: Column) -> Column:
+    """A map's keys by its values; of keys with one value the last stands, null values are left out."""
+    entries = F.filter(F.map_entries(m), lambda e: e["value"].isNotNull())
+    values = F.array_distinct(F.transform(entries, lambda e: e["value"]))
+    return F.map_from_arrays(values, F.transform(values, lambda v: F.element_at(F.filter(entries, lambda e: e["value"] == v), -1)["key"]))

@@ -38,3 +38,11 @@ def running(df: DataFrame, by: list[str], score: str, values: list[str], descend
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = blocks.select(*by, "_b", score, *values, *[F.sum(v).over(inside).alias(f"_i_{v}") for v in values]).join(offsets, [*by, "_b"])
     return out.select(*by, score, *values, *[(F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"c_{v}") for v in values], *[f"t_{v}" for v in values])
+
+
+def numbered(df: DataFrame, key: str, name: str = "r") -> DataFrame:
+    """df with consecutive numbers from 1 by a numeric key without nulls; equal keys are numbered in any order."""
+    ends = df.agg(F.min(key).cast("double").alias("low"), F.max(key).cast("double").alias("high")).first()
+    width = ((ends["high"] - ends["low"]) if ends["low"] is not None else 0.0) or 1.0
+    scaled = df.withColumn("_s", (F.col(key).cast("double") - F.lit(ends["low"] or 0.0)) / width)
+    return ranked(scaled, [], "_s", [key], name).withColumn(name, F.col(name) + 1).drop("_s", "n")

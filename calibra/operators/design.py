@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.ranking import numbered
 
 
 def stratified(df: DataFrame, stratum: list[str], ident: str, n: int | Column, seed: str) -> DataFrame:
@@ -101,3 +102,22 @@ def shuffled(df: DataFrame, label: list[str], ident: str, seed: str, cap: int) -
     own = stratified(df, label, ident, cap, seed)
     few = own.withColumn("_h", draw(seed, F.col(ident))).orderBy("_h", ident).limit(cap)
     return few.withColumn("place", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", ident)) - 1).cast("int")).drop("_h")  # at most `cap` rows
+
+
+def rating_tasks(items: DataFrame, ident: str, parts: int, legal: dict[str, tuple[str, ...]]) -> DataFrame:
+    """items dealt in turn to `parts` task tables (column part), with a blank column to fill for each name in
+    `legal` and beside it what may stand there; a note is free."""
+    turn = numbered(items, ident, "_r")
+    blanks = [c for name, values in legal.items() for c in (F.lit("").alias(name), F.lit(" | ".join(values)).alias(f"{name}_may_be"))]
+    return turn.select(((F.col("_r") - 1) % parts + 1).cast("int").alias("part"), *items.columns, *blanks, F.lit("").alias("note"))
+
+
+def read_ratings(filled: DataFrame, ident: str, legal: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows (ident, names of legal) of filled task tables; what isn't one of the legal values is fatal, blanks
+    are null."""
+    def value(name: str) -> Column:
+        given = F.lower(F.trim(F.col(name)))
+        wrong = F.raise_error(F.concat(F.lit(f"{name} may not be "), given)).cast("string")
+        return F.when(F.coalesce(given, F.lit("")) == "", F.lit(None).cast("string")).when(given.isin(*legal[name]), given).otherwise(wrong).alias(name)
+
+    return filled.select(ident, *[value(name) for name in legal])

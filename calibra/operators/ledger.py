@@ -3,6 +3,7 @@ selection lines, overlap of corpora, licence lines, censuses."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -23,6 +24,18 @@ BINNING = {
 }
 
 
+#: Marks between the pieces of an excerpt, marks of what an excerpt leaves out, and marks that
+#: end the caption of a table's cell.
+PIECE_MARKS = (";", "|", "//", "[", "]")
+LEFT_OUT = ("...", "…")
+CAPTION_ENDS = ("//", "[", "|", ";", ", row ")
+
+
+def any_of(marks: tuple[str, ...]) -> str:
+    """A pattern for any of some marks."""
+    return "(?:" + "|".join(map(re.escape, marks)) + ")"
+
+
 def fixed_label(label: Column, version: Column) -> Column:
     """Blank and unclear labels of version 1.2 are not_reported."""
     poor = F.lower(F.trim(F.coalesce(label, F.lit("")))).isin("", "unclear")
@@ -76,7 +89,7 @@ def excerpt_text(text: Column) -> Column:
 
 def excerpt_pieces(excerpt: Column) -> Column:
     """What stands between separators and ellipses, normalized, if it has three characters or more."""
-    parts = F.split(excerpt, r"\s*(?:;|\||//|\[|\])\s*|\.\.\.|…")
+    parts = F.split(excerpt, rf"\s*{any_of(PIECE_MARKS)}\s*|{any_of(LEFT_OUT)}")
     plain = F.transform(parts, lambda p: F.lower(F.trim(F.regexp_replace(F.translate(p, "‘’“”–—−", "''\"\"---"), r"[^0-9A-Za-z.%+\-=<>]+", " "))))
     return F.filter(plain, lambda p: F.length(p) >= 3)
 
@@ -96,7 +109,7 @@ def verified_excerpts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     pieces = excerpt_pieces(F.col("_x"))
     here = (F.size(pieces) > 0) & F.forall(pieces, lambda p: F.contains(F.col("_body"), p))
     stripped = F.regexp_replace("_x", r"\\[A-Za-z]+", " ")
-    caption = F.lower(F.trim(F.regexp_replace(F.get(F.split(stripped, r"\s*(?://|\[|\||;|, row )\s*"), F.lit(0)), r"[^0-9A-Za-z.%+\-=<>]+", " ")))
+    caption = F.lower(F.trim(F.regexp_replace(F.get(F.split(stripped, rf"\s*{any_of(CAPTION_ENDS)}\s*"), F.lit(0)), r"[^0-9A-Za-z.%+\-=<>]+", " ")))
     numbers = F.regexp_extract_all(F.coalesce("value", F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"), 1)
     cells = (F.size(numbers) > 0) & F.forall(numbers, lambda v: F.regexp_count(F.col("_body"), F.concat(F.lit(r"(?<![\d.])\Q"), v, F.lit(r"\E(?![\d])"))) > 0)
     table = (F.length(caption) >= 25) & F.contains(F.col("_body"), caption) & cells
@@ -288,3 +301,22 @@ def consistency(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     found = rows.agg(F.count("*").alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(f"_{i}") for i, c in enumerate(checks.values())])
     each = F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(f"_{i}").alias("failures")) for i, what in enumerate(names)]))
     return found.select("n", each.alias("x")).select("x.what", "n", "x.failures", (F.col("x.failures") == 0).alias("ok"))
+
+
+def slug(text: Column) -> Column:
+    """A path's segment: lower case, letters and digits alone."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def camel(text: Column) -> Column:
+    """The first letter upper case, the rest as it is."""
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text)))
+
+
+def published(values: DataFrame, label: str, prefix: str) -> DataFrame:
+    """values under their full labels. A label that isn't letters and digits, or that stands twice, is fatal."""
+    wrong = F.raise_error(F.concat(F.lit("bad label "), F.coalesce(F.col(label), F.lit("")))).cast("string")
+    named = values.withColumn(label, F.when(F.col(label).rlike("^[A-Za-z0-9]+$"), F.concat(F.lit(prefix), F.col(label))).otherwise(wrong))
+    again = named.groupBy(label).agg(F.count("*").alias("_n"))
+    checked = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("repeated label "), F.col(label))))
+    return named.join(again, label).where(checked).drop("_n")

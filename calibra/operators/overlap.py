@@ -25,11 +25,6 @@ def norm_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def excerpt_norm(text: Column) -> Column:
-    """Typographic quotes and dashes as plain ones, then only [0-9A-Za-z.%+-=<>]."""
-    return F.regexp_replace(F.translate(text, "“”‘’–—−", "\"\"''---"), r"[^0-9A-Za-z.%+\-=<>]", "")
-
-
 def char_grams(text: Column, n: int = 5) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
@@ -46,24 +41,29 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def plain_numbers(text: Column) -> Column:
-    """Commas dropped, number words as digits (longer words first), a zero before a bare point."""
-    text = F.translate(text, ",−", "")
-    for word in sorted(NUMBERS, key=len, reverse=True):
-        text = F.regexp_replace(text, rf"(?i)\b{word}\b", NUMBERS[word])
-    return F.regexp_replace(text, r"(?<![0-9])\.(?=\d)", "0.")
+#: A number as it is printed: a numeral, whose digits commas and long minus signs may part, or a number word,
+#: each with decimals or not; or decimals alone.
+_SKIP = "[,−]{0,9}"
+_WORD = rf"(?<!\w{_SKIP})(?:{'|'.join(reversed(NUMBERS))})(?!{_SKIP}\w)"
+_DIGITS = rf"\d(?:{_SKIP}\d)*"
+PRINTED = rf"(?i)((?:{_DIGITS}|{_WORD})(?:{_SKIP}\.{_SKIP}{_DIGITS})?|(?<!\d{_SKIP})\.{_SKIP}{_DIGITS})"
 
 
-def numbers_contained(value: Column, excerpt: Column) -> Column:
-    """Whether every number of value is among those of excerpt."""
-    of = lambda c: F.regexp_extract_all(plain_numbers(c), F.lit(r"(\d+(?:\.\d+)?)"), 1)
-    return F.size(F.array_except(of(value), of(excerpt))) == 0
+def numbers_of(text: Column) -> Column:
+    """The numbers of a text in order, as plain numerals: number words are looked up, nothing before a point is 0."""
+    table = F.create_map(*[F.lit(x) for pair in {**NUMBERS, "": "0"}.items() for x in pair])
 
+    def plain(token: Column) -> Column:
+        bare = F.translate(F.lower(token), ",−", "")
+        whole, rest = F.substring_index(bare, ".", 1), F.regexp_extract(bare, r"\..*", 0)
+        return F.concat(F.coalesce(F.try_element_at(table, whole), whole), rest)
 
-def pieces_contained(excerpt: Column, text: Column) -> Column:
-    """Whether each piece of an excerpt, cut at [...], lies in the text."""
-    pieces = F.filter(F.split(excerpt, r"\[\.\.\.\]|\.\.\.|…"), lambda p: F.length(excerpt_norm(p)) > 0)
-    return F.forall(pieces, lambda p: F.contains(excerpt_norm(text), excerpt_norm(p)))
+    return F.transform(F.regexp_extract_all(text, F.lit(PRINTED), 1), plain)
+
+
+def numbers_contained(value: Column, excerpt: Column) -> Column:
+    """Whether every number of value is among those of excerpt."""
+    return F.size(F.array_except(numbers_of(value), numbers_of(excerpt))) == 0
 
 
 def duplicates(df: DataFrame, text: str, ident: str) -> DataFrame:

@@ -62,6 +62,22 @@ def schema_field(kind: Column, instructions: Column, keys: Column, descriptions:
     return F.when(kind == "noul", yes_no).otherwise(enum)
 
 
+def request_schema(questions: DataFrame, by: list[str], name: str, kind: str, field: Column) -> DataFrame:
+    """Rows (by, fields, score_fields): a request's schema, its fields by name, and the names of those that are
+    scores. A question of another kind than choice, noul or score is fatal."""
+    legal = F.when(F.col(kind).isin("choice", "noul", "score"), field).otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(F.col(kind), F.lit("")))).cast("string"))
+    each = questions.select(*by, F.struct(F.col(name).cast("string").alias("k"), legal.alias("v"), (F.col(kind) == "score").alias("s")).alias("x"))
+    told = each.groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    names = F.transform(F.filter("x", lambda x: x["s"]), lambda x: x["k"])
+    return told.select(*by, F.map_from_entries(F.transform("x", lambda x: F.struct(x["k"], x["v"]))).alias("fields"), names.alias("score_fields"))
+
+
+def list_chars(keys: Column, texts: Column) -> Column:
+    """Characters of an option list as it is rendered, a line `key: text` for each, and of its texts alone."""
+    lines = F.array_join(F.zip_with(keys, texts, lambda k, t: F.concat(k, F.lit(": "), t)), "\n")
+    return F.struct(F.length(lines).alias("rendered"), F.aggregate(texts, F.lit(0), lambda a, t: a + F.length(t)).alias("texts"))
+
+
 def hypothesis(kind: Column, instructions: Column, rubric: Column, key: Column) -> Column:
     """An option as a sentence: a yes/no question without rubrics by its instructions or their denial; a
     rubric of five words or with a full stop as it is; else as what the text is about."""
@@ -111,8 +127,12 @@ def key_likelihood(keys: DataFrame, nodes: DataFrame) -> DataFrame:
 
     logp: the sum over a key's tokens. boundary: the logarithm of what is left after the tokens that go
     on to a longer declared key. A token that a path doesn't list counts as the path's least
-    log-probability and as missing. p: softmax of both over an item's keys.
+    log-probability and as missing. A key without tokens, or two of the same, is fatal. p: softmax of both over an item's keys.
     """
+    alike = keys.groupBy("item", "tokens").agg(F.count("*").alias("_n"))
+    fatal = lambda why: F.raise_error(F.concat(F.lit(why), F.col("item").cast("string")))
+    sound = F.when(F.size("tokens") < 1, fatal("a key without tokens in item ")).when(F.col("_n") > 1, fatal("two keys of the same tokens in item ")).otherwise(F.lit(True))
+    keys = keys.join(alike, ["item", "tokens"]).where(sound).drop("_n")
     steps = keys.select("item", "opt", "tokens", F.posexplode("tokens").alias("j", "token"))
     steps = steps.select("item", "opt", F.expr("slice(tokens, 1, j)").alias("path"), "token", F.lit(False).alias("beyond"))
     longer = steps.select("item", "path", "token").distinct()
@@ -158,7 +178,10 @@ def option_budget(requests: DataFrame, head_most: int, most: int, cap: int) -> D
     requests: options and keys (arrays of counts: an option's text, its key alone), head, state, gold (place).
     Adds exceeds (options leave the question too little room, so all are cut alike), head_kept, state_kept,
     seq_len, lost (options cut down to their key), dropped (options whose mark lies beyond the end), refused
-    (some are dropped) and gold_whole. An option takes a mark besides its tokens; so do start, end and question.
+    (some are dropped) and gold_whole; further options_total (with marks, after the cap), excess (over the room
+    for options), fair (an option's share where all are cut), gold_mark (its place), gold_lost, gold_dropped,
+    and kept (tokens that each option keeps). An option takes a mark besides its tokens; so do start, end and
+    question.
     """
     marked = requests.withColumn("_m", F.transform("options", lambda n: F.least(n, F.lit(cap)) + 1))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: (a + x).cast("int"))
@@ -171,14 +194,29 @@ def option_budget(requests: DataFrame, head_most: int, most: int, cap: int) -> D
     lost = F.size(F.filter(F.zip_with("_k", "keys", lambda n, k: n - 1 <= k), lambda x: x))
     dropped = F.size(F.filter("_at", lambda m: m >= most))
     whole = F.get("_k", F.col("gold")) - 1 >= F.get("options", F.col("gold"))
-    out = laid.select("*", F.least(F.lit(most), F.col("_state") + F.col("state_kept") + 1).alias("seq_len"), lost.alias("lost"), dropped.alias("dropped"), (dropped > 0).alias("refused"), whole.alias("gold_whole"))
+    out = laid.select("*", F.least(F.lit(most), F.col("_state") + F.col("state_kept") + 1).alias("seq_len"), lost.alias("lost"), dropped.alias("dropped"), (dropped > 0).alias("refused"), whole.alias("gold_whole"),
+        total(F.col("_m")).alias("options_total"), F.greatest(F.lit(0), total(F.col("_m")) - (head_most - ROOM)).alias("excess"), F.when(F.col("exceeds"), fair).alias("fair"), F.get("_at", F.col("gold")).alias("gold_mark"),
+        (F.get("_k", F.col("gold")) - 1 <= F.get("keys", F.col("gold"))).alias("gold_lost"), (F.get("_at", F.col("gold")) >= most).alias("gold_dropped"), F.transform("_k", lambda n: n - 1).alias("kept"))
     return out.drop("_m", "_k", "_at", "_state")
 
 
-def budget_check(replayed: DataFrame, by: list[str], used: str, refused: str) -> DataFrame:
-    """The replay against what was observed: answered requests with a usage, how many used just seq_len tokens,
-    refusals seen, foretold, and both."""
-    asked = ~F.col(refused) & F.col(used).isNotNull()
-    return replayed.groupBy(*by).agg(
-        F.count_if(asked).alias("compared"), F.count_if(asked & (F.col(used) == F.col("seq_len"))).alias("equal"), F.count_if(F.col(refused)).alias("refused_seen"),
-        F.count_if(F.col("refused")).alias("refused_foretold"), F.count_if(F.col("refused") & F.col(refused)).alias("both"))
+def distinct_seen(ids: Column, kept: Column, dropped: Column) -> Column:
+    """How many different option texts are seen after every cut. ids: each option's tokens; options that are
+    dropped stand last."""
+    seen = F.zip_with(ids, kept, lambda x, n: F.slice(x, F.lit(1), n))
+    return F.size(F.array_distinct(F.slice(seen, F.lit(1), F.size(kept) - dropped)))
+
+
+def budget_summary(replayed: DataFrame, by: list[str], head_most: int, most: int) -> DataFrame:
+    """What the replay of `option_budget`, with a column distinct, comes to in each group: medians, greatest
+    values, means and shares, one row for each group. Token counts are whole numbers up to the service's
+    bounds, so a median's state is a count for each of them."""
+    share = lambda c: F.avg(c.cast("int"))
+    sums = replayed.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.max("options_total").alias("options_max"), share(F.col("exceeds")).alias("share_exceeding"), F.max("excess").alias("excess_max"),
+        F.array_join(F.array_sort(F.collect_set("fair")), " ").alias("fair_shares"), F.avg("lost").alias("lost_mean"), (F.sum("lost") / F.sum(F.size("options"))).alias("share_lost"),
+        F.avg("dropped").alias("dropped_mean"), share(F.col("refused")).alias("share_refused"), F.avg("distinct").alias("distinct_mean"), (F.sum("state_kept") / F.sum("state")).alias("state_kept_share"),
+        F.max("seq_len").alias("length_max"), share(F.col("seq_len") >= most).alias("share_at_most"), F.avg(F.col("gold") + 1).alias("gold_place_mean"),
+        share(F.col("gold_whole")).alias("share_gold_whole"), share(F.col("gold_lost")).alias("share_gold_lost"), share(F.col("gold_dropped")).alias("share_gold_dropped"),
+        *[F.percentile(c, F.lit(0.5)).alias(f"{name}_median") for c, name in (("options_total", "options"), ("excess", "excess"), ("head_kept", "head_kept"), ("seq_len", "length"), ("gold_mark", "gold_mark"))])
+    return sums.withColumn("options_over_head_median", F.col("options_median") / head_most)

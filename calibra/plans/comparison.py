@@ -175,3 +175,21 @@ def c05_grid_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihoods of all temperatures, kept for refits."""
     return _r(calibration.grid_nll(_judged(spark, sf_dir), ["model"]).withColumn("nll", F.round("nll", 4)))
 
+
+
+_SWEPT = """k as (select *, type::int as size from dec), an as (select model || '|' || size as model, ord, conf, correct from k where not (model = 'gamma' and size = 5 or ord % 7 = 0)),
+al as (select model, size, count(*) filter (where not (model = 'gamma' and size = 5 or ord % 7 = 0)) as n, count(*) filter (where model = 'gamma' and size = 5 or ord % 7 = 0) as refused from k group by all),
+"""
+
+
+@query(_sql("""select model, size, n, refused, round(accuracy, 6) as accuracy, round(ece, 6) as ece, round(mean_conf, 6) as mean_conf, round(1.0::double / size, 6) as chance, round(aurc, 6) as aurc,
+ round(max(accuracy) filter (where size = 1) over (partition by model) - max(accuracy) filter (where size = 5) over (partition by model), 6) + 0.0 as loss
+ from (select al.*, s.accuracy, s.mean_conf, e.ece, u.aurc from al left join (select model as mk, avg(correct) as accuracy, avg(conf) as mean_conf from an group by all) s on mk = al.model || '|' || size
+ left join (select model as mk, sum(n * abs(c - a)) / sum(n) as ece from cells group by all) e using (mk) left join (select model as mk, sum(m::double / n::double * risk) as aurc from rc group by all) u using (mk))""",
+ _SWEPT + _CELLS.replace("from dec)", "from an)", 1) + ", " + _CURVE.replace("from dec group by all)", "from an group by all)", 1)))
+def g14_refused_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All models over the numbers of options; one refuses all requests at five, and all refuse a seventh."""
+    size = F.col("type").cast("int")
+    gone = ((F.col("model") == "gamma") & (size == 5)) | (F.col("ord") % 7 == 0)
+    asked = _judged(spark, sf_dir).withColumn("size", size).withColumn("p", F.when(~gone, F.col("p")))
+    return _r(comparison.cardinality_sweep(asked, ["model"], "size", 1, 5))

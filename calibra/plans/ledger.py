@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.hashing import draw, draw_sql
+from ..functions.ranking import numbered
 from ..operators import answers, design, evidence, ledger, overlap
 from .derived import table
 from .evaluation import _r
@@ -369,3 +370,27 @@ def a27_most_served(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u04_union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return o.union(c).distinct()
+
+
+@query("select 'syn.at' || upper(s[1]) || s[2:] || c_custkey as label, c_nationkey as value from (select *, regexp_replace(lower(c_mktsegment), '[^a-z0-9]', '', 'g') as s from customer)")
+def n17_t14_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label of letters and digits for each customer, from a slug with its first letter upper case; each stands once."""
+    c = table(spark, sf_dir, "customer")
+    label = F.concat(F.lit("at"), ledger.camel(ledger.slug(F.col("c_mktsegment"))), F.col("c_custkey").cast("string"))
+    return ledger.published(c.select(label.alias("label"), F.col("c_nationkey").alias("value")), "label", "syn.")
+
+
+@query("select printf('L%03d', row_number() over (order by o_orderkey)) as row_id, o_orderkey from orders")
+def w11_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged rows numbered in order, without one sorted partition."""
+    found = numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "r")
+    return found.select(F.format_string("L%03d", "r").alias("row_id"), "o_orderkey")
+
+
+@query("""with n as (select lang, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as t, doc_id from documents where text is not null), f as (select t, min(doc_id) as first from n group by t)
+select lang, count(*) as n, count(*) filter (where doc_id <> first) as exposed from n join f using (t) group by lang""")
+def t02_exposed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text, white space and case aside, an earlier one has too."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("lang", "doc_id", F.xxhash64(overlap.norm_spaces(F.col("text"))).alias("t"))
+    first = rows.groupBy("t").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "t").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") != F.col("first")).alias("exposed"))

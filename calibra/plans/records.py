@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
+from ..functions.documents import inverted
 from ..functions.hashing import draw, draw_sql
 from ..functions.quantiles import quantiles
 from ..operators import answers, design, evidence, ledger, overlap
@@ -481,10 +482,12 @@ def t08_s11_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_partkey, p_size % 2 = 0 as found from part")
 def n05_t11_t12_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in words, with separators or a bare point, looked for in an excerpt."""
-    even = F.col("p_size") % 2 == 0
-    excerpt = F.when(even, F.lit("twelve of 1,234 items, .5 each")).otherwise(F.lit("eleven of 1,234 items"))
-    return table(spark, sf_dir, "part").select("p_partkey", overlap.numbers_contained(F.lit("12 and 1234 and 0.5"), excerpt).alias("found"))
+    """Each part's numbers, looked for in an excerpt that has them as words, with separators or a bare point."""
+    size, large = F.col("p_size"), F.col("p_partkey") * 1000 + 7
+    words = F.create_map(*[F.lit(x) for word, digits in overlap.NUMBERS.items() for x in (digits, word)])
+    excerpt = F.concat(F.coalesce(F.try_element_at(words, size.cast("string")), size.cast("string")), F.lit(" of "), F.format_number(large, 0), F.lit(" items, ."), (size + size % 2).cast("string"))
+    value = F.concat(size.cast("string"), F.lit(" of "), large.cast("string"), F.lit(" at 0."), size.cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", overlap.numbers_contained(value, excerpt).alias("found"))
 
 
 @query("select p_partkey, regexp_replace('2401.' || p_partkey || 'v' || p_size, 'v[0-9]+$', '') as base, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
@@ -596,3 +599,11 @@ def n07_coarser_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("p_retailprice") / 7
     printed = lambda c, d: F.format_string(f"%.{d}f", c)
     return table(spark, sf_dir, "part").select("p_partkey", ledger.same_value(printed(F.floor(v * 10) / 10, 1), printed(v, 2)).alias("equal_at_coarser"))
+
+
+@query("select o_orderkey as id, array_to_string(list_sort([o_orderstatus || '=' || case when o_orderstatus = o_orderpriority[1] then 'b' else 'a' end] || case when o_orderstatus <> o_orderpriority[1] then [o_orderpriority[1] || '=b'] else [] end), ' ') as inverted from orders")
+def t19_inverted_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps turned round: of two keys with one value the last stands."""
+    m = F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.substring("o_orderpriority", 1, 1), F.lit("c"), F.lit(None).cast("string"))
+    pairs = F.transform(F.map_entries(inverted(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(pairs), " ").alias("inverted"))

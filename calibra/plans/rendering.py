@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.quantiles import quantiles
 from ..operators import answers, rendering
 from .derived import table
 from .evaluation import _r
@@ -171,3 +172,24 @@ def p29_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     text = F.concat((size / 10).cast("int").cast("string"), F.lit("."), (size % 10).cast("string"), F.lit("0"))
     return table(spark, sf_dir, "part").where("p_size < 100").select(F.col("p_partkey").alias("key"), rendering.two_digits(size / 1000.0 + 0.1001).alias("small"), rendering.two_digits(size.cast("double")).alias("large"), rendering.tidy(text).alias("tidied"))
+
+
+@query("""with l as (select l_orderkey, l_linenumber::varchar as k, l_returnflag || ' ' || l_partkey as t from lineitem), o as (select l_orderkey, count(*) as size, sum(length(k) + 2 + length(t)) + count(*) - 1 as rendered, sum(length(t)) as texts from l group by all)
+select size, count(*) as n, round(avg(rendered), 6) as rendered_mean, round(median(rendered), 6) as rendered_median, min(rendered)::int as rendered_least, max(rendered)::int as rendered_greatest, round(avg(texts), 6) as texts_mean from o group by size""")
+def a31_option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the option lists of requests, by the number of options: an order's lines are its options."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws(" ", "l_returnflag", F.col("l_partkey").cast("string")).alias("t")))).alias("x"))
+    chars = rendering.list_chars(F.transform("x", lambda x: x["l_linenumber"].cast("string")), F.transform("x", lambda x: x["t"]))
+    rows = lines.select(F.size("x").cast("long").alias("size"), chars.alias("c")).select("size", "c.*")
+    sums = rows.groupBy("size").agg(F.count("*").alias("n"), F.avg("rendered").alias("rendered_mean"), F.min("rendered").alias("rendered_least"), F.max("rendered").alias("rendered_greatest"), F.avg("texts").alias("texts_mean"))
+    return _r(sums.join(quantiles(rows, ["size"], "rendered", {"rendered_median": 0.5}), "size"))
+
+
+@query(f"""select p_partkey // 3 as request, count(*) as fields, coalesce(array_to_string(list_sort(list(p_partkey::varchar) filter (where {KIND} = 'score')), ' '), '') as score_fields, count(*) filter (where {KIND} = 'noul') as yes_no from part group by 1""")
+def p14_request_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions a request: its fields, those that are scores, and how many are yes or no."""
+    q = questions(spark, sf_dir).withColumn("request", F.floor(F.col("key") / 3))
+    field = rendering.schema_field(F.col("kind"), F.col("ins"), rendering.option_keys(F.col("kind"), F.col("names")), F.col("descriptions"))
+    found = rendering.request_schema(q, ["request"], "key", "kind", field)
+    yes_no = F.size(F.filter(F.map_values("fields"), lambda x: F.get_json_object(x, "$.type") == "boolean"))
+    return found.select("request", F.size("fields").cast("long").alias("fields"), F.array_join("score_fields", " ").alias("score_fields"), yes_no.cast("long").alias("yes_no"))

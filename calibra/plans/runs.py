@@ -187,3 +187,22 @@ def g22_budget_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     seen = _budget(spark, sf_dir).withColumn("used", F.col("seq_len") + (F.col("item") % 5 == 0).cast("int")).withColumn("was_refused", F.col("item") % 11 == 0)
     return rendering.budget_check(seen, ["type"], "used", "was_refused")
+
+
+_KEPT = "list_transform(kept, lambda n: n - 1)"
+_MORE = f"""su as (select *, list_sum(m) as ot, greatest(0, list_sum(m) - ({_HEAD_MOST} - 16)) as excess, mark[gold + 1] as gm, {_KEPT} as kt,
+ len(list_distinct(list_transform(range(1, len(kept) - gone + 1), lambda i: ((i - 1) % 3 + 1)::varchar || ':' || least(kept[i] - 1, opts[i])::varchar))) as seen from bd)"""
+
+
+@query(f"""with {_TOKENS}, {_MORE} select type, count(*) as requests, max(ot)::int as options_max, round(avg(exceeds::int), 6) as share_exceeding, max(excess)::int as excess_max,
+ coalesce(array_to_string(list_sort(list(distinct per) filter (where exceeds)), ' '), '') as fair_shares, round(avg(bare), 6) as lost_mean, round(sum(bare)::double / sum(len(opts)), 6) as share_lost, round(avg(gone), 6) as dropped_mean, round(avg((gone > 0)::int), 6) as share_refused,
+ round(avg(seen), 6) as distinct_mean, round(sum(sk)::double / sum(state), 6) as state_kept_share, max(seq_len)::int as length_max, round(avg((seq_len >= {_MOST})::int), 6) as share_at_most, round(avg(gold + 1), 6) as gold_place_mean,
+ round(avg((kt[gold + 1] >= opts[gold + 1])::int), 6) as share_gold_whole, round(avg((kt[gold + 1] <= keys[gold + 1])::int), 6) as share_gold_lost, round(avg((gm >= {_MOST})::int), 6) as share_gold_dropped,
+ round(median(ot), 6) as options_median, round(median(excess), 6) as excess_median, round(median(hk), 6) as head_kept_median, round(median(seq_len), 6) as length_median, round(median(gm), 6) as gold_mark_median, round(median(ot) / {_HEAD_MOST}, 6) as options_over_head_median from su group by type""")
+def a43_budget_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay's measures by type; an option's tokens are its place by three, then 2, 3, ..."""
+    from ..operators import rendering
+
+    ids = F.transform("options", lambda n, i: F.slice(F.concat(F.array(i % 3 + 1), F.sequence(F.lit(2), n + 1)), F.lit(1), n))
+    seen = _budget(spark, sf_dir).withColumn("distinct", rendering.distinct_seen(ids, F.col("kept"), F.col("dropped")))
+    return _r(rendering.budget_summary(seen, ["type"], _HEAD_MOST, _MOST))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.documents import flattened, parsed_prompt
-from ..operators import answers
+from ..operators import answers, design
 from ..sources import store
 from .derived import table
 from .evaluation import _r
@@ -104,3 +104,28 @@ def n18_replayed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = answers.replayed(manifest, again, ["condition"])
     entries = manifest.unionByName(again.join(told.where("status = 'new'").select("condition"), "condition", "left_semi"))
     return entries.join(told, "condition").select("condition", "rows", "sha256", "status")
+
+
+@query("select o_orderpriority as condition, count(*) as n, sum(o_custkey)::bigint as keys from orders where o_orderpriority not like '5%' group by all")
+def s03_manifest_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen requests of the conditions that the manifest names, but one, read again by their folders."""
+    path = store.scratch(spark, "inputs")
+    orders = table(spark, sf_dir, "orders")
+    store.freeze_inputs(spark, orders.select(F.col("o_orderpriority").alias("condition"), "o_orderkey", "o_custkey"), path)
+    named = [c for c in store.conditions_of(spark, path) if not c.startswith("5")]
+    rows = store.load_inputs(spark, path, named, "o_orderkey long, o_custkey long")
+    return rows.groupBy("condition").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+
+
+@query("""with r as (select s_suppkey, (row_number() over (order by s_suppkey) - 1) % 3 + 1 as part from supplier)
+select part::int as part, count(*) as n, count(*) filter (where s_suppkey % 4 = 0) as high, count(*) filter (where s_suppkey % 4 = 1) as low, count(*) filter (where s_suppkey % 4 > 1) as blank from r group by part""")
+def k07_task_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task tables for three raters as CSV, read again, filled by a rule and checked against the legal values."""
+    legal = {"grade": ("low", "high"), "relation": ("same", "other")}
+    tasks = design.rating_tasks(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 3, legal)
+    path = store.scratch(spark, "tasks")
+    tasks.write.partitionBy("part").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    read = spark.read.option("header", True).csv(path).withColumn("id", F.col("s_suppkey").cast("long"))
+    filled = read.withColumn("grade", F.when(F.col("id") % 4 == 0, " High").when(F.col("id") % 4 == 1, "low"))
+    found = filled.select("id", "part").join(design.read_ratings(filled, "id", legal), "id")
+    return found.groupBy(F.col("part").cast("int").alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("grade") == "high").alias("high"), F.count_if(F.col("grade") == "low").alias("low"), F.count_if(F.col("grade").isNull()).alias("blank"))

@@ -110,3 +110,22 @@ def replace_json(spark: SparkSession, document, path: str, tries: int = TRIES, w
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A document written by replace_json, as one row."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def freeze_inputs(spark: SparkSession, requests: DataFrame, path: str) -> None:
+    """Requests as JSON lines by condition, and a manifest of them: a row count for each condition; names that
+    begin with an underscore tell about the manifest itself."""
+    without_nan(requests).write.mode("overwrite").partitionBy("condition").json(f"{path}/requests")
+    counts = {r["condition"]: r["n"] for r in requests.groupBy("condition").agg(F.count("*").alias("n")).collect()}
+    replace_json(spark, {**counts, "_conditions": len(counts)}, f"{path}/manifest.json")
+
+
+def conditions_of(spark: SparkSession, path: str) -> list[str]:
+    """The conditions that a manifest names, in order."""
+    text = spark.read.text(f"{path}/manifest.json", wholetext=True).first()["value"]
+    return sorted(c for c in json.loads(text) if not c.startswith("_"))
+
+
+def load_inputs(spark: SparkSession, path: str, conditions: Iterable[str], schema: str) -> DataFrame:
+    """Frozen requests of some conditions; files of others aren't read."""
+    return spark.read.schema(f"{schema}, condition string").json(f"{path}/requests").where(F.col("condition").isin(*conditions))

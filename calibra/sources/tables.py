@@ -64,19 +64,13 @@ def schema_of_table(markdown: str) -> list[str]:
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """Cards as rows (card, field, value): top-level `field: value` lines of YAML-like files."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("card"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("card"), "value")
     lines = files.select("card", F.explode(F.split("value", "\n")).alias("line"))
     pattern = r"^([A-Za-z_][A-Za-z0-9_]*):\s*(.*?)\s*$"
     found = lines.select("card", F.regexp_extract("line", pattern, 1).alias("field"), F.regexp_extract("line", pattern, 2).alias("value")).where("field <> ''")
     return found.withColumn("value", F.when(F.col("value") == "", None).otherwise(F.regexp_replace("value", "^[\"']|[\"']$", "")))
 
 
-def yaml_license(text):
-    """The license field of a card's front matter."""
-    front = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---", 1)
-    return F.nullif(F.regexp_extract(front, r"(?m)^license:\s*[\"']?([^\"'\n]+?)[\"']?\s*$", 1), F.lit(""))
-
-
 def entries(xml):
     """(id, title, published) of each entry of an Atom feed."""
     one = lambda tag, s: F.trim(F.regexp_extract(s, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))

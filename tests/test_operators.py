@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import answers, calibration, curves, decide, design, evidence, ledger, metrics, significance
+from calibra.functions.documents import inverted
+from calibra.functions.ranking import numbered
+from calibra.operators import answers, calibration, comparison, curves, decide, design, evidence, ledger, metrics, overlap, rendering, significance
 from calibra.plans.derived import judged
 
 SCHEMA = "g string, ord long, p array<double>, y int"
@@ -185,3 +187,55 @@ def test_claim_rules(spark):
     at = lambda q, c, l: F.struct(F.lit(q).alias("quality"), F.lit(c).alias("cost"), F.lit(l).alias("latency"))  # noqa: E731, E741
     assert [of(ledger.frontier_direction(at(5, 5, 5), F.array(at(*x)))) for x in ((5, 5, 5), (5, 4, 5), (6, 6, 6), (4, 4, 4))] == ["supported", "contradicted", "mixed", "supported"]
     assert of(ledger.frontier_direction(at(1, 1, 1), F.array().cast("array<struct<quality:int,cost:int,latency:int>>"))) is None
+
+
+def test_printed_numbers(spark):
+    texts = ["twelve of 1,234 items, .5 each", "Twenty-one and twenty, one-two", "no. 3 at 1.2.3 a.4", "someone 7,five", "two.5 of −8", "eleventh 1,2,3", "", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", overlap.numbers_of(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r["n"] for r in found] == [["12", "1234", "0.5"], ["21", "20", "1", "2"], ["3", "1.2", "3", "0.4"], ["7"], ["2.5", "8"], ["123"], [], None]
+
+
+def test_labels_stand_once_and_are_letters_and_digits(spark):
+    rows = lambda *names: spark.createDataFrame([(n, 1) for n in names], "label string, value int")
+    assert sorted(r["label"] for r in ledger.published(rows("a1", "bC"), "label", "syn.").collect()) == ["syn.a1", "syn.bC"]
+    for names, said in ((("a1", "a1"), "repeated label syn.a1"), (("a-1",), "bad label a-1"), ((None,), "bad label")):
+        with pytest.raises(Exception, match=said):
+            ledger.published(rows(*names), "label", "syn.").collect()
+
+
+def test_inverted_map_keeps_the_last_key(spark):
+    m = F.create_map(*map(F.lit, ("a", "x", "b", "y", "c", "x")), F.lit("d"), F.lit(None).cast("string"))
+    assert spark.range(1).select(inverted(m).alias("m")).first()["m"] == {"x": "c", "y": "b"}
+
+
+@pytest.mark.parametrize("ids", [[], [5], [3, -2, 10**12, 7, 0], [4, 4, 9]])
+def test_numbers_follow_a_key(spark, ids):
+    found = numbered(spark.createDataFrame([(i,) for i in ids], "k long"), "k").orderBy("r").collect()
+    assert [r["r"] for r in found] == list(range(1, len(ids) + 1)) and [r["k"] for r in found] == sorted(ids)
+
+
+def test_keys_without_tokens_or_alike_are_fatal(spark):
+    nodes = spark.createDataFrame([(1, [], 5, -0.5), (1, [5], 6, -1.0)], "item int, path array<int>, token int, lp double")
+    keys = lambda *k: spark.createDataFrame([(1, str(i), list(t)) for i, t in enumerate(k)], "item int, opt string, tokens array<int>")
+    assert rendering.key_likelihood(keys((5,), (5, 6)), nodes).count() == 2
+    for bad, said in ((((5,), ()), "without tokens"), (((5,), (5,)), "same tokens")):
+        with pytest.raises(Exception, match=said):
+            rendering.key_likelihood(keys(*bad), nodes).collect()
+
+
+def test_a_wholly_refused_number_of_options_has_no_scores(spark):
+    rows = [("a", 1, i, [0.9, 0.1], i % 2) for i in range(4)] + [("a", 2, i, None, 0) for i in range(3)]
+    dec = judged(spark.createDataFrame(rows, "model string, k int, ord int, p array<double>, y int"))
+    found = {r["k"]: r for r in comparison.cardinality_sweep(dec, ["model"], "k", 1, 2).collect()}
+    assert (found[1]["n"], found[1]["refused"], found[1]["accuracy"]) == (4, 0, 0.5)
+    assert (found[2]["n"], found[2]["refused"], found[2]["accuracy"], found[2]["ece"], found[2]["loss"]) == (0, 3, None, None, None)
+
+
+def test_ratings_outside_the_legal_values_are_fatal(spark):
+    items = spark.createDataFrame([(i, f"s{i}") for i in (9, 4, 7)], "id long, name string")
+    legal = {"grade": ("low", "high")}
+    tasks = design.rating_tasks(items, "id", 2, legal)
+    assert [(r["id"], r["part"], r["grade"], r["grade_may_be"]) for r in tasks.orderBy("id").collect()] == [(4, 1, "", "low | high"), (7, 2, "", "low | high"), (9, 1, "", "low | high")]
+    assert [r["grade"] for r in design.read_ratings(tasks.withColumn("grade", F.lit(" High ")), "id", legal).collect()] == ["high"] * 3
+    with pytest.raises(Exception, match="grade may not be medium"):
+        design.read_ratings(tasks.withColumn("grade", F.lit("medium")), "id", legal).collect()

@@ -10,12 +10,10 @@ from calibra.sources import tables
 from calibra.streaming.answers import last_wins, windowed_accounting
 
 
-def test_cards_and_front_matter(spark, tmp_path):
+def test_cards(spark, tmp_path):
     (tmp_path / "a__b.yaml").write_text("name: 'B'\nsize: 3\nempty:\nsize_src:\n  quote: x\n")
     got = {(r["card"], r["field"]): r["value"] for r in tables.read_cards(spark, str(tmp_path)).collect()}
     assert got == {("a__b", "name"): "B", ("a__b", "size"): "3", ("a__b", "empty"): None, ("a__b", "size_src"): None}
-    card = spark.createDataFrame([("---\ntitle: x\nlicense: \"mit\"\n---\ntext\n",), ("no front",)], "t string")
-    assert [r["l"] for r in card.select(tables.yaml_license(F.col("t")).alias("l")).collect()] == ["mit", None]
 
 
 def test_csv_parts_with_mark_and_different_columns(spark, tmp_path):
