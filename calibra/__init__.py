@@ -1 +1,10 @@
-"""Spark-first evaluation of typed probabilistic decisions and of the evidence about them."""
+"""A PySpark engine for evaluating typed decisions and synthesizing evidence about them.
+
+Functions that run on executors are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
