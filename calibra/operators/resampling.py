@@ -235,21 +235,56 @@ def _logs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.log(np.maximum(np.stack(frame["p"].iloc[at].to_numpy()).astype(float), V.FLOOR))
 
 
+def _nll_of_grid(frame: pd.DataFrame, inverse: np.ndarray) -> np.ndarray:
+    """Each decision's negative log-likelihood at each inverse temperature."""
+    nll, y = np.empty((len(frame), len(inverse))), frame["y"].to_numpy(np.int64)
+    for at, logs in _logs(frame):
+        for g, x in enumerate(inverse):
+            nll[at, g] = -np.log(np.maximum(np.exp(logs[np.arange(len(at)), y[at]] * x) / np.exp(logs * x).sum(1), V.FLOOR))
+    return nll
+
+
+def refit_temperatures(dec: DataFrame, by: list[str], cluster: str, replicates: int, seed: str, spec: tuple = WIDE) -> DataFrame:
+    """Rows (by, b, temperature, gi, n): the temperature refitted to each replicate's drawn clusters, the
+    first of the least likelihoods, and how many decisions it has. dec: by, cluster, p, y.
+
+    A task multiplies its rows' weights with their likelihoods; what leaves it is a vector of the grid for
+    each group and replicate.
+    """
+    rows = scored(dec).select(*by, cluster, "p", "y").join(drawn(dec, by, cluster, replicates, seed), [*by, cluster])
+    temperatures = grid(*spec)
+    inverse = 1 / np.array(temperatures)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, frame in batch.groupby(by, sort=False, dropna=False):
+                w = _unpacked(frame["times"], "u1", replicates).astype(float)
+                held[key] = held.get(key, 0) + np.hstack([w.T @ _nll_of_grid(frame, inverse), w.sum(0)[:, None]])
+        for key, found in held.items():
+            yield pd.DataFrame({**dict(zip(by, key, strict=True)), "b": np.arange(replicates, dtype=np.int32), "_n": [x.tobytes() for x in found]})
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _unpacked(frame["_n"], "<f8", len(inverse) + 1).sum(0)
+        gi = int(np.round(found[:-1], 6).argmin())
+        return _keyed(frame, by, b=[int(frame["b"].iloc[0])], temperature=[temperatures[gi]], gi=[gi], n=[int(found[-1])])
+
+    keys = _kinds(rows, by)
+    parts = rows.select(*by, "p", "y", "times").mapInPandas(sums, f"{keys}, b int, _n binary")
+    return parts.groupBy(*by, "b").applyInPandas(best, f"{keys}, b int, temperature double, gi int, n long").where("n > 0")
+
+
 def refit_grid(rows: DataFrame, by: list[str], replicates: int, spec: tuple = WIDE, folds: int = FOLDS) -> DataFrame:
     """Rows (by, b, fold, gi): the place on the grid of the temperature fitted to each replicate's other
     folds, the first of the least likelihoods. rows: by, p, y, times, fold."""
-    inverse, floor = 1 / np.array(grid(*spec)), V.FLOOR
+    inverse = 1 / np.array(grid(*spec))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, frame in batch.groupby(by, sort=False, dropna=False):
                 w, fold = (_unpacked(frame[c], "u1", replicates) for c in ("times", "fold"))
-                nll = np.empty((len(frame), len(inverse)))
-                y = frame["y"].to_numpy(np.int64)
-                for at, logs in _logs(frame):
-                    for g, x in enumerate(inverse):
-                        nll[at, g] = -np.log(np.maximum(np.exp(logs[np.arange(len(at)), y[at]] * x) / np.exp(logs * x).sum(1), floor))
+                nll = _nll_of_grid(frame, inverse)
                 held[key] = held.get(key, 0) + np.stack([(w * (fold == f)).T.astype(float) @ nll for f in range(folds)])
         for key, found in held.items():
             yield pd.DataFrame({**dict(zip(by, key, strict=True)), "b": np.arange(replicates, dtype=np.int32), "_n": [np.ascontiguousarray(found[:, b]).tobytes() for b in range(replicates)]})

@@ -71,7 +71,7 @@ def r07_auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r05_refit_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of temperatures that are refitted in every replicate; a test holds them against a plain version."""
-    found = comparison.refit_temperatures(_judged(spark, sf_dir), ["model"], "grp", B, "r05")
+    found = resampling.refit_temperatures(_judged(spark, sf_dir), ["model"], "grp", B, "r05")
     return _r(significance.interval(found, ["model"], "temperature"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import SF
 
-from calibra.operators import answers, calibration, comparison, decide, ledger, overlap
+from calibra.operators import answers, calibration, comparison, decide, ledger, overlap, resampling
 from calibra.plans.derived import decisions, judged
 
 
@@ -43,14 +43,16 @@ def test_area_differences_against_all_pairs(spark):
 
 def test_refitted_temperatures(spark):
     dec = judged(decisions(spark, SF)).where("model = 'alpha' and item % 5 = 0")
-    got = {r["b"]: r["gi"] for r in comparison.refit_temperatures(dec, ["model"], "grp", 3, "t").collect()}
+    got = {r["b"]: r["gi"] for r in resampling.refit_temperatures(dec, ["model"], "grp", 3, "t").collect()}
     rows = dec.select("grp", "p", "y").collect()
     grid = np.array(calibration.grid(*calibration.WIDE))
-    for b, times in times_of(spark, dec, "grp", 3, "t").items():
+    times = {r["grp"]: r["times"] for r in resampling.drawn(dec, ["model"], "grp", 3, "t").collect()}
+    assert sorted(got) == [0, 1, 2]
+    for b in got:
         total = np.zeros(len(grid))
         for r in rows:
             logs = np.log(np.maximum(r["p"], 1e-6))[None] / grid[:, None]
-            total += times.get(r["grp"], 0) * -np.log(np.maximum(np.exp(logs[:, r["y"]]) / np.exp(logs).sum(1), 1e-6))
+            total += times[r["grp"]][b] * -np.log(np.maximum(np.exp(logs[:, r["y"]]) / np.exp(logs).sum(1), 1e-6))
         assert got[b] == int(np.argmin(np.round(total, 6)))
 
 
