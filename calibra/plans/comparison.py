@@ -59,8 +59,8 @@ def _square(p, y):
 
 @query()
 def r07_auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-scope areas of two models over the same draws. Clusters are numbered by hash parts, which
-    SQL can't repeat; a test holds the statistic against a plain version."""
+    """Out-of-scope areas of two models over the same draws, which SQL can't repeat; a test holds the statistic
+    against a plain version."""
     dec = _judged(spark, sf_dir)
     a = dec.where("model = 'alpha'").select("item", "grp", F.col("in_scope").alias("positive"), F.col("conf").alias("score_a"))
     b = dec.where("model = 'beta'").select("item", F.col("conf").alias("score_b"))

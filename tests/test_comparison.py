@@ -11,13 +11,6 @@ from calibra.operators import answers, calibration, comparison, decide, ledger,
 from calibra.plans.derived import decisions, judged
 
 
-def times_of(spark, df, cluster, replicates, seed):
-    out = {}
-    for r in comparison.drawn_clusters(df, cluster, replicates, seed).collect():
-        out.setdefault(r["b"], {})[r[cluster]] = r["times"]
-    return out
-
-
 def test_area_differences_against_all_pairs(spark):
     rng = np.random.default_rng(0)
     rows = [(i, i % 9, bool(rng.random() < 0.4), float(rng.integers(0, 8)) / 8, float(rng.integers(0, 8)) / 8) for i in range(60)]
@@ -34,10 +27,11 @@ def test_area_differences_against_all_pairs(spark):
                     wins += w * (1.0 if x[score] > y[score] else 0.5 if x[score] == y[score] else 0.0)
         return wins / total
 
-    drawn = times_of(spark, df, "grp", 5, "s")
-    assert all(sum(t.values()) == 9 for t in drawn.values())
+    drawn = {r["grp"]: r["times"] for r in resampling.drawn(df.withColumn("_all", F.lit("")), ["_all"], "grp", 5, "s").collect()}
+    assert sorted(got) == list(range(5))
     for b, stat in got.items():
-        weight = {g: drawn[b].get(g, 0) for g in range(9)}
+        weight = {g: drawn[g][b] for g in range(9)}
+        assert sum(weight.values()) == 9
         assert stat == pytest.approx(area(4, weight) - area(3, weight))
 
 
