@@ -125,9 +125,13 @@ def matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
         low, high = F.least(F.greatest(h["at"] - h["size"] + k, F.lit(0)), last), F.least(h["at"], last)
         return F.transform(F.sequence(low, high), lambda at: F.struct(at.alias("start"), h["size"].alias("size")))
 
-    spans = worded.withColumn("l", laned(F.col("s"), width)).withColumn("x", F.explode(F.array_distinct(F.flatten(F.transform("hits", around)))))
-    part = lambda c: F.slice(c, F.col("x.start") + 1, F.col("x.size") - k + 1)
-    windows = spans.select("doc_id", "d", "key", "x.size", "x.start", simhash(part("l"), width).alias("simhash"))
+    def printed(lane: Column) -> Column:
+        own = lambda x: simhash(F.slice(lane, x["start"] + 1, x["size"] - k + 1), width)
+        return F.transform(F.array_distinct(F.flatten(F.transform("hits", around))), lambda x: F.struct(x["start"], x["size"], own(x).alias("simhash")))
+
+    # Fingerprints are made beside the document's shingles, so that its windows' rows don't copy these.
+    prints_of = F.transform(F.array(laned(F.col("s"), width)), printed)[0]
+    windows = worded.select("doc_id", "d", "key", F.explode(prints_of).alias("x")).select("doc_id", "d", "key", "x.size", "x.start", "x.simhash")
 
     # Candidates: windows and items of one size that agree in a block, each at the first block they
     # agree in; of these the ones within the radius, and then those whose unshared shingles allow it.
