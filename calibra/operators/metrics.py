@@ -35,7 +35,8 @@ def point_scores(dec: DataFrame, by: list[str]) -> DataFrame:
         F.avg("conf").alias("mean_conf"),
         F.avg(high.cast("int")).alias("share_high"),
         F.avg(F.when(high, F.col("correct"))).alias("acc_high"),
-        F.count_distinct(F.round("conf", 6)).alias("distinct_conf"),
+        # Rounded as engines round doubles, by the product: ties of the printed decimal fall otherwise.
+        F.count_distinct(F.round(F.col("conf") * 1e6)).alias("distinct_conf"),
     )
 
 
