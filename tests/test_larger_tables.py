@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
-from calibra.operators import metrics
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from calibra.operators import metrics, significance
 from calibra.plans.derived import judged
 
 
+def broadcast_rows(node) -> list[int]:
+    """Rows of each broadcast of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcast_rows(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcast_rows(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchangeExec" else []
+    below = node.children()
+    return own + [n for i in range(below.size()) for n in broadcast_rows(below.apply(i))]
+
+
 def test_distinct_confidences_are_rounded_by_the_product(spark):
     """0.5040625 * 1e6 is 504062.49999999994, so SQL rounds it down, its printed decimal up."""
     rows = [("a", i, [top, 1 - top], 0) for i, top in enumerate((1613 / 3200, 0.504062, 0.504064))]
     dec = judged(spark.createDataFrame(rows, "g string, ord long, p array<double>, y int"))
     assert metrics.point_scores(dec, ["g"]).first()["distinct_conf"] == 2
+
+
+def _of_ranges(values, seed, replicates):
+    """Replicates of one group's mean; cluster i has the one value values[i]."""
+    draw = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    order = sorted(range(len(values)), key=lambda i: (draw("order", i), i))
+    return [np.mean([values[order[draw(seed, b, j) % len(values)]] for j in range(len(values))]) for b in range(replicates)]
+
+
+def test_draws_meet_ranges_of_clusters(spark, monkeypatch):
+    """Groups of one size share draws; ranges, blocks and tasks are many."""
+    for name, value in (("RANGE", 16), ("DRAWS", 32), ("TOGETHER", 1), ("SORTED", 64)):
+        monkeypatch.setattr(significance, name, value)
+    sizes = {"a": 100, "b": 100, "c": 37, "d": 1}
+    rows = [(g, i, float((i * 7 + ord(g)) % 11)) for g, n in sizes.items() for i in range(n)]
+    got = significance.bootstrap_ratio(spark.createDataFrame(rows, "g string, cl long, v double"), ["g"], "cl", "v", 3, "s").collect()
+    want = {(g, b): v for g in sizes for b, v in enumerate(_of_ranges([x[2] for x in rows if x[0] == g], "s", 3))}
+    assert {(r["g"], r["b"]): r["stat"] for r in got} == pytest.approx(want)
+
+
+def test_draws_are_not_broadcast(spark):
+    rows = spark.range(8000).select(F.lit("a").alias("g"), "id", (F.col("id") % 2).alias("v"))
+    found = significance.bootstrap_ratio(rows, ["g"], "id", "v", 60, "s")
+    stats = [r["stat"] for r in found.collect()]
+    assert len(stats) == 60 and np.mean(stats) == pytest.approx(0.5, abs=0.01)
+    assert max(broadcast_rows(found._jdf.queryExecution().executedPlan()), default=0) <= 1000
