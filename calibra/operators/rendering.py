@@ -128,17 +128,18 @@ def key_likelihood(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     logp: the sum over a key's tokens. boundary: the logarithm of what is left after the tokens that go
     on to a longer declared key. A token that a path doesn't list counts as the path's least
     log-probability and as missing. A key without tokens, or two of the same, is fatal. p: softmax of both over an item's keys.
+    All joins are merges: of exploded rows Spark knows the size before, and would broadcast them by it.
     """
     alike = keys.groupBy("item", "tokens").agg(F.count("*").alias("_n"))
     fatal = lambda why: F.raise_error(F.concat(F.lit(why), F.col("item").cast("string")))
     sound = F.when(F.size("tokens") < 1, fatal("a key without tokens in item ")).when(F.col("_n") > 1, fatal("two keys of the same tokens in item ")).otherwise(F.lit(True))
-    keys = keys.join(alike, ["item", "tokens"]).where(sound).drop("_n")
+    keys = keys.join(alike.hint("merge"), ["item", "tokens"]).where(sound).drop("_n")
     steps = keys.select("item", "opt", "tokens", F.posexplode("tokens").alias("j", "token"))
     steps = steps.select("item", "opt", F.expr("slice(tokens, 1, j)").alias("path"), "token", F.lit(False).alias("beyond"))
     longer = steps.select("item", "path", "token").distinct()
-    beyond = keys.select("item", "opt", F.col("tokens").alias("path")).join(longer, ["item", "path"]).select("item", "opt", "path", "token", F.lit(True).alias("beyond"))
+    beyond = keys.select("item", "opt", F.col("tokens").alias("path")).join(longer.hint("merge"), ["item", "path"]).select("item", "opt", "path", "token", F.lit(True).alias("beyond"))
     floors = nodes.groupBy("item", "path").agg(F.min("lp").alias("floor"))
-    found = steps.union(beyond).join(nodes, ["item", "path", "token"], "left").join(floors, ["item", "path"], "left").withColumn("at", F.coalesce("lp", "floor"))
+    found = steps.union(beyond).join(nodes.hint("merge"), ["item", "path", "token"], "left").join(floors.hint("merge"), ["item", "path"], "left").withColumn("at", F.coalesce("lp", "floor"))
     mass = F.sum(F.when(F.col("beyond"), F.exp("at")))
     sums = found.groupBy("item", "opt").agg(F.sum(F.when(~F.col("beyond"), F.col("at"))).alias("logp"), F.log1p(-F.least(F.coalesce(mass, F.lit(0.0)), F.lit(1 - 1e-15))).alias("boundary"), F.count_if(F.col("lp").isNull()).alias("missing"))
     return softmax(sums.withColumn("_s", F.col("logp") + F.col("boundary")), "item", "_s").drop("_s")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import metrics, significance
+from calibra.operators import metrics, rendering, significance
 from calibra.plans.derived import judged
 
 
@@ -55,3 +55,12 @@ def test_draws_are_not_broadcast(spark):
     stats = [r["stat"] for r in found.collect()]
     assert len(stats) == 60 and np.mean(stats) == pytest.approx(0.5, abs=0.01)
     assert max(broadcast_rows(found._jdf.queryExecution().executedPlan()), default=0) <= 1000
+
+
+def test_keys_are_not_broadcast(spark):
+    items = spark.range(5000).withColumnRenamed("id", "item")
+    keys = items.select("item", F.explode(F.array(*map(F.lit, "abc"))).alias("opt")).withColumn("tokens", F.array("opt"))
+    nodes = items.select("item", F.array().cast("array<string>").alias("path"), F.explode(F.array(*map(F.lit, "abc"))).alias("token"), F.lit(-1.0).alias("lp"))
+    found = rendering.key_likelihood(keys, nodes)
+    assert [(r["missing"], r["p"]) for r in found.collect()] == [(0, pytest.approx(1 / 3))] * 15000
+    assert not broadcast_rows(found._jdf.queryExecution().executedPlan())
