@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import metrics, rendering, significance
+from calibra.operators import metrics, regression, rendering, significance
 from calibra.plans.derived import judged
 
 
@@ -64,3 +64,14 @@ def test_keys_are_not_broadcast(spark):
     found = rendering.key_likelihood(keys, nodes)
     assert [(r["missing"], r["p"]) for r in found.collect()] == [(0, pytest.approx(1 / 3))] * 15000
     assert not broadcast_rows(found._jdf.queryExecution().executedPlan())
+
+
+def test_rounds_end_where_the_penalty_is_small(spark, monkeypatch):
+    """Probabilities sum to 1, so with intercepts some directions are bent by the penalty alone."""
+    calls, sums = [], regression._newton_sums
+    monkeypatch.setattr(regression, "_newton_sums", lambda *x: calls.append(1) or sums(*x))
+    rng = np.random.default_rng(3)
+    x, y = rng.dirichlet([1.0, 1.0, 1.0], 300), np.eye(3)[rng.integers(0, 3, 300)]
+    rows = spark.createDataFrame([("a", int(i % 2), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g string, fold int, x array<double>, y array<double>")
+    regression.validated_strength(rows, "g", "fold", "x", "y", [1e8], rounds=40)
+    assert len(calls) <= 15
