@@ -222,8 +222,14 @@ def listed_ids(texts: DataFrame, text: str, pattern: str, ledger: DataFrame, own
 
 
 def lines_with(text: Column, pattern: str, width: int = 240) -> Column:
-    """What stands around each match of a pattern on its line, at most width / 2 before and width after."""
-    hits = F.regexp_extract_all(text, F.lit(f"(.{{0,{width // 2}}}(?:{pattern}).{{0,{width}}})"), 1)
+    """What stands around each match of a pattern on its line, at most width / 2 before and width after.
+
+    The characters before are tried again at every place, so only lines with a match are read that way.
+    """
+    around = F.lit(f"(.{{0,{width // 2}}}(?:{pattern}).{{0,{width}}})")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(pattern))
+    found = F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, around, 1)))
+    hits = F.when(~text.rlike(pattern), F.array().cast("array<string>")).otherwise(found)
     return F.transform(hits, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
 
 

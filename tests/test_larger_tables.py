@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import metrics, regression, rendering, significance
+from calibra.operators import ledger, metrics, regression, rendering, significance
 from calibra.plans.derived import judged
 
 
@@ -75,3 +76,13 @@ def test_rounds_end_where_the_penalty_is_small(spark, monkeypatch):
     rows = spark.createDataFrame([("a", int(i % 2), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "g string, fold int, x array<double>, y array<double>")
     regression.validated_strength(rows, "g", "fold", "x", "y", [1e8], rounds=40)
     assert len(calls) <= 15
+
+
+def test_lines_without_a_match_cost_little(spark):
+    texts = [(0, None), (1, ""), (2, "no word"), (3, "a  License b\r\nc\nlicence\tlicense d\n"), (4, "x" * 200 + "licence" + "y" * 300)]
+    found = spark.createDataFrame(texts, "i int, t string").select("i", ledger.lines_with(F.col("t"), "(?i:licen[sc]e)").alias("x"))
+    assert {r["i"]: r["x"] for r in found.collect()} == {0: None, 1: [], 2: [], 3: ["a License b", "licence license d"], 4: ["x" * 120 + "licence" + "y" * 240]}
+    long = spark.range(4).select(F.concat(F.repeat(F.concat(F.lit("words and words "), F.col("id").cast("string"), F.lit(" on a line that has none of it\n")), F.lit(900_000)), F.lit("a license")).alias("t"))
+    began = time.monotonic()
+    assert [r["n"] for r in long.select(F.size(ledger.lines_with(F.col("t"), "(?i:licen[sc]e)")).alias("n")).collect()] == [1] * 4
+    assert time.monotonic() - began < 15
