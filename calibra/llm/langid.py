@@ -143,12 +143,14 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def predict(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(**shared.value)
         ascii_letter = np.zeros(256, np.int64)
         ascii_letter[[*range(65, 91), *range(97, 123)]] = 1
-        for batch in batches:
-            for c in chunks(batch, size=1 << 19):
+        names = np.array([*model.langs, UNDETERMINED], object)
+        for column in columns:
+            found, scores = [], []
+            for c in chunks(pa.RecordBatch.from_arrays([column], ["text"]), size=1 << 19):
                 data, offsets = utf8(c.column("text"))
                 bits = code_lengths(model, data, offsets)
                 sums = np.concatenate([[0], np.cumsum(ascii_letter[data])])
@@ -158,9 +160,10 @@ def predict(shared):
                 n = np.maximum(np.diff(offsets), 1)[:, None]
                 nats = -(bits - bits.min(1, keepdims=True)) / n * np.minimum(n, SCORED_BYTES) * np.log(2)
                 share = np.exp(nats) / np.exp(nats).sum(1, keepdims=True)
-                best = np.where(letters, bits.argmin(1), len(model.langs))
-                names = np.array([*model.langs, UNDETERMINED], object)
-                yield pa.RecordBatch.from_arrays([*(c.column(k) for k in range(c.num_columns - 1)), pa.array(names[best], pa.string()), pa.array(np.where(letters, share.max(1), 0.0))], [*c.schema.names[:-1], "lang_pred", "score"])
+                found.append(np.where(letters, bits.argmin(1), len(model.langs)))
+                scores.append(np.where(letters, share.max(1), 0.0))
+            best, score = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((found, np.int64), (scores, float)))
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return run
 
@@ -190,6 +193,7 @@ def identify(documents: DataFrame, model: Model | None = None, sample: int = SAM
     if not model.langs:
         return docs.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), *kept)
     shared = spark.sparkContext.broadcast(vars(model))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    found = docs.select("doc_id", "held_out", "carried", "text").mapInArrow(predict(shared), f"doc_id {kinds['doc_id']}, held_out boolean, carried {kinds['carried']}, lang_pred string, score double")
-    return found.select("doc_id", "held_out", "lang_pred", "score", *kept)
+    # Only the text goes to Python, and what is found comes back; a filter on it must not be a second run.
+    judge = F.arrow_udf(predict(shared), "struct<lang_pred string, score double>").asNondeterministic()
+    found = docs.select("doc_id", "held_out", "carried", judge("text").alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", *kept)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from helpers import documents, empty, lowered
 
 import corpus_pipeline as cp
+from calibra.llm import langid
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,12 @@ def test_benchmark_texts_go_whatever_their_id(spark):
     rows = [(None, item), (1, item), (1, "one clean text of some words that no item holds"), (None, "another clean text"), (2, None)]
     got = {(r["doc_id"], r["text"]) for r in cp.clean_of_benchmarks(spark, rows_of(spark, rows), SF).collect()}
     assert got == {(1, rows[2][1]), (None, "another clean text"), (2, None)}
+
+
+def test_language_stage_hands_python_each_text_once(spark):
+    """What is carried stays in the JVM: the text is Python's only input, and only language and score return."""
+    docs = spark.createDataFrame([(i, t, "x", "s", 3) for i, t in enumerate(["one two", None, "", "123", "two three"])], "doc_id long, text string, lang string, source string, n_chars long")
+    found = langid.identify(docs, carry=("text", "source", "n_chars"))
+    assert {(r["doc_id"], r["text"], r["lang_pred"]) for r in found.collect()} >= {(1, None, "und"), (2, "", "und"), (3, "123", "und")}
+    plan = found.where("score >= 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1 and "MapInArrow" not in plan
