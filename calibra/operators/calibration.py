@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -17,6 +17,8 @@ from .metrics import scored
 WIDE, NARROW = (120, 0.2, 20.0), (60, 0.25, 8.0)
 #: Fixed value: decisions a slice needs for a temperature of its own.
 LEAST_ROWS = 30
+#: Groups whose sums a task holds, at most.
+MOST_HELD = 4096
 
 
 def grid(points: int, low: float, high: float) -> list[float]:
@@ -28,8 +30,8 @@ def grid(points: int, low: float, high: float) -> list[float]:
 def grid_nll(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
     """Summed negative log-likelihood of each group at each temperature: rows (by, gi, t, nll, n).
 
-    Each batch of decisions meets the grid in one matrix product of logarithms; only partial sums of a
-    fixed size for each group leave a task.
+    Each batch of decisions meets the grid one temperature at a time, so a task holds one number for each
+    decision; only partial sums of a fixed size for each group leave it.
     """
     temperatures = grid(*spec)
     rows = scored(dec).select(*by, "p", "y")
@@ -37,22 +39,36 @@ def grid_nll(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inverse = 1.0 / np.array(temperatures)
+        held: dict[tuple, tuple[np.ndarray, int]] = {}
         for frame in batches:
             width = frame["p"].str.len().to_numpy()
             for k in np.unique(width):
                 own = frame[width == k]
-                logs = np.log(np.maximum(np.stack(own["p"].to_numpy()).astype(float), floor))
-                right = logs[np.arange(len(own)), own["y"].to_numpy(np.int64)]
-                nll = np.empty((len(own), len(inverse)))
-                for g, x in enumerate(inverse):
-                    share = np.exp(right * x) / np.exp(logs * x).sum(1)
-                    nll[:, g] = -np.log(np.maximum(share, floor))
                 groups = own.groupby(by, sort=False, dropna=False).indices if by else {(): np.arange(len(own))}
-                for key, at in groups.items():
-                    out = pd.DataFrame({"gi": np.arange(len(inverse), dtype=np.int32), "t": temperatures, "nll": nll[at].sum(0), "n": len(at)})
-                    for name, value in zip(by, key if isinstance(key, tuple) else (key,), strict=True):
-                        out[name] = value
-                    yield out[[*by, "gi", "t", "nll", "n"]]
+                order, sizes = np.concatenate(list(groups.values())), [len(at) for at in groups.values()]
+                logs = np.log(np.maximum(np.stack(own["p"].to_numpy()).astype(float), floor)).T
+                y = own["y"].to_numpy(np.int64)
+                # Beside the right option's share, which is 1 over 1 and the others' quotients by it.
+                row = np.arange(len(own))
+                others = (logs[np.arange(k - 1)[:, None] + (np.arange(k - 1)[:, None] >= y), row] - logs[y, row])[:, order]
+                first = np.cumsum([0, *sizes[:-1]])
+                nll = np.stack([np.add.reduceat(np.minimum(np.log1p(np.exp(others * x).sum(0)), -np.log(floor)), first) for x in inverse], 1)
+                for key, sums, n in zip(groups, nll, sizes, strict=True):
+                    key = key if isinstance(key, tuple) else (key,)
+                    key = tuple(None if x != x else x for x in key)
+                    before = held.get(key, (0, 0))
+                    held[key] = (before[0] + sums, before[1] + n)
+                if len(held) > MOST_HELD:
+                    yield from told(held)
+                    held = {}
+        yield from told(held)
+
+    def told(held: dict) -> Iterator[pd.DataFrame]:
+        for key, (nll, n) in held.items():
+            out = pd.DataFrame({"gi": np.arange(len(temperatures), dtype=np.int32), "t": temperatures, "nll": nll, "n": n})
+            for name, value in zip(by, key, strict=True):
+                out[name] = value
+            yield out[[*by, "gi", "t", "nll", "n"]]
 
     found = rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", " * bool(by) + "gi int, t double, nll double, n long")
     return found.groupBy(*by, "gi", "t").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
@@ -60,10 +76,9 @@ def grid_nll(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
 
 def choose(sums: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     """The temperature of least NLL, the first if tied (to `digits`, as sums depend on their order)."""
-    best = sums.groupBy(*by).agg(F.min(F.struct(F.round("nll", digits).alias("v"), "gi", "t")).alias("_b"), F.max("n").alias("n"))
-    last = F.max("gi")
-    edge = sums.agg(last.alias("last"))
-    return best.crossJoin(F.broadcast(edge)).select(*by, F.col("_b.t").alias("temperature"), F.col("_b.gi").alias("gi"), "n", F.col("_b.gi").isin(0).alias("at_low"), (F.col("_b.gi") == F.col("last")).alias("at_high"))
+    # Every group has all of the grid, so its own last place is the grid's; sums are made once.
+    best = sums.groupBy(*by).agg(F.min(F.struct(F.round("nll", digits).alias("v"), "gi", "t")).alias("_b"), F.max("n").alias("n"), F.max("gi").alias("last"))
+    return best.select(*by, F.col("_b.t").alias("temperature"), F.col("_b.gi").alias("gi"), "n", F.col("_b.gi").isin(0).alias("at_low"), (F.col("_b.gi") == F.col("last")).alias("at_high"))
 
 
 def fit(dec: DataFrame, by: list[str], spec: tuple = WIDE) -> DataFrame:
@@ -80,8 +95,8 @@ def cross_fit(dec: DataFrame, by: list[str], fold: str = "fold", spec: tuple = W
     """A temperature for each fold from the other folds: one pass over the data, each complement as
     the group's total less the fold's sum."""
     sums = grid_nll(dec, [*by, fold], spec)
-    totals = sums.groupBy(*by, "gi", "t").agg(F.sum("nll").alias("all_nll"), F.sum("n").alias("all_n"))
-    rest = sums.join(totals, [*by, "gi", "t"]).select(*by, fold, "gi", "t", (F.col("all_nll") - F.col("nll")).alias("nll"), (F.col("all_n") - F.col("n")).alias("n"))
+    whole = Window.partitionBy(*by, "gi", "t")  # as many rows as folds
+    rest = sums.select(*by, fold, "gi", "t", (F.sum("nll").over(whole) - F.col("nll")).alias("nll"), (F.sum("n").over(whole) - F.col("n")).alias("n"))
     return choose(rest, [*by, fold])
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import ledger, metrics, regression, rendering, significance
+from calibra.operators import calibration, ledger, metrics, regression, rendering, significance
 from calibra.plans.derived import judged
 
 
@@ -86,3 +86,15 @@ def test_lines_without_a_match_cost_little(spark):
     began = time.monotonic()
     assert [r["n"] for r in long.select(F.size(ledger.lines_with(F.col("t"), "(?i:licen[sc]e)")).alias("n")).collect()] == [1] * 4
     assert time.monotonic() - began < 15
+
+
+def test_temperature_sums_are_made_once(spark):
+    rows = [("a", i % 3, i % 2, [0.2 + 0.1 * (i % 5), 0.8 - 0.1 * (i % 5)] if i % 4 else [0.5, 0.0, 0.5]) for i in range(40)]
+    dec = spark.createDataFrame(rows, "g string, fold int, y int, p array<double>")
+    for found in (calibration.fit(dec, ["g"]), calibration.cross_fit(dec, ["g"])):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    temperatures = calibration.grid(*calibration.WIDE)
+    sums = {(r["g"], r["gi"]): r["nll"] for r in calibration.grid_nll(dec, ["g"]).collect()}
+    for gi in (0, 50, 119):
+        shares = [(max(p[y], 1e-6) ** (1 / temperatures[gi])) / sum(max(x, 1e-6) ** (1 / temperatures[gi]) for x in p) for _, _, y, p in rows]
+        assert sums["a", gi] == pytest.approx(sum(-np.log(max(s, 1e-6)) for s in shares))
