@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,58 +81,79 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.select(F.spark_partition_id()).distinct().count() < tasks else df
 
 
-#: Distinct grams of all queries that are broadcast, at most; beyond it, grams are joined.
-QUERY_GRAMS = 2_000_000
+#: Distinct grams of all queries that are broadcast, at most, or in a block of queries; pool texts in a block, about.
+QUERY_GRAMS, POOL_ROWS = 2_000_000, 20_000
+#: Shared grams of texts and queries that a task counts at a time, about, and cells of its counts.
+HITS, CELLS = 1_000_000, 1_000_000
 
 
 def best_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str, grams) -> DataFrame:
     """For each query the pool text of greatest Jaccard similarity of gram sets, least id if tied.
 
-    The queries' grams go to each task as an inverted index, if they are few enough; a pool text then
-    counts what it shares with every query in one pass, and only each task's best leaves it.
+    The queries' grams go to each task as an inverted index; a pool text then counts what it shares with
+    every query in one pass, and only each task's best leaves it. Queries with more than QUERY_GRAMS grams
+    are not broadcast, but meet the pool in blocks of both. Every pair that shares a gram is counted, never
+    made a row; of equal pool texts the least id is read.
     """
     hashed = lambda df, ident: df.select(F.col(ident).cast("long").alias("_id"), F.transform(grams(F.col("text")), lambda x: F.xxhash64(x)).alias("_g"))
-    q = hashed(queries, query_id)
-    if (q.agg(F.sum(F.size("_g"))).first()[0] or 0) > QUERY_GRAMS:
-        return joined_match(queries, pool, query_id, pool_id, grams)
-    rows = q.collect()
-    ids, sizes = np.array([r["_id"] for r in rows], np.int64), np.array([len(r["_g"]) for r in rows], np.int64)
-    gram = np.array([x for r in rows for x in r["_g"]], np.int64)
-    order = np.argsort(gram, kind="stable")
-    owner = np.repeat(np.arange(len(rows)), sizes)[order]
-    known, first = np.unique(gram[order], return_index=True)
-    shared = pool.sparkSession.sparkContext.broadcast((ids, sizes, known, np.append(first, len(gram)), owner))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, known, first, owner = shared.value
-        best, whose = np.zeros(len(ids)), np.full(len(ids), np.iinfo(np.int64).max)
-        step = max(1, 2_000_000 // max(1, len(ids)))
-        for batch in batches:
-            for at in range(0, batch.num_rows if len(known) else 0, step):
-                part = batch.slice(at, step)
-                n = np.asarray(part.column("_g").value_lengths().fill_null(0)).astype(np.int64)
-                flat, text = np.asarray(part.column("_g").flatten()), np.repeat(np.arange(part.num_rows), n)
-                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                hit = known[place] == flat
-                place, text = place[hit], text[hit]
-                count = first[place + 1] - first[place]
-                total = int(count.sum())
-                where = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[place], count)
-                both = np.bincount(np.repeat(text, count) * len(ids) + owner[where], minlength=part.num_rows * len(ids)).reshape(part.num_rows, -1)
-                similarity = both / np.maximum(n[:, None] + sizes - both, 1)
-                top = similarity.max(0)
-                names = np.asarray(part.column("_id"))[:, None]
-                least = np.where((similarity == top) & (both > 0), names, np.iinfo(np.int64).max).min(0)
-                better = (top > best) | ((top == best) & (top > 0) & (least < whose))
-                best, whose = np.where(better, top, best), np.where(better, least, whose)
-        some = best > 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, whose, best)], ["q", "p", "j"])
-
-    found = hashed(spread(pool.select(pool_id, "text")), pool_id).mapInArrow(run, "q long, p long, j double")
+    q = hashed(queries, query_id).where(F.size("_g") > 0)
+    once = hashed(spread(pool.groupBy("text").agg(F.min(pool_id).alias(pool_id))), pool_id)
+    kinds, blocks = "q long, p long, j double", -(-(q.agg(F.sum(F.size("_g"))).first()[0] or 0) // QUERY_GRAMS)
+    if blocks <= 1:
+        shared = pool.sparkSession.sparkContext.broadcast(_index(q.toArrow()))
+        found = once.mapInArrow(lambda batches: _counted(shared.value, batches), kinds)
+    else:
+        parts = -(-once.count() // POOL_ROWS)
+        near = lambda df, own, of, other, n: df.withColumn(own, F.pmod(F.xxhash64("_id"), F.lit(of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
+        left, right = near(q, "_qb", blocks, "_pb", parts), near(once, "_pb", max(parts, 1), "_qb", blocks)
+        both = left.groupBy("_qb", "_pb").cogroup(right.groupBy("_qb", "_pb"))
+        found = both.applyInArrow(lambda a, b: pa.Table.from_batches(_counted(_index(a), b.select(["_id", "_g"]).to_batches(max_chunksize=10_000))), kinds)
     least = found.groupBy("q").agg(F.max(F.struct("j", (-F.col("p")).alias("k"))).alias("b"))
     return least.select(F.col("q").alias(query_id), (-F.col("b.k")).alias(pool_id), F.col("b.j").alias("jaccard"))
 
 
+def _index(queries: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of rows (_id, _g): ids, how many grams each has, the distinct grams, and whose each gram is."""
+    ids, sizes = np.asarray(queries["_id"]), np.asarray(pc.list_value_length(queries["_g"])).astype(np.int64)
+    gram = np.asarray(pc.list_flatten(queries["_g"]))
+    order = np.argsort(gram, kind="stable")
+    known, first = np.unique(gram[order], return_index=True)
+    return ids, sizes, known, np.append(first, len(gram)), np.repeat(np.arange(len(ids)), sizes)[order]
+
+
+def _counted(index: tuple[np.ndarray, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query's best of pool texts (_id, _g)."""
+    ids, sizes, known, first, owner = index
+    best, whose = np.zeros(len(ids)), np.full(len(ids), np.iinfo(np.int64).max)
+    rows = max(1, CELLS // max(1, len(ids)))
+    for batch in batches if len(known) else ():
+        n = np.asarray(batch.column("_g").value_lengths().fill_null(0)).astype(np.int64)
+        flat, text, names = np.asarray(batch.column("_g").flatten()), np.repeat(np.arange(batch.num_rows), n), np.asarray(batch.column("_id"))
+        place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[place] == flat
+        place, text = place[hit], text[hit]
+        count = first[place + 1] - first[place]
+        # Hits up to each text; a step ends before its hits or cells are too many, but has one text at least.
+        hits = np.concatenate([[0], np.cumsum(np.bincount(text, count, batch.num_rows).astype(np.int64))])
+        ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(hits, hits[at] + HITS, "right")) - 1))
+            lo, hi, total = ends[at], ends[to], int(hits[to] - hits[at])
+            c = count[lo:hi]
+            where = np.arange(total) + np.repeat(first[place[lo:hi]] - (np.cumsum(c) - c), c)
+            cell = np.repeat((text[lo:hi] - at) * len(ids), c) + owner[where]
+            both = np.bincount(cell, minlength=(to - at) * len(ids)).reshape(to - at, -1)
+            similarity = both / np.maximum(n[at:to, None] + sizes - both, 1)
+            top = similarity.max(0)
+            least = np.where((similarity == top) & (both > 0), names[at:to, None], np.iinfo(np.int64).max).min(0)
+            better = (top > best) | ((top == best) & (top > 0) & (least < whose))
+            best, whose = np.where(better, top, best), np.where(better, least, whose)
+            at = to
+    some = best > 0
+    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, whose, best)], ["q", "p", "j"])
+
+
 def joined_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str, grams) -> DataFrame:
     """best_match by a join on grams, whatever the number of queries."""
     q = queries.select(query_id, grams(F.col("text")).alias("_g")).withColumn("_qn", F.size("_g"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import calibration, ledger, metrics, regression, rendering, significance
+from calibra.operators import calibration, ledger, metrics, overlap, regression, rendering, significance
 from calibra.plans.derived import judged
 
 
@@ -98,3 +98,21 @@ def test_temperature_sums_are_made_once(spark):
     for gi in (0, 50, 119):
         shares = [(max(p[y], 1e-6) ** (1 / temperatures[gi])) / sum(max(x, 1e-6) ** (1 / temperatures[gi]) for x in p) for _, _, y, p in rows]
         assert sums["a", gi] == pytest.approx(sum(-np.log(max(s, 1e-6)) for s in shares))
+
+
+def test_best_match_is_counted_in_small_steps(spark, monkeypatch):
+    """A batch of texts that all share their grams with all queries isn't counted at once; many queries
+    meet the pool in blocks, not by a join of grams."""
+    q = spark.createDataFrame([(i, f"alpha beta gamma{i % 7} delta{i}") for i in range(30)], "qid long, text string")
+    p = spark.createDataFrame([(500 - i, f"alpha beta gamma{i % 5} delta{i % 40}") for i in range(300)] + [(999, None), (998, "")], "pid long, text string")
+    grams = lambda t: overlap.token_set(overlap.norm(t))
+    told = lambda df: {(r["qid"], r["pid"], round(r["jaccard"], 9)) for r in df.collect()}
+    want = told(overlap.joined_match(q, p, "qid", "pid", grams))
+    monkeypatch.setattr(overlap, "HITS", 50)
+    monkeypatch.setattr(overlap, "CELLS", 64)
+    assert told(overlap.best_match(q, p, "qid", "pid", grams)) == want and len(want) == 30
+    monkeypatch.setattr(overlap, "QUERY_GRAMS", 40)
+    monkeypatch.setattr(overlap, "POOL_ROWS", 70)
+    found = overlap.best_match(q, p, "qid", "pid", grams)
+    assert told(found) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
