@@ -460,14 +460,16 @@ select item_id, pid, round(j, 6) as jaccard from (select *, row_number() over (p
 
 @query("with " + _GRAMS.format(gram=f"list_distinct(list_transform(range(1, length({_NORM}) - 3), lambda i: substr({_NORM}, i, 5)))"))
 def t04_t06_j10_o04_char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
-    return _r(overlap.best_match(table(spark, sf_dir, "benchmark"), pool, "item_id", "pid", lambda t: overlap.char_grams(overlap.norm(t))))
+    pool = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), overlap.norm(F.col("text")).alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", overlap.norm(F.col("text")).alias("text"))
+    return _r(overlap.best_match(items, pool, "item_id", "pid", overlap.char_grams))
 
 
 @query("with " + _GRAMS.format(gram=f"list_distinct(list_filter(string_split({_NORM}, ' '), lambda x: x <> ''))"))
 def t05_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), "text")
-    return _r(overlap.best_match(table(spark, sf_dir, "benchmark"), pool, "item_id", "pid", lambda t: overlap.token_set(overlap.norm(t))))
+    pool = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pid"), overlap.norm(F.col("text")).alias("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", overlap.norm(F.col("text")).alias("text"))
+    return _r(overlap.best_match(items, pool, "item_id", "pid", overlap.token_set))
 
 
 @query(f"with b as (select item_id, substr({_NORM}, 1, 120) as h from benchmark), d as (select doc_id, {_NORM} as t from documents) select item_id, doc_id from b join d on contains(t, h)")

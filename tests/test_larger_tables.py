@@ -116,3 +116,12 @@ def test_best_match_is_counted_in_small_steps(spark, monkeypatch):
     found = overlap.best_match(q, p, "qid", "pid", grams)
     assert told(found) == want
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_normalized_once_before_their_grams(spark):
+    """Inside a lambda an expression is evaluated for every gram."""
+    from calibra.plans import records
+
+    plan = records.t04_t06_j10_o04_char_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    grams = [line for line in plan.splitlines() if "lambdafunction" in line]
+    assert grams and not any("regexp_replace" in line for line in grams)
