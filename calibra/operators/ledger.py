@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dealing import dealt
 from .evidence import LEVELS, evaluated, overall_grade, read_number
 from .overlap import numbers_contained
 
@@ -58,16 +59,21 @@ def cost_grade(ratings: list[Column]) -> Column:
 
 def grade_problems(rob: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows (study, problem): repeated studies, ratings that are none, grades the rule doesn't give, and
-    graded studies without ledger rows. rob: study, d1 to d5, overall."""
+    graded studies without ledger rows. rob: study, d1 to d5, overall.
+
+    Problems are counted by study, so rob is read once; what it is dealt by study stays so.
+    """
     ratings = [F.col(f"d{i}") for i in range(1, 6)]
     legal = F.lit(True)
     for r in ratings:
         legal &= F.coalesce(r.isin(*LEVELS), F.lit(False))
-    found = F.array_compact(F.array(F.when(~legal, "rating"), F.when(F.coalesce("overall", F.lit("")) != overall_grade(ratings), "rule")))
-    own = rob.select("study", F.explode(found).alias("problem"))
-    again = rob.groupBy("study").agg(F.count("*").alias("n")).where("n > 1").select("study", F.lit("repeated").alias("problem"))
-    orphans = rob.select("study").distinct().join(ledger.select("study").distinct(), "study", "left_anti").select("study", F.lit("orphan").alias("problem"))
-    return own.union(again).union(orphans)
+    wrong = F.coalesce("overall", F.lit("")) != overall_grade(ratings)
+    own = rob.groupBy("study").agg(F.count_if(~legal).cast("int").alias("_a"), F.count_if(wrong).cast("int").alias("_b"), F.count("*").alias("_n"))
+    named = ledger.select("study")
+    known = dealt(named, named.count(), "study").distinct().withColumn("_k", F.lit(True))
+    some = lambda name, when: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.array_repeat(F.lit("rating"), F.col("_a")), F.array_repeat(F.lit("rule"), F.col("_b")), some("repeated", F.col("_n") > 1), some("orphan", F.col("_k").isNull()))
+    return own.join(known, "study", "left").select("study", F.explode(found).alias("problem"))
 
 
 def compatible(text: Column) -> Column:

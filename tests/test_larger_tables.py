@@ -125,3 +125,28 @@ def test_texts_are_normalized_once_before_their_grams(spark):
     plan = records.t04_t06_j10_o04_char_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     grams = [line for line in plan.splitlines() if "lambdafunction" in line]
     assert grams and not any("regexp_replace" in line for line in grams)
+
+
+def test_grades_are_grouped_by_numbers_in_tasks_of_bounded_size(spark, monkeypatch):
+    """One grouping of lines, none by sorting texts, in as many tasks as the lines need."""
+    from calibra.functions import dealing
+    from calibra.plans import ledger as plans
+
+    told = lambda df: sorted(map(tuple, df.collect()))
+    want = told(plans.n02_grade_problems(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(dealing, "TASK_ROWS", 300)
+    found = plans.n02_grade_problems(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert told(found) == want
+    assert "SortAggregate" not in plan and plan.count("lineitem.parquet") == 1
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_linenumber <= 5").count()
+    assert "hashpartitioning(study#" in plan and f", {-(-lines // 300)})" in plan
+
+
+def test_problems_of_grades(spark):
+    """Each row's own problems, and once for each study that it is repeated or unknown; null is in no ledger."""
+    rows = [(1, *["low"] * 5, "low"), (1, *["low"] * 5, "high"), (1, "x", *["low"] * 4, "low"), (2, None, *["low"] * 4, None), (None, *["high"] * 5, "high")]
+    rob = spark.createDataFrame(rows, "study int, d1 string, d2 string, d3 string, d4 string, d5 string, overall string")
+    found = ledger.grade_problems(rob, spark.createDataFrame([(1,), (1,), (None,)], "study int")).collect()
+    want = [(1, "rule"), (1, "rating"), (1, "rule"), (1, "repeated"), (2, "rating"), (2, "rule"), (2, "orphan"), (None, "orphan")]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
