@@ -185,7 +185,11 @@ def read_selection(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     fields = [c for c in ledger.columns if c != "row_id"]
     book = ledger.select("row_id", F.create_map(*[x for c in fields for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]).alias("_f"))
     named = lines.where(F.lower(F.trim("include")) == "yes").withColumn("_other", F.coalesce(blank("b_row"), "row_id"))
-    at = named.join(book, "row_id", "left").join(book.select(F.col("row_id").alias("_other"), F.col("_f").alias("_g")), "_other", "left")
+    # Both sides are dealt by their number of rows and merged: a book is small on disk, not as a table of maps.
+    n = max(named.count(), book.count())
+    at = dealt(named, n, "row_id").join(dealt(book, n, "row_id").hint("merge"), "row_id", "left")
+    other = book.select(F.col("row_id").alias("_other"), F.col("_f").alias("_g"))
+    at = dealt(at, n, "_other").join(dealt(other, n, "_other").hint("merge"), "_other", "left")
     where = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" of "), F.col("analysis"), F.lit(", row "), F.coalesce("row_id", F.lit("")))
 
     def number(held: Column, field: Column, pattern: Column) -> Column:

@@ -150,3 +150,14 @@ def test_problems_of_grades(spark):
     found = ledger.grade_problems(rob, spark.createDataFrame([(1,), (1,), (None,)], "study int")).collect()
     want = [(1, "rule"), (1, "rating"), (1, "rule"), (1, "repeated"), (2, "rating"), (2, "rule"), (2, "orphan"), (None, "orphan")]
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
+def test_selection_meets_its_book_by_merges(spark, monkeypatch):
+    from calibra.functions import dealing
+    from calibra.plans import ledger as plans
+
+    want = plans.n12_selection_read(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(dealing, "TASK_ROWS", 20)
+    found = plans.n12_selection_read(spark, "/root/testdata/sf0.001")
+    assert sorted(found.collect()) == sorted(want)
+    assert not broadcast_rows(found._jdf.queryExecution().executedPlan())
