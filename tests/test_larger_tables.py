@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import calibration, ledger, metrics, overlap, regression, rendering, significance
+from calibra.operators import calibration, comparison, ledger, metrics, overlap, regression, rendering, resampling, significance
 from calibra.plans.derived import judged
 
 
@@ -161,3 +161,22 @@ def test_selection_meets_its_book_by_merges(spark, monkeypatch):
     found = plans.n12_selection_read(spark, "/root/testdata/sf0.001")
     assert sorted(found.collect()) == sorted(want)
     assert not broadcast_rows(found._jdf.queryExecution().executedPlan())
+
+
+def _counted(df, seen):
+    """df, which tells how many of its rows have been made."""
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_backbone_metrics_read_their_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("m", i, i // 2, i % 3 == 0, *(((i * k) % 97) / 97 if c == "d" else (i * k) % 2 for k, c in ((3, "d"), (1, "i"), (5, "i"), (7, "d"), (11, "i"), (13, "i")))) for i in range(120)]
+    pairs = spark.createDataFrame(rows, "model string, item int, grp int, in_scope boolean, conf double, correct int, flip int, conf_b double, correct_b int, flip_b int").withColumn("type", F.lit("t"))
+    found = comparison.paired_metrics(_counted(pairs, seen), ["type"], "model", "grp", "item", 5, "s").collect()
+    assert {r["metric"] for r in found} == {"accuracy", "ece", "auroc", "flips"} and seen.value == 120
