@@ -180,3 +180,22 @@ def test_backbone_metrics_read_their_pairs_once(spark):
     pairs = spark.createDataFrame(rows, "model string, item int, grp int, in_scope boolean, conf double, correct int, flip int, conf_b double, correct_b int, flip_b int").withColumn("type", F.lit("t"))
     found = comparison.paired_metrics(_counted(pairs, seen), ["type"], "model", "grp", "item", 5, "s").collect()
     assert {r["metric"] for r in found} == {"accuracy", "ece", "auroc", "flips"} and seen.value == 120
+
+
+def test_refits_read_their_rows_twice_at_most(spark):
+    rows = [("a", i, i // 2, i % 2, [0.2 + 0.1 * (i % 5), 0.8 - 0.1 * (i % 5)], i % 2) for i in range(80)]
+    dec = spark.createDataFrame(rows, "model string, item int, grp int, y int, p array<double>, correct int")
+    for refit in (lambda d: resampling.refit_temperatures(d, ["model"], "grp", 4, "s"), lambda d: resampling.refit_ece(d, ["model"], "grp", ["item"], 4, "s")):
+        seen = spark.sparkContext.accumulator(0)
+        found = refit(_counted(dec, seen))
+        assert found.count() == found.where("b < 4").count() > 0 and seen.value <= 160
+    pairs = dec.select("model", "grp", F.col("p")[0].alias("conf"), F.col("correct").alias("c1"), F.lit(1).alias("c2"), F.lit(0.5).alias("l1"), F.lit(1.0).alias("l2"))
+    seen = spark.sparkContext.accumulator(0)
+    found = resampling.refit_cascade(_counted(pairs, seen), ["model"], "grp", 4, "s", "l1", "l2")
+    assert found.count() == found.where("b < 4").count() == 4 and seen.value == 80
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "BUCKET_ROWS", 1)
+    rows = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") / 3000).alias("conf"))
+    assert resampling._bucketed(rows, ["g"], "conf").select("_b").distinct().count() > 1024
