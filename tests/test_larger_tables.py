@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calibra.operators import calibration, comparison, ledger, metrics, overlap, regression, rendering, resampling, significance
+from calibra.operators import calibration, comparison, evidence, ledger, metrics, overlap, regression, rendering, resampling, significance
 from calibra.plans.derived import judged
 
 
@@ -199,3 +199,11 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(resampling, "BUCKET_ROWS", 1)
     rows = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") / 3000).alias("conf"))
     assert resampling._bucketed(rows, ["g"], "conf").select("_b").distinct().count() > 1024
+
+
+def test_cluster_medians_are_made_once(spark):
+    """Of the estimates one reading finds large groups and one the medians."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("a", i % 6, float(i * 7 % 31)) for i in range(60)], "analysis string, cluster int, v double")
+    found = evidence.pooled(_counted(rows, seen), ["analysis"], "cluster", "v").collect()
+    assert [(r["clusters"], r["ahead"]) for r in found] == [(6, 6)] and seen.value <= 120
