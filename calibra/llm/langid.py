@@ -150,7 +150,7 @@ def predict(shared):
         names = np.array([*model.langs, UNDETERMINED], object)
         for column in columns:
             found, scores = [], []
-            for c in chunks(pa.RecordBatch.from_arrays([column], ["text"]), size=1 << 19):
+            for c in chunks(pa.RecordBatch.from_arrays([column], ["text"]), size=1 << 17):
                 data, offsets = utf8(c.column("text"))
                 bits = code_lengths(model, data, offsets)
                 sums = np.concatenate([[0], np.cumsum(ascii_letter[data])])

@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, cut, plain, semi, small
+from .runtime import components, cut, plain, semi, small, small_batches
 from .words import chunks, mix, shingles, words
 
 #: Buckets of the sketch of shingle counts: one byte each when broadcast, whatever the input.
 SKETCH_BITS = 24
 SKETCH_PARTS = 256
+#: Buckets that a task counts before it hands its counts on.
+COUNTED = 1 << 19
+#: Text that a task works on at once.
+TEXT_BYTES = 1 << 18
 ROUNDS = 1
 #: Classes of one shingle that meet in one block, about.
 BLOCK = 4000
@@ -64,34 +68,49 @@ FIRST_SCHEMA = "doc_id long, key long, n long, cls long, " + ", ".join(f"{s} lon
 FIRST_NAMES = ["doc_id", "key", "n", "cls", *SIGS, "part", "counts"]
 
 
+def packed_counts(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts of a sketch part's buckets that are not 0; at: the buckets within the part."""
+    return zlib.compress(n.astype("<u4").tobytes() + at.astype("<u2").tobytes(), 1)
+
+
+def sketch_rows(bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, counts) of distinct buckets, ascending, and their counts."""
+    width = (1 << SKETCH_BITS) // SKETCH_PARTS
+    bounds = np.searchsorted(bucket, np.arange(SKETCH_PARTS + 1) * width).tolist()
+    parts = [packed_counts(bucket[a:b] % width, n[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    none = pa.nulls(SKETCH_PARTS, pa.int64())
+    return pa.RecordBatch.from_arrays([none] * (4 + BITMAP_LONGS) + [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], FIRST_NAMES)
+
+
 def sizes_and_sketch(k: int):
-    """Rows (doc_id, key, n, cls, s0, ...) for documents, and at the end of a partition the counts of its
-    shingles by bucket, as rows (part, counts)."""
+    """Rows (doc_id, key, n, cls, s0, ...) for documents, and between them and at the end of a partition the
+    counts of its shingles by bucket, as rows (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = None, []
+        bucket, n, held, waiting = np.zeros(0, np.uint32), np.zeros(0, np.uint32), [], 0
 
-        def flush():
-            nonlocal total, held
-            if held:
-                total = np.zeros(1 << SKETCH_BITS, np.uint32) if total is None else total
-                bucket, n = np.unique(np.concatenate(held), return_counts=True)
-                total[bucket] += n.astype(np.uint32)
-                held = []
+        def add() -> None:
+            nonlocal bucket, n, held, waiting
+            new, of = np.unique(np.concatenate([bucket, *held]), return_counts=True)
+            of = of.astype(np.uint32)
+            of[np.searchsorted(new, bucket)] += n - np.uint32(1)
+            bucket, n, held, waiting = new, of, [], 0
 
         for batch in batches:
-            for c in chunks(batch):
+            for c in chunks(batch, size=TEXT_BYTES):
                 value, first = shingles(words(c.column("text"), lower=True), k)
                 held.append((value >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
-                if len(held) >= 8:
-                    flush()
+                waiting += len(value)
                 part, counts = pa.nulls(c.num_rows, pa.int32()), pa.nulls(c.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("key"), pa.array(np.diff(first), pa.int64()), pa.array(class_hashes(value, first)), *map(pa.array, bitmaps(value, first)), part, counts], FIRST_NAMES)
-        flush()
-        if total is not None:
-            none = pa.nulls(SKETCH_PARTS, pa.int64())
-            parts = [zlib.compress(r.tobytes(), 1) for r in total.reshape(SKETCH_PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([none] * (4 + BITMAP_LONGS) + [pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], FIRST_NAMES)
+                if waiting >= COUNTED // 4:
+                    add()
+                if len(bucket) >= COUNTED:
+                    yield sketch_rows(bucket, n)
+                    bucket, n = bucket[:0], n[:0]
+        add()
+        if len(bucket):
+            yield sketch_rows(bucket, n)
 
     return run
 
@@ -99,12 +118,16 @@ def sizes_and_sketch(k: int):
 def summed(rows: pa.Table) -> np.ndarray:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint32)
     for x in rows.column("counts"):
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        both = zlib.decompress(x.as_py())
+        of = len(both) // 6
+        total[np.frombuffer(both, "<u2", of, 4 * of)] += np.frombuffer(both, "<u4", of)
     return total
 
 
 def add_counts(rows: pa.Table) -> pa.Table:
-    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([zlib.compress(summed(rows).tobytes(), 1)], pa.binary())})
+    total = summed(rows)
+    at = np.flatnonzero(total)
+    return pa.table({"part": rows.column("part")[:1], "counts": pa.array([packed_counts(at, total[at])], pa.binary())})
 
 
 def levels(rows: pa.Table) -> pa.Table:
@@ -130,7 +153,7 @@ def prefix_rows(k: int, rare):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = rare.value, set()
         for batch in batches:
-            for c in chunks(batch):
+            for c in chunks(batch, size=TEXT_BYTES):
                 value, first = shingles(words(c.column("text"), lower=True), k)
                 cls = class_hashes(value, first)
                 n = np.diff(first)
@@ -158,7 +181,7 @@ def set_rows(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch):
+            for c in chunks(batch, size=TEXT_BYTES):
                 value, first = shingles(words(c.column("text"), lower=True), k)
                 sets = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(class_hashes(value, first)), pa.array(sets, pa.binary())], ["cls", "elements"])
@@ -198,6 +221,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows are returned as often as given. Texts of any length are read whole. Other columns are
     ignored.
     """
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents, doc_id, text, k)
+
+
+def _near_duplicates(documents: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """near_duplicates; all that needs Python is computed and cut before it returns."""
     spark = documents.sparkSession
     docs = documents.select(plain(doc_id).cast("long").alias("doc_id"), plain(text).alias("text")).withColumn("key", F.xxhash64("text"))
     first = cut(docs.mapInArrow(sizes_and_sketch(k), FIRST_SCHEMA))

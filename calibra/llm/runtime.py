@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.get()
 
 
+#: Bytes of an Arrow batch on its way to Python, about; Spark's own 64 MB are held by the executor and the
+#: worker of every task.
+BATCH_BYTES = 2 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed meanwhile (not what is only planned) goes to Python in batches of BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

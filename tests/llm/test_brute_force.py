@@ -5,16 +5,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from helpers import documents, empty, lowered, rows, split
 from pyspark.sql import functions as F
 
 from calibra.llm import decontam, hmm_lm, langid, license_scan, line_dedup, ngram_join, packing, pii, quality, runtime, substring
+from calibra.llm.words import shingles, words
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -58,6 +62,48 @@ def test_near_duplicates(both):
     assert sorted(repr(tuple(r)) for r in got) == want
 
 
+@pytest.mark.parametrize("counted", [1 << 19, 1000])
+def test_shingle_counts_of_a_worker(monkeypatch, counted):
+    """Counts are whole, also if handed on in parts, and take no more memory than the shingles call for."""
+    monkeypatch.setattr(ngram_join, "COUNTED", counted, raising=False)
+    texts = [" ".join(f"w{(7 * i + j * j) % 997}" for j in range(300)) for i in range(200)] + [None, "", "one"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(203)), "key": list(range(203)), "text": texts})
+    tracemalloc.start()
+    out = list(ngram_join.sizes_and_sketch(5)(iter([batch.slice(0, 150), batch.slice(150)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = pa.Table.from_batches(out)
+    counts = found.filter(pc.is_valid(found["counts"]))
+    total = np.concatenate([ngram_join.summed(counts.filter(pc.equal(counts["part"], p))) for p in range(ngram_join.SKETCH_PARTS)])
+    value, _ = shingles(words(batch.column("text"), lower=True), 5)
+    assert (total == np.bincount(value >> np.uint64(40), minlength=1 << 24)).all()
+    assert found.num_rows - counts.num_rows == 203
+    assert most < 40e6
+
+
+def test_near_duplicates_sends_small_batches(spark, monkeypatch):
+    """Texts reach Python in batches bounded by bytes; the session's own setting is as before."""
+    texts = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("lorem ipsum "), 200), F.col("id")).alias("text")).coalesce(1)
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", ngram_join.sizes_and_sketch
+
+    def bounded(k):
+        def run(batches):
+            def checked():
+                for b in batches:
+                    if b.nbytes > 4 << 20:
+                        raise ValueError("a large batch")
+                    yield b
+
+            return sizes(k)(checked())
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "sizes_and_sketch", bounded)
+    before = spark.conf.get(key)
+    assert ngram_join.near_duplicates(texts).count() == 4000
+    assert spark.conf.get(key) == before
+
+
 def test_crowded_near_copies_need_no_pairs_but_lose_no_link(spark):
     """A chain in which only neighbours are similar is one component."""
     words_ = [f"c{i}" for i in range(200)]
