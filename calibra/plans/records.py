@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import vectors as V
-from ..functions.dealing import dealt
+from ..functions.dealing import dealt, kept
 from ..functions.documents import inverted
 from ..functions.hashing import draw, draw_sql
 from ..functions.quantiles import quantiles
@@ -532,13 +532,14 @@ def m05_frequency_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m01_m02_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Soft-label regression: a row for each option, weighted by its probability."""
+    """Soft-label regression: a row for each option, weighted by its probability. The fit reads its rows several
+    times, so draws are made and written once."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from .derived import decisions
 
-    dec = decisions(spark, sf_dir).where("model = 'alpha'").select("item", "p", (F.col("usage_in") / 450.0).alias("u"))
+    dec = kept(decisions(spark, sf_dir).where("model = 'alpha'").select("item", "p", (F.col("usage_in") / 450.0).alias("u")))
     rows = dec.select("item", array_to_vector(F.array("u", F.col("p")[0])).alias("features"), F.posexplode("p").alias("label", "w"))
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=20, regParam=1e-3).fit(rows.select("features", F.col("label").cast("double"), "w"))
     scored = model.transform(dec.select("item", array_to_vector(F.array("u", F.col("p")[0])).alias("features")))

@@ -207,3 +207,19 @@ def test_cluster_medians_are_made_once(spark):
     rows = spark.createDataFrame([("a", i % 6, float(i * 7 % 31)) for i in range(60)], "analysis string, cluster int, v double")
     found = evidence.pooled(_counted(rows, seen), ["analysis"], "cluster", "v").collect()
     assert [(r["clusters"], r["ahead"]) for r in found] == [(6, 6)] and seen.value <= 120
+
+
+def test_regression_reads_written_rows(spark, monkeypatch):
+    """The fit and the predictions read their rows from files and make no draws again."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from calibra.plans import records
+
+    plans, fit = [], LogisticRegression.fit
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: plans.append(plan(rows)) or fit(self, rows))
+    found = records.m01_m02_logistic_regression(spark, "/root/testdata/sf0.001")
+    plans.append(plan(found))
+    assert len(plans) == 2 and not any("md5" in p for p in plans)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert found.count() == orders.count()
