@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from support import SF
 
+from calibra import catalog
+from calibra.functions import hashing
 from calibra.operators import answers, calibration, comparison, decide, ledger, overlap, resampling
 from calibra.plans.derived import decisions, judged
 
@@ -114,3 +116,20 @@ def test_what_is_fatal(spark):
     rows = spark.createDataFrame([("i", "low", "high")], "item string, first string, second string")
     with pytest.raises(Exception, match="not settled"):
         ledger.overridden(rows, rows.where("false").select("item", F.lit("low").alias("final")), ["item"]).collect()
+
+
+@pytest.mark.parametrize("seed", ["g17", "x" * 50, "ç" * 70])
+def test_draws_in_numpy_are_those_of_the_column(spark, monkeypatch, seed):
+    monkeypatch.setattr(hashing, "HASHED", 50)
+    got = hashing.draws(seed, range(8, 12), range(95, 1003))
+    cells = spark.range(8, 12).withColumnRenamed("id", "b").crossJoin(spark.range(95, 1003).withColumnRenamed("id", "j"))
+    want = np.zeros(got.shape, np.uint32)
+    for r in cells.select("b", "j", hashing.draw(seed, F.col("b"), F.col("j")).alias("d")).collect():
+        want[r["b"] - 8, r["j"] - 95] = r["d"]
+    assert (got == want).all()
+
+
+def test_baseline_families_can_be_told_apart(spark):
+    """Of 20 replicates no p is below 0.095; of 10,000 the least is 2 / 10,001."""
+    found = catalog.queries()["g17_baseline_family"](spark, SF).collect()
+    assert min(r["p"] for r in found) == pytest.approx(2 / 10_001, abs=1e-6)
